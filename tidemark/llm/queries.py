@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import near_dedup
+from . import decontaminate, near_dedup
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -16,8 +17,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import functions as F
-
     docs = table(spark, sf_dir, "documents").select("doc_id", F.translate("text", UPPER, LOWER).alias("text"))
     return near_dedup.near_duplicates(docs)
 
@@ -38,5 +37,29 @@ SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, m.c AS component_id, d.
 FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN (SELECT doc_id, min(c) AS c FROM r GROUP BY doc_id) m ON m.doc_id = d.doc_id
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_near_dedup": op1_near_dedup}
-ORACLES: dict[str, str] = {"op1_near_dedup": OP1_SQL}
+def op2_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
+_WORDS_2 = rf"regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+OP2_SQL = rf"""
+WITH d AS MATERIALIZED (SELECT doc_id, coalesce({_WORDS_2}, []) AS w FROM documents),
+b AS MATERIALIZED (SELECT item_id, {_WORDS_2} AS w FROM benchmark WHERE text IS NOT NULL),
+bw AS MATERIALIZED (
+  SELECT DISTINCT item_id, l, array_to_string(w[i:i + l - 1], ' ') AS g
+  FROM (SELECT item_id, w, l, unnest(range(1, len(w) - l + 2)) AS i FROM (SELECT item_id, w, least(10, len(w)) AS l FROM b WHERE len(w) > 0))),
+dw AS MATERIALIZED (
+  SELECT doc_id, i, l, array_to_string(w[i:i + l - 1], ' ') AS g
+  FROM (SELECT doc_id, w, l, unnest(range(1, len(w) - l + 2)) AS i FROM d, (SELECT DISTINCT l FROM bw) x WHERE len(w) >= l)),
+h AS MATERIALIZED (SELECT doc_id, i, dw.l, item_id FROM dw JOIN bw ON dw.g = bw.g AND dw.l = bw.l),
+p AS (SELECT doc_id, count(DISTINCT i) AS n FROM (SELECT doc_id, unnest(range(i, i + l)) AS i FROM h) GROUP BY doc_id),
+t AS (SELECT doc_id, count(*) AS n, string_agg(s, ',' ORDER BY s) AS s FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS s FROM h) GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(p.n, 0)::BIGINT AS n_hit, coalesce(t.n, 0)::BIGINT AS n_items,
+       sha256(coalesce(t.s, '')) AS items_sha256, coalesce(p.n, 0) > 0 AS contaminated
+FROM d LEFT JOIN p ON p.doc_id = d.doc_id LEFT JOIN t ON t.doc_id = d.doc_id
+"""
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_near_dedup": op1_near_dedup, "op2_winnowing": op2_winnowing}
+ORACLES: dict[str, str] = {"op1_near_dedup": OP1_SQL, "op2_winnowing": OP2_SQL}
