@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, near_dedup
+from . import decontaminate, language, mixing, near_dedup, sharding, toxicity, warc
+from .shared import Scratch
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -61,5 +62,120 @@ SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(p.n, 0)::BIGINT AS n_hit, c
 FROM d LEFT JOIN p ON p.doc_id = d.doc_id LEFT JOIN t ON t.doc_id = d.doc_id
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_near_dedup": op1_near_dedup, "op2_winnowing": op2_winnowing}
-ORACLES: dict[str, str] = {"op1_near_dedup": OP1_SQL, "op2_winnowing": OP2_SQL}
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
+    model = language.train(docs.where(~held_out))
+    return language.identify(docs.select("doc_id", held_out.alias("held_out"), "text"), model).select("doc_id", "held_out", "lang_pred", "score", "rejected")
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return toxicity.grade(docs, model).select("doc_id", "severity", "grade", "toxic")
+
+
+#: Sources fall into four domains by their number; the rest of the weights by level and value.
+DOMAIN_WEIGHTS = {"d0": 0.4, "d1": 0.3, "d2": 0.2, "d3": 0.1, "*": 0.1}
+LANG_WEIGHTS = {"en": 0.5, "de": 0.2, "fr": 0.2, "es": 0.1, "*": 0.05}
+MIX_WEIGHTS = {"domain": DOMAIN_WEIGHTS, "lang": LANG_WEIGHTS}
+MIX_FRACTION, MIX_EPOCHS, MIX_SEED = 1.0, 4, 1
+
+
+def domain_column():
+    return F.concat(F.lit("d"), (F.coalesce(F.regexp_extract("source", r"([0-9]+)$", 1).try_cast("long"), F.lit(0)) % 4).cast("string"))
+
+
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    tree = {"domain": domain_column(), "lang": F.col("lang"), "source": F.col("source")}
+    out = mixing.mix(docs, tree, MIX_WEIGHTS, MIX_FRACTION, MIX_EPOCHS, MIX_SEED)
+    return out.select("doc_id", "epoch", "n_tokens")
+
+
+def _weights_sql(column: str, weights: dict[str, float]) -> str:
+    return f"CASE {' '.join(f"WHEN {column} = '{k}' THEN {v}::DOUBLE" for k, v in weights.items() if k != '*')} ELSE {weights['*']}::DOUBLE END"
+
+
+def _level_sql(name: str, cols: list[str], weight: str, above: str) -> str:
+    parent = ", ".join(cols[:-1])
+    over = f"PARTITION BY {parent} " if parent else ""
+    keep = f"USING ({parent})" if parent else "ON true"
+    return rf"""
+{name}_n AS (SELECT {", ".join("b." + c for c in cols)}, b.cap, {weight.replace("$", "b." + cols[-1])} AS w, p.got AS budget
+  FROM (SELECT {", ".join(cols)}, sum(cap) AS cap FROM leaf GROUP BY {", ".join(cols)}) b JOIN {above} p {keep}),
+{name}_o AS (SELECT *, coalesce(sum(cap) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pre,
+  sum(w) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS wt, row_number() OVER o AS pos
+  FROM {name}_n WINDOW o AS ({over}ORDER BY cap / w, {cols[-1]})),
+{name}_f AS (SELECT *, cap <= (budget - pre) / wt * w AS is_full FROM {name}_o),
+{name}_r AS (SELECT *, min(CASE WHEN NOT is_full THEN pos END) OVER ({over}) AS first_open FROM {name}_f),
+{name}_g AS (SELECT *, max(CASE WHEN pos = first_open THEN (budget - pre) / wt END) OVER ({over}) AS rate FROM {name}_r),
+{name} AS MATERIALIZED (SELECT {", ".join(cols)}, CASE WHEN is_full THEN cap ELSE least(cap, rate * w) END AS got FROM {name}_g)"""
+
+
+OP4_SQL = rf"""
+WITH d AS MATERIALIZED (
+  SELECT doc_id, coalesce(len(regexp_extract_all(text, '[^ \t\n\r\f\x0B]+')), 0)::BIGINT AS t,
+         'd' || (coalesce(try_cast(regexp_extract(source, '([0-9]+)$', 1) AS BIGINT), 0) % 4)::VARCHAR AS a,
+         coalesce(lang, '(null)') AS b, coalesce(source, '(null)') AS c FROM documents),
+leaf AS MATERIALIZED (SELECT a, b, c, sum(t)::BIGINT AS t, sum(t)::DOUBLE * {MIX_EPOCHS} AS cap FROM d GROUP BY a, b, c),
+root AS (SELECT least(sum(t) * {MIX_FRACTION}::DOUBLE, sum(cap)) AS got FROM leaf),
+{_level_sql("l1", ["a"], _weights_sql("$", DOMAIN_WEIGHTS), "root")},
+{_level_sql("l2", ["a", "b"], _weights_sql("$", LANG_WEIGHTS), "l1")},
+{_level_sql("l3", ["a", "b", "c"], "1::DOUBLE", "l2")},
+q AS (SELECT leaf.*, floor(got + 1e-6)::BIGINT AS g, least(floor((got + 1e-6) / t), {MIX_EPOCHS})::BIGINT AS e FROM leaf JOIN l3 USING (a, b, c)),
+h AS (SELECT d.*, e, g - e * q.t AS rest,
+  ('0x' || substr(sha256('{MIX_SEED}:' || (e + 1)::VARCHAR || ':' || doc_id::VARCHAR), 1, 15))::BIGINT AS k FROM d JOIN q USING (a, b, c)),
+r AS (SELECT *, sum(t) OVER (PARTITION BY a, b, c ORDER BY k, doc_id) AS run FROM h),
+n AS (SELECT doc_id, t, e + (rest > 0 AND run <= rest)::BIGINT AS n FROM r)
+SELECT doc_id, unnest(range(1, n + 1)) AS epoch, t AS n_tokens FROM n WHERE n > 0
+"""
+
+SHARDS = [f"shard-{i:02d}" for i in range(32)]
+
+
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.place(table(spark, sf_dir, "documents").select("doc_id", "text"), SHARDS).select("doc_id", "slot", "shard")
+
+
+OP7_SQL = rf"""
+WITH d AS (SELECT doc_id, ('0x' || substr(sha256(coalesce(doc_id::VARCHAR, 'text:' || coalesce(text, ''))), 1, 15))::BIGINT % {sharding.SLOTS} AS slot FROM documents),
+t AS (SELECT {sharding.fill(SHARDS)} AS t)
+SELECT doc_id, slot, 'shard-' || lpad(t[slot + 1]::VARCHAR, 2, '0') AS shard FROM d, t
+"""
+
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    archives = warc.write_archives(pages, Scratch(spark, "warc").path("archives"))
+    page = lambda c: F.regexp_extract(c, r"^urn:page:(-?[0-9]+)$", 1).try_cast("long")
+    out = warc.read_archives(archives, payload=False)
+    return out.select(page("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", page("refers_to").alias("refers_to"), "valid")
+
+
+OP10_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+q AS (SELECT page_id, octet_length(encode(h))::BIGINT AS n, sha1(h) AS s FROM p),
+r AS (SELECT *, max(page_id) OVER (PARTITION BY s) AS top FROM q)
+SELECT page_id, n AS payload_bytes, s AS payload_digest, CASE WHEN n >= 1000 AND page_id < top THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n >= 1000 AND page_id < top THEN top END AS refers_to, true AS valid
+FROM r
+"""
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_near_dedup": op1_near_dedup,
+    "op2_winnowing": op2_winnowing,
+    "op3_language": op3_language,
+    "op4_mixing": op4_mixing,
+    "op7_sharding": op7_sharding,
+    "op9_toxicity": op9_toxicity,
+    "op10_warc": op10_warc,
+}
+ORACLES: dict[str, str] = {
+    "op1_near_dedup": OP1_SQL,
+    "op2_winnowing": OP2_SQL,
+    "op4_mixing": OP4_SQL,
+    "op7_sharding": OP7_SQL,
+    "op10_warc": OP10_SQL,
+}
