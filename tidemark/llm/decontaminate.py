@@ -43,9 +43,8 @@ def winnow(hashes: np.ndarray, width: int) -> np.ndarray:
     n = len(hashes)
     if width <= 1 or n <= width:
         return np.flatnonzero(hashes == hashes.min()) if n and width > 1 else np.arange(n)
-    low = hashes.copy()
     m = n - width + 1
-    low = low[:m].copy()
+    low = hashes[:m].copy()
     for i in range(1, width):
         np.minimum(low, hashes[i : i + m], out=low)
     high = np.zeros(n, dtype=np.uint64)  # of the windows over a position, the largest minimum
@@ -206,29 +205,33 @@ def decontaminate(
     window: int = WINDOW,
     gram: int = GRAM,
     broadcast_bytes: int = BROADCAST_BYTES,
+    carry: bool = False,
 ) -> DataFrame:
     """One row per document row: id, ``n_words``, ``n_hit``, ``n_items``, ``items`` (sorted ids as
     strings), ``spans`` (word ranges of the hits, end exclusive), ``contaminated``.
 
+    ``carry=True`` adds the whole input row as the struct ``row``.
+
     Null and blank texts have no words and no hits. Items without an id are left out of ``items``
     only if their text has no words; their id reads ``null``. Repeated items with one id count
     once. Repeated document rows give repeated result rows. Empty tables on either side work;
     other columns are ignored.
     """
     spark = docs.sparkSession
-    src = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    more = [F.struct(*docs.columns).alias("row")] if carry else []
+    src = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), *more)
     items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("null")).alias("_item"), F.col(item_text_col).alias("_text")).where("_text is not null")
     size = items.agg(F.coalesce(F.sum(F.octet_length("_text")), F.lit(0)).alias("n")).first()["n"]
     words = items.mapInArrow(_words_of, "_item string, _words binary").where(F.octet_length("_words") > 0)
     if size <= broadcast_bytes:
         rows = words.toArrow().to_pydict()
         index = Index(rows["_item"], [np.frombuffer(x, dtype=np.uint64) for x in rows["_words"]], window, gram)
-        kind = dict(src.dtypes)["_id"]
-        out = src.mapInArrow(_probe(spark.sparkContext.broadcast(index)), f"_id {kind}, {_RESULT}")
+        kept = ", ".join(f"{name} {kind}" for name, kind in src.dtypes if name != "_text")
+        out = src.mapInArrow(_probe(spark.sparkContext.broadcast(index)), f"{kept}, {_RESULT}")
     else:
         out = _by_shuffle(src, words, window, gram)
     covered = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
-    return out.select(F.col("_id").alias(id_col), "n_words", covered.alias("n_hit"), F.size("items").cast("long").alias("n_items"), "items", "spans", (covered > 0).alias("contaminated"))
+    return out.select(F.col("_id").alias(id_col), "n_words", covered.alias("n_hit"), F.size("items").cast("long").alias("n_items"), "items", "spans", (covered > 0).alias("contaminated"), *(["row"] if carry else []))
 
 
 def _by_shuffle(src: DataFrame, words: DataFrame, window: int, gram: int) -> DataFrame:
@@ -287,6 +290,6 @@ def _by_shuffle(src: DataFrame, words: DataFrame, window: int, gram: int) -> Dat
            concat(acc, array(x))))"""
     byte = byte.select("_key", F.expr(merge).alias("spans"), "items")
     n = texts.mapInArrow(count_words, "_key string, n_words long")
-    both = keyed.select("_id", "_key").join(n, "_key").join(byte, "_key", "left")
+    both = keyed.drop("_text").join(n, "_key").join(byte, "_key", "left")
     none = F.expr("cast(array() as array<struct<start:bigint,end:bigint>>)")
-    return both.select("_id", "n_words", F.coalesce("spans", none).alias("spans"), F.coalesce("items", F.expr("cast(array() as array<string>)")).alias("items"))
+    return both.select("_id", *(c for c in src.columns if c == "row"), "n_words", F.coalesce("spans", none).alias("spans"), F.coalesce("items", F.expr("cast(array() as array<string>)")).alias("items"))
