@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, mixing, near_dedup, sharding, toxicity, warc
+from . import decontaminate, language, mixing, near_dedup, secrets, sharding, toxicity, warc
 from .shared import Scratch
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -131,6 +131,16 @@ n AS (SELECT doc_id, t, e + (rest > 0 AND run <= rest)::BIGINT AS n FROM r)
 SELECT doc_id, unnest(range(1, n + 1)) AS epoch, t AS n_tokens FROM n WHERE n > 0
 """
 
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = secrets.scan(docs, secrets.train(docs))
+    base = F.filter("secrets", lambda s: s["kind"] < 3)
+    count = lambda k: F.size(F.filter("secrets", lambda s: s["kind"] == k)).cast("long")
+    return found.select(
+        "doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(secrets.span_list(base), 256).alias("base_sha256"), secrets.span_list(F.col("secrets")).alias("spans")
+    )
+
+
 SHARDS = [f"shard-{i:02d}" for i in range(32)]
 
 
@@ -168,6 +178,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_winnowing": op2_winnowing,
     "op3_language": op3_language,
     "op4_mixing": op4_mixing,
+    "op5_secrets": op5_secrets,
     "op7_sharding": op7_sharding,
     "op9_toxicity": op9_toxicity,
     "op10_warc": op10_warc,
