@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, mixing, near_dedup, secrets, sharding, toxicity, warc
+from . import decontaminate, language, mixing, near_dedup, quotations, secrets, sharding, toxicity, warc
 from .shared import Scratch
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -141,6 +141,12 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_quotations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    linked = quotations.link(table(spark, sf_dir, "conversations"))
+    path = F.array_join(F.transform("path", lambda p: F.concat_ws(":", (-p["answers"]).cast("string"), p["start"].cast("string"))), "/")
+    return linked.select("conv_id", "turn", "role", "n_quotes", "parent_turn", path.alias("branch"), quotations.chat(linked).alias("chat"))
+
+
 SHARDS = [f"shard-{i:02d}" for i in range(32)]
 
 
@@ -179,6 +185,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_language": op3_language,
     "op4_mixing": op4_mixing,
     "op5_secrets": op5_secrets,
+    "op6_quotations": op6_quotations,
     "op7_sharding": op7_sharding,
     "op9_toxicity": op9_toxicity,
     "op10_warc": op10_warc,
