@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, mixing, near_dedup, quotations, secrets, sharding, toxicity, warc
+from . import decontaminate, fingerprints, language, mixing, near_dedup, quotations, secrets, sharding, toxicity, warc
 from .shared import Scratch
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -147,6 +147,10 @@ def op6_quotations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linked.select("conv_id", "turn", "role", "n_quotes", "parent_turn", path.alias("branch"), quotations.chat(linked).alias("chat"))
 
 
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edited_versions(table(spark, sf_dir, "documents"))
+
+
 SHARDS = [f"shard-{i:02d}" for i in range(32)]
 
 
@@ -187,6 +191,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_secrets": op5_secrets,
     "op6_quotations": op6_quotations,
     "op7_sharding": op7_sharding,
+    "op8_fingerprints": op8_fingerprints,
     "op9_toxicity": op9_toxicity,
     "op10_warc": op10_warc,
 }
