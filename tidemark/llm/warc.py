@@ -154,7 +154,7 @@ def plan_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
 def write_archives(pages: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BYTES, **names) -> DataFrame:
     """Writes the pages to archives in ``folder`` (shared by all executors) and returns (path, records, bytes)."""
     scratch = Scratch(pages.sparkSession, "warc-list")
-    rows = plan_records(pages, **names).repartition(F.xxhash64("page_id", "payload_sha1"))
+    rows = plan_records(pages, **names)
     return scratch.save(rows.mapInArrow(_write(folder, archive_bytes), "path string, records long, bytes long"), "paths")
 
 
