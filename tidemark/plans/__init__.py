@@ -1,4 +1,4 @@
 """Registered queries of the library's own operators."""
 
-from . import relational  # noqa: F401
+from . import documents, quality, relational  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401
