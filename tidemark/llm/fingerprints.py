@@ -122,7 +122,7 @@ def compare(rows: DataFrame, key: str, own: str, others: dict[str, str]) -> Data
     like = []
     for j, name in enumerate(names, start=1):
         both = F.col("n0") + F.col(f"n{j}")
-        like.append(((both - F.col(f"diff{j}")) / (both + F.col(f"diff{j}"))).alias(name))
+        like.append(F.when(both == 0, 1.0).otherwise((both - F.col(f"diff{j}")) / (both + F.col(f"diff{j}"))).alias(name))
     prints = [F.coalesce("f0", F.lit("")).alias("fingerprint"), *(F.coalesce(f"f{j}", F.lit("")).alias(f"fingerprint_{n}") for j, n in enumerate(names, start=1))]
     return totals.select(F.col("_key").alias(key), *like, *prints)
 
