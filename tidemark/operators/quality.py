@@ -362,3 +362,42 @@ def redact_json(df: DataFrame, column: str, secret_keys: Sequence[str], mask_all
 def masked_table(df: DataFrame, masks: Mapping[str, object]) -> DataFrame:
     """Identity columns as constants of their type; the shape of rows stays, nulls stay null."""
     return df.select(*(F.when(F.col(n).isNotNull(), F.lit(masks[n]).cast(k)).alias(n) if n in masks else F.col(n) for n, k in df.dtypes))
+
+
+# Document roles by their wire names.
+DOCUMENT_ROLES = {
+    "command": "commands",
+    "commands": "commands",
+    "command-reference": "commands",
+    "cli-reference": "commands",
+    "configuration": "configuration",
+    "configuration-guide": "configuration",
+    "diagnostic": "diagnostics",
+    "diagnostics": "diagnostics",
+    "troubleshooting": "diagnostics",
+    "upgrade": "upgrades",
+    "upgrades": "upgrades",
+    "upgrade-guide": "upgrades",
+    "security": "security_advisories",
+    "advisory": "security_advisories",
+    "security-advisory": "security_advisories",
+    "security-advisories": "security_advisories",
+    "release-note": "release_notes",
+    "release-notes": "release_notes",
+}
+
+
+def normalised_diagnoses(df: DataFrame, capabilities: str, roles: str, context: Sequence[str]) -> DataFrame:
+    """Q29: capabilities as slugs, document roles by their known names (others stay), blank context texts as null."""
+    table = F.create_map(*(F.lit(x) for kv in DOCUMENT_ROLES.items() for x in kv))
+    topic = lambda x: F.when(T.trimmed(x) != "", slug(x)).otherwise(x)
+    out = df.withColumn(capabilities, F.transform(capabilities, topic)).withColumn(roles, F.transform(roles, lambda x: F.coalesce(table[slug(x)], x)))
+    return out.withColumns({c: F.nullif(T.trimmed(F.col(c)), F.lit("")) for c in context})
+
+
+def current_validation(validations: DataFrame, as_of: Column, levels: Sequence[str]) -> DataFrame:
+    """A revision's current validation as a table: passed, unexpired, of the strongest level, then the latest."""
+    valid = validations.where((F.col("status") == "passed") & (F.col("expires_at").isNull() | (F.col("expires_at") > as_of)))
+    level = F.array_position(F.array(*(F.lit(x) for x in levels)), F.col("validation_type"))
+    w = W.partitionBy("revision_id").orderBy(F.when(level > 0, level).otherwise(len(levels) + 1), F.desc("executed_at"))
+    return valid.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")

@@ -185,3 +185,14 @@ def leaked_fields(df: DataFrame, forbidden: Sequence[str]) -> list[str]:
             if hasattr(kind, "fields"):
                 work.append((f"{path}{f.name}.", kind))
     return sorted(found)
+
+# Verbs of a question that asks to act, and commands that only read.
+ACTION = r"(?i)\b(?:add|apply|back\s+up|backup|change|configure|delete|disable|downgrade|enable|erase|migrate|recover|remove|replace|reset|restore|upgrade)\b"
+READS = r"(?i)^(?:dir|display|more|ping|show|traceroute|tracert|verify)\b"
+
+
+def actionable(answers: DataFrame, question: Column, command: Column, procedure: Column) -> DataFrame:
+    """P10: a question that asks to act keeps only answers with a procedure or a command that does more than read."""
+    parts = F.filter(F.transform(F.split(F.coalesce(command, F.lit("")), r"[;\n]+"), T.trimmed), lambda x: x != "")
+    acts = (F.coalesce(F.size(procedure), F.lit(0)) > 0) | F.exists(parts, lambda x: ~x.rlike(READS))
+    return answers.where(~F.coalesce(question.rlike(ACTION), F.lit(False)) | acts)

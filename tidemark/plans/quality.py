@@ -36,7 +36,7 @@ def _candidates(t: Tables):
         F.when(k % 8 == 1, "arm").alias("architecture_slug"),
         F.when(k % 6 == 0, "branch").otherwise("unbounded").alias("version_scope"),
         F.when(k % 12 == 0, "17.9").alias("version_branch"),
-        (c("p_size") / 50.0 * 0.1 + 0.88).alias("confidence"),
+        ((c("p_size") * 2 + 880) / 1000.0).alias("confidence"),
         (k % 4).cast("int").alias("rollback_steps"),
     )
 
@@ -75,11 +75,10 @@ def q8(t: Tables):
 
 @query(
     "q9_publication_gate",
-    "SELECT p_partkey, array_to_string(list_filter([CASE WHEN p_size / 50.0 * 0.1 + 0.88 < CASE WHEN p_partkey % 3 = 0 THEN 0.95 ELSE 0.9 END THEN 'CONFIDENCE_BELOW_PUBLICATION_THRESHOLD' END, CASE WHEN p_partkey % 12 = 0 THEN 'DANGEROUS_CANDIDATE_REQUIRES_ROLLBACK' END, CASE WHEN p_partkey % 3 = 0 AND p_partkey % 7 < 4 THEN 'DANGEROUS_CANDIDATE_FALSE_SAFE' END], lambda x: x IS NOT NULL), ',') AS issues FROM (SELECT * FROM part WHERE p_size <> 10 AND p_size <> 35)",
+    "SELECT p_partkey, array_to_string(list_filter([CASE WHEN (p_size * 2 + 880)::DOUBLE / 1000.0::DOUBLE < CASE WHEN p_partkey % 3 = 0 THEN 0.95 ELSE 0.9 END THEN 'CONFIDENCE_BELOW_PUBLICATION_THRESHOLD' END, CASE WHEN p_partkey % 12 = 0 THEN 'DANGEROUS_CANDIDATE_REQUIRES_ROLLBACK' END, CASE WHEN p_partkey % 3 = 0 AND p_partkey % 7 < 4 THEN 'DANGEROUS_CANDIDATE_FALSE_SAFE' END], lambda x: x IS NOT NULL), ',') AS issues FROM part",
 )
 def q9(t: Tables):
-    # sizes whose confidence is a threshold itself are left to the unit tests: binary fractions round there
-    return _candidates(t).where(~c("confidence").between(0.8999, 0.9001) & ~c("confidence").between(0.9499, 0.9501)).select("p_partkey", F.array_join(Q.gate(), ",").alias("issues"))
+    return _candidates(t).select("p_partkey", F.array_join(Q.gate(), ",").alias("issues"))
 
 
 @query("q10_shape_checks", "SELECT c_custkey, array_to_string(list_filter([CASE WHEN length(c_name) > 17 THEN 'SHAPE_C_NAME' END, CASE WHEN NOT regexp_matches(c_mktsegment, '^[A-M]') THEN 'SHAPE_C_MKTSEGMENT' END], lambda x: x IS NOT NULL), ',') AS issues FROM customer")
@@ -253,3 +252,49 @@ def n7(t: Tables):
 @query("n8_table_mask", "SELECT c_custkey, 'redacted' AS c_name, 0::DOUBLE AS c_acctbal, c_mktsegment FROM customer")
 def n8(t: Tables):
     return Q.masked_table(t.customer, {"c_name": "redacted", "c_acctbal": 0}).select("c_custkey", "c_name", "c_acctbal", "c_mktsegment")
+
+
+@query("p10_actionable", "SELECT p_partkey FROM part WHERE p_partkey % 2 = 0 OR p_partkey % 3 = 0 OR p_partkey % 5 = 0")
+def p10(t: Tables):
+    from ..operators.search import actionable
+
+    k = c("p_partkey")
+    asked = F.when(k % 2 == 0, "what is the state").otherwise("how to upgrade it")
+    command = F.when(k % 3 == 0, "show version; reload").otherwise("show version\nping 10.0.0.1")
+    steps = F.when(k % 5 == 0, F.array(F.lit("step"))).otherwise(F.expr("cast(array() as array<string>)"))
+    return actionable(t.part, asked, command, steps).select("p_partkey")
+
+
+@query("d16_candidate_synthesis", "SELECT event_id, CASE WHEN event_type = 'view' THEN 'show run ' || user_id ELSE 'interface Gi' || user_id END AS command, 'reference.' || CASE WHEN event_type = 'view' THEN 'show-run-' || user_id ELSE 'interface-gi' || user_id END AS stable_key, CASE WHEN event_type = 'view' THEN 'diagnostic' ELSE 'command' END AS kind, CASE WHEN event_type = 'view' THEN 'safe_read_only' ELSE 'changes_config' END AS risk_level FROM events WHERE event_type IN ('view', 'click')")
+def d16(t: Tables):
+    e, n = c("event_type"), c("user_id").cast("string")
+    content = F.when(e == "view", F.concat(F.lit("Text.\n1. show  run "), n)).when(e == "click", F.concat(F.lit("• interface Gi"), n)).otherwise("none here")
+    rows = t.events.select("event_id", content.alias("content"))
+    return Q.extracted(rows, "event_id").select("event_id", "command", "stable_key", "kind", "risk_level")
+
+
+@query("q5_risk_escalation", "SELECT event_id, CASE event_type WHEN 'error' THEN 'service_disruptive' WHEN 'view' THEN 'changes_config' WHEN 'click' THEN 'factory_reset' ELSE 'unknown' END AS risk FROM events")
+def q5(t: Tables):
+    e = c("event_type")
+    line = F.when(e == "error", "reload").when(e == "view", "show run").when(e == "click", "write erase").otherwise("frobnicate")
+    return t.events.select("event_id", T.escalated(F.lit("changes_config"), T.risk(F.array(line))).alias("risk"))
+
+
+@query("q29_diagnosis_records", "SELECT p_partkey, regexp_replace(regexp_replace(lower(p_name), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS capability, CASE WHEN p_size > 25 THEN 'security_advisories' ELSE p_brand END AS role, CASE WHEN p_partkey % 2 = 0 THEN p_type END AS vendor FROM part")
+def q29(t: Tables):
+    df = t.part.select(
+        "p_partkey", F.array("p_name").alias("caps"), F.array(F.when(c("p_size") > 25, "Security Advisory").otherwise(c("p_brand"))).alias("roles"), F.when(c("p_partkey") % 2 == 0, F.concat(F.lit(" "), "p_type")).otherwise("  ").alias("vendor")
+    )
+    return Q.normalised_diagnoses(df, "caps", "roles", ["vendor"]).select("p_partkey", c("caps")[0].alias("capability"), c("roles")[0].alias("role"), "vendor")
+
+
+@query("x1_domain_pack", "SELECT p_partkey, NOT ((p_size * 2 + 880)::DOUBLE / 1000.0::DOUBLE < CASE WHEN p_partkey % 3 = 0 THEN 0.95 ELSE 0.9 END OR p_partkey % 12 = 0 OR (p_partkey % 3 = 0 AND p_partkey % 7 < 4)) AS valid FROM part")
+def x1(t: Tables):
+    return Q.Pack().validate(_candidates(t)).select("p_partkey", "valid")
+
+
+@query("x5_current_validation", "SELECT DISTINCT ON (l_orderkey) l_orderkey AS revision_id, l_returnflag AS validation_type, l_shipdate AS executed_at FROM lineitem WHERE l_linestatus = 'F' AND l_shipdate > TIMESTAMP '1994-01-01' ORDER BY l_orderkey, list_position(['R', 'A', 'N'], l_returnflag), l_shipdate DESC")
+def x5(t: Tables):
+    passed = F.when(c("l_linestatus") == "F", "passed").otherwise("failed")
+    vals = t.lineitem.select(c("l_orderkey").alias("revision_id"), passed.alias("status"), c("l_shipdate").alias("executed_at"), c("l_shipdate").alias("expires_at"), c("l_returnflag").alias("validation_type"))
+    return Q.current_validation(vals, F.lit("1994-01-01").cast("timestamp_ntz"), ["R", "A", "N"]).select("revision_id", "validation_type", "executed_at")

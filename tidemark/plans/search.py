@@ -110,7 +110,7 @@ def f13(t: Tables):
     return t.conversations.where("role = 'user'").select("conv_id", "turn", F.posexplode(S.capabilities(c("text"))).alias("place", "capability"))
 
 
-@query("f14_capability_gate")
+@query("f14_capability_gate", r"SELECT doc_id, regexp_matches(text, '(?i)\b(?:boot|booting|startup|загруз)') AS boot, true AS general FROM documents")
 def f14(t: Tables):
     return t.documents.select("doc_id", S.supports(c("text"), F.lit("boot-behavior")).alias("boot"), S.supports(c("text"), F.lit("general")).alias("general"))
 
@@ -126,7 +126,7 @@ def f16(t: Tables):
     return t.documents.where(S.web_filter(c("text"), 'the -was or "of the"')).select("doc_id")
 
 
-@query("f17_leak_check")
+@query("f17_leak_check", "SELECT count(*) AS rows, 'meta.source' AS leaked FROM documents")
 def f17(t: Tables):
     public = t.documents.select("doc_id", "lang", F.struct("source", "n_chars").alias("meta"))
     found = S.leaked_fields(public, ["source", "text"])
