@@ -45,15 +45,18 @@ def matches(posted: DataFrame, asked: DataFrame, key: str) -> DataFrame:
     """(question_id, key, n_tokens, matched, strict): documents in which at least three (or all, if
     fewer) distinct question tokens begin a term; strict: all of them.
 
-    Tokens are first matched with the distinct terms that share their first two characters, so the corpus
-    is joined by equality of terms only.
+    Tokens are first matched with the distinct terms that share their first characters (two to four, as many as
+    the token has), so the corpus is joined by equality of terms only.
     """
     doc_terms = posted.select(key, "term").distinct()
-    vocabulary = doc_terms.select("term").distinct().withColumn("_p", F.substring("term", 1, 2))
-    wanted = asked.select("token").distinct().withColumn("_p", F.substring("token", 1, 2))
+    starts = F.array_distinct(F.array(*(F.substring("term", 1, n) for n in (2, 3, 4))))
+    vocabulary = doc_terms.select("term").distinct().withColumn("_p", F.explode(starts))
+    wanted = asked.select("token").distinct().withColumn("_p", F.substring("token", 1, 4))
     expand = wanted.where(F.length("token") >= 2).join(vocabulary, "_p").where(F.startswith("term", F.col("token"))).select("token", "term")
-    hit = asked.join(expand, "token").join(doc_terms, "term")
-    out = hit.groupBy("question_id", key).agg(F.max("n_tokens").alias("n_tokens"), F.countDistinct("token").alias("matched"))
+    # a document's terms become its tokens once, whatever the number of questions that ask for them
+    doc_tokens = doc_terms.join(expand, "term").select(key, "token").distinct()
+    hit = asked.select("question_id", "n_tokens", "token").distinct().join(doc_tokens, "token")
+    out = hit.groupBy("question_id", key).agg(F.max("n_tokens").alias("n_tokens"), F.count("*").alias("matched"))
     return out.where(F.col("matched") >= F.least(F.lit(3), F.col("n_tokens"))).withColumn("strict", F.col("matched") == F.col("n_tokens"))
 
 
