@@ -3,6 +3,7 @@
 import random
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from tidemark.llm import near_dedup
@@ -61,6 +62,18 @@ def test_chains_and_one_large_group(spark, monkeypatch):
     check(spark, rows)
 
 
+@pytest.mark.parametrize("node", [4096, 40])
+def test_a_bridge_by_one_copy_of_a_large_group(spark, monkeypatch, node):
+    monkeypatch.setattr(near_dedup, "LEAF", 16)
+    monkeypatch.setattr(near_dedup, "NODE", node)
+    base = [f"b{i}" for i in range(300)]
+    rows = [(i, " ".join([*base, *(f"t{i}x{k}" for k in range(3))])) for i in range(200)]
+    rows.append((500, " ".join(rows[77][1].split()[74:])))  # 75.3 % with 77, 73.5 % with the other copies
+    want = brute(rows)
+    assert want[500][1] == 0 and brute([r for r in rows if r[0] != 77])[500][1] == 500
+    check(spark, rows)
+
+
 def test_edges(spark):
     long = " ".join(f"t{i}" for i in range(30000))
     rows = [(5, None), (6, ""), (7, " \n\t"), (8, "a b"), (9, "a b"), (10, "a b c d e"), (11, "a b c d e"), (12, long), (13, long + " z"), (14, "é à")]

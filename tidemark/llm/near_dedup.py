@@ -11,7 +11,8 @@ A document is the set of its distinct word shingles. Two documents are linked if
 3. A node of at most ``LEAF`` members is compared exhaustively on the sketches; a larger node
    branches again: up to ``NODE`` members inside one task, beyond that as rows of a DataFrame.
    In a large node, members that agree with its leader on nearly all coordinates are compared
-   with the leader and leave; other trees have other leaders. Nodes that are still large at
+   with the leader and leave. When parts are joined (4.), they leave only after they have been compared
+   with all members of the node that carry another label. Nodes that are still large at
    ``DEPTH`` are compared in blocks, so nothing is dropped.
 4. Links are confirmed on the full sets, recomputed from the whole texts. First a forest of
    pairs that the sketches are sure of, per node; once its links are merged, every pair that
@@ -23,6 +24,7 @@ A document is the set of its distinct word shingles. Two documents are linked if
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +45,8 @@ SLACK = 3.5
 FEW_IDS = 2_000_000
 #: Share of coordinates on which a member must agree with the leader to leave a large node.
 FOLLOW = 0.95
+#: Ids under this are nodes that are compared in blocks at once (of other nodes, 1 in 16 million).
+WHOLE = 1 << 40
 
 _MULT = mix(np.arange(1, 9, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03)) | np.uint64(1)
 _XOR32 = (mix(np.arange(1, COORDS + 1, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32)
@@ -147,21 +151,40 @@ def _children(node: np.ndarray, sketch: np.ndarray) -> tuple[np.ndarray, np.ndar
     return rows, np.concatenate([_child(node[w], c, sketch[w, c]) for w, c in picked])
 
 
-def _branch_again(batches):
-    """Large nodes: followers of the leader give a pair and leave, the rest go to the children."""
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        sketch, lead = _matrix(batch.column("sketch")), _matrix(batch.column("lead_sketch"))
-        ids, leader = batch.column("rep"), batch.column("leader")
-        other = np.array(ids.to_numpy() != leader.to_numpy())
-        follows = ((sketch == lead).mean(axis=1) >= FOLLOW) & other
-        at = np.flatnonzero(follows)
-        null = pa.nulls(len(at), pa.int64())
-        yield pa.RecordBatch.from_arrays([null, ids.take(pa.array(at)), leader.take(pa.array(at))], ["node", "rep", "leader"])
-        stay = np.flatnonzero(~follows)
-        rows, node = _children(batch.column("node").to_numpy().view(np.uint64)[stay], sketch[stay])
-        yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), ids.take(pa.array(stay[rows])), pa.nulls(len(rows), pa.int64())], ["node", "rep", "leader"])
+def _bounds(percent: int) -> tuple[float, float, float]:
+    """Coordinates that must agree: for a pair that may be linked, for a sure one, and between a leader and
+    what may be linked with one of its followers, as those differ from it on few coordinates."""
+    share = percent / 100
+    err = (share * (1 - share) / COORDS) ** 0.5
+    low = (share - SLACK * err) * COORDS
+    return low, (share + err) * COORDS, low - (1 - FOLLOW) * COORDS
+
+
+def _branch_again(percent: int):
+    """Large nodes: followers of the leader give a pair and leave, the rest go to the children. What may be linked
+    with a follower goes ``beside`` the node, too."""
+    near_low = _bounds(percent)[2]
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            sketch, lead = _matrix(batch.column("sketch")), _matrix(batch.column("lead_sketch"))
+            ids, leader, parent = batch.column("rep"), batch.column("leader"), batch.column("node")
+            agree = (sketch == lead).sum(axis=1)
+            follows = (agree >= FOLLOW * COORDS) & np.array(ids.to_numpy() != leader.to_numpy())
+            stay = np.flatnonzero(~follows)
+            rows, node = _children(parent.to_numpy().view(np.uint64)[stay], sketch[stay])
+            for at, child, first, other in (
+                (np.flatnonzero(follows), None, leader, parent),
+                (np.flatnonzero((agree >= near_low) & ~follows), None, None, parent),
+                (stay[rows], pa.array(node.view(np.int64)), None, None),
+            ):
+                null = pa.nulls(len(at), pa.int64())
+                taken = [null if x is None else x.take(pa.array(at)) for x in (ids, first, other)]
+                yield pa.RecordBatch.from_arrays([null if child is None else child, *taken], ["node", "rep", "leader", "beside"])
+
+    return run
 
 
 def _forest(n: int, links: np.ndarray) -> list[tuple[int, int]]:
@@ -184,10 +207,8 @@ def _compare(percent: int, step: str, width: int = 0):
     """Members of one node stand together, in order. By ``step``: ``sure`` gives (a, b) of a forest of sure
     pairs per node; ``apart`` gives (a: node, b: member) of members that may be linked with one of another label;
     ``confirm`` gives (a, b) of links that join labels, by full sets of the column ``text``."""
-    share = percent / 100
-    err = (share * (1 - share) / COORDS) ** 0.5
-    low, high = (share - SLACK * err) * COORDS, (share + err) * COORDS
-    apart = step != "sure"
+    low, high, near_low = _bounds(percent)
+    apart, leaf = step != "sure", LEAF
 
     def exhaustive(ids, size, label, sketch):
         n = len(ids)
@@ -201,26 +222,46 @@ def _compare(percent: int, step: str, width: int = 0):
             return np.argwhere(np.triu(likely & (label[:, None] != label[None, :])))
         return np.array(_forest(n, likely), dtype=np.int64).reshape(-1, 2) if likely.any() else np.zeros((0, 2), dtype=np.int64)
 
+    def between(left, right, size, label, sketch):
+        """(x, x) of the row numbers on both sides that may be linked with one of another label on the other side."""
+        some, any_ = np.zeros(len(left), dtype=bool), np.zeros(len(right), dtype=bool)
+        for k in range(0, len(left), 16):
+            x = left[k : k + 16, None]
+            likely = (label[x] != label[right]) & (100 * np.minimum(size[x], size[right]) >= percent * np.maximum(size[x], size[right]))
+            likely &= (sketch[x] == sketch[right]).sum(axis=2) >= low
+            some[k : k + 16] = likely.any(axis=1)
+            any_ |= likely.any(axis=0)
+        member = np.concatenate([left[some], right[any_]])
+        return np.stack([member, member], axis=1)
+
     def node_pairs(node, ids, size, label, sketch):
-        """Pairs of row numbers of one node, which branches here until its parts are small."""
-        found, work = [], [(np.uint64(node), np.arange(len(ids)), 0)]
+        """Pairs of row numbers of one node, which branches here until its parts are small. What ``apart`` has
+        found is compared in blocks by ``confirm``, as fewer members branch differently."""
+        found, work = [], [(np.uint64(node), np.arange(len(ids)), DEPTH if step == "confirm" or node < WHOLE else 0)]
         while work:
             path, rows, depth = work.pop()
             if len(rows) < 2 or apart and (label[rows] == label[rows[0]]).all():
                 continue
-            if len(rows) <= LEAF:
+            if len(rows) <= leaf:
                 found.append(rows[exhaustive(ids[rows], size[rows], label[rows], sketch[rows])])
                 continue
             if depth >= DEPTH:  # what doesn't split, in pairs of blocks
-                blocks = np.array_split(rows, -(-2 * len(rows) // LEAF))
+                blocks = np.array_split(rows[np.argsort(label[rows], kind="stable")], -(-2 * len(rows) // leaf))
                 for x in range(len(blocks)):
                     for y in range(x + 1, len(blocks)):
                         work.append((path, np.concatenate([blocks[x], blocks[y]]), depth))
                 continue
             lead = rows[int(np.argmin(mix(ids[rows].astype(np.uint64) + path)))]
-            close = (sketch[rows] == sketch[lead]).mean(axis=1) >= FOLLOW
-            others = rows[close & (rows != lead) & (label[rows] != label[lead])] if apart else rows[close & (rows != lead)]
-            found.append(np.stack([np.full(len(others), lead), others], axis=1))
+            agree = (sketch[rows] == sketch[lead]).sum(axis=1)
+            close = agree >= FOLLOW * COORDS
+            if apart:
+                left, right = rows[close], rows[agree >= near_low]
+                if (label[left] == label[lead]).all():
+                    right = right[label[right] != label[lead]]
+                found.append(between(left, right, size, label, sketch))
+            else:
+                others = rows[close & (rows != lead)]
+                found.append(np.stack([np.full(len(others), lead), others], axis=1))
             stay = rows[~close | (rows == lead)]
             which, child = _children(np.full(len(stay), path), sketch[stay])
             order = np.argsort(child, kind="stable")
@@ -374,7 +415,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = usable.groupBy("set_key").agg(F.min(F.struct("_id", "n_shingles", "sketch", "nodes")).alias("m"))
     reps = scratch.save(classes.select("set_key", F.col("m._id").alias("rep"), "m.n_shingles", "m.sketch", "m.nodes"), "reps")
 
-    nodes, pairs = _tree_nodes(reps, scratch)
+    nodes, pairs, beside = _tree_nodes(reps, percent, scratch)
     zero = nodes.withColumn("label", F.lit(0).cast("long"))
     first = scratch.save(_compared(zero, reps, percent, "sure").unionByName(pairs).distinct(), "pairs-1")
     links = _links(first, src, width, percent)
@@ -387,6 +428,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     labelled = nodes.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("node", "rep", F.coalesce("label", "rep").alias("label"))
     mixed = labelled.groupBy("node").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("node")
     labelled = labelled.join(mixed, "node", "left_semi")
+    if beside is not None:
+        labelled = labelled.unionByName(_beside_nodes(beside, labels, scratch))
     open_ = scratch.save(_compared(labelled, reps, percent, "apart").select(F.col("a").alias("node"), F.col("b").alias("rep")), "open")
     texts = _texts(src, open_.select(F.col("rep").alias("_id")).distinct())
     again = labelled.join(open_, ["node", "rep"], "left_semi")
@@ -400,10 +443,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select(F.col("_id").alias(id_col), "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("_id"), F.lit(True)).alias("kept"))
 
 
-def _tree_nodes(reps: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """(node, rep) of all nodes to compare, and the (a, b) pairs of leaders and followers."""
+def _tree_nodes(reps: DataFrame, percent: int, scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """(node, rep) of all nodes to compare, the (a, b) pairs of leaders and followers, and (node, rep, follows)
+    of the followers and what may be linked with them."""
     cur = reps.select("rep", F.explode("nodes").alias("node"))
-    done, pairs = [], [reps.select(F.col("rep").alias("a"), F.col("rep").alias("b")).limit(0)]
+    done, beside, pairs = [], [], [reps.select(F.col("rep").alias("a"), F.col("rep").alias("b")).limit(0)]
     for depth in range(DEPTH):
         cur = scratch.save(cur, f"level-{depth}")
         sizes = cur.groupBy("node").agg(F.count("*").alias("n"), F.min_by("rep", F.xxhash64("node", "rep")).alias("leader")).where("n > 1")
@@ -414,8 +458,9 @@ def _tree_nodes(reps: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame
         if large.isEmpty():
             break
         grown = large.join(reps.select("rep", "sketch"), "rep").join(reps.select(F.col("rep").alias("leader"), F.col("sketch").alias("lead_sketch")), "leader")
-        grown = scratch.save(grown.select("node", "rep", "leader", "sketch", "lead_sketch").mapInArrow(_branch_again, "node long, rep long, leader long"), f"grown-{depth}")
-        pairs.append(grown.where("node is null").select(F.least("leader", "rep").alias("a"), F.greatest("leader", "rep").alias("b")))
+        grown = scratch.save(grown.select("node", "rep", "leader", "sketch", "lead_sketch").mapInArrow(_branch_again(percent), "node long, rep long, leader long, beside long"), f"grown-{depth}")
+        beside.append(grown.where("beside is not null").select(F.col("beside").alias("node"), "rep", F.col("leader").isNotNull().alias("follows")))
+        pairs.append(grown.where("leader is not null").select(F.least("leader", "rep").alias("a"), F.greatest("leader", "rep").alias("b")))
         cur = grown.where("node is not null").select("node", "rep")
     else:
         done.append(_blocks(cur))
@@ -424,7 +469,25 @@ def _tree_nodes(reps: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame
         nodes = nodes.unionByName(x)
     for x in pairs[1:]:
         links = links.unionByName(x)
-    return nodes, links.distinct()
+    return nodes, links.distinct(), reduce(DataFrame.unionByName, beside) if beside else None
+
+
+def _beside_nodes(beside: DataFrame, labels: DataFrame, scratch: Scratch) -> DataFrame:
+    """(node, rep, label): the followers that left large nodes, in blocks, each with a block of those members of
+    another label that may be linked with one. Members of the only label of a node's followers are left out."""
+    named = beside.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("node", "rep", "follows", F.coalesce("label", "rep").alias("label"))
+    of_follower = F.when(F.col("follows"), F.col("label"))
+    span = named.groupBy("node").agg(F.min(of_follower).alias("lo"), F.max(of_follower).alias("hi")).where("lo is not null")
+    sided = named.join(span, "node").withColumn("other", F.expr("label <> lo or not follows and lo <> hi")).where("follows or other")
+    sided = scratch.save(sided.select("node", "rep", "label", "follows", "other"), "beside")
+    sizes = sided.groupBy("node").agg(*(F.ceil(F.count_if(c) * 2 / NODE).alias(f"n_{c}") for c in ("follows", "other"))).where("n_follows > 0 and n_other > 0")
+    dealt = sided.join(sizes, "node")
+    sides = []
+    for mine, theirs in (("follows", "other"), ("other", "follows")):
+        block = {mine: F.pmod(F.xxhash64("rep"), F.col(f"n_{mine}")), theirs: F.col("at")}
+        every = dealt.where(mine).withColumn("at", F.explode(F.sequence(F.lit(0).cast("long"), F.col(f"n_{theirs}") - 1)))
+        sides.append(every.select(F.xxhash64("node", block["follows"], block["other"]).bitwiseAND(F.lit(WHOLE - 1)).alias("node"), "rep", "label"))
+    return scratch.save(sides[0].unionByName(sides[1]).distinct(), "beside-nodes")
 
 
 def _blocks(cur: DataFrame) -> DataFrame:
