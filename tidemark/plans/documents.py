@@ -140,16 +140,23 @@ def d18(t: Tables):
     return d.join(q, "item_id").select("doc_id", F.size(T.matched_terms(c("text"), c("terms"))).alias("n_matched"), F.size("terms").alias("n_terms"))
 
 
+def _dealt(t: Tables):
+    """(doc_id, item_id): documents dealt to all items, by both ids modulo the number of items."""
+    n = F.broadcast(t.benchmark.agg(F.greatest(F.count("*"), F.lit(1)).alias("n")))
+    place = lambda rows, key: rows.select(key).crossJoin(n).select(key, F.pmod(key, "n").alias("place"))
+    return place(t.documents, "doc_id").join(place(t.benchmark, "item_id"), "place").select("doc_id", "item_id").distinct()
+
+
 @query("d19_rejected_documents")
 def d19(t: Tables):
-    docs = t.documents.select("doc_id", "text", (c("doc_id") % 40).alias("item_id"))
+    docs = t.documents.select("doc_id", "text").join(_dealt(t), "doc_id")
     return D.rejected_for(docs, t.benchmark.select("item_id", c("text").alias("question")), "doc_id", "item_id")
 
 
 def _scored(t: Tables):
     frags = D.fragments(t.documents, "doc_id").withColumnRenamed("doc_id", "source_id")
     terms = t.benchmark.select(c("item_id").alias("demand_id"), T.demand_terms(c("text")).alias("terms"))
-    each = t.documents.select(c("doc_id").alias("source_id"), (c("doc_id") % 40).alias("demand_id"))
+    each = _dealt(t).select(c("doc_id").alias("source_id"), c("item_id").alias("demand_id"))
     return D.fragment_scores(frags, each.join(terms, "demand_id"))
 
 
