@@ -5,9 +5,12 @@ import random
 import re
 from collections import Counter
 
+import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from tidemark.llm import fingerprints, mixing, quotations, secrets, sharding
+from tidemark.llm.shared import Scratch
 
 
 def py_fill(budget, caps, weights):
@@ -135,26 +138,76 @@ def test_sharding(spark):
 
 
 def pieces(t):
-    return {p for p in re.split(r"\n|(?<=[.!?])[ \t]+", t) if p}
+    """Lines and sentences; long ones cut behind marked words, or behind characters in a long word."""
+    out = set()
+    for p in re.split(r"\n|(?<=[.!?])[ \t]+|(?<=[。！？])", t):
+        parts, cur = [p], []
+        if len(p) > fingerprints.LONG:
+            parts = []
+            for k, w in enumerate(p.split(" ")):
+                cur.append(" " if k else "")
+                if len(w) > fingerprints.LONG:
+                    for c in w:
+                        cur.append(c)
+                        if ord(c) % fingerprints.CODE_CUT == 7:
+                            parts.append("".join(cur))
+                            cur = []
+                else:
+                    cur.append(w)
+                    if xxhash.xxh64(w.encode(), seed=42).intdigest() % fingerprints.WORD_CUT == 0:
+                        parts.append("".join(cur))
+                        cur = []
+            parts.append("".join(cur))
+        out |= set(parts)
+    return out - {""}
+
+
+def like(a, b):
+    return 1.0 if not a | b else len(a & b) / len(a | b)
+
+
+def odd_texts():
+    rng = random.Random(5)
+    texts = {i * 3: " ".join(f"s{rng.randrange(50 if i % 4 else 10**6)}." for _ in range(rng.randrange(0, 60))) for i in range(80)}
+    texts |= {900: None, 901: "", 902: "é😀" * 500, 903: "\n".join(f"line {i}" for i in range(3000)), 904: texts[3], 905: texts[3]}
+    texts |= {906: "\n".join(f"line {i}" for i in range(10, 3010)), 907: "".join(rng.choice("abcdefg") for _ in range(20000)), 908: " ".join(f"w{rng.randrange(10**6)}" for _ in range(3000)), 909: "一。二。三。"}
+    return texts
 
 
-def test_fingerprints(spark, monkeypatch):
+@pytest.mark.parametrize("third", [8, 1])  # with thirds of one cell nothing peels at first, and most blocks list their digests
+def test_fingerprints(spark, monkeypatch, third):
     monkeypatch.setattr(fingerprints, "BUCKET_ROWS", 9)
-    rng = random.Random(5)
-    texts = {i * 3: " ".join(f"s{rng.randrange(50 if i % 4 else 10**6)}." for _ in range(rng.randrange(0, 60))) for i in range(80)}
-    texts |= {900: None, 901: "", 902: "é😀" * 5, 903: "\n".join(f"line {i}" for i in range(3000)), 904: texts[3], 905: texts[3]}
-    df = spark.createDataFrame([(i, t, "clash") for i, t in texts.items()], "doc_id long, text string, next string")
-    got = {r["doc_id"]: r for r in fingerprints.edited_versions(df).collect()}
+    monkeypatch.setattr(fingerprints, "THIRD", third)
+    texts = odd_texts()
+    df = spark.createDataFrame([(i, t, "clash", "clash") for i, t in texts.items()], "doc_id long, text string, next string, _bucket string")
+    saved = Scratch(spark, "t").save(fingerprints.edited_versions(df), "prints")
+    got = {r["doc_id"]: r for r in saved.collect()}
     ids = sorted(texts)
     for k, i in enumerate(ids):
         t, nxt = texts[i] or "", texts[ids[(k + 1) % len(ids)]] or ""
         h = len(t) // 2
         edited = t[: len(t) - h] + nxt[:h]
-        like = lambda a, b: 1.0 if not a | b else len(a & b) / len(a | b)
         assert got[i]["n_chars"] == len(t) and got[i]["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
         assert abs(got[i]["near_edited"] - like(pieces(t), pieces(edited))) < 1e-12
         assert abs(got[i]["near_next"] - like(pieces(t), pieces(nxt))) < 1e-12
     assert got[904]["fingerprint"] == got[905]["fingerprint"] == got[3]["fingerprint"] != got[6]["fingerprint"]
+    # the returned strings alone give the likeness, of any two
+    again = fingerprints.with_likeness(saved.select("doc_id", "fingerprint", "edited_fingerprint", "near_edited"), "fingerprint", "edited_fingerprint", "again")
+    assert again.where("again <> near_edited").count() == 0
+    some = saved.where("doc_id in (3, 900, 902, 903, 904, 906, 907, 908)").select("doc_id", "fingerprint")
+    pairs = some.crossJoin(some.select(F.col("doc_id").alias("other"), F.col("fingerprint").alias("theirs")))
+    for r in fingerprints.with_likeness(pairs, "fingerprint", "theirs", "near").collect():
+        assert abs(r["near"] - like(pieces(texts[r["doc_id"]] or ""), pieces(texts[r["other"]] or ""))) < 1e-12
+    if third == 8:
+        assert saved.where("fingerprint like '%r,%'").count() == 0 and like(pieces(texts[903]), pieces(texts[906])) > 0.9
+
+
+def test_a_text_without_line_or_sentence_ends_shares_its_first_half(spark):
+    rng = random.Random(8)
+    words = " ".join(f"w{rng.randrange(10**6)}" for _ in range(2000))
+    letters = "".join(rng.choice("abcdefghij") for _ in range(8000))
+    out = fingerprints.edited_versions(spark.createDataFrame([(1, words), (2, letters)], "doc_id long, text string"))
+    assert all(0.25 < r["near_edited"] < 0.5 and r["near_next"] == 0 for r in out.collect())
 
 
 def test_fingerprint_edges(spark):

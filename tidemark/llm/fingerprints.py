@@ -1,15 +1,20 @@
 """Document fingerprints: invertible Bloom lookup sketches of paragraph digests.
 
-A text's pieces are its lines, long ones cut after sentences; a piece's digest is a 64-bit hash. A
-sketch holds, for each of its cells, the number of digests dealt there, their XOR and the XOR of a
-check hash; each digest goes to three cells, one in each third of a block. Sketches of two versions
-subtract cell by cell, so shared digests vanish, and peeling recovers the rest: a cell with
-one digest left (count 1 or -1, check right) gives it away, and it is taken out of its other cells.
-
-``fingerprint`` strings hold one block of ``SMALL`` cells. To compare two texts, digests are first
-dealt to blocks by hash, about ``PER_BLOCK`` of the larger text to a block, so peeling costs the same
-for each digest of a long text; a block that doesn't peel is tried again with four times the
-cells and other hash bits, twice. Everything runs on built-in functions.
+A text's pieces are its lines, cut after sentences, and long ones again after words whose hash is 0 modulo
+``WORD_CUT`` (without blanks: after characters of certain codes), so that a shared passage is cut alike wherever
+it stands. A piece's digest is a 64-bit hash.
+
+Digests are dealt to blocks by their low bits, about ``PER_BLOCK`` of them or fewer to a block. A block is a
+sketch of cells; each of its digests goes to three, one in each third, and a cell holds the number of its digests, their
+XOR and the XOR of a check hash. Sketches subtract cell by cell, so shared digests vanish, and peeling
+recovers the rest: a cell with one digest left (count 1 or -1, check right) gives it away, and it is taken out of its
+other cells.
+
+A ``fingerprint`` is a string that holds all cells of all blocks, and ``with_likeness`` needs two such strings only. A
+block is built so large (twice the cells at each attempt, other hash bits) that it peels to its own digests. Where the
+difference of two blocks doesn't peel, both are peeled alone and built larger, and subtracted again; should the last
+attempt fail, the two lists of digests are compared, so the result is exact. Blocks keep the work for a digest the same
+in long texts. Everything runs on built-in functions, in the row, without a shuffle.
 """
 
 from __future__ import annotations
@@ -18,130 +23,208 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .shared import Scratch
-
-#: Cells of a third: of the fingerprint string, and of a block at the first try.
-SMALL_THIRD, THIRD = 8, 16
-PER_BLOCK = 8
-#: Retries, each with four times the cells.
-RETRIES = 2
+#: Digests to a block, at most on average; cells of a third at the first attempt; attempts before lists are compared.
+PER_BLOCK, THIRD, ATTEMPTS = 6, 8, 6
+#: Characters over which a piece is cut again; one in so many words, or character codes, ends a piece there.
+LONG, WORD_CUT, CODE_CUT = 200, 16, 32
 #: Documents to a bucket of ids, on average, in which a document finds the next.
 BUCKET_ROWS = 2_000
-_PIECE = r"\n|(?<=[.!?])[ \t]+"
-_CELLS = "array<struct<p:int,c:int,k:bigint,x:bigint>>"
+_PIECE = r"\n|(?<=[.!?])[ \t]+|(?<=[。！？])"
+#: A noncharacter that marks cuts.
+_CUT = "﷑"
+_CELL = "struct<c:int,k:bigint,x:bigint>"
+_PLACED = "array<struct<p:int,c:int,k:bigint,x:bigint>>"
+_BLOCK = f"struct<a:int,cells:array<{_CELL}>,d:array<bigint>>"
+#: The attempt number of a block that lists its digests, and of one that isn't built yet.
+_LISTED, _UNBUILT = 99, -1
+
+
+def _let(name: str, value: str, body: str) -> str:
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
+# --- pieces -------------------------------------------------------------------
+
+
+def pieces(text: Column) -> Column:
+    """The non-empty pieces of a text, in order."""
+
+    def cut(p: Column) -> Column:
+        def word(w: Column) -> Column:
+            by_code = F.array_join(F.transform(F.split(w, ""), lambda x: F.when(F.pmod(F.ascii(x), F.lit(CODE_CUT)) == 7, F.concat(x, F.lit(_CUT))).otherwise(x)), "")
+            return F.when(F.length(w) > LONG, by_code).when(F.pmod(F.xxhash64(w), F.lit(WORD_CUT)) == 0, F.concat(w, F.lit(_CUT))).otherwise(w)
+
+        return F.when(F.length(p) > LONG, F.split(F.array_join(F.transform(F.split(p, " "), word), " "), _CUT)).otherwise(F.array(p))
+
+    return F.filter(F.flatten(F.transform(F.split(F.coalesce(text, F.lit("")), _PIECE, -1), cut)), lambda p: F.length(p) > 0)
 
 
 def digests(text: Column) -> Column:
-    """The distinct digests of a text's pieces; none for an empty or null text."""
-    pieces = F.filter(F.split(F.coalesce(text, F.lit("")), _PIECE, -1), lambda p: F.length(p) > 0)
-    return F.array_distinct(F.transform(pieces, lambda p: F.xxhash64(p)))
+    """The distinct digests of a text's pieces, sorted; none for an empty or null text."""
+    return F.array_sort(F.array_distinct(F.transform(pieces(text), lambda p: F.xxhash64(p))))
 
 
-def _bits(key: str, third: str, cells: int, attempt: int) -> str:
-    """SQL for the place of a digest within a third: at each attempt other bits of it."""
-    width = cells.bit_length() - 1
-    source = key if attempt == 0 else f"xxhash64({key}, {attempt})"
-    return f"cast(shiftright({source}, 20 + {width} * {third}) & {cells - 1} as int)"
+# --- sketches, as SQL text ----------------------------------------------------
 
 
-def _check(key: str) -> str:
-    return f"xxhash64({key}, 7)"
+def _third(a: str) -> str:
+    return f"shiftleft({THIRD}, least({a}, 3))"
 
 
-def _peel(cells: str, third: int, attempt: int, rounds: int = 16) -> str:
-    """SQL: (left cells, digests recovered) after all rounds of peeling ``cells``."""
-    pure = f"transform(filter(s.cells, c -> abs(c.c) = 1 and c.x = {_check('c.k')}), c -> named_struct('k', c.k, 'c', c.c))"
-    here = f"{_bits('q.k', f'(c.p div {third})', third, attempt)} = c.p % {third}"
-    less = f"aggregate(filter(p, q -> {here}), c, (a, q) -> named_struct('p', a.p, 'c', a.c - q.c, 'k', a.k ^ q.k, 'x', a.x ^ {_check('q.k')}))"
-    taken = f"filter(transform(s.cells, c -> {less}), c -> c.c <> 0 or c.k <> 0 or c.x <> 0)"
-    step = f"transform(array(array_distinct({pure})), p -> named_struct('cells', {taken}, 'n', s.n + size(p)))[0]"
-    return f"aggregate(sequence(1, {rounds}), named_struct('cells', {cells}, 'n', 0), (s, r) -> if(size(s.cells) = 0, s, {step}))"
+def _mixed(h: str, a: str) -> str:
+    """The hash that deals a digest to cells: at each attempt another."""
+    return f"if({a} = 0, {h}, xxhash64({h}, {a}))"
 
 
-def _built(ones: str, others: str, third: int, attempt: int) -> str:
-    """SQL: the non-empty cells of the difference of two arrays of digests, for a retry."""
-    all_ = f"concat(transform({ones}, h -> named_struct('h', h, 's', 1)), transform({others}, h -> named_struct('h', h, 's', -1)))"
-    here = f"filter({all_}, d -> {_bits('d.h', f'(p div {third})', third, attempt)} = p % {third})"
-    cell = f"aggregate({here}, named_struct('p', p, 'c', 0, 'k', 0L, 'x', 0L), (a, d) -> named_struct('p', a.p, 'c', a.c + d.s, 'k', a.k ^ d.h, 'x', a.x ^ {_check('d.h')}))"
-    return f"filter(transform(sequence(0, {3 * third - 1}), p -> {cell}), c -> c.c <> 0 or c.k <> 0 or c.x <> 0)"
+def _check(h: str) -> str:
+    return f"(xxhash64({h}, 7) & {(1 << 41) - 1})"
 
 
-def _difference(cells: str, ones: str, others: str) -> Column:
-    """Digests in one of two blocks only, by peeling; retried larger while cells are left."""
-    out = f"if(size(e.cells) = 0, e.n, {_retry(ones, others, 1)})"
-    return F.expr(f"transform(array({_peel(cells, THIRD, 0)}), e -> {out})[0]")
+def _at(q: str, p: str, t: str) -> str:
+    """Whether a dealing hash goes to place ``p`` of thirds of ``t`` cells."""
+    return f"(shiftright({q}, 20 + 8 * cast({p} div {t} as int)) & ({t} - 1)) = {p} % {t}"
 
 
-def _retry(ones: str, others: str, attempt: int) -> str:
-    third = THIRD * 4**attempt
-    after = f"f{attempt}.n + size(f{attempt}.cells)" if attempt == RETRIES else _retry(ones, others, attempt + 1)
-    peeled = _peel(_built(ones, others, third, attempt), third, attempt, rounds=32)
-    return f"transform(array({peeled}), f{attempt} -> if(size(f{attempt}.cells) = 0, f{attempt}.n, {after}))[0]"
+def _built(d: str, a: str) -> str:
+    """All cells of a sketch of the digests ``d``, in order."""
+    marked = f"transform({d}, h -> named_struct('h', h, 'q', {_mixed('h', a)}, 'x', {_check('h')}))"
+    cell = f"aggregate(filter(e, h -> {_at('h.q', 'p', 't')}), named_struct('c', 0, 'k', 0L, 'x', 0L), (s, h) -> named_struct('c', s.c + 1, 'k', s.k ^ h.h, 'x', s.x ^ h.x))"
+    return _let("t", _third(a), _let("e", marked, f"transform(sequence(0, 3 * t - 1), p -> {cell})"))
 
 
-def compare(rows: DataFrame, key: str, own: str, others: dict[str, str]) -> DataFrame:
-    """(key, a column of likeness for each name in ``others``, ``fingerprint``, and ``fingerprint_<name>``).
+def _minus(x: str, y: str) -> str:
+    """The placed cells that two sketches differ in."""
+    less = f"zip_with({x}, {y}, (u, v) -> named_struct('c', u.c - v.c, 'k', u.k ^ v.k, 'x', u.x ^ v.x))"
+    return _placed(less)
 
-    ``own`` and the values of ``others`` are columns of distinct digests; null is empty. ``key`` must be
-    unique. Likeness is the share of common digests among all (Jaccard), from the number that peeling
-    recovers; two texts without digests are alike. All rows of a key meet in one task, a key's
-    cells being as many as its digests.
-    """
-    names = list(others)
-    columns = [own, *others.values()]
-    most = F.greatest(*(F.coalesce(F.size(c), F.lit(0)) for c in columns), F.lit(1))
-    blocks = F.pow(F.lit(2.0), F.ceil(F.log2(most / F.lit(float(PER_BLOCK))))).cast("int")
-    narrow = rows.select(F.col(key).alias("_key"), *(F.coalesce(F.col(c), F.expr("cast(array() as array<bigint>)")).alias(f"_d{i}") for i, c in enumerate(columns)), F.when(most > PER_BLOCK, blocks).otherwise(1).alias("_blocks"))
-    narrow = narrow.repartition("_key")
-    tagged = F.flatten(F.array(*(F.expr(f"transform(_d{i}, h -> named_struct('t', {i}, 'h', h))") for i in range(len(columns)))))
-    one = narrow.select("_key", "_blocks", F.explode(tagged).alias("d")).select("_key", "_blocks", "d.t", "d.h")
-    # three cells of the digest's block, three of the fingerprint (block -1), and the digest itself (cell -1)
-    block = "cast(h & (_blocks - 1) as int)"
-    cells = [f"named_struct('b', {block}, 'p', {third} * {THIRD} + {_bits('h', str(third), THIRD, 0)}, 'm', 0L)" for third in range(3)]
-    cells += [f"named_struct('b', -1, 'p', {third} * {SMALL_THIRD} + {_bits('h', str(third), SMALL_THIRD, 0)}, 'm', 0L)" for third in range(3)]
-    cells.append(f"named_struct('b', {block}, 'p', -1, 'm', h)")
-    dealt = one.select("_key", "t", "h", F.expr(_check("h")).alias("x"), F.explode(F.expr(f"array({', '.join(cells)})")).alias("c"))
-    dealt = dealt.where(F.col("t").isin([0, *(i + 1 for i, n in enumerate(names) if n != "next")]) | (F.col("c.b") >= 0))
-    sums = []
-    for i in range(len(columns)):
-        mine = F.col("t") == i
-        sums += [F.sum(mine.cast("int")).cast("int").alias(f"c{i}"), F.bit_xor(F.when(mine, F.col("h")).otherwise(0)).alias(f"k{i}"), F.bit_xor(F.when(mine, F.col("x")).otherwise(0)).alias(f"x{i}")]
-    summed = dealt.groupBy("_key", F.col("c.b").alias("b"), F.col("c.p").alias("p"), F.col("c.m").alias("m")).agg(*sums)
-    fields = ["p", *(f"{f}{i}" for i in range(len(columns)) for f in "ckx")]
-    by_block = summed.groupBy("_key", "b").agg(F.collect_list(F.struct(*fields)).alias("all"))
-
-    members = {i: f"transform(filter(all, e -> e.p = -1 and e.c{i} > 0), e -> e.k{i})" for i in range(len(columns))}
-    diffs = []
-    for j in range(1, len(columns)):
-        less = f"filter(transform(filter(all, e -> e.p >= 0), e -> named_struct('p', e.p, 'c', e.c0 - e.c{j}, 'k', e.k0 ^ e.k{j}, 'x', e.x0 ^ e.x{j})), c -> c.c <> 0 or c.k <> 0 or c.x <> 0)"
-        diffs.append(F.when(F.col("b") >= 0, _difference(f"cast({less} as {_CELLS})", members[0], members[j])).otherwise(0).alias(f"diff{j}"))
-    sizes = [F.when(F.col("b") >= 0, F.expr(f"size(filter(all, e -> e.p = -1 and e.c{i} > 0))")).otherwise(0).alias(f"n{i}") for i in range(len(columns))]
-    text = [F.when(F.col("b") < 0, _encoded(i)).alias(f"f{i}") for i in range(len(columns))]
-    each = by_block.select("_key", *diffs, *sizes, *text)
-    totals = each.groupBy("_key").agg(*(F.sum(f"diff{j}").alias(f"diff{j}") for j in range(1, len(columns))), *(F.sum(f"n{i}").alias(f"n{i}") for i in range(len(columns))), *(F.max(f"f{i}").alias(f"f{i}") for i in range(len(columns))))
-    like = []
-    for j, name in enumerate(names, start=1):
-        both = F.col("n0") + F.col(f"n{j}")
-        like.append(F.when(both == 0, 1.0).otherwise((both - F.col(f"diff{j}")) / (both + F.col(f"diff{j}"))).alias(name))
-    prints = [F.coalesce("f0", F.lit("")).alias("fingerprint"), *(F.coalesce(f"f{j}", F.lit("")).alias(f"fingerprint_{n}") for j, n in enumerate(names, start=1))]
-    return totals.select(F.col("_key").alias(key), *like, *prints)
-
-
-def _encoded(i: int) -> Column:
-    """The cells of a fingerprint in order, base64: place and count (a byte each), XOR (8), check (4); empty cells left out."""
-    parts = F.expr(
-        f"array_join(transform(array_sort(transform(filter(all, e -> e.c{i} > 0), e -> named_struct('p', e.p, 'c', e.c{i}, 'k', e.k{i}, 'x', e.x{i}))), "
-        "e -> concat(lpad(hex(e.p), 2, '0'), lpad(hex(e.c % 256), 2, '0'), lpad(hex(e.k), 16, '0'), substring(lpad(hex(e.x), 16, '0'), 1, 8))), '')"
-    )
-    return F.base64(F.unhex(parts))
+
+def _placed(cells: str) -> str:
+    one = f"transform({cells}, (c, i) -> named_struct('p', i, 'c', c.c, 'k', c.k, 'x', c.x))"
+    return f"cast(filter({one}, c -> c.c <> 0 or c.k <> 0 or c.x <> 0) as {_PLACED})"
+
+
+def _peeled(cells: str, a: str, rounds: int = 40) -> str:
+    """(cells left, digests recovered) of placed cells; it ends when no cell gives a digest away."""
+    pure = f"array_distinct(transform(filter(s.cells, c -> abs(c.c) = 1 and c.x = {_check('c.k')}), c -> named_struct('k', c.k, 'c', c.c, 'x', c.x, 'q', {_mixed('c.k', a)})))"
+    less = f"aggregate(filter(g, q -> {_at('q.q', 'c.p', 'r')}), c, (u, q) -> named_struct('p', u.p, 'c', u.c - q.c, 'k', u.k ^ q.k, 'x', u.x ^ q.x))"
+    left = f"cast(filter(transform(s.cells, c -> {less}), c -> c.c <> 0 or c.k <> 0 or c.x <> 0) as {_PLACED})"
+    state = f"struct<cells:{_PLACED},ks:array<bigint>,on:boolean>"
+    step = _let("g", pure, f"cast(named_struct('cells', {left}, 'ks', concat(s.ks, transform(g, q -> q.k)), 'on', size(g) > 0) as {state})")
+    start = f"cast(named_struct('cells', {cells}, 'ks', array(), 'on', true) as {state})"
+    return _let("r", _third(a), f"aggregate(sequence(1, {rounds}), {start}, (s, i) -> if(size(s.cells) = 0 or not s.on, s, {step}))")
+
+
+def _dealt(d: str, n: str) -> str:
+    """The digests by block, ``n`` (a power of two) in all; halves of the block's bits are dealt one after the other."""
+    inner = f"transform(sequence(0L, {n} div w - 1), j -> filter(f, h -> (shiftright(h, v) & ({n} div w - 1)) = j))"
+    outer = f"flatten(transform(sequence(0L, w - 1), i -> {_let('f', f'filter({d}, h -> (h & (w - 1)) = i)', inner)}))"
+    return _let("v", f"cast(floor(log2({n}) / 2) as int)", _let("w", "shiftleft(1L, v)", outer))
+
+
+def _listed(b: str) -> str:
+    """The digests of a block."""
+    peel = f"{_peeled(_placed(b + '.cells'), b + '.a')}.ks"
+    return f"if({b}.d is not null, {b}.d, if({b}.a = {_LISTED}, transform({b}.cells, c -> c.k), {peel}))"
+
+
+def _base36(x: str) -> str:
+    return f"conv(cast({x} as string), 10, 36)"
+
+
+def _encoded_block(d: str) -> str:
+    """The attempt, and the cells in order: count, check, XOR; nothing for an empty cell. ``r`` and the digests, where no
+    attempt peels."""
+    alone = _let("u", _built("b", "y"), "named_struct('a', y, 'cells', u)")
+    # most blocks peel in one round, as each digest has a cell of its own
+    own = f"size(filter(z.cells, c -> c.c = 1)) >= 1 and forall(b, h -> exists(z.cells, c -> c.c = 1 and c.k = h))"
+    good = f"{own} or size({_peeled(_placed('z.cells'), 'z.a')}.cells) = 0"
+    kind = f"struct<a:int,cells:array<{_CELL}>,ok:boolean>"
+    one = _let("z", alone, f"cast(named_struct('a', z.a, 'cells', z.cells, 'ok', {good}) as {kind})")
+    start = f"cast(named_struct('a', 0, 'cells', array(), 'ok', false) as {kind})"
+    tried = f"aggregate(sequence(0, {ATTEMPTS - 1}), {start}, (m, y) -> if(m.ok, m, {one}))"
+    token = f"if(c.c = 0, '', concat({_base36('c.c')}, lpad({_base36('c.x')}, 8, '0'), {_base36('c.k')}))"
+    raw = f"concat('r,', array_join(transform(b, h -> {_base36('h')}), ','))"
+    text = f"if(m.ok, concat(m.a, ',', array_join(transform(m.cells, c -> {token}), ',')), {raw})"
+    return _let("b", d, f"if(size(b) = 0, '', if(size(b) > 35, {raw}, {_let('m', tried, text)}))")
+
+
+def _set(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """The rows with a column that later filters and projections read as it stands, and don't compute again."""
+    return df.select(*(F.col(f"`{c}`") for c in df.columns if c != name), F.explode(F.array(value)).alias(name))
+
+
+def fingerprint(digests_col: str) -> Column:
+    """The sketch of a column of sorted distinct digests as a string; empty without digests."""
+    blocks = _let("n", f"if(size(d) <= {PER_BLOCK}, 1L, cast(pow(2, ceil(log2(size(d) / {PER_BLOCK}))) as bigint))", _dealt("d", "n"))
+    return F.expr(_let("d", f"`{digests_col}`", f"if(size(d) = 0, '', array_join(transform({blocks}, k -> {_encoded_block('k')}), ';'))"))
+
+
+def _decoded(text: str) -> str:
+    """The blocks of a fingerprint that isn't empty."""
+    number = lambda x: f"cast(conv({x}, 36, -10) as bigint)"
+    cell = f"if(z = '', named_struct('c', 0, 'k', 0L, 'x', 0L), named_struct('c', cast({number('substring(z, 1, 1)')} as int), 'k', {number('substring(z, 10)')}, 'x', {number('substring(z, 2, 8)')}))"
+    listed = f"named_struct('c', 1, 'k', {number('z')}, 'x', 0L)"
+    tokens = "slice(l, 2, size(l) - 1)"
+    attempt = f"case l[0] when '' then 0 when 'r' then {_LISTED} else cast(l[0] as int) end"
+    none = f"transform(sequence(1, {3 * THIRD}), z -> named_struct('c', 0, 'k', 0L, 'x', 0L))"
+    cells = f"case l[0] when '' then {none} when 'r' then transform({tokens}, z -> {listed}) else transform({tokens}, z -> {cell}) end"
+    return f"transform(split({text}, ';', -1), s -> {_let('l', "split(s, ',', -1)", f"cast(named_struct('a', {attempt}, 'cells', {cells}, 'd', null) as {_BLOCK})")})"
+
+
+def _size(blocks: str) -> str:
+    """How many digests the blocks hold."""
+    return f"aggregate({blocks}, 0L, (s, b) -> s + if(b.a = {_LISTED}, size(b.cells), cast(aggregate(b.cells, 0, (u, c) -> u + c.c) / 3 as bigint)))"
+
+
+def _widened(blocks: str, n: str) -> str:
+    """The same digests in ``n`` blocks, not built yet, where the blocks are fewer."""
+    every = f"flatten(transform({blocks}, b -> {_listed('b')}))"
+    dealt = _let("w0", every, _dealt("w0", n))
+    return f"if(size({blocks}) = {n}, {blocks}, transform({dealt}, d -> cast(named_struct('a', {_UNBUILT}, 'cells', array(), 'd', d) as {_BLOCK})))"
+
+
+def _differing(x: str, y: str) -> str:
+    """How many digests stand in one of two blocks only."""
+    cells = lambda b: f"if({b}.a = o, {b}.cells, {_built(b + '.d', 'o')})"
+    kind = "struct<n:int,ok:boolean>"
+    done = lambda peel: _let("z", peel, f"cast(named_struct('n', size(z.ks), 'ok', size(z.cells) = 0) as {kind})")
+    first = done(_peeled(_minus(cells(x), cells(y)), "o"))
+    fits = f"o between 0 and {ATTEMPTS - 1} and ({x}.a = o or {x}.a = {_UNBUILT}) and ({y}.a = o or {y}.a = {_UNBUILT})"
+    again = done(_peeled(_minus(_built("lx", "o2"), _built("ly", "o2")), "o2"))
+    failed = f"cast(named_struct('n', 0, 'ok', false) as {kind})"
+    lists = "if(m.ok, m.n, size(array_except(lx, ly)) + size(array_except(ly, lx)))"
+    larger = _let("lx", _listed(x), _let("ly", _listed(y), _let("m", f"aggregate(sequence(1, {ATTEMPTS - 1}), {failed}, (m, o2) -> if(m.ok or o2 <= o, m, {again}))", lists)))
+    body = _let("m1", f"if({fits}, {first}, {failed})", f"if(m1.ok, m1.n, {larger})")
+    return _let("o", f"greatest({x}.a, {y}.a)", body)
+
+
+def with_likeness(df: DataFrame, left: str, right: str, name: str) -> DataFrame:
+    """The rows with ``name``: common over all digests (Jaccard) of two columns of fingerprints, from the strings alone.
+    Two empty ones are alike; a null is like nothing (null)."""
+    equal, empty = f"`{left}` = `{right}`", f"`{left}` = '' or `{right}` = ''"
+    trivial = f"{equal} or {empty} or `{left}` is null or `{right}` is null"
+    # one column for each step: the analyzer bounds the depth of one expression
+    for column, step in (
+        ("_fp_p", f"if({trivial}, null, {_decoded(f'`{left}`')})"),
+        ("_fp_q", f"if({trivial}, null, {_decoded(f'`{right}`')})"),
+        ("_fp_both", f"{_size('_fp_p')} + {_size('_fp_q')}"),
+        ("_fp_n", "greatest(size(_fp_p), size(_fp_q))"),
+        ("_fp_p", _widened("_fp_p", "_fp_n")),
+        ("_fp_q", _widened("_fp_q", "_fp_n")),
+        ("_fp_off", f"aggregate(zip_with(_fp_p, _fp_q, (bx, by) -> {_differing('bx', 'by')}), 0L, (s, k) -> s + k)"),
+        (name, f"if({equal}, 1.0D, if({empty}, 0.0D, cast(_fp_both - _fp_off as double) / (_fp_both + _fp_off)))"),
+    ):
+        df = _set(df, column, F.expr(step)) if column == name else df.withColumn(column, F.expr(step))
+    return df.drop("_fp_p", "_fp_q", "_fp_both", "_fp_n", "_fp_off")
 
 
 def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows' ``id``, ``text`` and ``next``: the text of the row with the next id (then text), after
-    the last the first; null ids come first. A single row is its own next.
+    """The rows' ``id``, ``text`` and ``print``, with ``next`` and ``next_print``: text and fingerprint of the row with the
+    next id (then text), after the last the first; null ids come first. A single row is its own next.
 
     Ids are cut at approximate quantiles to buckets of about ``BUCKET_ROWS``; the first row of each bucket
-    is also sent to the bucket before, so one shuffle of the texts is enough and no task sees all.
+    is also sent to the bucket before, so one shuffle of the texts is enough and no task sees all. Fingerprints are
+    made behind the shuffle.
     """
     src = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     ids = src.select("id")
@@ -157,16 +240,17 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     first = rows.groupBy("_bucket").agg(F.min(F.struct("id", F.xxhash64("text").alias("_h"))).alias("m"))
     order = first.select("_bucket", "m").orderBy("_bucket").collect()  # as many rows as buckets
     if not order:
-        return src.select("id", "text", F.lit(None).cast("string").alias("next"))
+        return src.select("id", "text", *(F.lit(None).cast("string").alias(x) for x in ("print", "next", "next_print")))
     before = {r["_bucket"]: order[i - 1]["_bucket"] for i, r in enumerate(order)}
     last = order[-1]["_bucket"]
     lead = docs.sparkSession.createDataFrame([(r["_bucket"], r["m"]["id"], r["m"]["_h"], before[r["_bucket"]], r["_bucket"] == order[0]["_bucket"]) for r in order], f"_bucket int, _id {dict(src.dtypes)['id']}, _h long, _before int, _wraps boolean")
     on = (rows["_bucket"] == lead["_bucket"]) & rows["id"].eqNullSafe(lead["_id"]) & (F.xxhash64(rows["text"]) == lead["_h"])
     sent = rows.join(F.broadcast(lead), on).select("id", "text", F.col("_before").alias("_bucket"), F.when(F.col("_wraps") & (F.col("_before") == last), 2).otherwise(1).alias("_tail"))
-    both = rows.withColumn("_tail", F.lit(0)).unionByName(sent)
+    both = rows.withColumn("_tail", F.lit(0)).unionByName(sent).repartition("_bucket").withColumn("d", digests(F.col("text")))
+    both = _set(both, "print", fingerprint("d")).drop("d")
     # within a bucket by id, then hash of the text; the row sent from the next bucket last
     w = W.partitionBy("_bucket").orderBy("_tail", F.col("id").asc_nulls_first(), F.xxhash64("text"))
-    return both.withColumn("next", F.lead("text").over(w)).where("_tail = 0").select("id", "text", "next")
+    return both.withColumn("next", F.lead("text").over(w)).withColumn("next_print", F.lead("print").over(w)).where("_tail = 0").select("id", "text", "print", "next", "next_print")
 
 
 def _rank(value: Column, cuts: list) -> Column:
@@ -186,7 +270,7 @@ def _rank(value: Column, cuts: list) -> Column:
 
 
 def edited_versions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Each document's likeness to an edited version and to the next document.
+    """Each document's fingerprint, its edited version's, and the likeness to that and to the next document's.
 
     The edited text has the last ``floor(n_chars / 2)`` code points replaced by the first as many of the
     next document's (all, if it has fewer). Null texts are empty. Repeated rows come in any order
@@ -196,12 +280,7 @@ def edited_versions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), n - half), F.substring(F.coalesce("next", F.lit("")), F.lit(1), half))
     wide = with_next(docs, id_col, text_col).withColumn("edited", edited)
-    wide = wide.select(F.monotonically_increasing_id().alias("_row"), "id", n.cast("long").alias("n_chars"), F.sha2(F.col("edited"), 256).alias("edited_sha256"), digests(F.col("text")).alias("d_own"), digests(F.col("edited")).alias("d_edited"), digests(F.col("next")).alias("d_next"))
-    saved = Scratch(docs.sparkSession, "prints").save(wide, "digests")
-    out = compare(saved, "_row", "d_own", {"edited": "d_edited", "next": "d_next"})
-    both = saved.select("_row", "id", "n_chars", "edited_sha256").join(out, "_row", "left")
-    # without any digest on either side a key has no cells: the texts are alike
-    return both.select(
-        F.col("id").alias(id_col), "n_chars", "edited_sha256", F.coalesce("fingerprint", F.lit("")).alias("fingerprint"), F.coalesce("fingerprint_edited", F.lit("")).alias("edited_fingerprint"),
-        F.coalesce("edited", F.lit(1.0)).alias("near_edited"), F.coalesce("next", F.lit(1.0)).alias("near_next"),
-    )
+    own = wide.select("id", n.cast("long").alias("n_chars"), F.sha2(F.col("edited"), 256).alias("edited_sha256"), "print", F.coalesce("next_print", F.lit("")).alias("next_print"), digests(F.col("edited")).alias("d"))
+    own = _set(own, "edited_print", fingerprint("d"))
+    out = with_likeness(with_likeness(own, "print", "edited_print", "near_edited"), "print", "next_print", "near_next")
+    return out.select(F.col("id").alias(id_col), "n_chars", "edited_sha256", F.col("print").alias("fingerprint"), F.col("edited_print").alias("edited_fingerprint"), "near_edited", "near_next")
