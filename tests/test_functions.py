@@ -194,8 +194,28 @@ def test_cooldown_and_percentiles(spark):
 
 
 def test_density_prefers_close_terms(spark):
-    docs = spark.createDataFrame([(1, "alpha beta"), (2, "alpha x x x x x beta")], "doc_id long, text string")
-    posted = S.postings(docs, "doc_id", {"body": (F.col("text"), "B")})
-    asked = S.questions(spark.createDataFrame([(7, "alpha beta")], "q long, text string"), "q", "text")
-    got = {r["doc_id"]: r["density"] for r in S.cover_density(posted, asked, S.matches(posted, asked, "doc_id"), "doc_id").collect()}
-    assert got[1] > got[2] > 0
+    texts = {1: "alpha beta", 2: "alpha x x x x x beta", 3: "alphabet soup betas", 4: "alpha alpha beta x alpha", 5: "alpha only"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    asked = S.questions(spark.createDataFrame([(7, "alpha beta"), (8, "beta")], "q long, text string"), "q", "text")
+    found = S.matches(S.token_hits(S.corpus(docs, "doc_id", {"body": (F.col("text"), "B")}), asked, "doc_id"), asked, "doc_id")
+    got = {(r["question_id"], r["doc_id"]): r["strict_density"] for r in S.cover_density(found).collect()}
+    assert got[7, 1] > got[7, 3] > got[7, 2] > 0 and (7, 5) not in got and got[8, 3] > 0
+    share = lambda total: total / (1 + total)
+    assert abs(got[7, 1] - share(0.4)) < 1e-9 and abs(got[7, 2] - share(0.4 / 6)) < 1e-9  # five words between
+    # covers "alpha beta" and "beta x alpha"
+    assert abs(got[7, 4] - share(0.4 + 0.4 / 2)) < 1e-9
+
+
+def test_relaxed_covers_need_three_of_the_tokens(spark):
+    docs = spark.createDataFrame([(1, "one two x three"), (2, "one two")], "doc_id long, text string")
+    asked = S.questions(spark.createDataFrame([(7, "one two three four")], "q long, text string"), "q", "text")
+    found = S.matches(S.token_hits(S.corpus(docs, "doc_id", {"title": (F.col("text"), "A")}), asked, "doc_id"), asked, "doc_id")
+    (r,) = S.cover_density(found).collect()
+    assert (r["doc_id"], r["matched"], r["strict"], r["strict_density"]) == (1, 3, False, 0.0) and abs(r["relaxed_density"] - 0.5 / 1.5) < 1e-9
+
+
+def test_answers_go_by_scope_then_version_then_rank(spark):
+    rows = [("os_family", "exact", 0.9, 1), ("model", "unbounded", 0.1, 2), ("model", "exact", 0.1, 3), ("model", "exact", 0.2, 4)]
+    df = spark.createDataFrame([(0, f"k{i}", *r) for i, r in enumerate(rows)], "question_id long, key string, scope string, version_match string, rank double, doc_id long")
+    out = S.final_order(df, S.answer_order(F.col("scope"), F.col("version_match"), F.col("rank"), F.col("doc_id")), "key", 3).orderBy("place")
+    assert [r["doc_id"] for r in out.collect()] == [4, 3, 2]

@@ -1,103 +1,140 @@
 """Search of question batches over a corpus (inventory F).
 
-A corpus is indexed once as postings (doc_id, term, field, position); questions are exploded to
-terms, and everything after is joins and aggregates by term and by (question, document). Terms are
-``[a-z0-9]+`` in lower case.
+A corpus is one row a document with its terms, positions and field weights in one array. The distinct terms are
+matched with the questions' tokens once, and only the positions of terms that some question asks for leave a
+document's row, so what is shuffled is the questions' share of the corpus. Terms are ``[a-z0-9]+`` in lower case; a token
+matches the terms that it begins.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions import text as T
+from ..sources.files import shared_path
 
 # Weights of fields in the cover density.
 WEIGHTS = {"A": 1.0, "B": 0.4, "C": 0.2, "D": 0.1}
+#: Matched terms up to which they are broadcast; more are joined.
+FEW_TERMS = 500_000
 
 
-def postings(docs: DataFrame, key: str, fields: Mapping[str, tuple[Column, str]]) -> DataFrame:
-    """(key, term, weight, position); positions run on over the fields in the order given."""
-    rows, out = docs, None
-    for name, (text, _) in fields.items():
-        rows = rows.withColumn(f"_w_{name}", F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("([a-z0-9]+)"), 1))
-    start = F.lit(0)
-    for name, (_, weight) in fields.items():
-        words = F.col(f"_w_{name}")
-        one = rows.select(key, F.posexplode(words).alias("_i", "term"), start.alias("_s"))
-        one = one.select(key, "term", F.lit(weight).alias("weight"), (F.col("_i") + F.col("_s")).alias("position"))
-        out = one if out is None else out.unionByName(one)
-        start = start + F.size(words)
-    return out
+def corpus(docs: DataFrame, key: str, fields: Mapping[str, tuple[Column, str]]) -> DataFrame:
+    """(key, words: array of (position, term, weight)); positions run on over the fields in the order given."""
+    rows = docs.select(F.col(key), *(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("([a-z0-9]+)"), 1).alias(f"_w{i}") for i, (text, _) in enumerate(fields.values())))
+    start, parts = F.lit(0), []
+    def placed(start: Column, weight: str):
+        return lambda w, at: F.struct((at + start).alias("position"), w.alias("term"), F.lit(weight).alias("weight"))
+
+    for i, (_, weight) in enumerate(fields.values()):
+        parts.append(F.transform(f"_w{i}", placed(start, weight)))
+        start = start + F.size(f"_w{i}")
+    return rows.select(key, F.concat(*parts).alias("words"))
+
+
+def postings(indexed: DataFrame, key: str) -> DataFrame:
+    """(key, position, term, weight), a row a position."""
+    return indexed.select(key, F.inline("words"))
 
 
 def questions(df: DataFrame, key: str, text: str, aliases: Mapping[str, str] | None = None) -> DataFrame:
-    """(question_id, n_tokens, token)."""
-    tokens = T.question_tokens(F.col(text), dict(aliases or {}))
-    return df.select(F.col(key).alias("question_id"), F.size(tokens).alias("n_tokens"), F.explode(tokens).alias("token"))
+    """(question_id, tokens)."""
+    return df.select(F.col(key).alias("question_id"), T.question_tokens(F.col(text), dict(aliases or {})).alias("tokens"))
 
 
-def matches(posted: DataFrame, asked: DataFrame, key: str) -> DataFrame:
-    """(question_id, key, n_tokens, matched, strict): documents in which at least three (or all, if
-    fewer) distinct question tokens begin a term; strict: all of them.
+def expansion(indexed: DataFrame, asked: DataFrame) -> DataFrame:
+    """(term, begun): the terms of the corpus that question tokens begin, and these tokens; written, as it is read twice.
 
-    Tokens are first matched with the distinct terms that share their first characters (two to four, as many as
-    the token has), so the corpus is joined by equality of terms only.
+    Tokens meet the distinct terms by their first characters, four at most.
+    """
+    spark = indexed.sparkSession
+    terms = indexed.select(F.explode(F.array_distinct(F.transform("words", lambda w: w["term"]))).alias("term")).distinct()
+    starts = F.array_distinct(F.array(*(F.substring("term", 1, n) for n in (1, 2, 3, 4))))
+    wanted = asked.select(F.explode("tokens").alias("token")).distinct().withColumn("_p", F.substring("token", 1, 4))
+    both = terms.withColumn("_p", F.explode(starts)).join(wanted, "_p").where(F.startswith("term", F.col("token")))
+    path = shared_path(spark, "terms")
+    both.groupBy("term").agg(F.array_sort(F.collect_set("token")).alias("begun")).write.parquet(path)
+    return spark.read.schema("term string, begun array<string>").parquet(path)
+
+
+def token_hits(indexed: DataFrame, asked: DataFrame, key: str) -> DataFrame:
+    """(key, hits: array of (position, begun, weight)) of documents with any question token; a document's hits are
+    part of its text."""
+    found = expansion(indexed, asked)
+    small = F.broadcast(found) if found.count() <= FEW_TERMS else found
+    rows = postings(indexed, key).join(small, "term")
+    return rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("position", "begun", "weight"))).alias("hits"))
+
+
+def matches(hits: DataFrame, asked: DataFrame, key: str, also: DataFrame | None = None) -> DataFrame:
+    """(question_id, key, tokens, n_tokens, hits, matched, strict): documents in which at least three (or all, if
+    fewer) distinct question tokens begin a term; strict: all of them. ``also`` (question_id, key) are further pairs
+    to return whatever they match. ``hits`` are those of the question's tokens.
+
+    A document that matches ``k`` of ``n`` tokens holds one of the ``n - k + 1`` rarest, so pairs are made by these only.
     """
-    doc_terms = posted.select(key, "term").distinct()
-    starts = F.array_distinct(F.array(*(F.substring("term", 1, n) for n in (2, 3, 4))))
-    vocabulary = doc_terms.select("term").distinct().withColumn("_p", F.explode(starts))
-    wanted = asked.select("token").distinct().withColumn("_p", F.substring("token", 1, 4))
-    expand = wanted.where(F.length("token") >= 2).join(vocabulary, "_p").where(F.startswith("term", F.col("token"))).select("token", "term")
-    # a document's terms become its tokens once, whatever the number of questions that ask for them
-    doc_tokens = doc_terms.join(expand, "term").select(key, "token").distinct()
-    hit = asked.select("question_id", "n_tokens", "token").distinct().join(doc_tokens, "token")
-    out = hit.groupBy("question_id", key).agg(F.max("n_tokens").alias("n_tokens"), F.count("*").alias("matched"))
-    return out.where(F.col("matched") >= F.least(F.lit(3), F.col("n_tokens"))).withColumn("strict", F.col("matched") == F.col("n_tokens"))
-
-
-def semantic_floor(found: DataFrame, posted: DataFrame, asked: DataFrame, context: DataFrame, key: str, need: int = 2) -> DataFrame:
-    """matches with at least min(``need``, n) of the question's n tokens that are neither generic nor words
-    of its context (question_id, token); questions without such tokens have no matches."""
-    own = asked.where(~F.col("token").isin(T.GENERIC_TERMS)).join(context, ["question_id", "token"], "left_anti")
-    n = own.groupBy("question_id").agg(F.countDistinct("token").alias("_n"))
-    hit = own.join(posted.select(key, F.col("term").alias("token")).distinct(), "token").groupBy("question_id", key).agg(F.countDistinct("token").alias("_m"))
-    return found.join(n, "question_id").join(hit, ["question_id", key]).where(F.col("_m") >= F.least(F.lit(need), F.col("_n"))).drop("_n", "_m")
-
-
-def cover_density(posted: DataFrame, asked: DataFrame, found: DataFrame, key: str) -> DataFrame:
-    """(question_id, key, density): the sum over minimal covers of all matched tokens of (harmonic mean
-    weight) / (1 + excess length), normalised r / (r + 1). Only the positions of question tokens in the documents
-    found are gathered, for one (question, document) at a time."""
-    rows = found.select("question_id", key).join(asked.select("question_id", "token"), "question_id").join(posted.withColumnRenamed("term", "token"), [key, "token"])
-    rows = rows.select("question_id", key, "token", F.element_at(F.create_map(*(F.lit(x) for kv in WEIGHTS.items() for x in kv)), F.col("weight")).alias("w"), "position")
-    per = rows.groupBy("question_id", key).agg(F.array_sort(F.collect_list(F.struct("position", "token", "w"))).alias("hits"))
-
-    @F.pandas_udf("double")
-    def density(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in batches:
-            yield s.map(_density)
-
-    return per.select("question_id", key, density("hits").alias("density"))
-
-
-def _density(hits) -> float:
-    need = len({h["token"] for h in hits})
-    last: dict[str, tuple[int, float]] = {}
-    total, previous = 0.0, -1
-    for h in hits:
-        last[h["token"]] = (h["position"], h["w"])
-        if len(last) == need:
-            start = min(p for p, _ in last.values())
-            if start > previous:  # else the cover holds an earlier one
-                weight = need / sum(1 / w for _, w in last.values())
-                total += weight / (1 + max(0, h["position"] - start + 1 - need))
-                previous = start
-    return total / (total + 1)
+    asked = asked.where(F.size("tokens") > 0).withColumn("tokens", F.array_distinct("tokens"))
+    held = hits.select(key, F.explode(F.array_distinct(F.flatten(F.transform("hits", lambda h: h["begun"])))).alias("token"))
+    rows = held.groupBy("token").agg(F.count("*").alias("_df"))
+    n = F.size("tokens")
+    each = asked.select("question_id", n.alias("_n"), F.explode("tokens").alias("token")).join(rows, "token", "left")
+    by_rarity = F.array_sort(F.collect_list(F.struct(F.coalesce("_df", F.lit(0)).alias("_df"), "token")))
+    rare = each.groupBy("question_id", "_n").agg(by_rarity.alias("r"))  # as many tokens as a question has
+    keep = F.col("_n") - F.least(F.lit(3), F.col("_n")) + 1
+    rare = rare.select("question_id", F.explode(F.transform(F.slice("r", F.lit(1), keep), lambda x: x["token"])).alias("token"))
+    pairs = rare.join(held, "token").select("question_id", key).distinct().withColumn("_also", F.lit(False))
+    if also is not None:
+        pairs = pairs.unionByName(also.select("question_id", key, F.lit(True).alias("_also"))).groupBy("question_id", key).agg(F.max("_also").alias("_also"))
+    full = pairs.join(asked, "question_id").join(hits, key, "left")
+    own = F.filter(F.transform(F.coalesce("hits", F.expr("cast(array() as array<struct<position:int,begun:array<string>,weight:string>>)")), lambda h: F.struct(h["position"].alias("position"), F.array_intersect(h["begun"], "tokens").alias("begun"), h["weight"].alias("weight"))), lambda h: F.size(h["begun"]) > 0)
+    full = full.select("question_id", key, "tokens", n.alias("n_tokens"), own.alias("hits"), "_also")
+    full = full.withColumn("matched", F.size(F.array_distinct(F.flatten(F.transform("hits", lambda h: h["begun"])))))
+    return full.where((F.col("matched") >= F.least(F.lit(3), F.col("n_tokens"))) | F.col("_also")).withColumn("strict", F.col("matched") == F.col("n_tokens")).drop("_also")
+
+
+def semantic_floor(found: DataFrame, context: DataFrame, need: int = 2) -> DataFrame:
+    """matches in which at least min(``need``, n) of the question's n tokens that are neither generic nor words
+    of its context (question_id, words) begin a term; questions without such tokens have no matches."""
+    rows = found.join(context.select("question_id", F.col("words").alias("_c")), "question_id", "left")
+    own = F.filter("tokens", lambda t: ~t.isin(T.GENERIC_TERMS) & ~F.coalesce(F.array_contains("_c", t), F.lit(False)))
+    begun = F.flatten(F.transform("hits", lambda h: h["begun"]))
+    rows = rows.withColumn("_own", own).withColumn("_m", F.size(F.array_intersect("_own", begun)))
+    return rows.where((F.size("_own") > 0) & (F.col("_m") >= F.least(F.lit(need), F.size("_own")))).drop("_c", "_own", "_m")
+
+
+def cover_density(found: DataFrame) -> DataFrame:
+    """the matches with ``strict_density`` and ``relaxed_density``: of the smallest covers of all tokens, and of any three
+    (all, if fewer), the sum of (hits / sum of inverse weights) / (1 + words between that are no hits), as r / (r + 1).
+
+    One fold over a pair's hits in order: the ``k`` tokens last seen at latest positions span the smallest cover that
+    ends here; it is new if it begins behind the cover before.
+    """
+    table = F.create_map(*(F.lit(x) for k, w in WEIGHTS.items() for x in (k, 1 / w)))
+    seen = "struct<i:int,position:int,sum:double>"
+    start = F.expr(f"""named_struct('i', 0, 'sum', 0.0D, 'last', cast(transform(tokens, t -> named_struct('i', -1, 'position', 0, 'sum', 0.0D)) as array<{seen}>),
+        'strict', named_struct('from', -1, 'total', 0.0D), 'relaxed', named_struct('from', -1, 'total', 0.0D))""")
+
+    def cover(acc: Column, h: Column, last: Column, total: Column, k: Column) -> Column:
+        first = F.get(F.sort_array(last, asc=False), k - 1)
+        between = (h["position"] - first["position"]) - (h["i"] - first["i"])
+        more = (h["i"] - first["i"] + 1) / (total - first["sum"]) / (1 + between)
+        return F.when(first["i"] > acc["from"], F.struct(first["i"].alias("from"), (acc["total"] + more).alias("total"))).otherwise(acc)
+
+    def step(acc: Column, h: Column) -> Column:
+        here = F.struct(acc["i"].alias("i"), h["position"].alias("position"), acc["sum"].alias("sum"))
+        last = F.zip_with("tokens", acc["last"], lambda t, x: F.when(F.array_contains(h["begun"], t), here).otherwise(x))
+        total = acc["sum"] + table[h["weight"]]
+        at = F.struct(acc["i"].alias("i"), h["position"].alias("position"))
+        n = F.col("n_tokens")
+        return F.struct((acc["i"] + 1).alias("i"), total.alias("sum"), last.alias("last"), cover(acc["strict"], at, last, total, n).alias("strict"), cover(acc["relaxed"], at, last, total, F.least(F.lit(3), n)).alias("relaxed"))
+
+    folded = found.withColumn("_d", F.aggregate("hits", start, step, lambda a: F.struct(a["strict"]["total"].alias("strict"), a["relaxed"]["total"].alias("relaxed"))))
+    part = lambda name: (F.col(f"_d.{name}") / (F.col(f"_d.{name}") + 1)).alias(f"{name}_density")
+    return folded.select(*found.columns, part("strict"), part("relaxed"))
 
 
 def network_score(strict: Column, relaxed: Column, similar: Column, confidence: Column, quality: Column, scope: Column) -> Column:
@@ -111,6 +148,17 @@ def generic_score(strict: Column, relaxed: Column, title_similar: Column, summar
     return strict * 8 + relaxed * 4 + title_similar * 2 + summary_similar + F.when(context, 3).otherwise(0)
 
 
+# Order of scopes and of version matches.
+SCOPE_ORDER = {"model": 4, "vendor_os": 3, "architecture": 2, "os_family": 1}
+VERSION_ORDER = {"exact": 5, "explicit_range": 4, "branch": 3, "unbounded": 2, "same_branch_fallback": 1}
+
+
+def answer_order(scope: Column, version_match: Column, rank: Column, *ties: Column) -> list[Column]:
+    """scope, then version match, then rank."""
+    place = lambda table, value: F.desc(F.create_map(*(F.lit(x) for kv in table.items() for x in kv))[value])
+    return [place(SCOPE_ORDER, scope), place(VERSION_ORDER, version_match), rank.desc(), *ties]
+
+
 def capped(scored: DataFrame, rank: str, key: str, cap: int = 100, share: float = 0.5, floor: float = 0.01) -> DataFrame:
     """the first ``cap`` of each question, then those of at least ``share`` of the best."""
     w = W.partitionBy("question_id").orderBy(F.desc(rank), key)

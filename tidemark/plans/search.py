@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions import versions as V
 from ..operators import demand as M
+from ..operators import network as N
 from ..operators import releases as R
 from ..operators import search as S
 from .documents import _DISTINCT, _TRI
@@ -15,56 +17,90 @@ c = F.col
 
 _WORDS = "regexp_extract_all(lower(text), '[a-z0-9]+')"
 _TOKENS = f"SELECT item_id AS question_id, (CASE WHEN len(k) > 0 THEN k ELSE w END)[:8] AS tokens FROM (SELECT item_id, w, list_filter({_DISTINCT.format('w')}, lambda x: length(x) >= 2 AND (NOT regexp_matches(x, '^[0-9]+$') OR length(x) >= 3) AND NOT list_contains({T.STOP_WORDS}, x)) AS k FROM (SELECT item_id, {_WORDS} AS w FROM benchmark))"
+# a document's words: of its first line with weight A, of the rest with B, of its source with C
+_PLACED = """w AS MATERIALIZED (SELECT doc_id, position, words[position + 1] AS term, CASE WHEN position < a THEN 'A' WHEN position < n THEN 'B' ELSE 'C' END AS weight
+  FROM (SELECT *, unnest(range(0, len(words)))::INT AS position FROM (SELECT doc_id, len(regexp_extract_all(lower(split_part(text, chr(10), 1)), '[a-z0-9]+')) AS a, len(regexp_extract_all(lower(text), '[a-z0-9]+')) AS n,
+    list_concat(regexp_extract_all(lower(text), '[a-z0-9]+'), regexp_extract_all(lower(source), '[a-z0-9]+')) AS words FROM documents)))"""
 _FOUND = f"""WITH q AS MATERIALIZED (SELECT question_id, len(tokens) AS n, unnest(tokens) AS token FROM ({_TOKENS})),
-d AS MATERIALIZED (SELECT DISTINCT doc_id, unnest({_WORDS}) AS term FROM documents),
+{_PLACED},
+d AS MATERIALIZED (SELECT DISTINCT doc_id, term FROM w),
 x AS MATERIALIZED (SELECT DISTINCT token, term FROM (SELECT DISTINCT token FROM q), (SELECT DISTINCT term FROM d) WHERE starts_with(term, token)),
 m AS MATERIALIZED (SELECT question_id, doc_id, max(n) AS n_tokens, count(DISTINCT token) AS matched FROM q JOIN x USING (token) JOIN d USING (term) GROUP BY 1, 2 HAVING count(DISTINCT token) >= least(3, max(n)))
 """
+# covers: hits of a pair by position, for each token its last hit, the k-th latest of these begins the cover that ends here
+_DENSE = _FOUND + """, h AS MATERIALIZED (SELECT m.question_id, m.doc_id, m.n_tokens, w.position, max(CASE w.weight WHEN 'A' THEN 1.0 WHEN 'B' THEN 1 / 0.4 WHEN 'C' THEN 1 / 0.2 END::DOUBLE) AS inv, list(DISTINCT q.token) AS begun
+  FROM m JOIN q ON q.question_id = m.question_id JOIN x ON x.token = q.token JOIN w ON w.doc_id = m.doc_id AND w.term = x.term GROUP BY ALL),
+i AS MATERIALIZED (SELECT *, row_number() OVER o AS i, sum(inv) OVER o AS s FROM h WINDOW o AS (PARTITION BY question_id, doc_id ORDER BY position)),
+l AS MATERIALIZED (SELECT i.question_id, i.doc_id, i.i, q.token, coalesce(max(CASE WHEN list_contains(begun, q.token) THEN i.i END) OVER (PARTITION BY i.question_id, i.doc_id, q.token ORDER BY i.i), 0) AS last FROM i JOIN q ON q.question_id = i.question_id),
+e AS (SELECT question_id, doc_id, i, list_reverse_sort(list(last)) AS lasts FROM l GROUP BY 1, 2, 3),
+c AS (SELECT e.question_id, e.doc_id, e.i, unnest([{'kind': 'strict', 'b': lasts[n_tokens]}, {'kind': 'relaxed', 'b': lasts[least(3, n_tokens)]}], recursive := true) FROM e JOIN m ON m.question_id = e.question_id AND m.doc_id = e.doc_id),
+v AS (SELECT *, coalesce(lag(b) OVER (PARTITION BY question_id, doc_id, kind ORDER BY i), 0) AS before FROM c),
+k AS (SELECT v.question_id, v.doc_id, kind, sum((v.i - v.b + 1) / (z.s - a.s + a.inv) / (1 + (z.position - a.position) - (v.i - v.b))) AS r
+  FROM v JOIN i a ON a.question_id = v.question_id AND a.doc_id = v.doc_id AND a.i = v.b JOIN i z ON z.question_id = v.question_id AND z.doc_id = v.doc_id AND z.i = v.i WHERE v.b > v.before GROUP BY 1, 2, 3),
+y AS MATERIALIZED (SELECT m.question_id, m.doc_id, coalesce(max(CASE WHEN kind = 'strict' THEN r END), 0) AS strict, coalesce(max(CASE WHEN kind = 'relaxed' THEN r END), 0) AS relaxed FROM m LEFT JOIN k ON k.question_id = m.question_id AND k.doc_id = m.doc_id GROUP BY 1, 2)
+"""
+
+
+def _title():
+    return F.get(F.split("text", "\n", 2), F.lit(0))
 
 
-def _posted(t: Tables):
-    return S.postings(t.documents, "doc_id", {"body": (c("text"), "B")})
+def _indexed(t: Tables):
+    rest = F.get(F.split("text", "\n", 2), F.lit(1))
+    return S.corpus(t.documents, "doc_id", {"title": (_title(), "A"), "body": (rest, "B"), "source": (c("source"), "C")})
 
 
 def _asked(t: Tables):
     return S.questions(t.benchmark, "item_id", "text")
 
 
-@query("f2_postings", f"SELECT doc_id, count(*) AS n, count(DISTINCT term) AS terms, max(position)::INT AS last FROM (SELECT doc_id, unnest(w) AS term, generate_subscripts(w, 1) - 1 AS position FROM (SELECT doc_id, {_WORDS} AS w FROM documents)) GROUP BY 1")
+def _found(t: Tables, also=None):
+    asked = _asked(t)
+    return S.matches(S.token_hits(_indexed(t), asked, "doc_id"), asked, "doc_id", also)
+
+
+@query("f2_postings", f"WITH {_PLACED} SELECT doc_id, count(*) AS n, count(DISTINCT term) AS terms, max(position) AS last, count(*) FILTER (WHERE weight = 'A') AS n_a, count(*) FILTER (WHERE weight = 'C') AS n_c FROM w GROUP BY 1")
 def f2(t: Tables):
-    return _posted(t).groupBy("doc_id").agg(F.count("*").alias("n"), F.countDistinct("term").alias("terms"), F.max("position").alias("last"))
+    of = lambda weight: F.size(F.filter("words", lambda w: w["weight"] == weight)).cast("long")
+    terms = F.size(F.array_distinct(F.transform("words", lambda w: w["term"])))
+    return _indexed(t).select("doc_id", F.size("words").cast("long").alias("n"), terms.cast("long").alias("terms"), F.array_max(F.transform("words", lambda w: w["position"])).alias("last"), of("A").alias("n_a"), of("C").alias("n_c"))
 
 
 @query("f3_strict_match", _FOUND + "SELECT question_id, doc_id FROM m WHERE matched = n_tokens")
 def f3(t: Tables):
-    return S.matches(_posted(t), _asked(t), "doc_id").where("strict").select("question_id", "doc_id")
+    return _found(t).where("strict").select("question_id", "doc_id")
 
 
 @query("f4_relaxed_match", _FOUND + "SELECT question_id, doc_id, matched FROM m")
 def f4(t: Tables):
-    return S.matches(_posted(t), _asked(t), "doc_id").select("question_id", "doc_id", "matched")
+    return _found(t).select("question_id", "doc_id", c("matched").cast("long").alias("matched"))
 
 
-@query("f6_cover_density")
+@query("f6_cover_density", _DENSE + "SELECT question_id, doc_id, round(strict / (strict + 1), 6) AS strict_density, round(relaxed / (relaxed + 1), 6) AS relaxed_density FROM y")
 def f6(t: Tables):
-    posted, asked = _posted(t).where(c("term").isNotNull()), _asked(t)
-    return S.cover_density(posted, asked, S.matches(posted, asked, "doc_id"), "doc_id")
+    return S.cover_density(_found(t)).select("question_id", "doc_id", *(F.round(x, 6).alias(x) for x in ("strict_density", "relaxed_density")))
+
+
+# Fixed value: similarity of titles from which a document is a candidate without a match of words.
+TITLE_FLOOR = 0.32
 
 
 def _scored(t: Tables):
-    """Questions by documents: matches, title similarity (the first 60 characters), labels as quality."""
-    found = S.matches(_posted(t), _asked(t), "doc_id")
-    titles = t.documents.select("doc_id", F.substring("text", 1, 60).alias("title"), F.substring("source", 4, 9).cast("int").alias("s"))
-    both = found.join(titles, "doc_id").join(t.benchmark.select(c("item_id").alias("question_id"), c("text").alias("asked")), "question_id")
+    """Questions by documents: matches or alike titles (a document's title is its first line), and their rank."""
+    titles = t.documents.select("doc_id", _title().alias("title"), F.substring("source", 4, 9).cast("int").alias("s"))
+    asked = t.benchmark.select(c("item_id").alias("question_id"), c("text").alias("asked"))
+    alike = N.fuzzy_join(asked, titles, "question_id", "asked", "doc_id", "title", TITLE_FLOOR).select("question_id", "doc_id")
+    both = S.cover_density(_found(t, alike)).join(titles, "doc_id").join(asked, "question_id")
     scope = F.when(c("s") % 4 == 0, "model").when(c("s") % 4 == 1, "vendor_os").when(c("s") % 4 == 2, "architecture").otherwise("os_family")
-    relaxed = c("matched") / c("n_tokens")
-    rank = S.network_score(c("strict").cast("double"), relaxed, T.similarity(c("title"), c("asked")), F.lit(0.9), F.lit(0.8), scope)
+    rank = S.network_score(c("strict_density"), c("relaxed_density"), T.similarity(c("title"), c("asked")), F.lit(0.9), F.lit(0.8), scope)
     return both.withColumn("rank", F.round(rank, 6)).withColumn("scope", scope)
 
 
-_SCORED = f"""{_FOUND}, sc AS MATERIALIZED (SELECT question_id, m.doc_id, source, CASE substr(source, 4)::INT % 4 WHEN 0 THEN 0.30 WHEN 1 THEN 0.20 WHEN 2 THEN 0.15 ELSE 0.05 END::DOUBLE AS bonus, matched, n_tokens, {_TRI.format('left(d2.text, 60)')} AS a, {_TRI.format('b.text')} AS b
-  FROM m JOIN documents d2 USING (doc_id) JOIN benchmark b ON b.item_id = question_id),
-r AS MATERIALIZED (SELECT question_id, doc_id, source, round((matched = n_tokens)::INT::DOUBLE * 0.70 + matched::DOUBLE / n_tokens::DOUBLE * 0.30 + coalesce(len(list_intersect(a, b))::DOUBLE / nullif(len(list_distinct(list_concat(a, b))), 0)::DOUBLE, 0) * 0.15 + 0.9::DOUBLE * 0.10 + 0.8::DOUBLE * 0.10 + bonus, 6) AS rank FROM sc)
+_SCORED = _DENSE + f""", t AS MATERIALIZED (SELECT doc_id, source, {_TRI.format("split_part(text, chr(10), 1)")} AS a FROM documents), b AS MATERIALIZED (SELECT item_id, {_TRI.format('text')} AS b FROM benchmark),
+u AS MATERIALIZED (SELECT item_id AS question_id, doc_id, source, coalesce(len(list_intersect(a, b))::DOUBLE / nullif(len(list_distinct(list_concat(a, b))), 0)::DOUBLE, 0) AS alike FROM t, b),
+r AS MATERIALIZED (SELECT u.question_id, u.doc_id, source, CASE substr(source, 4)::INT % 4 WHEN 0 THEN 4 WHEN 1 THEN 3 WHEN 2 THEN 2 ELSE 1 END AS scope, round(coalesce(strict / (strict + 1), 0) * 0.70 + coalesce(relaxed / (relaxed + 1), 0) * 0.30 + alike * 0.15 + 0.9::DOUBLE * 0.10 + 0.8::DOUBLE * 0.10
+    + CASE substr(source, 4)::INT % 4 WHEN 0 THEN 0.30 WHEN 1 THEN 0.20 WHEN 2 THEN 0.15 ELSE 0.05 END::DOUBLE, 6) AS rank
+  FROM u LEFT JOIN y ON y.question_id = u.question_id AND y.doc_id = u.doc_id WHERE y.doc_id IS NOT NULL OR alike >= {TITLE_FLOOR}::DOUBLE)
 """
 
 
@@ -79,25 +115,51 @@ def f8(t: Tables):
     return t.part.select("p_partkey", S.generic_score((c("p_size") % 2).cast("double"), (c("p_size") % 3).cast("double"), zero, zero, c("p_partkey") % 2 == 0).alias("score"))
 
 
-@query("f9_semantic_floor", _FOUND + f", o AS (SELECT question_id, token FROM q WHERE NOT list_contains({T.GENERIC_TERMS}, token)), n AS (SELECT question_id, count(DISTINCT token) AS k FROM o GROUP BY 1), h AS (SELECT o.question_id, d.doc_id, count(DISTINCT token) AS m FROM o JOIN d ON d.term = o.token GROUP BY 1, 2) SELECT m.question_id, m.doc_id FROM m JOIN n USING (question_id) JOIN h ON h.question_id = m.question_id AND h.doc_id = m.doc_id WHERE h.m >= least(2, k)")
+def _context(t: Tables):
+    """(question_id, words): a question's context are the tokens of the question before it."""
+    return _asked(t).select((c("question_id") + 1).alias("question_id"), c("tokens").alias("words"))
+
+
+_FLOOR = f""", o AS (SELECT question_id, token FROM q WHERE NOT list_contains({T.GENERIC_TERMS}, token) AND (question_id, token) NOT IN (SELECT (question_id + 1, token) FROM q)), n AS (SELECT question_id, count(DISTINCT token) AS k FROM o GROUP BY 1),
+g AS MATERIALIZED (SELECT o.question_id, d.doc_id, count(DISTINCT o.token) AS m FROM o JOIN x USING (token) JOIN d USING (term) GROUP BY 1, 2)
+"""
+
+
+@query("f9_semantic_floor", _FOUND + _FLOOR + "SELECT m.question_id, m.doc_id FROM m JOIN n USING (question_id) JOIN g ON g.question_id = m.question_id AND g.doc_id = m.doc_id WHERE g.m >= least(2, k)")
 def f9(t: Tables):
-    posted, asked = _posted(t), _asked(t)
-    context = asked.select("question_id", "token").limit(0)
-    return S.semantic_floor(S.matches(posted, asked, "doc_id"), posted, asked, context, "doc_id").select("question_id", "doc_id")
+    return S.semantic_floor(_found(t), _context(t)).select("question_id", "doc_id")
 
 
-_CAPPED = _SCORED + ", k AS (SELECT *, max(rank) OVER (PARTITION BY question_id) AS best FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY rank DESC, doc_id) AS p FROM r) WHERE p <= 100) "
+_CAPPED = _SCORED + ", top AS (SELECT *, max(rank) OVER (PARTITION BY question_id) AS best FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY rank DESC, doc_id) AS p FROM r) WHERE p <= 100) "
 
 
-@query("f10_cap_and_cut", _CAPPED + "SELECT question_id, doc_id FROM k WHERE rank >= greatest(best * 0.5, 0.01)")
+@query("f10_cap_and_cut", _CAPPED + "SELECT question_id, doc_id FROM top WHERE rank >= greatest(best * 0.5, 0.01)")
 def f10(t: Tables):
     return S.capped(_scored(t), "rank", "doc_id").select("question_id", "doc_id")
 
 
-@query("f11_final_order", _CAPPED + ", u AS (SELECT *, row_number() OVER (PARTITION BY question_id, source ORDER BY rank DESC, doc_id) AS f FROM k WHERE rank >= greatest(best * 0.5, 0.01)) SELECT question_id, doc_id, place FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY rank DESC, doc_id)::INT AS place FROM u WHERE f = 1) WHERE place <= 5")
+# a question asks for version 17.<r>.<x>; records apply to all, a range, a branch or one version by their id
+_VERSIONED = """, vm AS (SELECT *, question_id % 30 AS rq, question_id // 30 % 2 AS xq, doc_id % 20 AS lo, doc_id // 20 % 4 AS sc FROM top WHERE rank >= greatest(best * 0.5, 0.01)),
+vp AS (SELECT *, CASE WHEN sc = 0 THEN 2 WHEN sc = 1 THEN CASE WHEN rq >= lo AND (rq < lo + 5 OR (rq = lo + 5 AND xq = 0)) THEN 4 END WHEN sc = 2 THEN CASE WHEN rq = lo THEN 3 END WHEN rq = lo THEN CASE WHEN xq = 0 THEN 5 ELSE 1 END END AS version FROM vm),
+"""
+
+
+@query(
+    "f11_final_order",
+    _CAPPED + _FLOOR + _VERSIONED + """f AS (SELECT vp.*, row_number() OVER (PARTITION BY vp.question_id, source ORDER BY scope DESC, version DESC, rank DESC, vp.doc_id) AS f
+  FROM vp JOIN n USING (question_id) JOIN g ON g.question_id = vp.question_id AND g.doc_id = vp.doc_id WHERE g.m >= least(2, n.k) AND version IS NOT NULL)
+SELECT question_id, doc_id, place FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY scope DESC, version DESC, rank DESC, doc_id)::INT AS place FROM f WHERE f = 1) WHERE place <= 5""",
+)
 def f11(t: Tables):
-    kept = S.capped(_scored(t).withColumn("key", F.concat(F.lit("src"), c("s").cast("string"))), "rank", "doc_id")
-    return S.final_order(kept, [F.desc("rank"), c("doc_id")], "key", 5).select("question_id", "doc_id", "place")
+    kept = S.semantic_floor(S.capped(_scored(t), "rank", "doc_id"), _context(t))
+    text = lambda *parts: F.concat_ws(".", F.lit("17"), *(p.cast("string") for p in parts))
+    asked = text(c("question_id") % 30, F.floor(c("question_id") / 30) % 2)
+    low, kind = c("doc_id") % 20, F.floor(c("doc_id") / 20) % 4
+    scope = F.when(kind == 0, "unbounded").when(kind == 1, "range").when(kind == 2, "branch").otherwise("exact")
+    high = F.when(kind == 1, text(low + 5)).otherwise(text(low))
+    match = V.match(asked, V.parts(text(low)), V.parts(high), scope, text(low), F.lit("major_minor"))
+    answers = kept.withColumn("version_match", match).where("version_match is not null").withColumn("key", F.concat(F.lit("src"), c("s").cast("string")))
+    return S.final_order(answers, S.answer_order(c("scope"), c("version_match"), c("rank"), c("doc_id")), "key", 5).select("question_id", "doc_id", "place")
 
 
 @query("f12_question_rewrite", r"SELECT event_id, CASE WHEN event_type = 'error' THEN 'port display interface counters errors 1' ELSE event_type END AS q FROM events")
