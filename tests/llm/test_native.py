@@ -5,11 +5,13 @@ import random
 import re
 from collections import Counter
 
+import duckdb
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tidemark.llm import fingerprints, mixing, quotations, secrets, sharding
+from tests.oracle import same
+from tidemark.llm import fingerprints, mixing, queries, quotations, secrets, sharding
 from tidemark.llm.shared import Scratch
 
 
@@ -104,22 +106,93 @@ def test_secrets(spark):
     assert secrets.scan(df.limit(0), secrets.train(df.limit(0))).count() == 0
 
 
+def order_of(rows):
+    """Turns in depth-first order of replies, by hand."""
+    below = {}
+    for turn, parent in sorted(rows):
+        below.setdefault(parent, []).append(turn)
+    out, work = [], [None]
+    while work:
+        at = work.pop()
+        if at is not None:
+            out.append(at)
+        work += reversed(below.get(at, []))
+    return out
+
+
 def test_quotations(spark):
     rows = [
         (1, 0, "user", "Hello there.\nHow are you?\n\nBest"), (1, 1, "assistant", "> Hello there.\n> How are you?\n\nFine, thanks."), (1, 2, "user", "What about lunch?"), (1, 3, "assistant", "> Hello there.\nAgain hi"),
         (1, 4, "user", "ok go on"), (1, 5, "user", ">> Hello there.\n> Again hi\n> nothing\nsure"), (1, 6, "user", "> Fine,  thanks\nnested?"), (1, 7, "user", "> never said\nhm"), (2, 0, "user", None), (2, 0, "user", None), (None, 1, "user", "> x"), (2, None, None, ""),
+        (3, 2, "user", "One sentence here. Another, much longer one, follows it. The end of it."), (3, 4, "user", "well"), (3, 9, "user", "> Another, much\n> longer one,\n> follows it.\nyes"), (3, 12, "user", "last"),
     ]
-    df = spark.createDataFrame([(*r, "clash") for r in rows], "conv_id long, turn long, role string, text string, body string")
+    df = spark.createDataFrame([(*r, "clash", 1) for r in rows], "conv_id long, turn long, role string, text string, body string, _turn int")
     got = {(r["conv_id"], r["turn"]): r for r in quotations.link(df).collect()}
     assert {k[1]: r["parent_turn"] for k, r in got.items() if k[0] == 1} == {0: None, 1: 0, 2: 1, 3: 0, 4: 3, 5: 3, 6: 1, 7: 6}
     assert got[1, 1]["body"] == "Fine, thanks." and got[1, 5]["body"] == "sure" and got[2, 0]["body"] == ""
     assert [(q["level"], q["turn"]) for q in got[1, 5]["quotes"]] == [(1, 3), (2, 0)] and got[1, 7]["quotes"][0]["turn"] is None
-    path = lambda r: [(p["answers"], p["start"]) for p in r["path"]]
-    order = [k[1] for k, r in sorted(((k, r) for k, r in got.items() if k[0] == 1), key=lambda x: (path(x[1]), x[0][1]))]
-    assert order == [0, 1, 2, 6, 7, 3, 4, 5]
+    assert [t for _, t in sorted((r["place"], k[1]) for k, r in got.items() if k[0] == 1)] == [0, 1, 2, 6, 7, 3, 4, 5]
+    # a sentence of a longer line, wrapped again; turns with gaps
+    assert {k[1]: (r["parent_turn"], r["place"]) for k, r in got.items() if k[0] == 3} == {2: (None, 2), 4: (2, 3), 9: (2, 4), 12: (9, 5)}
     assert quotations.link(df).count() == len(rows) and quotations.link(df.limit(0)).count() == 0
 
 
+def planted(seed, conversations, length):
+    """Messages that quote earlier ones, whole or in part, wrapped or nested, and the turn that each of them answers."""
+    rng = random.Random(seed)
+    rows, truth = [], {}
+    for conv in range(conversations):
+        said, turn = [], 0
+        for _ in range(rng.randrange(1, length)):
+            turn += rng.choice([1, 1, 1, 2, 5])
+            sentences = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(rng.randrange(4, 9))) + rng.choice(".?!") for _ in range(rng.randrange(2, 7))]
+            body, parent, lines = "\n\n".join(" ".join(sentences[k : k + 3]) for k in range(0, len(sentences), 3)), said[-1][0] if said else None, []
+            if said and rng.random() < 0.6:
+                parent, about = rng.choice(said)
+                form = rng.randrange(4)
+                text = about if form == 0 else rng.choice(about.split("\n\n")) if form == 1 else rng.choice(re.split(r"(?<=[.?!])\s+", about))
+                if form == 3:
+                    text = re.sub(r"(\S+ \S+ \S+) ", r"\1\n", text)
+                lines = ["> " + x for x in text.split("\n")]
+                if len(said) > 1 and rng.random() < 0.3:
+                    lines = [">> " + x for x in rng.choice(said)[1].split("\n")] + lines
+            rows.append((conv, turn, rng.choice(["user", "assistant"]), "\n".join([*lines, body])))
+            truth[conv, turn] = parent
+            said.append((turn, body))
+    return rows, truth
+
+
+@pytest.mark.parametrize("block", [1024, 3])
+def test_planted_quotes(spark, tmp_path, monkeypatch, block):
+    monkeypatch.setattr(quotations, "BLOCK", block)
+    rows, truth = planted(4, 40, 25)
+    spark.createDataFrame([*rows, (7, None, "user", "> a"), (None, 3, None, None)], "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    out = Scratch(spark, "t").save(queries.op6_quotations(spark, str(tmp_path)), "out")
+    got = {(r["conv_id"], r["turn"]): r for r in out.collect()}
+    assert {k: got[k]["parent_turn"] for k in truth} == truth
+    for conv in {k[0] for k in truth}:
+        want = order_of([(t, p) for (x, t), p in truth.items() if x == conv])
+        assert [t for _, t in sorted((got[k]["place"], k[1]) for k in truth if k[0] == conv)] == want
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    same(out, con, queries.OP6_SQL)
+
+
+def test_a_long_chain_of_branches_takes_few_jobs(spark):
+    n = 10_000  # every message answers the one before the last, so two chains interleave
+    rows = spark.range(n).selectExpr("id as turn", "'user' as role", "case when id < 2 then concat('m', id) else concat('> m', id - 2, '\n', 'm', id) end as text")
+    rows = rows.withColumn("conv_id", F.lit(1))
+    group = "chain"
+    spark.sparkContext.setJobGroup(group, group)
+    got = quotations.link(rows).select("turn", "place").collect()
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup(group)
+    spark.sparkContext._jsc.clearJobGroup()
+    order = [r["turn"] for r in sorted(got, key=lambda r: r["place"])]
+    # the first two are 0 and 1, which answers 0 by the order of turns; then come the answers to 1 before those to 0
+    assert order == order_of([(0, None), (1, 0), *((k, k - 2) for k in range(2, n))])
+    assert len(jobs) < 80
+
+
 def test_sharding(spark):
     names = [f"s{i}" for i in range(7)]
     table = sharding.fill(names, 1009)

@@ -143,8 +143,37 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_quotations(spark: SparkSession, sf_dir: str) -> DataFrame:
     linked = quotations.link(table(spark, sf_dir, "conversations"))
-    path = F.array_join(F.transform("path", lambda p: F.concat_ws(":", (-p["answers"]).cast("string"), p["start"].cast("string"))), "/")
-    return linked.select("conv_id", "turn", "role", "n_quotes", "parent_turn", path.alias("branch"), quotations.chat(linked).alias("chat"))
+    return linked.select("conv_id", "turn", "role", "n_quotes", "parent_turn", "place", quotations.chat(linked).alias("chat"))
+
+
+_SIGNS = r"'^((?:[ \t]?>)+)[ \t]?'"
+
+OP6_SQL = rf"""
+WITH RECURSIVE m AS MATERIALIZED (SELECT row_number() OVER () AS rid, conv_id, turn, role, coalesce(text, '') AS text FROM conversations),
+l AS MATERIALIZED (SELECT rid, conv_id, turn, i, length(regexp_replace(regexp_extract(x, {_SIGNS}, 1), '[^>]', '', 'g')) AS level, regexp_replace(x, {_SIGNS}, '') AS x
+  FROM (SELECT *, unnest(string_split_regex(text, '\r?\n')) AS x, generate_subscripts(string_split_regex(text, '\r?\n'), 1) AS i FROM m)),
+own AS (SELECT m.rid, trim(regexp_replace(CASE WHEN max(level) > 0 THEN coalesce(string_agg(x, chr(10) ORDER BY i) FILTER (WHERE level = 0), '') ELSE any_value(text) END, '\n{{3,}}', chr(10) || chr(10), 'g'), ' ' || chr(9) || chr(10) || chr(13)) AS body
+  FROM m JOIN l ON l.rid = m.rid GROUP BY m.rid),
+p AS MATERIALIZED (SELECT rid, conv_id, turn, run, level, string_agg(x, chr(10) ORDER BY i) AS text
+  FROM (SELECT *, sum(turned) OVER (PARTITION BY rid ORDER BY i) AS run FROM (SELECT *, (level IS DISTINCT FROM lag(level) OVER (PARTITION BY rid ORDER BY i))::INT AS turned FROM l))
+  WHERE level > 0 AND conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY 1, 2, 3, 4, 5),
+tx AS (SELECT conv_id, turn, level, text, run, rid FROM p UNION ALL SELECT conv_id, turn, 0, body, 0, m.rid FROM m JOIN own ON own.rid = m.rid),
+u AS MATERIALIZED (SELECT conv_id, turn, level, text, run, rid, unnest(list_distinct(list_filter(list_transform(parts, lambda x:
+    regexp_replace(regexp_replace(regexp_replace(lower(x), '\s+', ' ', 'g'), '^[\s>*\-]+', ''), '[\s.,;:!?]+$', '')), lambda x: x <> ''))) AS unit
+  FROM (SELECT *, list_concat([text], string_split_regex(text, '\n[ \t]*\n'), string_split(text, chr(10)), flatten(list_transform(string_split_regex(text, '\n[ \t]*\n'), lambda q:
+    string_split(regexp_replace(regexp_replace(q, '\s+', ' ', 'g'), '([.!?。！？]) ?', '\1' || chr(1), 'g'), chr(1))))) AS parts FROM tx)),
+said AS MATERIALIZED (SELECT conv_id, unit, min(turn) AS said FROM u WHERE level = 0 AND turn IS NOT NULL GROUP BY 1, 2),
+votes AS (SELECT u.conv_id, u.turn, said, sum(len(string_split(u.unit, ' '))) AS w FROM u JOIN said ON said.conv_id = u.conv_id AND said.unit = u.unit WHERE level = 1 AND said < u.turn GROUP BY 1, 2, 3),
+linked AS (SELECT conv_id, turn, max((w, said)) AS best FROM votes GROUP BY 1, 2),
+par AS MATERIALIZED (SELECT t.conv_id, t.turn, prev, coalesce(best[2], prev) AS parent_turn
+  FROM (SELECT conv_id, turn, lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS prev FROM (SELECT DISTINCT conv_id, turn FROM m WHERE conv_id IS NOT NULL AND turn IS NOT NULL)) t LEFT JOIN linked ON linked.conv_id = t.conv_id AND linked.turn = t.turn),
+w AS (SELECT conv_id, turn, [turn] AS path FROM par WHERE parent_turn IS NULL UNION ALL SELECT c.conv_id, c.turn, list_append(path, c.turn) FROM w JOIN par c ON c.conv_id = w.conv_id AND c.parent_turn = w.turn),
+o AS (SELECT w.conv_id, w.turn, parent_turn, CASE WHEN bool_or(parent_turn IS DISTINCT FROM prev) OVER (PARTITION BY w.conv_id) THEN min(w.turn) OVER (PARTITION BY w.conv_id) + row_number() OVER (PARTITION BY w.conv_id ORDER BY path) - 1 ELSE w.turn END AS place
+  FROM w JOIN par ON par.conv_id = w.conv_id AND par.turn = w.turn),
+n AS (SELECT conv_id, turn, count(DISTINCT (level, text)) AS n FROM p GROUP BY 1, 2)
+SELECT m.conv_id, m.turn, role, coalesce(n.n, 0)::BIGINT AS n_quotes, parent_turn, place, '<|' || coalesce(role, 'unknown') || '|>' || chr(10) || body || chr(10) || '<|end|>' AS chat
+FROM m JOIN own ON own.rid = m.rid LEFT JOIN o ON o.conv_id = m.conv_id AND o.turn = m.turn LEFT JOIN n ON n.conv_id = m.conv_id AND n.turn = m.turn
+"""
 
 
 def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -199,6 +228,7 @@ ORACLES: dict[str, str] = {
     "op1_near_dedup": OP1_SQL,
     "op2_winnowing": OP2_SQL,
     "op4_mixing": OP4_SQL,
+    "op6_quotations": OP6_SQL,
     "op7_sharding": OP7_SQL,
     "op10_warc": OP10_SQL,
 }

@@ -1,19 +1,21 @@
 """Chat formatting by quotation linking.
 
 Lines that begin with ``>`` are quotes; the number of signs is the quote level. Quoted passages
-(runs of lines of one level, and their lines) are normalised, hashed, and joined to the messages of
-the same conversation whose own words contain the same line, paragraph or whole text. The message
-that first said it is the original; a message replies to the original of most quoted words at
-level 1, else to the turn before it.
-
-Replies are ordered depth first: a turn that answers the turn before it continues that segment, one
-that answers an earlier message starts a branch. The sort key of a message is its branch path
-(an array of (minus the turn answered, first turn of the branch)), then its turn, so no task needs a
-whole conversation. Everything runs on built-in functions.
+(runs of lines of one level) are cut to units: the whole, its paragraphs, lines and sentences, white space and line
+breaks made one. Units are hashed and joined to the messages of the same conversation whose own words contain an
+equal unit, so a part of a paragraph or one that was wrapped again links by its sentences. The message that first said a
+unit is its original; a message replies to the original of most quoted words at level 1, else to the last turn before it.
+
+Messages are ordered depth first over replies, the answers to a message by turn. The order comes from the tour that enters
+and leaves every message: each step of it points to the next, and pointers that double their reach sum
+the entries that are left, so no task needs a whole conversation and the rounds grow with the logarithm of the longest.
+Everything runs on built-in functions.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -21,9 +23,9 @@ from pyspark.sql.window import Window as W
 from .shared import Scratch
 
 _QUOTE = r"^((?:[ \t]?>)+)[ \t]?"
-#: Turns to a block where the last branch start is looked up, and branch levels at most.
+#: Turns to a block where the turn before is looked up.
 BLOCK = 1024
-_PATH = "array<struct<answers:bigint,start:bigint>>"
+_QUOTES = "array<struct<level:int,text:string,turn:bigint>>"
 
 
 def normalised(text: Column) -> Column:
@@ -56,22 +58,35 @@ def passages(lines: Column) -> Column:
 
 
 def _units(text: Column) -> Column:
-    """The whole text, its paragraphs and its lines, normalised, without empty ones, each once."""
-    parts = F.concat(F.array(text), F.split(text, r"\n[ \t]*\n"), F.split(text, r"\n"))
+    """The whole text, its paragraphs, lines and sentences, normalised, without empty ones, each once."""
+    paragraphs = F.split(text, r"\n[ \t]*\n")
+    sentences = F.flatten(F.transform(paragraphs, lambda p: F.split(F.regexp_replace(p, r"\s+", " "), r"(?<=[.!?。！？]) ?")))
+    parts = F.concat(F.array(text), paragraphs, F.split(text, r"\n"), sentences)
     return F.array_distinct(F.filter(F.transform(parts, normalised), lambda u: F.length(u) > 0))
 
 
+def _before(rows: DataFrame, keys: list[str], at: str, name: str) -> DataFrame:
+    """Distinct ``rows`` (keys, at) with ``name``: the largest ``at`` under their own. A key's rows are dealt to blocks; what a
+    block's first row lacks is the largest of the blocks before, of which there is one row each."""
+    dealt = rows.withColumn("_block", F.floor(F.col(at) / BLOCK))
+    inside = F.lag(at).over(W.partitionBy(*keys, "_block").orderBy(at))
+    last = dealt.groupBy(*keys, "_block").agg(F.max(at).alias("_last"))
+    carry = last.withColumn("_carry", F.lag("_last").over(W.partitionBy(*keys).orderBy("_block"))).drop("_last")
+    return dealt.withColumn("_in", inside).join(carry, [*keys, "_block"]).select(*keys, at, F.coalesce("_in", "_carry").alias(name))
+
+
 def link(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
-    """One row per message: ids, ``role``, ``body`` (without quotes), ``n_quotes`` (passages),
-    ``quotes`` (level, text, and the original's turn or null), ``parent_turn`` and ``path``.
+    """One row per message: ids, ``role``, ``body`` (without quotes), ``n_quotes`` (passages), ``quotes`` (level, text, and the
+    original's turn or null), ``parent_turn`` and ``place``.
 
-    Null and empty texts have an empty body and quote nothing. A message without a turn or a
-    conversation has no parent and an empty path. Repeated rows of a turn each come back, and
+    A conversation's messages are in reply order by ``place``: the turn itself where no reply leaves the order of turns, else the
+    first turn plus the number of turns that come before. Null and empty texts have an empty body and quote nothing. A
+    message without a turn or a conversation has no parent and no place. Repeated rows of a turn each come back, and
     quote or are quoted as one. A quote that the conversation doesn't hold, or only later, links
-    nothing. A turn whose predecessor is missing starts at the top. Other columns are ignored.
+    nothing. The first turn has no parent; missing turns are passed over. Other columns are ignored.
     """
     src = messages.select(F.col(conv_col).alias("_conv"), F.col(turn_col).cast("long").alias("_turn"), F.col(role_col).alias("role"), F.col(text_col).alias("_text"))
-    quoting = F.coalesce(F.col("_text"), F.lit("")).rlike(r"(?m)" + _QUOTE)
+    quoting = F.coalesce(F.col("_text"), F.lit("")).rlike(r"(?md)" + _QUOTE)
     lines = F.when(quoting, parsed(F.col("_text")))
     own = F.when(quoting, F.array_join(F.transform(F.filter(F.col("_lines"), lambda x: x["level"] == 0), lambda x: x["text"]), "\n")).otherwise(F.coalesce("_text", F.lit("")))
     rows = src.withColumn("_lines", lines)
@@ -79,61 +94,62 @@ def link(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
     scratch = Scratch(messages.sparkSession, "quotes")
     rows = scratch.save(rows, "rows")
 
+    turns = _before(rows.select("_conv", "_turn").where("_conv is not null and _turn is not null").distinct(), ["_conv"], "_turn", "_prev")
     quoted = rows.where("_quotes is not null and _conv is not null and _turn is not null")
+    if quoted.isEmpty():  # then every message answers the last turn before it
+        base = rows.join(turns, ["_conv", "_turn"], "left").select("_conv", "_turn", "role", "body", F.expr(f"cast(array() as {_QUOTES})").alias("quotes"), F.col("_prev").alias("parent_turn"), F.when(F.col("_conv").isNotNull(), F.col("_turn")).alias("place"))
+    else:
+        lists, parent = _originals(rows, quoted)
+        linked = scratch.save(turns.join(parent, ["_conv", "_turn"], "left").select("_conv", "_turn", "_prev", F.coalesce("_linked", "_prev").alias("parent_turn")), "parents")
+        placed = linked.join(_places(linked, scratch), ["_conv", "_turn"], "left").select("_conv", "_turn", "parent_turn", F.coalesce("_place", "_turn").alias("place"))
+        base = rows.join(lists, ["_conv", "_turn"], "left").join(placed, ["_conv", "_turn"], "left")
+        base = base.withColumn("quotes", F.coalesce("quotes", F.expr(f"cast(array() as {_QUOTES})")))
+    return base.select(F.col("_conv").alias(conv_col), F.col("_turn").alias(turn_col), "role", "body", F.size("quotes").cast("long").alias("n_quotes"), "quotes", "parent_turn", "place")
+
+
+def _originals(rows: DataFrame, quoted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(conv, turn, quotes) with the turn of each passage's original, and (conv, turn, _linked) of messages whose level 1 links."""
     units = quoted.select("_conv", "_turn", F.explode("_quotes").alias("q")).select("_conv", "_turn", F.col("q.level").alias("level"), F.col("q.text").alias("text"), F.explode(_units(F.col("q.text"))).alias("unit"))
     units = units.withColumn("_hash", F.sha2("unit", 256)).withColumn("_words", F.size(F.split("unit", " ")))
-    none = quoted.isEmpty()
-    if none:
-        empty = F.expr("cast(array() as array<struct<level:int,text:string,turn:bigint>>)")
-        base = rows.select("_conv", "_turn", "role", "body", empty.alias("quotes"), F.lit(None).cast("long").alias("_linked"))
-    else:
-        said = rows.join(quoted.select("_conv").distinct(), "_conv", "left_semi").where("_turn is not null")
-        said = said.select("_conv", "_turn", F.explode(_units(F.col("body"))).alias("unit")).groupBy("_conv", F.sha2("unit", 256).alias("_hash")).agg(F.min("_turn").alias("_said"))
-        found = units.join(said, ["_conv", "_hash"], "left").withColumn("_said", F.when(F.col("_said") < F.col("_turn"), F.col("_said")))
-        votes = found.where("_said is not null").groupBy("_conv", "_turn", "level", "text", "_said").agg(F.sum("_words").alias("w"))
-        best = votes.groupBy("_conv", "_turn", "level", "text").agg(F.max(F.struct("w", "_said")).alias("m")).select("_conv", "_turn", "level", "text", F.col("m._said").alias("turn"))
-        parent = votes.where("level = 1").groupBy("_conv", "_turn", "_said").agg(F.sum("w").alias("w")).groupBy("_conv", "_turn").agg(F.max(F.struct("w", "_said")).alias("m")).select("_conv", "_turn", F.col("m._said").alias("_linked"))
-        each = quoted.select("_conv", "_turn", F.explode("_quotes").alias("q")).select("_conv", "_turn", "q.level", "q.text").distinct().join(best, ["_conv", "_turn", "level", "text"], "left")
-        # a turn's quotes are parts of one message, so this list is no larger than the message
-        lists = each.groupBy("_conv", "_turn").agg(F.array_sort(F.collect_list(F.struct("level", "text", "turn"))).alias("quotes"))
-        base = rows.join(lists, ["_conv", "_turn"], "left").join(parent, ["_conv", "_turn"], "left")
-        base = base.select("_conv", "_turn", "role", "body", F.coalesce("quotes", F.expr("cast(array() as array<struct<level:int,text:string,turn:bigint>>)")).alias("quotes"), "_linked")
-    # the turn before, by key and not by window: a long conversation is dealt by turn
-    before = rows.select("_conv", (F.col("_turn") + 1).alias("_turn")).where("_conv is not null and _turn is not null").distinct().withColumn("_prev", F.col("_turn") - 1)
-    base = base.join(before, ["_conv", "_turn"], "left").withColumn("parent_turn", F.coalesce("_linked", "_prev"))
-    base = base.withColumn("path", F.expr(f"cast(array() as {_PATH})"))
-    if not none:
-        base = scratch.save(base, "base")
-        base = _paths(base, scratch)
-    return base.select(F.col("_conv").alias(conv_col), F.col("_turn").alias(turn_col), "role", "body", F.size("quotes").cast("long").alias("n_quotes"), "quotes", "parent_turn", "path")
-
-
-def _segments(base: DataFrame, starts: DataFrame) -> DataFrame:
-    """Rows with ``_seg``: the last branch start at or before the turn, by blocks of turns."""
-    marked = base.join(starts.withColumn("_start", F.col("_turn")), ["_conv", "_turn"], "left").withColumn("_block", F.floor(F.col("_turn") / BLOCK))
-    inside = F.max("_start").over(W.partitionBy("_conv", "_block").orderBy("_turn"))
-    by_block = marked.groupBy("_conv", "_block").agg(F.max("_start").alias("m"))
-    carry = by_block.withColumn("_carry", F.max("m").over(W.partitionBy("_conv").orderBy("_block").rowsBetween(W.unboundedPreceding, -1))).drop("m")
-    return marked.withColumn("_seg", inside).join(carry, ["_conv", "_block"], "left").withColumn("_seg", F.coalesce("_seg", "_carry")).drop("_start", "_block", "_carry")
-
-
-def _paths(base: DataFrame, scratch: Scratch) -> DataFrame:
-    starts = base.where("_linked is not null and not (_linked <=> _prev)").select("_conv", "_turn").distinct()
-    seg = scratch.save(_segments(base, starts), "segments")
-    heads = seg.where("_turn = _seg").select("_conv", F.col("_seg"), F.col("_linked").alias("_answers")).distinct()
-    where = seg.select("_conv", F.col("_turn").alias("_answers"), F.col("_seg").alias("_above")).distinct()
-    heads = scratch.save(heads.join(where, ["_conv", "_answers"], "left"), "heads")
-    step = F.array(F.struct((-F.col("_answers")).alias("answers"), F.col("_seg").alias("start"))).cast(_PATH)
-    done = scratch.save(heads.where("_above is null").select("_conv", "_seg", step.alias("path")), "done-0")
-    level = done
-    for k in range(1, 1_000_000):  # one round for each level of branches on branches
-        known = level.select("_conv", F.col("_seg").alias("_above"), F.col("path").alias("_path"))
-        level = scratch.save(heads.where("_above is not null").join(known, ["_conv", "_above"]).select("_conv", "_seg", F.concat("_path", step).alias("path")), f"done-{k}")
-        if level.isEmpty():
-            break
-        done = done.unionByName(level)
-    out = seg.drop("path").join(done, ["_conv", "_seg"], "left")
-    return out.withColumn("path", F.coalesce("path", F.expr(f"cast(array() as {_PATH})")))
+    said = rows.join(quoted.select("_conv").distinct(), "_conv", "left_semi").where("_turn is not null")
+    said = said.select("_conv", "_turn", F.explode(_units(F.col("body"))).alias("unit")).groupBy("_conv", F.sha2("unit", 256).alias("_hash")).agg(F.min("_turn").alias("_said"))
+    found = units.join(said, ["_conv", "_hash"]).where("_said < _turn")
+    votes = found.groupBy("_conv", "_turn", "level", "text", "_said").agg(F.sum("_words").alias("w"))
+    best = votes.groupBy("_conv", "_turn", "level", "text").agg(F.max(F.struct("w", "_said")).alias("m")).select("_conv", "_turn", "level", "text", F.col("m._said").alias("turn"))
+    parent = votes.where("level = 1").groupBy("_conv", "_turn", "_said").agg(F.sum("w").alias("w")).groupBy("_conv", "_turn").agg(F.max(F.struct("w", "_said")).alias("m")).select("_conv", "_turn", F.col("m._said").alias("_linked"))
+    each = quoted.select("_conv", "_turn", F.explode("_quotes").alias("q")).select("_conv", "_turn", "q.level", "q.text").distinct().join(best, ["_conv", "_turn", "level", "text"], "left")
+    # a turn's quotes are parts of one message, so this list is no larger than the message
+    return each.groupBy("_conv", "_turn").agg(F.array_sort(F.collect_list(F.struct("level", "text", "turn"))).alias("quotes")), parent
+
+
+def _places(linked: DataFrame, scratch: Scratch) -> DataFrame:
+    """(conv, turn, _place) in conversations where some reply leaves the order of turns: the first turn plus the number of turns
+    before in the depth-first order. ``linked`` is (_conv, _turn, _prev, parent_turn), each turn once."""
+    moved = linked.where("not (parent_turn <=> _prev)").select("_conv").distinct()
+    nodes = scratch.save(linked.join(moved, "_conv", "left_semi").select("_conv", "_turn", "parent_turn"), "nodes")
+    longest = nodes.groupBy("_conv").agg(F.count("*").alias("n"), F.min("_turn").alias("_first"))
+    most = longest.agg(F.max("n")).first()[0]
+    if most is None:
+        return nodes.select("_conv", "_turn", F.lit(None).cast("long").alias("_place"))
+    # steps of the tour: (turn, 0) enters a message, (turn, 1) leaves it
+    children = _before(nodes.where("parent_turn is not null"), ["_conv", "parent_turn"], "_turn", "_older")
+    ends = children.groupBy("_conv", "parent_turn").agg(F.min("_turn").alias("_eldest"), F.max("_turn").alias("_youngest"))
+    step = lambda turn, side: F.struct(F.col(turn).alias("turn"), F.lit(side).alias("side"))
+    own = nodes.join(ends.select("_conv", F.col("parent_turn").alias("_turn"), "_eldest"), ["_conv", "_turn"], "left")
+    enter = own.select("_conv", step("_turn", 0).alias("at"), F.when(F.col("_eldest").isNotNull(), step("_eldest", 0)).otherwise(step("_turn", 1)).alias("next"), F.lit(1).cast("long").alias("n"))
+    aside = children.where("_older is not null").select("_conv", step("_older", 1).alias("at"), step("_turn", 0).alias("next"), F.lit(0).cast("long").alias("n"))
+    up = ends.select("_conv", step("_youngest", 1).alias("at"), step("parent_turn", 1).alias("next"), F.lit(0).cast("long").alias("n"))
+    tour = scratch.save(enter.unionByName(aside).unionByName(up), "tour-0")  # the last step, that leaves the first turn, isn't in it
+    rounds = math.ceil(math.log2(2 * most + 1))
+    for k in range(0, rounds, 2):  # two doublings to a table
+        for _ in range(min(2, rounds - k)):
+            ahead = tour.select("_conv", F.col("at").alias("next"), F.col("next").alias("_next"), F.col("n").alias("_n"))
+            tour = tour.join(ahead, ["_conv", "next"], "left").select("_conv", "at", F.col("_next").alias("next"), (F.col("n") + F.coalesce("_n", F.lit(0))).alias("n"))
+        tour = scratch.save(tour, f"tour-{k + 2}")
+        scratch.drop(f"tour-{k}")
+    entered = tour.where("at.side = 0").select("_conv", F.col("at.turn").alias("_turn"), "n")
+    left = entered.join(longest.select("_conv", F.col("n").alias("_all"), "_first"), "_conv")
+    return left.select("_conv", "_turn", (F.col("_first") + F.col("_all") - F.col("n")).alias("_place"))
 
 
 def chat(linked: DataFrame, role_col: str = "role") -> Column:
