@@ -2,13 +2,13 @@
 
 A text's pieces are its lines, cut after sentences, and long ones again after words whose hash is 0 modulo
 ``WORD_CUT`` (without blanks: after characters of certain codes), so that a shared passage is cut alike wherever
-it stands. A piece's digest is a 64-bit hash.
+it stands. A piece's digest is a 40-bit hash with a 10-bit check of it behind.
 
-Digests are dealt to blocks by their low bits, about ``PER_BLOCK`` of them or fewer to a block. A block is a
-sketch of cells; each of its digests goes to three, one in each third, and a cell holds the number of its digests, their
-XOR and the XOR of a check hash. Sketches subtract cell by cell, so shared digests vanish, and peeling
+Digests are dealt to blocks by their low hash bits, about ``PER_BLOCK`` of them or fewer to a block. A block is a
+sketch of cells; each of its digests goes to three, one in each third, and a cell is one number: how many digests
+(upper bits), and their XOR (50 bits). Sketches subtract cell by cell, so shared digests vanish, and peeling
 recovers the rest: a cell with one digest left (count 1 or -1, check right) gives it away, and it is taken out of its
-other cells.
+other cells. A digest that was none leaves cells over, so it can't pass for a result.
 
 A ``fingerprint`` is a string that holds all cells of all blocks, and ``with_likeness`` needs two such strings only. A
 block is built so large (twice the cells at each attempt, other hash bits) that it peels to its own digests. Where the
@@ -24,19 +24,21 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 #: Digests to a block, at most on average; cells of a third at the first attempt; attempts before lists are compared.
-PER_BLOCK, THIRD, ATTEMPTS = 6, 8, 6
+PER_BLOCK, THIRD, ATTEMPTS = 2, 4, 6
 #: Characters over which a piece is cut again; one in so many words, or character codes, ends a piece there.
 LONG, WORD_CUT, CODE_CUT = 200, 16, 32
 #: Documents to a bucket of ids, on average, in which a document finds the next.
 BUCKET_ROWS = 2_000
-_PIECE = r"\n|(?<=[.!?])[ \t]+|(?<=[。！？])"
+_SENTENCE = r"([.!?])[ \t]+|([。！？])"
 #: A noncharacter that marks cuts.
 _CUT = "﷑"
-_CELL = "struct<c:int,k:bigint,x:bigint>"
-_PLACED = "array<struct<p:int,c:int,k:bigint,x:bigint>>"
-_BLOCK = f"struct<a:int,cells:array<{_CELL}>,d:array<bigint>>"
-#: The attempt number of a block that lists its digests, and of one that isn't built yet.
-_LISTED, _UNBUILT = 99, -1
+#: Bits of a digest, of its check, and of a placed cell's place; counts stand above.
+_BITS, _CHECK, _PLACE = 50, 10, 8
+_ONE = 1 << (_BITS + _PLACE)
+_VALUE, _COUNT, _PLACES = (1 << _BITS) - 1, -_ONE, ((1 << _PLACE) - 1) << _BITS
+_BLOCK = "struct<a:int,n:int,cells:array<bigint>,d:array<bigint>>"
+#: The attempt number of a block that lists its digests, and of one that isn't built yet; digests that a count can hold.
+_LISTED, _UNBUILT, _MOST = 99, -1, 30
 
 
 def _let(name: str, value: str, body: str) -> str:
@@ -56,96 +58,100 @@ def pieces(text: Column) -> Column:
 
         return F.when(F.length(p) > LONG, F.split(F.array_join(F.transform(F.split(p, " "), word), " "), _CUT)).otherwise(F.array(p))
 
-    return F.filter(F.flatten(F.transform(F.split(F.coalesce(text, F.lit("")), _PIECE, -1), cut)), lambda p: F.length(p) > 0)
+    return F.filter(F.flatten(F.transform(F.split(F.regexp_replace(F.coalesce(text, F.lit("")), _SENTENCE, "$1$2\n"), "\n", -1), cut)), lambda p: F.length(p) > 0)
 
 
 def digests(text: Column) -> Column:
     """The distinct digests of a text's pieces, sorted; none for an empty or null text."""
-    return F.array_sort(F.array_distinct(F.transform(pieces(text), lambda p: F.xxhash64(p))))
+
+    def digest(p: Column) -> Column:
+        h = F.xxhash64(p).bitwiseAND(F.lit((1 << (_BITS - _CHECK)) - 1))
+        return F.shiftleft(h, _CHECK).bitwiseOR(F.xxhash64(h).bitwiseAND(F.lit((1 << _CHECK) - 1)))
+
+    return F.sort_array(F.array_distinct(F.transform(pieces(text), digest)))
 
 
 # --- sketches, as SQL text ----------------------------------------------------
 
 
 def _third(a: str) -> str:
-    return f"shiftleft({THIRD}, least({a}, 3))"
+    return f"shiftleft({THIRD}L, least({a}, 3))"
 
 
-def _mixed(h: str, a: str) -> str:
+def _mixed(v: str, a: str) -> str:
     """The hash that deals a digest to cells: at each attempt another."""
-    return f"if({a} = 0, {h}, xxhash64({h}, {a}))"
-
+    return f"if({a} = 0, {v}, xxhash64({v}, {a}))"
 
-def _check(h: str) -> str:
-    return f"(xxhash64({h}, 7) & {(1 << 41) - 1})"
 
-
-def _at(q: str, p: str, t: str) -> str:
-    """Whether a dealing hash goes to place ``p`` of thirds of ``t`` cells."""
-    return f"(shiftright({q}, 20 + 8 * cast({p} div {t} as int)) & ({t} - 1)) = {p} % {t}"
+def _cell(q: str, third: int, t: str) -> str:
+    """The place within a third of ``t`` cells."""
+    return f"(shiftright({q}, {28 + 6 * third}) & ({t} - 1))"
 
 
 def _built(d: str, a: str) -> str:
     """All cells of a sketch of the digests ``d``, in order."""
-    marked = f"transform({d}, h -> named_struct('h', h, 'q', {_mixed('h', a)}, 'x', {_check('h')}))"
-    cell = f"aggregate(filter(e, h -> {_at('h.q', 'p', 't')}), named_struct('c', 0, 'k', 0L, 'x', 0L), (s, h) -> named_struct('c', s.c + 1, 'k', s.k ^ h.h, 'x', s.x ^ h.x))"
-    return _let("t", _third(a), _let("e", marked, f"transform(sequence(0, 3 * t - 1), p -> {cell})"))
+    mixed = f"transform({d}, v -> named_struct('v', v, 'q', {_mixed('v', a)}))"
+    dealt = f"transform({mixed}, m -> named_struct('v', m.v, 'x', {_cell('m.q', 0, 't')}, 'y', {_cell('m.q', 1, 't')}, 'z', {_cell('m.q', 2, 't')}))"
+    thirds = [f"transform(sequence(0L, t - 1), p -> aggregate(filter(e, m -> m.{f} = p), 0L, (s, m) -> (s + {_ONE}L) ^ m.v))" for f in "xyz"]
+    return _let("t", _third(a), _let("e", dealt, f"concat({', '.join(thirds)})"))
 
 
-def _minus(x: str, y: str) -> str:
-    """The placed cells that two sketches differ in."""
-    less = f"zip_with({x}, {y}, (u, v) -> named_struct('c', u.c - v.c, 'k', u.k ^ v.k, 'x', u.x ^ v.x))"
-    return _placed(less)
+def _placed(cells: str) -> str:
+    """The cells that aren't empty, with their places."""
+    return f"filter(transform({cells}, (n, i) -> if(n = 0, 0L, n | shiftleft(cast(i as bigint), {_BITS}))), n -> n <> 0)"
 
 
-def _placed(cells: str) -> str:
-    one = f"transform({cells}, (c, i) -> named_struct('p', i, 'c', c.c, 'k', c.k, 'x', c.x))"
-    return f"cast(filter({one}, c -> c.c <> 0 or c.k <> 0 or c.x <> 0) as {_PLACED})"
+def _minus(x: str, y: str) -> str:
+    """The placed cells that two sketches differ in."""
+    return _placed(f"zip_with({x}, {y}, (u, v) -> (u - (v & {_COUNT}L)) ^ (v & {_VALUE}L))")
 
 
 def _peeled(cells: str, a: str, rounds: int = 40) -> str:
     """(cells left, digests recovered) of placed cells; it ends when no cell gives a digest away."""
-    pure = f"array_distinct(transform(filter(s.cells, c -> abs(c.c) = 1 and c.x = {_check('c.k')}), c -> named_struct('k', c.k, 'c', c.c, 'x', c.x, 'q', {_mixed('c.k', a)})))"
-    less = f"aggregate(filter(g, q -> {_at('q.q', 'c.p', 'r')}), c, (u, q) -> named_struct('p', u.p, 'c', u.c - q.c, 'k', u.k ^ q.k, 'x', u.x ^ q.x))"
-    left = f"cast(filter(transform(s.cells, c -> {less}), c -> c.c <> 0 or c.k <> 0 or c.x <> 0) as {_PLACED})"
-    state = f"struct<cells:{_PLACED},ks:array<bigint>,on:boolean>"
-    step = _let("g", pure, f"cast(named_struct('cells', {left}, 'ks', concat(s.ks, transform(g, q -> q.k)), 'on', size(g) > 0) as {state})")
-    start = f"cast(named_struct('cells', {cells}, 'ks', array(), 'on', true) as {state})"
-    return _let("r", _third(a), f"aggregate(sequence(1, {rounds}), {start}, (s, i) -> if(size(s.cells) = 0 or not s.on, s, {step}))")
+    pure = f"abs(shiftright(n, {_BITS + _PLACE})) = 1 and (xxhash64(shiftright(n & {_VALUE}L, {_CHECK})) & {(1 << _CHECK) - 1}) = (n & {(1 << _CHECK) - 1})"
+    found = f"array_distinct(transform(filter(s.cells, n -> {pure}), n -> n & {~_PLACES}L))"
+    mixed = f"transform({found}, n -> named_struct('n', n & {_COUNT}L, 'v', n & {_VALUE}L, 'q', {_mixed(f'(n & {_VALUE}L)', a)}))"
+    at = [f"shiftleft({_cell('m.q', k, 'r')} + {k} * r, {_BITS})" for k in range(3)]
+    placed = f"transform({mixed}, m -> named_struct('n', m.n, 'v', m.v, 'at', array({', '.join(at)})))"
+    here = f"array_contains(m.at, n & {_PLACES}L)"
+    left = f"filter(transform(s.cells, n -> aggregate(filter(g, m -> {here}), n, (u, m) -> (u - m.n) ^ m.v)), n -> (n & {~_PLACES}L) <> 0)"
+    state = "struct<cells:array<bigint>,ks:array<bigint>,on:boolean>"
+    step = _let("g", placed, f"cast(named_struct('cells', {left}, 'ks', concat(s.ks, transform(g, m -> m.v)), 'on', size(g) > 0) as {state})")
+    start = f"cast(named_struct('cells', c0, 'ks', array(), 'on', true) as {state})"
+    loop = f"aggregate(sequence(1, {rounds}), {start}, (s, i) -> if(size(s.cells) = 0 or not s.on, s, {step}))"
+    # mostly one round gives all: the XOR of what it gives is then the XOR of a whole third
+    first = f"array_distinct(transform(filter(c0, n -> {pure}), n -> n & {_VALUE}L))"
+    whole = f"aggregate(f0, 0L, (u, v) -> u ^ v) = aggregate(c0, 0L, (u, n) -> if((n & {_PLACES}L) < shiftleft(r, {_BITS}), u ^ (n & {_VALUE}L), u))"
+    quick = _let("f0", first, f"if({whole}, cast(named_struct('cells', array(), 'ks', f0, 'on', true) as {state}), {loop})")
+    return _let("r", _third(a), _let("c0", cells, quick))
 
 
 def _dealt(d: str, n: str) -> str:
     """The digests by block, ``n`` (a power of two) in all; halves of the block's bits are dealt one after the other."""
-    inner = f"transform(sequence(0L, {n} div w - 1), j -> filter(f, h -> (shiftright(h, v) & ({n} div w - 1)) = j))"
-    outer = f"flatten(transform(sequence(0L, w - 1), i -> {_let('f', f'filter({d}, h -> (h & (w - 1)) = i)', inner)}))"
-    return _let("v", f"cast(floor(log2({n}) / 2) as int)", _let("w", "shiftleft(1L, v)", outer))
+    inner = f"transform(sequence(0L, {n} div w - 1), j -> filter(f, v -> (shiftright(v, {_CHECK} + k) & ({n} div w - 1)) = j))"
+    outer = f"flatten(transform(sequence(0L, w - 1), i -> {_let('f', f'filter({d}, v -> (shiftright(v, {_CHECK}) & (w - 1)) = i)', inner)}))"
+    return f"if({n} = 1, array({d}), {_let('k', f'cast(floor(log2({n}) / 2) as int)', _let('w', 'shiftleft(1L, k)', outer))})"
 
 
 def _listed(b: str) -> str:
     """The digests of a block."""
     peel = f"{_peeled(_placed(b + '.cells'), b + '.a')}.ks"
-    return f"if({b}.d is not null, {b}.d, if({b}.a = {_LISTED}, transform({b}.cells, c -> c.k), {peel}))"
-
-
-def _base36(x: str) -> str:
-    return f"conv(cast({x} as string), 10, 36)"
+    return f"if({b}.d is not null, {b}.d, if({b}.a = {_LISTED} or size({b}.cells) = 0, {b}.cells, {peel}))"
 
 
 def _encoded_block(d: str) -> str:
-    """The attempt, and the cells in order: count, check, XOR; nothing for an empty cell. ``r`` and the digests, where no
-    attempt peels."""
-    alone = _let("u", _built("b", "y"), "named_struct('a', y, 'cells', u)")
+    """The attempt (plus a hundred times the number of digests) and the cells in order; the first alone without digests; or,
+    where no attempt peels, the digests themselves."""
+    kind = "struct<a:int,cells:array<bigint>,ok:boolean>"
     # most blocks peel in one round, as each digest has a cell of its own
-    own = f"size(filter(z.cells, c -> c.c = 1)) >= 1 and forall(b, h -> exists(z.cells, c -> c.c = 1 and c.k = h))"
-    good = f"{own} or size({_peeled(_placed('z.cells'), 'z.a')}.cells) = 0"
-    kind = f"struct<a:int,cells:array<{_CELL}>,ok:boolean>"
-    one = _let("z", alone, f"cast(named_struct('a', z.a, 'cells', z.cells, 'ok', {good}) as {kind})")
+    own = f"size(array_intersect(z, transform(b, v -> v | {_ONE}L))) = size(b)"
+    good = f"{own} or size({_peeled(_placed('z'), 'y')}.cells) = 0"
+    one = _let("z", _built("b", "y"), f"cast(named_struct('a', y, 'cells', z, 'ok', {good}) as {kind})")
     start = f"cast(named_struct('a', 0, 'cells', array(), 'ok', false) as {kind})"
     tried = f"aggregate(sequence(0, {ATTEMPTS - 1}), {start}, (m, y) -> if(m.ok, m, {one}))"
-    token = f"if(c.c = 0, '', concat({_base36('c.c')}, lpad({_base36('c.x')}, 8, '0'), {_base36('c.k')}))"
-    raw = f"concat('r,', array_join(transform(b, h -> {_base36('h')}), ','))"
-    text = f"if(m.ok, concat(m.a, ',', array_join(transform(m.cells, c -> {token}), ',')), {raw})"
-    return _let("b", d, f"if(size(b) = 0, '', if(size(b) > 35, {raw}, {_let('m', tried, text)}))")
+    raw = f"concat(array({_LISTED}L + 100 * size(b)), b)"
+    made = _let("m", tried, f"if(m.ok, concat(array(m.a + 100L * size(b)), m.cells), {raw})")
+    return _let("b", d, f"if(size(b) = 0, array(0L), if(size(b) > {_MOST}, {raw}, {made}))")
 
 
 def _set(df: DataFrame, name: str, value: Column) -> DataFrame:
@@ -154,48 +160,50 @@ def _set(df: DataFrame, name: str, value: Column) -> DataFrame:
 
 
 def fingerprint(digests_col: str) -> Column:
-    """The sketch of a column of sorted distinct digests as a string; empty without digests."""
+    """The sketch of a column of sorted distinct digests as a string (JSON numbers by block); empty without digests."""
     blocks = _let("n", f"if(size(d) <= {PER_BLOCK}, 1L, cast(pow(2, ceil(log2(size(d) / {PER_BLOCK}))) as bigint))", _dealt("d", "n"))
-    return F.expr(_let("d", f"`{digests_col}`", f"if(size(d) = 0, '', array_join(transform({blocks}, k -> {_encoded_block('k')}), ';'))"))
+    return F.expr(_let("d", f"`{digests_col}`", f"if(size(d) = 0, '', to_json(transform({blocks}, k -> {_encoded_block('k')})))"))
 
 
 def _decoded(text: str) -> str:
     """The blocks of a fingerprint that isn't empty."""
-    number = lambda x: f"cast(conv({x}, 36, -10) as bigint)"
-    cell = f"if(z = '', named_struct('c', 0, 'k', 0L, 'x', 0L), named_struct('c', cast({number('substring(z, 1, 1)')} as int), 'k', {number('substring(z, 10)')}, 'x', {number('substring(z, 2, 8)')}))"
-    listed = f"named_struct('c', 1, 'k', {number('z')}, 'x', 0L)"
-    tokens = "slice(l, 2, size(l) - 1)"
-    attempt = f"case l[0] when '' then 0 when 'r' then {_LISTED} else cast(l[0] as int) end"
-    none = f"transform(sequence(1, {3 * THIRD}), z -> named_struct('c', 0, 'k', 0L, 'x', 0L))"
-    cells = f"case l[0] when '' then {none} when 'r' then transform({tokens}, z -> {listed}) else transform({tokens}, z -> {cell}) end"
-    return f"transform(split({text}, ';', -1), s -> {_let('l', "split(s, ',', -1)", f"cast(named_struct('a', {attempt}, 'cells', {cells}, 'd', null) as {_BLOCK})")})"
+    return f"transform(from_json({text}, 'array<array<bigint>>'), l -> cast(named_struct('a', l[0] % 100, 'n', l[0] div 100, 'cells', slice(l, 2, size(l) - 1), 'd', null) as {_BLOCK}))"
 
 
 def _size(blocks: str) -> str:
     """How many digests the blocks hold."""
-    return f"aggregate({blocks}, 0L, (s, b) -> s + if(b.a = {_LISTED}, size(b.cells), cast(aggregate(b.cells, 0, (u, c) -> u + c.c) / 3 as bigint)))"
+    return f"aggregate({blocks}, 0L, (s, b) -> s + b.n)"
 
 
 def _widened(blocks: str, n: str) -> str:
     """The same digests in ``n`` blocks, not built yet, where the blocks are fewer."""
     every = f"flatten(transform({blocks}, b -> {_listed('b')}))"
     dealt = _let("w0", every, _dealt("w0", n))
-    return f"if(size({blocks}) = {n}, {blocks}, transform({dealt}, d -> cast(named_struct('a', {_UNBUILT}, 'cells', array(), 'd', d) as {_BLOCK})))"
+    return f"if(size({blocks}) = {n}, {blocks}, transform({dealt}, d -> cast(named_struct('a', {_UNBUILT}, 'n', size(d), 'cells', array(), 'd', d) as {_BLOCK})))"
+
+
+_FOUND = "struct<n:int,ok:boolean>"
+_FAILED = f"cast(named_struct('n', 0, 'ok', false) as {_FOUND})"
+
+
+def _done(peel: str) -> str:
+    return _let("z", peel, f"cast(named_struct('n', size(z.ks), 'ok', size(z.cells) = 0) as {_FOUND})")
 
 
 def _differing(x: str, y: str) -> str:
-    """How many digests stand in one of two blocks only."""
-    cells = lambda b: f"if({b}.a = o, {b}.cells, {_built(b + '.d', 'o')})"
-    kind = "struct<n:int,ok:boolean>"
-    done = lambda peel: _let("z", peel, f"cast(named_struct('n', size(z.ks), 'ok', size(z.cells) = 0) as {kind})")
-    first = done(_peeled(_minus(cells(x), cells(y)), "o"))
-    fits = f"o between 0 and {ATTEMPTS - 1} and ({x}.a = o or {x}.a = {_UNBUILT}) and ({y}.a = o or {y}.a = {_UNBUILT})"
-    again = done(_peeled(_minus(_built("lx", "o2"), _built("ly", "o2")), "o2"))
-    failed = f"cast(named_struct('n', 0, 'ok', false) as {kind})"
-    lists = "if(m.ok, m.n, size(array_except(lx, ly)) + size(array_except(ly, lx)))"
-    larger = _let("lx", _listed(x), _let("ly", _listed(y), _let("m", f"aggregate(sequence(1, {ATTEMPTS - 1}), {failed}, (m, o2) -> if(m.ok or o2 <= o, m, {again}))", lists)))
-    body = _let("m1", f"if({fits}, {first}, {failed})", f"if(m1.ok, m1.n, {larger})")
-    return _let("o", f"greatest({x}.a, {y}.a)", body)
+    """(how many digests stand in one of two blocks only, whether that is known) from the difference of the cells as they are."""
+    cells = lambda b: f"if({b}.d is null, {b}.cells, {_built(b + '.d', 'o')})"
+    known = lambda n: f"cast(named_struct('n', {n}, 'ok', true) as {_FOUND})"
+    fits = f"o between 0 and {ATTEMPTS - 1} and ({x}.a = o or {x}.d is not null) and ({y}.a = o or {y}.d is not null) and {x}.n <= {_MOST} and {y}.n <= {_MOST}"
+    body = _let("o", f"greatest({x}.a, {y}.a)", f"if({fits}, {_done(_peeled(_minus(cells(x), cells(y)), 'o'))}, {_FAILED})")
+    return f"case when {x}.n = 0 or {y}.n = 0 then {known(f'{x}.n + {y}.n')} when {x}.cells = {y}.cells and {x}.a = {y}.a and {x}.a >= 0 then {known('0')} else {body} end"
+
+
+def _retried(lx: str, ly: str) -> str:
+    """How many digests stand in one of two lists only, by larger sketches, at last by comparing the lists."""
+    again = _done(_peeled(_minus(_built(lx, "o"), _built(ly, "o")), "o"))
+    tries = f"aggregate(sequence(1, {ATTEMPTS - 1}), {_FAILED}, (m, o) -> if(m.ok or size({lx}) > {_MOST} or size({ly}) > {_MOST}, m, {again}))"
+    return _let("w", tries, f"if(w.ok, w.n, size(array_except({lx}, {ly})) + size(array_except({ly}, {lx})))")
 
 
 def with_likeness(df: DataFrame, left: str, right: str, name: str) -> DataFrame:
@@ -211,11 +219,16 @@ def with_likeness(df: DataFrame, left: str, right: str, name: str) -> DataFrame:
         ("_fp_n", "greatest(size(_fp_p), size(_fp_q))"),
         ("_fp_p", _widened("_fp_p", "_fp_n")),
         ("_fp_q", _widened("_fp_q", "_fp_n")),
-        ("_fp_off", f"aggregate(zip_with(_fp_p, _fp_q, (bx, by) -> {_differing('bx', 'by')}), 0L, (s, k) -> s + k)"),
+        ("_fp_one", f"zip_with(_fp_p, _fp_q, (bx, by) -> {_differing('bx', 'by')})"),
+        # the digests of both blocks where the difference is still to be found
+        ("_fp_p", f"zip_with(_fp_p, _fp_one, (b, m) -> if(m.ok, null, {_listed('b')}))"),
+        ("_fp_q", f"zip_with(_fp_q, _fp_one, (b, m) -> if(m.ok, null, {_listed('b')}))"),
+        ("_fp_two", f"zip_with(_fp_p, _fp_q, (lx, ly) -> if(lx is null, 0, {_retried('lx', 'ly')}))"),
+        ("_fp_off", "aggregate(_fp_one, 0L, (s, m) -> s + m.n * cast(m.ok as int)) + aggregate(_fp_two, 0L, (s, k) -> s + k)"),
         (name, f"if({equal}, 1.0D, if({empty}, 0.0D, cast(_fp_both - _fp_off as double) / (_fp_both + _fp_off)))"),
     ):
         df = _set(df, column, F.expr(step)) if column == name else df.withColumn(column, F.expr(step))
-    return df.drop("_fp_p", "_fp_q", "_fp_both", "_fp_n", "_fp_off")
+    return df.drop("_fp_p", "_fp_q", "_fp_both", "_fp_n", "_fp_one", "_fp_two", "_fp_off")
 
 
 def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
