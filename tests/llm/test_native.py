@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from tests.oracle import same
-from tidemark.llm import fingerprints, mixing, queries, quotations, secrets, sharding
+from tidemark.llm import decontaminate, fingerprints, language, mixing, queries, quotations, secrets, sharding, toxicity
 from tidemark.llm.shared import Scratch
 
 
@@ -103,6 +103,25 @@ def test_secrets(spark):
         assert all(s["value"] == (t or "").replace("﷐", "�")[s["start"] : s["end"]] for s in out[i]["secrets"])
     assert [s["kind"] for s in out[4]["secrets"]] == [3]
     assert not out[11]["secrets"] and not out[12]["secrets"] and not out[150]["secrets"]
+
+
+def test_random_strings_held_out(spark):
+    """Rates of the fourth kind on strings that the training never saw."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = secrets.train(docs.select("doc_id", "text"))
+    assert model.recall > 0.95 and (model.false_alarms or 0) < 0.02 and model.min_ratio > 0
+    rng = random.Random(77)
+    b62 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    fresh = [("x " + "".join(rng.choice(b62) for _ in range(rng.randrange(24, 60))) + " y", True) for _ in range(300)]
+    words = "configuration parameter interface description template database connection maximum temporary directory resource identifier response handler".split()
+    fresh += [("x " + rng.choice("_-/").join(rng.choice(words) for _ in range(rng.randrange(2, 5))) + "_module y", False) for _ in range(300)]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(fresh)], "doc_id long, text string")
+    hit = {r["doc_id"]: any(s["kind"] == 3 for s in r["secrets"]) for r in secrets.scan(df, model).collect()}
+    assert sum(hit[i] for i, (_, y) in enumerate(fresh) if y) >= 0.95 * 300 and sum(hit[i] for i, (_, y) in enumerate(fresh) if not y) <= 0.02 * 300
+
+
+def test_secrets_of_nothing(spark):
+    df = spark.createDataFrame([(1, None, "clash")], "doc_id long, text string, secrets string")
     assert secrets.scan(df.limit(0), secrets.train(df.limit(0))).count() == 0
 
 
@@ -193,11 +212,40 @@ def test_a_long_chain_of_branches_takes_few_jobs(spark):
     assert len(jobs) < 80
 
 
+CLASHES = """_key _l0 _l1 _m0 _m_key _m_tokens tokens docs full rest got cut cap weight buckets _b _h _last _letters _base _id _text _grade h secrets_ slot_
+    _tail d print next_print edited _fp_p _fp_q _bucket _conv _turn body quotes parent_turn place page_id html payload_sha1 refers_to _item""".split()
+
+
+def test_columns_named_like_internal_ones(spark):
+    rows = [(f"doc-{i}", f"Some words of text number {i}, enough of them to matter. token={i}abcdefgh", "en" if i % 2 else "de", "src1", *["clash"] * len(CLASHES)) for i in range(40)]
+    df = spark.createDataFrame(rows, ", ".join(f"{c} string" for c in ["doc_id", "text", "lang", "source", *CLASHES]))
+    every = set(df.columns)
+    mixed = mixing.mix(df, {"lang": F.col("lang"), "source": F.col("source")}, {"lang": {"en": 0.5, "*": 0.5}}, 0.9, 2)
+    assert every < set(mixed.columns) and mixed.where("cut = 'clash' and tokens = 'clash'").count() == mixed.count() > 0
+    found = secrets.scan(df, secrets.train(df))
+    assert every < set(found.columns) and found.where("size(secrets) = 1 and _base = 'clash'").count() == 40
+    known = language.identify(df, language.train(df))
+    assert every < set(known.columns) and known.where("_letters = 'clash' and lang_pred <> 'und'").count() == 40
+    labels = spark.createDataFrame([(f"doc-{i}", i % 3, "clash", "clash") for i in range(30)], "doc_id string, toxic int, text string, _grade string")
+    graded = toxicity.grade(df, toxicity.fit(df, labels))
+    assert every < set(graded.columns) and graded.where("_grade = 'clash'").count() == 40
+    assert every < set(sharding.place(df, ["a", "b"]).columns)
+    items = spark.createDataFrame([("q1", "Some words of text number 7, enough of them to matter. token", "clash")], "item_id string, text string, _item string")
+    clean = decontaminate.decontaminate(df, items, carry=True)
+    assert clean.where("n_items = 1").select("doc_id").collect()[0][0] == "doc-7" and every == set(clean.select("row.*").columns)
+
+
 def test_sharding(spark):
     names = [f"s{i}" for i in range(7)]
     table = sharding.fill(names, 1009)
     n = Counter(table)
     assert len(table) == 1009 and max(n.values()) - min(n.values()) <= 1
+    order = {n: [(int.from_bytes(hashlib.sha256(n.encode()).digest()[:8], "big") + k * (int.from_bytes(hashlib.sha256(n.encode()).digest()[8:16], "big") % 1008 + 1)) % 1009 for k in range(1009)] for n in names}
+    plain, turn = {}, 0
+    while len(plain) < 1009:  # shards in turn take the first free slot of their permutation
+        plain[next(s for s in order[names[turn % 7]] if s not in plain)] = turn % 7
+        turn += 1
+    assert table == [plain[s] for s in range(1009)]
     fewer = sharding.fill(names[:-1], 1009)
     assert sum(a != b for a, b in zip(table, fewer, strict=True)) < 1009 * 0.35
     w = Counter(sharding.fill(["a", "b"], 1009, [3, 1]))
@@ -208,6 +256,10 @@ def test_sharding(spark):
     key = lambda t: int(hashlib.sha256(t.encode()).hexdigest()[:15], 16) % sharding.SLOTS
     assert {r["slot"] for r in got if r["doc_id"] == 1} == {key("1")}
     assert sharding.place(df.limit(0), names).count() == 0
+    path = Scratch(spark, "t").path("shards")
+    sharding.write_shards(spark.range(500).select(F.col("id").alias("doc_id"), F.col("id").cast("string").alias("text")).transform(sharding.place, names), path, 2)
+    back = spark.read.parquet(path)
+    assert back.count() == 500 and back.select("shard").distinct().count() == 7
 
 
 def pieces(t):
@@ -247,7 +299,7 @@ def odd_texts():
     return texts
 
 
-@pytest.mark.parametrize("third", [8, 1])  # with thirds of one cell nothing peels at first, and most blocks list their digests
+@pytest.mark.parametrize("third", [4, 1])  # with thirds of one cell nothing peels at first, and most blocks list their digests
 def test_fingerprints(spark, monkeypatch, third):
     monkeypatch.setattr(fingerprints, "BUCKET_ROWS", 9)
     monkeypatch.setattr(fingerprints, "THIRD", third)
@@ -271,8 +323,8 @@ def test_fingerprints(spark, monkeypatch, third):
     pairs = some.crossJoin(some.select(F.col("doc_id").alias("other"), F.col("fingerprint").alias("theirs")))
     for r in fingerprints.with_likeness(pairs, "fingerprint", "theirs", "near").collect():
         assert abs(r["near"] - like(pieces(texts[r["doc_id"]] or ""), pieces(texts[r["other"]] or ""))) < 1e-12
-    if third == 8:
-        assert saved.where("fingerprint like '%r,%'").count() == 0 and like(pieces(texts[903]), pieces(texts[906])) > 0.9
+    if third == 4:
+        assert saved.where("fingerprint like '%99,%'").count() < 20 and like(pieces(texts[903]), pieces(texts[906])) > 0.9
 
 
 def test_a_text_without_line_or_sentence_ends_shares_its_first_half(spark):

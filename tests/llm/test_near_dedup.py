@@ -74,6 +74,64 @@ def test_a_bridge_by_one_copy_of_a_large_group(spark, monkeypatch, node):
     check(spark, rows)
 
 
+@pytest.mark.parametrize(("groups", "members"), [(8, 320), (1, 4500)])
+def test_bridges_at_production_sizes(spark, groups, members):
+    """Every group has a document that reaches 75 % with one of its members only; nodes are over 256, or over 4096."""
+    rows, of = [], {}
+    for g in range(groups):
+        base = [f"g{g}b{i}" for i in range(300)]
+        first = len(rows)
+        rows += [(first + k, " ".join([*base, *(f"g{g}t{k}x{j}" for j in range(3))])) for k in range(members)]
+        of[100_000 + g] = (first, " ".join(rows[first + members // 3][1].split()[74:]))
+    near = lambda a, b: len(a & b) / len(a | b)
+    sets = lambda t: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)}
+    for first, text in of.values():
+        one = sets(text)
+        assert sum(near(one, sets(t)) >= 0.75 for _, t in rows[first : first + members]) == 1
+    got = run(spark, rows + [(i, t) for i, (_, t) in of.items()])
+    assert {i: got[i]["component_id"] for i in of} == {i: first for i, (first, _) in of.items()}
+
+
+@pytest.mark.parametrize("pairs", [400, 2200])
+def test_recall_at_the_threshold_in_large_nodes(spark, pairs):
+    """Pairs at 75 to 80 % among documents that share most of their words, but are alike to under 75 %."""
+    rng = random.Random(pairs)
+    common, rows, want = [f"c{i}" for i in range(110)], [], 0
+    sets = lambda w: {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
+    planted = {}
+    for p in range(pairs):
+        a = [*common, *(f"p{p}w{i}" for i in range(60))]
+        while True:
+            b = list(a)
+            for at in rng.sample(range(len(a)), rng.randrange(2, 8)):
+                b[at] = f"p{p}z{at}"
+            j = len(sets(a) & sets(b)) / len(sets(a) | sets(b))
+            if 0.75 <= j < 0.8:
+                break
+        planted[2 * p] = 2 * p + 1
+        rows += [(2 * p, " ".join(a)), (2 * p + 1, " ".join(b))]
+    got = run(spark, rows)
+    found = sum(got[b]["component_id"] == a for a, b in planted.items())
+    assert found >= 0.99 * pairs and sum(r["kept"] for r in got.values()) == 2 * pairs - found
+
+
+def test_heavy_nodes_are_confirmed_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "WEIGHT", 300)
+    monkeypatch.setattr(near_dedup, "LEAF", 16)
+    check(spark, corpus(6, 4, 30))
+
+
+def test_string_ids_and_names_like_internal_ones(spark):
+    rows = corpus(9, 6, 4)
+    want = brute(rows)
+    name = lambda i: f"doc-{i:04d}"
+    names = ["node", "rep", "label", "set_key", "_text", "name", "component_id"]
+    df = spark.createDataFrame([(name(i), t, *["clash"] * len(names)) for i, t in rows] + [(None, "a b", *["clash"] * len(names))], ", ".join(f"{c} string" for c in ["_id", "text", *names]))
+    got = {r["_id"]: r for r in near_dedup.near_duplicates(df, "_id").collect()}
+    assert {i: (r["n_shingles"], r["component_id"]) for i, r in got.items() if i} == {name(i): (n, name(c)) for i, (n, c) in want.items()}
+    assert got[None]["component_id"] is None and got[None]["kept"] and all(r["kept"] == (r["component_id"] == i) for i, r in got.items() if i)
+
+
 def test_edges(spark):
     long = " ".join(f"t{i}" for i in range(30000))
     rows = [(5, None), (6, ""), (7, " \n\t"), (8, "a b"), (9, "a b"), (10, "a b c d e"), (11, "a b c d e"), (12, long), (13, long + " z"), (14, "é à")]

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import text_chunks
+from .shared import fresh, text_chunks
 
 BUCKETS, DIM = 1 << 15, 16
 #: Bound of the fit: about so many rows of each language.
@@ -76,10 +76,8 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     sizes = {r["_lang"]: r["n"] for r in rows.groupBy("_lang").agg(F.count("*").alias("n")).collect()}  # as many as languages
     if not sizes:
         return Model([], np.zeros((BUCKETS, 0)), np.zeros(0), 1.0, 0.0)
-    share = F.lit(0.0)
-    for lang, n in sizes.items():
-        share = F.when(F.col("_lang") == lang, F.lit(min(1.0, per_lang / n))).otherwise(share)
-    picked = rows.where(F.pmod("_id_hash", F.lit(1 << 30)) < share * (1 << 30))
+    shares = spark.createDataFrame([(lang, int(min(1.0, per_lang / n) * (1 << 30))) for lang, n in sizes.items()], "_lang string, _share long")
+    picked = rows.join(F.broadcast(shares), "_lang").where(F.pmod("_id_hash", F.lit(1 << 30)) < F.col("_share"))
     got = picked.mapInArrow(_counts, "_id_hash long, _lang string, ids array<int>, times array<float>").toArrow()
     langs = sorted(sizes)
     order = np.argsort(got.column("_id_hash").to_numpy(), kind="stable")
@@ -129,6 +127,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kept = [c for c in docs.columns if c.lower() not in ("lang_pred", "score", "rejected")]
+    letters = fresh(docs, "_letters")
 
     def run(batches):
         m = shared.value
@@ -149,7 +148,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
                         v = m.table[:, k].astype(np.float32)[code].astype(np.float64)
                         z[at + some, k] += np.add.reduceat(v, bounds[:-1] if last else bounds)[::2]
                     total[at + some] += (b - a)[some]
-            has = batch.column("_letters").fill_null(False).to_numpy(zero_copy_only=False) & (langs > 0)
+            has = batch.column(letters).fill_null(False).to_numpy(zero_copy_only=False) & (langs > 0)
             if langs:
                 p = _softmax((z / np.maximum(total, 1)[:, None] + m.bias) / m.temperature)
                 best, score = p.argmax(axis=1), p.max(axis=1)
@@ -162,4 +161,4 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
 
     own = docs.select(*kept)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema)
-    return own.withColumn("_letters", F.col(text_col).rlike(r"\p{L}")).mapInArrow(run, f"{schema}, lang_pred string, score double, rejected boolean")
+    return own.withColumn(letters, F.col(text_col).rlike(r"\p{L}")).mapInArrow(run, f"{schema}, lang_pred string, score double, rejected boolean")

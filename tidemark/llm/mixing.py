@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .shared import Scratch
+from .shared import Scratch, fresh
 
 #: Leaves up to which the table of cuts is broadcast, and documents to a bucket, on average.
 MAX_LEAVES, BUCKET = 20_000, 1_000
@@ -97,14 +97,15 @@ def mix(
     """
     spark = docs.sparkSession
     kept = [c for c in docs.columns if c.lower() not in ("epoch", "n_tokens")]
-    names = [f"_l{i}" for i in range(len(tree))]
+    own = fresh(docs, "_m")  # of the operator's own columns beside the rows'
+    names = [f"{own}{i}" for i in range(len(tree))]
     levels = [F.coalesce(c.cast("string"), F.lit("(null)")).alias(n) for n, c in zip(names, tree.values(), strict=True)]
     by_name = {n: weights[k] for n, k in zip(names, tree, strict=True) if k in weights}
     tokens = F.coalesce(F.regexp_count(F.col(text_col), F.lit(r"[^ \t\n\r\f\x0B]+")), F.lit(0)).cast("long")
     key = F.coalesce(F.col(id_col).cast("string"), F.lit("(null)"))
-    rows = docs.select(*kept, *levels, tokens.alias("n_tokens"), key.alias("_key"))
+    rows = docs.select(*kept, *levels, tokens.alias(f"{own}_tokens"), key.alias(f"{own}_key"))
     scratch = Scratch(spark, "mix")
-    narrow = scratch.save(rows.select(*names, "_key", "n_tokens"), "narrow")
+    narrow = scratch.save(rows.select(*names, F.col(f"{own}_key").alias("_key"), F.col(f"{own}_tokens").alias("n_tokens")), "narrow")
     leaves = narrow.groupBy(*names).agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("docs"))
     leaves = leaf_budgets(leaves, names, by_name, fraction, max_epochs)
     epochs = F.when(F.col("tokens") > 0, F.floor((F.col("got") + 1e-6) / F.col("tokens"))).otherwise(F.when(F.col("docs") > 0, F.lit(0))).cast("long")
@@ -118,8 +119,11 @@ def mix(
     hashed = hashed.withColumn("_h", order_key(seed, F.col("full") + 1, F.col("_key")))
     hashed = hashed.withColumn("_b", F.shiftright(F.shiftright("_h", _BITS // 2) * F.col("buckets"), _BITS // 2))
     totals = hashed.groupBy(*names, "_b").agg(F.sum("n_tokens").alias("t"), F.first("rest").alias("rest"))
-    upto = F.sum("t").over(W.partitionBy(*names).orderBy("_b"))
-    totals = totals.withColumn("_upto", upto)
+    # running sums over buckets, and over groups of BUCKET buckets first, so that no task sums a whole leaf
+    totals = totals.withColumn("_g", F.floor(F.col("_b") / BUCKET))
+    groups = totals.groupBy(*names, "_g").agg(F.sum("t").alias("g"))
+    groups = groups.withColumn("_ahead", F.coalesce(F.sum("g").over(W.partitionBy(*names).orderBy("_g").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("g")
+    totals = totals.join(groups, [*names, "_g"]).withColumn("_upto", F.col("_ahead") + F.sum("t").over(W.partitionBy(*names, "_g").orderBy("_b")))
     # the first bucket that goes over the rest holds the cut; without one the whole epoch fits
     over = totals.where("_upto > rest").groupBy(*names).agg(F.min(F.struct("_b", (F.col("_upto") - F.col("t")).alias("before"))).alias("m"))
     over = over.select(*names, F.col("m._b").alias("_b"), F.col("m.before").alias("_before"))
@@ -128,9 +132,11 @@ def mix(
     first_out = inside.withColumn("_run", run).where("_run > rest").groupBy(*names).agg(F.min(F.struct("_h", "_key")).alias("cut"))
     cuts = scratch.save(leaves.select(*names, "full", "rest", "tokens", "got").join(first_out, names, "left"), "cuts")
 
-    out = rows.join(small(cuts), names)
-    h = order_key(seed, F.col("full") + 1, F.col("_key"))
-    fits = F.when(F.col("tokens") == 0, F.col("full") == 0).otherwise((F.col("rest") > 0) & (F.col("cut").isNull() | (F.struct(h.alias("_h"), F.col("_key")) < F.col("cut"))))
-    last = F.col("full") + F.coalesce(fits, F.lit(False)).cast("long")
-    out = out.withColumn("_last", last).where("_last > 0")
-    return out.select(*kept, "n_tokens", F.explode(F.sequence(F.lit(1).cast("long"), "_last")).alias("epoch"))
+    cut = F.col(f"{own}_cut")
+    out = rows.join(small(cuts.select(*names, F.struct("full", "rest", "tokens", F.col("cut._h").alias("h"), F.col("cut._key").alias("key")).alias(f"{own}_cut"))), names)
+    h, place = order_key(seed, cut["full"] + 1, F.col(f"{own}_key")), F.col(f"{own}_key")
+    under = cut["h"].isNull() | (h < cut["h"]) | ((h == cut["h"]) & (place < cut["key"]))
+    fits = F.when(cut["tokens"] == 0, cut["full"] == 0).otherwise((cut["rest"] > 0) & under)
+    last = cut["full"] + F.coalesce(fits, F.lit(False)).cast("long")
+    out = out.withColumn(f"{own}_last", last).where(F.col(f"{own}_last") > 0)
+    return out.select(*kept, F.col(f"{own}_tokens").alias("n_tokens"), F.explode(F.sequence(F.lit(1).cast("long"), f"{own}_last")).alias("epoch"))

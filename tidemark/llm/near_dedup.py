@@ -45,6 +45,8 @@ SLACK = 3.5
 FEW_IDS = 2_000_000
 #: Share of coordinates on which a member must agree with the leader to leave a large node.
 FOLLOW = 0.95
+#: Shingles of one node's texts up to which they are confirmed in one task; more are dealt to pairs of blocks.
+WEIGHT = 2_000_000
 #: Ids under this are nodes that are compared in blocks at once (of other nodes, 1 in 16 million).
 WHOLE = 1 << 40
 
@@ -403,9 +405,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Null or blank text: no shingles, linked with nothing, its own component. Rows with the same
     id are one document of several texts: links of any of them count, and every row is
-    returned. A null id is never linked and keeps a null component; it is kept. Columns other
+    returned. A null id is never linked and keeps a null component; it is kept. Ids may be of any type that has an order;
+    those that are no integers are numbered first. Columns other
     than the two named are ignored, whatever their names. An empty table gives no rows.
     """
+    if dict(docs.dtypes)[id_col] not in ("tinyint", "smallint", "int", "bigint"):
+        return _numbered(docs, id_col, text_col, width, percent, trees)
     spark = docs.sparkSession
     scratch = Scratch(spark, "near")
     src = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
@@ -432,7 +437,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         labelled = labelled.unionByName(_beside_nodes(beside, labels, scratch))
     open_ = scratch.save(_compared(labelled, reps, percent, "apart").select(F.col("a").alias("node"), F.col("b").alias("rep")), "open")
     texts = _texts(src, open_.select(F.col("rep").alias("_id")).distinct())
-    again = labelled.join(open_, ["node", "rep"], "left_semi")
+    again = _by_weight(labelled.join(open_, ["node", "rep"], "left_semi"), reps)
     more = scratch.save(_compared(again, reps, percent, "confirm", width, texts).distinct(), "links-2")
     if not more.isEmpty():
         labels = scratch.save(components(spark, one.unionByName(more), scratch, "parts-2"), "labels-2")
@@ -443,6 +448,28 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select(F.col("_id").alias(id_col), "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("_id"), F.lit(True)).alias("kept"))
 
 
+def _numbered(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int, trees: int) -> DataFrame:
+    """The same for ids of another type: each distinct id gets a number, written once, and a component the least of its ids."""
+    scratch = Scratch(docs.sparkSession, "near-ids")
+    names = docs.select(F.col(id_col).alias("name")).where("name is not null").distinct()
+    names = scratch.save(names.select("name", F.monotonically_increasing_id().alias("_id")), "names")
+    rows = docs.select(F.col(id_col).alias("name"), F.col(text_col).alias("text")).join(names, "name", "left")
+    groups = near_duplicates(rows.select("_id", "text"), "_id", "text", width, percent, trees)
+    named = scratch.save(groups.select("_id", "n_shingles", "component_id").join(names, "_id", "left"), "named")
+    least = named.where("name is not null").groupBy("component_id").agg(F.min("name").alias("least"))
+    out = named.join(least, "component_id", "left")
+    return out.select(F.col("name").alias(id_col), "n_shingles", F.col("least").alias("component_id"), F.coalesce(F.col("least") == F.col("name"), F.lit(True)).alias("kept"))
+
+
+def _by_weight(nodes: DataFrame, reps: DataFrame) -> DataFrame:
+    """(node, rep, label) with the nodes of many long texts cut to blocks, and a node for each pair of blocks."""
+    heavy = nodes.join(reps.select("rep", "n_shingles"), "rep").groupBy("node").agg(F.sum("n_shingles").alias("w")).where(F.col("w") > WEIGHT)
+    dealt = nodes.join(heavy, "node").withColumn("k", F.ceil(F.col("w") * 2 / WEIGHT)).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("k")))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)))
+    pairs = dealt.select(F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other")).alias("node"), "rep", "label")
+    return nodes.join(heavy.select("node"), "node", "left_anti").unionByName(pairs)
+
+
 def _tree_nodes(reps: DataFrame, percent: int, scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame | None]:
     """(node, rep) of all nodes to compare, the (a, b) pairs of leaders and followers, and (node, rep, follows)
     of the followers and what may be linked with them."""

@@ -15,14 +15,13 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Where the session has none (local tests), one is set beside the warehouse.
+    Where a local session has none (tests), one is set; on a cluster that is an error, as machines don't share ``/tmp``.
     """
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if found:
         return found
-    current = spark.sparkContext.getCheckpointDir()
-    if current:
-        return current
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     spark.sparkContext.setCheckpointDir("/tmp/checkpoints")
     return spark.sparkContext.getCheckpointDir()
 
@@ -53,6 +52,14 @@ class Scratch:
             p.getFileSystem(conf).delete(p, True)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name`` with as many underscores in front as it takes to begin no column of ``df``."""
+    taken = [c.lower() for c in df.columns]
+    while any(c.startswith(name.lower()) for c in taken):
+        name = f"_{name}"
+    return name
+
+
 # --- words of a text column ---------------------------------------------------
 
 #: Bytes of text handled at once; a longer single text is hashed piece by piece.

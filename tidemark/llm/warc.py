@@ -19,21 +19,31 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import Scratch
 
 #: Payload bytes from which equal payloads are revisits, and bytes after which an archive is closed.
 MIN_REVISIT, ARCHIVE_BYTES = 1000, 256 << 20
+#: Revisits up to which their ids are broadcast; more are joined by a shuffle of the payloads.
+FEW_REVISITS = 1_000_000
 DATE = "2024-01-01T00:00:00Z"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
 def _file_system(path: str):
+    """The file system of a qualified path, and the path within it."""
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
+    scheme, _, rest = path.partition(":")
+    return fs.FileSystem.from_uri(f"file://{'/' + rest.lstrip('/')}" if scheme == "file" else path)
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with the scheme that Spark takes it by: without one, that of the default file system."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(p).toString()
 
 
 def _digest(data: bytes) -> str:
@@ -108,7 +118,7 @@ def _write(folder: str, limit: int):
         def close():
             out.close()
             fs.move(f"{target}.open", target)
-            done.append((target, count, size))
+            done.append((f"{folder}/{target.rpartition('/')[2]}", count, size))
 
         for batch in batches:
             cols = [batch.column(c) for c in ("page_id", "url", "html", "payload_sha1", "record_type", "refers_to")]
@@ -128,8 +138,7 @@ def _write(folder: str, limit: int):
                     out = None
         if out is not None:
             close()
-        prefix = folder.split("://")[0] + "://" if "://" in folder else "file://"
-        yield pa.RecordBatch.from_arrays([pa.array([prefix + t for t, _, _ in done], pa.string()), pa.array([c for _, c, _ in done], pa.int64()), pa.array([s for _, _, s in done], pa.int64())], ["path", "records", "bytes"])
+        yield pa.RecordBatch.from_arrays([pa.array([t for t, _, _ in done], pa.string()), pa.array([c for _, c, _ in done], pa.int64()), pa.array([s for _, _, s in done], pa.int64())], ["path", "records", "bytes"])
 
     return run
 
@@ -147,6 +156,9 @@ def plan_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     first = large.groupBy("payload_sha1").agg(F.max("page_id").alias("refers_to"), F.min("page_id").alias("_low")).where("refers_to <> _low").drop("_low")
     again = large.join(first, "payload_sha1").where("page_id <> refers_to").distinct()
     again = again.withColumnRenamed("payload_sha1", "_sha1").withColumnRenamed("page_id", "_page")
+    again = Scratch(pages.sparkSession, "warc-plan").save(again, "revisits")
+    if again.count() <= FEW_REVISITS:  # then the payloads stay where they are read
+        again = F.broadcast(again)
     both = keyed.join(again, (F.col("page_id") == F.col("_page")) & (F.col("payload_sha1") == F.col("_sha1")), "left")
     return both.select("page_id", "url", "html", "payload_sha1", F.when(F.col("refers_to").isNull(), F.lit("response")).otherwise(F.lit("revisit")).alias("record_type"), "refers_to")
 
@@ -154,6 +166,7 @@ def plan_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
 def write_archives(pages: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BYTES, **names) -> DataFrame:
     """Writes the pages to archives in ``folder`` (shared by all executors) and returns (path, records, bytes)."""
     scratch = Scratch(pages.sparkSession, "warc-list")
+    folder = qualified(pages.sparkSession, folder)
     rows = plan_records(pages, **names)
     return scratch.save(rows.mapInArrow(_write(folder, archive_bytes), "path string, records long, bytes long"), "paths")
 
@@ -194,4 +207,4 @@ def read_archives(paths: DataFrame, payload: bool = True) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _READ.types, strict=True)], schema=_READ)
 
     ddl = "path string, record_id string, url string, record_type string, refers_to string, payload_bytes long, payload_digest string, payload binary, valid boolean"
-    return paths.where("path is not null").select("path").repartition(max(1, paths.count())).mapInArrow(run, ddl)
+    return paths.where("path is not null").select("path").repartitionByRange(max(1, paths.count()), "path").mapInArrow(run, ddl)
