@@ -341,13 +341,16 @@ def aligned_union(*frames: DataFrame) -> DataFrame:
     return out
 
 
-def closure(spark, edges: DataFrame, roots: DataFrame, child: str, parent: str, max_depth: int = 100) -> DataFrame:
+def closure(spark, edges: DataFrame, roots: DataFrame, child: str, parent: str, stop: DataFrame | None = None) -> DataFrame:
     """(root, node, depth) of everything reachable from the roots over child-to-parent edges, with the
-    least depth. Each round joins the new frontier only; written to the checkpoint folder, so lineage stays short."""
+    least depth. Each round joins the new frontier only, until none is left; written to the checkpoint folder, so lineage
+    stays short. Nodes in ``stop`` (node) are reached but not passed."""
     frontier = roots.select(F.col(roots.columns[0]).alias("root"), F.col(roots.columns[0]).alias("node"), F.lit(0).alias("depth")).distinct()
     e = edges.select(F.col(child).alias("node"), F.col(parent).alias("_to")).where("_to is not null").distinct()
+    if stop is not None:
+        e = e.join(stop.select("node"), "node", "left_anti")
     seen = frontier
-    for _ in range(max_depth):
+    while True:  # it ends by itself, as pairs seen before are left out
         new = frontier.join(e, "node").select("root", F.col("_to").alias("node"), (F.col("depth") + 1).alias("depth")).distinct()
         frontier = new.join(seen, ["root", "node"], "left_anti")
         if spark.sparkContext.getCheckpointDir():

@@ -34,7 +34,9 @@ def state_at(releases: DataFrame, full: DataFrame, changes: DataFrame, target: s
     (release_id, item_id, revision_id), ``changes`` (release_id, item_id, new_revision_id)."""
     spark = releases.sparkSession
     root = releases.where(F.col("release_id") == target).select("release_id")
-    line = closure(spark, releases, root, "release_id", "parent_release_id", 100_000).select(F.col("node").alias("release_id"), "depth")
+    # no further back than the nearest full release
+    written = releases.where("release_mode <> 'delta'").select(F.col("release_id").alias("node"))
+    line = closure(spark, releases, root, "release_id", "parent_release_id", written).select(F.col("node").alias("release_id"), "depth")
     modes = line.join(releases.select("release_id", "release_mode"), "release_id")
     base = modes.where("release_mode <> 'delta'").agg(F.min("depth").alias("_base"))  # one row
     near = modes.join(F.broadcast(base)).where(F.col("_base").isNull() | (F.col("depth") <= F.col("_base")))

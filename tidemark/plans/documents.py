@@ -85,15 +85,25 @@ def d9(t: Tables):
     return D.blocks(t.documents, "doc_id").select("doc_id", "block_no", "part_no", F.octet_length("block").alias("bytes"))
 
 
-@query("d10_headings", "SELECT doc_id, count(*) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS b FROM documents) WHERE length(b) <= 180 AND (regexp_matches(b, '^[A-Z0-9][A-Z0-9 /:_.()-]{5,}$') OR regexp_matches(b, '^[0-9]+(\\.[0-9]+)*\\s+\\S')) GROUP BY 1")
+def _sectioned(t: Tables):
+    """Documents as manuals: a numbered title, paragraphs for lines, and a last section in capitals."""
+    head = F.concat(F.lit("1."), (c("doc_id") % 9).cast("string"), F.lit(" "), "source")
+    notes = F.concat(F.upper("source"), F.lit(" NOTES"))
+    return t.documents.withColumn("text", F.concat_ws("\n\n", head, F.replace("text", F.lit("\n"), F.lit("\n\n")), notes, "lang"))
+
+
+_SECTIONED = "SELECT doc_id, '1.' || doc_id % 9 || ' ' || source || chr(10) || chr(10) || replace(text, chr(10), chr(10) || chr(10)) || chr(10) || chr(10) || upper(source) || ' NOTES' || chr(10) || chr(10) || lang AS text FROM documents"
+
+
+@query("d10_headings", f"SELECT doc_id, count(*) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS b FROM ({_SECTIONED})) WHERE length(b) <= 180 AND (regexp_matches(b, '^[A-Z0-9][A-Z0-9 /:_.()-]{{5,}}$') OR regexp_matches(b, '^[0-9]+(\\.[0-9]+)*\\s+\\S')) GROUP BY 1")
 def d10(t: Tables):
-    lines = t.documents.select("doc_id", F.explode(F.split("text", "\n")).alias("b")).where(T.is_heading(c("b")))
+    lines = _sectioned(t).select("doc_id", F.explode(F.split("text", "\n")).alias("b")).where(T.is_heading(c("b")))
     return lines.groupBy("doc_id").agg(F.count("*").alias("n"))
 
 
 @query("d11_fragments")
 def d11(t: Tables):
-    return D.fragments(t.documents, "doc_id").select("doc_id", "ordinal", "section_title", "content_hash", F.octet_length("content").alias("bytes"))
+    return D.fragments(_sectioned(t), "doc_id").select("doc_id", "ordinal", "section_title", "content_hash", F.octet_length("content").alias("bytes"))
 
 
 @query("d12_content_hash", "SELECT doc_id, 'sha256:' || sha256(text) AS content_hash FROM documents")
@@ -119,9 +129,10 @@ def d14(t: Tables):
     return D.duplicates_of(rows, "doc_id", "url", "hash", "at")
 
 
-@query("d15_command_lines")
+@query("d15_command_lines", "SELECT p_partkey, unnest(['show version ' || p_brand, 'configure terminal', 'no ip route 10.0.0.' || p_size]) AS command FROM part")
 def d15(t: Tables):
-    return t.documents.select("doc_id", F.explode(T.command_lines(c("text"))).alias("command"))
+    lines = [F.concat(F.lit("1. show  version "), "p_brand"), F.lit("• configure terminal"), F.lit("Reload is a word that ends a sentence."), F.concat(F.lit("no ip route 10.0.0."), c("p_size").cast("string")), F.concat(F.lit("SHOW version "), "p_brand"), c("p_name")]
+    return t.part.select("p_partkey", F.explode(T.command_lines(F.concat_ws("\n", *lines))).alias("command"))
 
 
 _TERMS_SQL = f"list_filter(regexp_extract_all(lower(text), '[a-z][a-z0-9]*(?:[-_/][a-z0-9]+)*'), lambda x: length(x) BETWEEN 3 AND 64 AND NOT list_contains({T.IGNORED_TERMS}, x) AND NOT regexp_matches(x, '^[a-z]{{1,2}}[0-9]{{2,5}}[a-z0-9-]*$'))"
@@ -133,13 +144,6 @@ def d17(t: Tables):
     return t.conversations.where("role = 'user'").select("conv_id", "turn", F.array_join(T.demand_terms(c("text")), " ").alias("terms"))
 
 
-@query("d18_relevance", f"SELECT doc_id, len(list_filter(terms, lambda x: regexp_matches(t, '(^|[^a-z0-9])' || x || '($|[^a-z0-9])')))::INT AS n_matched, len(terms) AS n_terms FROM (SELECT item_id, {_DISTINCT.format('w')}[:12] AS terms FROM (SELECT item_id, {_TERMS_SQL} AS w FROM benchmark)) JOIN (SELECT doc_id, lower(text) AS t FROM documents) ON item_id = doc_id % 40")
-def d18(t: Tables):
-    q = t.benchmark.select("item_id", T.demand_terms(c("text")).alias("terms"))
-    d = t.documents.select("doc_id", "text", (c("doc_id") % 40).alias("item_id"))
-    return d.join(q, "item_id").select("doc_id", F.size(T.matched_terms(c("text"), c("terms"))).alias("n_matched"), F.size("terms").alias("n_terms"))
-
-
 def _dealt(t: Tables):
     """(doc_id, item_id): documents dealt to all items, by both ids modulo the number of items."""
     n = F.broadcast(t.benchmark.agg(F.greatest(F.count("*"), F.lit(1)).alias("n")))
@@ -147,14 +151,25 @@ def _dealt(t: Tables):
     return place(t.documents, "doc_id").join(place(t.benchmark, "item_id"), "place").select("doc_id", "item_id").distinct()
 
 
-@query("d19_rejected_documents")
+_DEALT = f"""SELECT doc_id, item_id, terms, len(list_filter(terms, lambda x: regexp_matches(t, '(^|[^a-z0-9])' || x || '($|[^a-z0-9])')))::INT AS n_matched
+  FROM (SELECT item_id, {_DISTINCT.format('w')}[:12] AS terms FROM (SELECT item_id, {_TERMS_SQL} AS w FROM benchmark)) JOIN (SELECT doc_id, lower(text) AS t FROM documents) ON item_id % (SELECT count(*) FROM benchmark) = doc_id % (SELECT count(*) FROM benchmark)"""
+
+
+@query("d18_relevance", f"SELECT doc_id, item_id, n_matched, len(terms) AS n_terms FROM ({_DEALT})")
+def d18(t: Tables):
+    q = t.benchmark.select("item_id", T.demand_terms(c("text")).alias("terms"))
+    d = t.documents.select("doc_id", "text").join(_dealt(t), "doc_id").join(q, "item_id")
+    return d.select("doc_id", "item_id", F.size(T.matched_terms(c("text"), c("terms"))).alias("n_matched"), F.size("terms").alias("n_terms"))
+
+
+@query("d19_rejected_documents", f"SELECT doc_id, 'DEMAND_TERMS_ABSENT' AS reason FROM ({_DEALT}) WHERE n_matched = 0 AND len(terms) > 0")
 def d19(t: Tables):
     docs = t.documents.select("doc_id", "text").join(_dealt(t), "doc_id")
     return D.rejected_for(docs, t.benchmark.select("item_id", c("text").alias("question")), "doc_id", "item_id")
 
 
 def _scored(t: Tables):
-    frags = D.fragments(t.documents, "doc_id").withColumnRenamed("doc_id", "source_id")
+    frags = D.fragments(_sectioned(t), "doc_id").withColumnRenamed("doc_id", "source_id")
     terms = t.benchmark.select(c("item_id").alias("demand_id"), T.demand_terms(c("text")).alias("terms"))
     each = _dealt(t).select(c("doc_id").alias("source_id"), c("item_id").alias("demand_id"))
     return D.fragment_scores(frags, each.join(terms, "demand_id"))
@@ -315,7 +330,15 @@ def v16(t: Tables):
     return t.part.agg(F.countDistinct("p_brand").alias("recognised"), F.countDistinct(F.when(c("p_size") > 25, c("p_brand"))).alias("deep"))
 
 
-@query("q4_risk")
+_OWN = r"list_filter(list_transform(string_split(regexp_replace(text, '\r', '', 'g'), chr(10)), lambda x: trim(regexp_replace(x, '^[+-]\s?', ''), ' ' || chr(9) || chr(13))), lambda x: x <> '')"
+_READS = " OR ".join(f"regexp_matches(x, {_q(p)})" for p in T.READ_ONLY)
+_LEVELS = " ".join(f"WHEN regexp_matches(array_to_string(own, chr(10)), {_q(p)}) THEN {_q(k)}" for p, k in T.RISK_PATTERNS)
+_RANK = f"CASE risk {' '.join(f'WHEN {_q(k)} THEN {v}' for k, v in T.RISK_PRIORITY.items())} END"
+#: Commands of a change by part: some only read, some change, some destroy.
+_CHANGE = "CASE p_size % 7 WHEN 0 THEN 'show version' || chr(10) || 'ping 10.0.0.' || p_size WHEN 1 THEN 'configure terminal' || chr(10) || 'interface eth' || p_size WHEN 2 THEN 'reload' WHEN 3 THEN '+ write erase' WHEN 4 THEN 'delete flash:' || p_name WHEN 5 THEN 'ip link show' ELSE 'do ' || p_name END"
+
+
+@query("q4_risk", f"SELECT p_partkey, risk, CASE WHEN {_RANK} > 2 THEN risk ELSE 'changes_config' END AS escalated FROM (SELECT p_partkey, CASE WHEN len(own) > 0 AND len(list_filter(own, lambda x: NOT ({_READS}))) = 0 THEN 'safe_read_only' {_LEVELS} ELSE 'unknown' END AS risk FROM (SELECT p_partkey, {_OWN} AS own FROM (SELECT p_partkey, {_CHANGE} AS text FROM part)))")
 def q4(t: Tables):
-    lines = F.split("text", "\n")
-    return t.conversations.select("conv_id", "turn", T.risk(lines).alias("risk"), T.escalated(F.lit("changes_config"), T.risk(lines)).alias("escalated"))
+    lines = F.split(F.expr(_CHANGE.replace("chr(10)", "'\\n'").replace(" || p_size", " || cast(p_size as string)")), "\n")
+    return t.part.select("p_partkey", T.risk(lines).alias("risk"), T.escalated(F.lit("changes_config"), T.risk(lines)).alias("escalated"))

@@ -123,10 +123,10 @@ def v11(t: Tables):
     return N.applicability_index(_revisions(t)).groupBy("scope_level", "version_scope").agg(F.count("*").alias("n"))
 
 
-@query("v12_missing_families", "SELECT DISTINCT lower(p_brand) AS vendor_slug, p_type AS os_slug FROM part WHERE (p_brand, p_type) NOT IN (SELECT (p_brand, p_type) FROM part WHERE p_size > 25)")
+@query("v12_missing_families", "SELECT DISTINCT lower(p_brand) AS vendor_slug, p_type AS os_slug FROM part WHERE (p_brand, p_type) NOT IN (SELECT (p_brand, p_type) FROM part WHERE p_size > 45 AND p_partkey % 2 = 0)")
 def v12(t: Tables):
-    s = t.part.select(F.lower("p_brand").alias("vendor_slug"), c("p_type").alias("os_slug"), "p_size")
-    return N.missing_families(s.drop("p_size").distinct(), s.where("p_size > 25")).select("vendor_slug", "os_slug")
+    s = t.part.select(F.lower("p_brand").alias("vendor_slug"), c("p_type").alias("os_slug"), "p_size", "p_partkey")
+    return N.missing_families(s.drop("p_size", "p_partkey").distinct(), s.where("p_size > 45 and p_partkey % 2 = 0")).select("vendor_slug", "os_slug")
 
 
 @query("v13_family_breakdown", "SELECT CASE WHEN p_partkey % 2 = 0 THEN regexp_replace(lower(p_brand), '[^a-z0-9-]+', '-', 'g') || '-ios-xe' ELSE 'linux-userspace' END AS family, count(*) AS n FROM part GROUP BY 1")

@@ -80,9 +80,10 @@ def j3(t: Tables):
     return R.exists(t.customer.select("c_custkey"), t.orders.where("o_totalprice > 300000").select(c("o_custkey").alias("c_custkey")), ["c_custkey"])
 
 
-@query("j4_anti_join", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("j4_anti_join", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P')")
 def j4(t: Tables):
-    return R.not_exists(t.customer.select("c_custkey"), t.orders.select(c("o_custkey").alias("c_custkey")), ["c_custkey"])
+    pending = t.orders.where("o_orderstatus = 'P'").select(c("o_custkey").alias("c_custkey"))
+    return R.not_exists(t.customer.select("c_custkey"), pending, ["c_custkey"])
 
 
 @query(
@@ -143,9 +144,9 @@ def j11(t: Tables):
     return R.edges_of(t.nation.select(c("n_nationkey").cast("long").alias("n_nationkey")), e, "n_nationkey", "l", "r")
 
 
-@query("j12_regex_join", "SELECT p_partkey, r_regionkey FROM part JOIN region ON regexp_matches(p_type, '(?i)' || left(r_name, 2))")
+@query("j12_regex_join", "SELECT p_partkey, r_regionkey FROM part JOIN region ON regexp_matches(p_type, '(?i)^' || left(r_name, 1))")
 def j12(t: Tables):
-    patterns = t.region.select("r_regionkey", F.substring("r_name", 1, 2).alias("pattern"))
+    patterns = t.region.select("r_regionkey", F.concat(F.lit("^"), F.substring("r_name", 1, 1)).alias("pattern"))
     return R.regex_join(t.part, "p_type", patterns, "pattern").select("p_partkey", "r_regionkey")
 
 

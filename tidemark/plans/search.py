@@ -167,7 +167,10 @@ def f12(t: Tables):
     return t.events.select("event_id", T.rewritten_question(F.when(c("event_type") == "error", "port error 1").otherwise(c("event_type"))).alias("q"))
 
 
-@query("f13_decomposition")
+_CAPABILITIES = ", ".join(f"CASE WHEN regexp_matches(text, '{p.replace(chr(39), chr(39) * 2)}') THEN '{k}' END" for k, (p, _) in S.CAPABILITIES.items())
+
+
+@query("f13_decomposition", f"SELECT conv_id, turn, unnest(k) AS capability, (generate_subscripts(k, 1) - 1)::INT AS place FROM (SELECT conv_id, turn, CASE WHEN len(f) > 0 THEN f[:8] ELSE ['general'] END AS k FROM (SELECT conv_id, turn, list_filter([{_CAPABILITIES}], lambda x: x IS NOT NULL) AS f FROM conversations WHERE role = 'user'))")
 def f13(t: Tables):
     return t.conversations.where("role = 'user'").select("conv_id", "turn", F.posexplode(S.capabilities(c("text"))).alias("place", "capability"))
 

@@ -13,6 +13,8 @@ def shared_path(spark: SparkSession, label: str) -> str:
     """A new folder under ``spark.checkpoint.dir``, which driver and executors share."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir("/tmp/checkpoints")
         root = spark.sparkContext.getCheckpointDir()
     return f"{root.rstrip('/')}/tidemark-{label}-{uuid.uuid4().hex}"
@@ -31,11 +33,23 @@ def export_json(df: DataFrame, path: str, counted: Sequence[str]) -> DataFrame:
     return back.select(F.explode(each).alias("d")).groupBy("d.column", "d.value").agg(F.count("*").alias("n"))
 
 
-def landing(spark: SparkSession, path: str) -> DataFrame:
-    """S3: files as (path, media_type, text); other media types have a null text."""
+def landing(spark: SparkSession, path: str, keep_content: bool = False) -> DataFrame:
+    """S3: files as (path, media_type, text), with ``content`` if wanted; other media types have a null text."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     kind = F.when(F.col("path").rlike(r"(?i)\.html?$"), "text/html").when(F.col("path").rlike(r"(?i)\.(txt|md|log)$"), "text/plain").otherwise("application/octet-stream")
-    return raw.select("path", kind.alias("media_type"), F.when(kind.startswith("text/"), F.col("content").cast("string")).alias("text"))
+    raw = raw.where(~F.col("path").rlike(r"/[_.][^/]*$"))
+    return raw.select("path", kind.alias("media_type"), F.when(kind.startswith("text/"), F.col("content").cast("string")).alias("text"), *(["content"] if keep_content else []))
+
+
+def renamed(spark: SparkSession, path: str, ending: str) -> None:
+    """Gives the part files of a written folder another ending."""
+    fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    folder = fs_path(path)
+    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for status in fs.listStatus(folder):
+        name = status.getPath().getName()
+        if name.startswith("part-"):
+            fs.rename(status.getPath(), fs_path(folder, name.rpartition(".")[0] + ending))
 
 
 def feed_page(events: DataFrame, key: str, after: int, limit: int) -> DataFrame:
