@@ -148,17 +148,40 @@ def _pick(text: Column, pattern: str) -> Column:
     return F.nullif(T.trimmed(F.regexp_extract(text, pattern, 1)), F.lit(""))
 
 
-def neighbour_edges(snapshots: DataFrame, device: str = "device_hint", content: str = "content") -> DataFrame:
-    """(source, target, local_interface, remote_interface, protocol, address) of CDP and LLDP blocks without loops."""
+_TABLE_HEAD = r"(?i)Device ID\s+Local Intrfce"
+
+
+def _same_host(a: Column, b: Column) -> Column:
+    """Equal names but for the domain and case."""
+    return F.regexp_extract(F.lower(a), r"^[^.]+", 0) == F.regexp_extract(F.lower(b), r"^[^.]+", 0)
+
+
+def _neighbours(snapshots: DataFrame, device: str, content: str) -> DataFrame:
+    """Neighbours of CDP and LLDP blocks; where a snapshot has no CDP block, of the lines of its table; loops included."""
     cdp = snapshots.select(F.col(device).alias("source"), F.explode(F.split(content, r"(?i)(?=Device ID\s*:)")).alias("b"), F.lit("cdp").alias("protocol"))
     cdp = cdp.withColumn("target", _pick(F.col("b"), r"(?i)Device ID\s*:\s*([^\s;,]+)"))
     cdp = cdp.withColumn("local_interface", _pick(F.col("b"), r"(?i)(?:Interface|Local Interface)\s*:\s*([^,;\r\n]+)")).withColumn("remote_interface", _pick(F.col("b"), r"(?i)Port ID \(outgoing port\)\s*:\s*([^;\r\n]+)")).withColumn("address", _pick(F.col("b"), r"(?i)IP address:\s*(\S+)"))
     lldp = snapshots.select(F.col(device).alias("source"), F.explode(F.split(content, r"(?i)-{4,}|(?=Local (?:Intf|Interface)\s*:)")).alias("b"), F.lit("lldp").alias("protocol"))
     lldp = lldp.withColumn("target", F.coalesce(_pick(F.col("b"), r"(?i)System Name\s*:\s*([^;\r\n]+)"), _pick(F.col("b"), r"(?i)Chassis id\s*:\s*([^;\r\n]+)")))
     lldp = lldp.withColumn("local_interface", _pick(F.col("b"), r"(?i)Local (?:Intf|Interface)\s*:\s*([^;\r\n]+)")).withColumn("remote_interface", _pick(F.col("b"), r"(?i)Port id\s*:\s*([^;\r\n]+)")).withColumn("address", _pick(F.col("b"), r"(?i)Management Address(?:es)?:?\s*([^\s\r\n]+)"))
-    both = cdp.unionByName(lldp).drop("b").where("target is not null")
-    same = F.regexp_extract(F.lower("source"), r"^[^.]+", 0) == F.regexp_extract(F.lower("target"), r"^[^.]+", 0)
-    return both.where(~same)
+    tables = snapshots.where(F.col(content).rlike(_TABLE_HEAD) & ~F.col(content).rlike(r"(?i)Device ID\s*:"))
+    lines = tables.select(F.col(device).alias("source"), F.explode(F.split(content, r"\r?\n")).alias("b")).where(~F.col("b").rlike(_TABLE_HEAD) & ~F.col("b").rlike("^-{3,}"))
+    lines = lines.withColumn("c", F.split(F.trim("b"), r"\s{2,}|\t+")).where((F.size("c") >= 3) & (F.get("c", F.lit(0)) != "") & (F.get("c", F.lit(1)) != ""))
+    table = lines.select("source", "b", F.lit("cdp").alias("protocol"), F.get("c", F.lit(0)).alias("target"), F.get("c", F.lit(1)).alias("local_interface"), F.element_at("c", -1).alias("remote_interface"), F.lit(None).cast("string").alias("address"))
+    return cdp.unionByName(lldp).unionByName(table).drop("b").where("target is not null")
+
+
+def neighbour_edges(snapshots: DataFrame, device: str = "device_hint", content: str = "content") -> DataFrame:
+    """(source, target, local_interface, remote_interface, protocol, address) of CDP and LLDP blocks and CDP tables without loops."""
+    return _neighbours(snapshots, device, content).where(~_same_host(F.col("source"), F.col("target")))
+
+
+def parse_diagnostics(snapshots: DataFrame, device: str = "device_hint", content: str = "content") -> DataFrame:
+    """(device, records_parsed, status) of neighbour snapshots: ``unparsed`` without a record, ``partial`` where a device names itself."""
+    found = _neighbours(snapshots, device, content).withColumn("loop", _same_host(F.col("source"), F.col("target")))
+    n = found.groupBy(F.col("source").alias(device)).agg(F.count_if(~F.col("loop")).alias("n"), F.bool_or("loop").alias("loop"))
+    status = F.when(F.coalesce("n", F.lit(0)) == 0, "unparsed").when(F.col("loop"), "partial").otherwise("parsed")
+    return snapshots.select(device).distinct().join(n, device, "left").select(device, F.coalesce("n", F.lit(0)).alias("records_parsed"), status.alias("status"))
 
 
 def route_edges(snapshots: DataFrame, device: str = "device_hint", content: str = "content") -> DataFrame:
@@ -194,9 +217,12 @@ def merged_graph(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     return nodes, links
 
 
-def path_status(hops: DataFrame, key: str) -> DataFrame:
-    """Whether each path is complete, and the last answering hop where it isn't."""
-    out = hops.groupBy(key).agg(F.bool_and("answered").alias("complete"), F.min(F.when(~F.col("answered"), F.struct("place", "source"))).alias("_f"), F.count("*").alias("hops"))
+def path_status(hops: DataFrame, key: str, wanted: DataFrame | None = None) -> DataFrame:
+    """Whether each path is complete (all hops answer, and the last is the destination that ``wanted`` (key, destination)
+    asks for), and the last answering hop where one doesn't answer."""
+    out = hops.groupBy(key).agg(F.bool_and("answered").alias("complete"), F.min(F.when(~F.col("answered"), F.struct("place", "source"))).alias("_f"), F.count("*").alias("hops"), F.max_by("target", "place").alias("last"))
+    if wanted is not None:
+        out = out.join(wanted.select(key, "destination"), key, "left").withColumn("complete", F.col("complete") & (F.col("destination").isNull() | _same_host(F.col("last"), F.col("destination"))))
     return out.select(key, "hops", "complete", F.col("_f.source").alias("fault_domain"))
 
 

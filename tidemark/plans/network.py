@@ -48,13 +48,15 @@ def n5(t: Tables):
 
 
 def _neighbours(t: Tables):
-    """A device a supplier, with a block for the suppliers of half and double its number."""
+    """A device a supplier, with a block or a line of a table for the supplier of half its number and for itself; some without."""
     k = c("s_suppkey").cast("long")
     block = lambda n: F.concat(F.lit("Device ID: sw"), n.cast("string"), F.lit("\nInterface: Gi1/"), n.cast("string"), F.lit(",  Port ID (outgoing port): Gi0/1\n"))
-    return t.supplier.select(F.concat(F.lit("sw"), k.cast("string")).alias("device_hint"), F.concat(block(F.floor(k / 2)), block(k)).alias("content"))
+    line = lambda n: F.concat(F.lit("sw"), n.cast("string"), F.lit("    Gi1/"), n.cast("string"), F.lit("   150   R S   WS-C3750  Gi0/1\n"))
+    table = F.concat(F.lit("Device ID    Local Intrfce   Holdtme   Capability  Platform  Port ID\n"), line(F.floor(k / 2)), line(k))
+    return t.supplier.select(F.concat(F.lit("sw"), k.cast("string")).alias("device_hint"), F.when(k % 3 == 0, table).when(k % 17 == 4, "nothing").otherwise(F.concat(block(F.floor(k / 2)), block(k))).alias("content"))
 
 
-@query("n12_neighbour_edges", "SELECT 'sw' || s_suppkey AS source, 'sw' || s_suppkey // 2 AS target, 'Gi1/' || s_suppkey // 2 AS local_interface FROM supplier WHERE s_suppkey // 2 <> s_suppkey")
+@query("n12_neighbour_edges", "SELECT 'sw' || s_suppkey AS source, 'sw' || s_suppkey // 2 AS target, 'Gi1/' || s_suppkey // 2 AS local_interface FROM supplier WHERE s_suppkey // 2 <> s_suppkey AND (s_suppkey % 3 = 0 OR s_suppkey % 17 <> 4)")
 def n12(t: Tables):
     return N.neighbour_edges(_neighbours(t)).select("source", "target", "local_interface")
 
@@ -84,14 +86,22 @@ def n14(t: Tables):
     return N.trace_hops(_traces(t), "l_orderkey").select("l_orderkey", "place", "source", "target")
 
 
-@query("n15_graph_merge", "SELECT 'node-' || left(sha256(l), 16) AS id, l AS label FROM (SELECT 'sw' || s_suppkey AS l FROM supplier UNION SELECT 'sw' || s_suppkey // 2 FROM supplier)")
+@query("n15_graph_merge", "SELECT 'node-' || left(sha256(l), 16) AS id, l AS label FROM (SELECT 'sw' || unnest([s_suppkey, s_suppkey // 2]) AS l FROM supplier WHERE s_suppkey // 2 <> s_suppkey AND (s_suppkey % 3 = 0 OR s_suppkey % 17 <> 4) GROUP BY 1)")
 def n15(t: Tables):
     return N.merged_graph(N.neighbour_edges(_neighbours(t)))[0].select("id", "label")
 
 
-@query("n16_path_status", f"SELECT l_orderkey, count(*) AS hops, bool_and(f <> 'R') AS complete FROM {_HOPS} GROUP BY 1")
+@query("n16_path_status", f"SELECT l_orderkey, count(*) AS hops, bool_and(f <> 'R') AND (l_orderkey % 3 <> 0 OR CASE WHEN l_orderkey % 2 = 0 THEN 'hop' || max(s) ELSE 'hop0' END = arg_max(CASE WHEN f = 'R' THEN 'Unanswered hop ' || l_linenumber ELSE 'hop' || s END, l_linenumber)) AS complete FROM {_HOPS} GROUP BY l_orderkey")
 def n16(t: Tables):
-    return N.path_status(N.trace_hops(_traces(t), "l_orderkey"), "l_orderkey").select("l_orderkey", "hops", "complete")
+    """Every third trace asks for a destination: the largest supplier of the order, or one that no trace reaches."""
+    largest = t.lineitem.groupBy("l_orderkey", "l_linenumber").agg(F.min(F.struct("l_suppkey", "l_returnflag")).alias("m")).groupBy("l_orderkey").agg(F.max("m.l_suppkey").alias("s"))
+    wanted = largest.where("l_orderkey % 3 = 0").select("l_orderkey", F.when(c("l_orderkey") % 2 == 0, F.concat(F.lit("HOP"), c("s").cast("string"), F.lit(".example.com"))).otherwise("hop0").alias("destination"))
+    return N.path_status(N.trace_hops(_traces(t), "l_orderkey"), "l_orderkey", wanted).select("l_orderkey", "hops", "complete")
+
+
+@query("n16_parse_diagnostics", "SELECT 'sw' || s_suppkey AS device_hint, CASE WHEN (s_suppkey % 3 <> 0 AND s_suppkey % 17 = 4) OR s_suppkey = 0 THEN 0 ELSE 1 END AS records_parsed, CASE WHEN (s_suppkey % 3 <> 0 AND s_suppkey % 17 = 4) OR s_suppkey = 0 THEN 'unparsed' ELSE 'partial' END AS status FROM supplier")
+def n16_diagnostics(t: Tables):
+    return N.parse_diagnostics(_neighbours(t)).select("device_hint", c("records_parsed").cast("int").alias("records_parsed"), "status")
 
 
 @query("n17_upgrade_advice", "SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 AND p_size IN (9, 12) THEN 'supported_with_checks' ELSE 'unknown' END AS status FROM part")
