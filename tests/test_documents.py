@@ -2,9 +2,23 @@
 
 from types import SimpleNamespace
 
+from tidemark.operators import documents as D
 from tidemark.plans import documents
 
 
+def test_discovery_by_collection(spark):
+    u = lambda h, p: f"https://{h}.x.com/{p}"
+    links = [(u("a", ""), u("a", "one")), (u("a", ""), u("b", "manual-1")), (u("a", ""), "https://other.org/manual"), (u("a", "one"), u("a", "two.pdf")), (u("a", "two.pdf"), u("a", "release-3")), (u("b", ""), u("b", "manual-1")), (u("b", ""), u("a", "known-manual")), (u("b", "manual-1"), u("b", ""))]
+    links += [(u("c", ""), u("c", f"manual-{k:02d}")) for k in range(20)]
+    found = spark.createDataFrame(links, "url string, link string")
+    roots = spark.createDataFrame([(h, "x.com", u(h, "")) for h in "abcd"], "collection string, domain string, url string")
+    known = spark.createDataFrame([(u("a", "known-manual"),)], "url string")
+    taken, counts = D.discover(found, roots, known, 1, 5)
+    assert {(r["collection"], r["inserted"], r["duplicates"]) for r in counts.collect()} == {("a", 2, 0), ("b", 0, 2), ("c", 5, 0), ("d", 0, 0)}
+    assert {r["url"] for r in taken.where("collection = 'a'").collect()} == {u("b", "manual-1"), u("a", "two.pdf")}  # release-3 is a level too far
+    assert {r["url"] for r in taken.where("collection = 'c'").collect()} == {u("c", f"manual-{k:02d}") for k in range(5)}
+
+
 def test_every_question_gets_documents(spark):
     word = lambda i: "".join(chr(97 + int(d)) for d in f"{i:04d}")
     items = [(i, f"zz{word(i)} needed") for i in range(90)]

@@ -112,16 +112,35 @@ def duplicates_of(docs: DataFrame, key: str, url: str, content_hash: str, order:
     return out.select(key, F.when(same_url, F.col(f"u.{key}")).when(same_hash, F.col(f"h.{key}")).alias("duplicate_of"), reason.alias("reason")).where("reason is not null")
 
 
-def discover(pages: DataFrame, found: DataFrame, roots: DataFrame, depth: int, links: int) -> DataFrame:
-    """(url, depth) reached from the roots over already fetched pages: ``found`` is (url, link). At most
-    ``links`` new links of a level, by URL, as the crawl bounds it."""
-    frontier = roots.select("url").distinct().withColumn("depth", F.lit(0))
-    seen = frontier
-    for d in range(1, depth + 1):
-        new = frontier.select("url").join(found, "url").select(F.col("link").alias("url")).distinct().join(seen, "url", "left_anti")
-        frontier = new.orderBy("url").limit(links).withColumn("depth", F.lit(d))
-        seen = seen.unionByName(frontier)
-    return seen
+# Links that a collection takes as documents.
+WANTED_LINKS = r"(?i)\.(?:pdf|txt)(?:\?|$)|(?:command|configuration|diagnostic|manual|reference|release|advisory|upgrade)"
+
+
+def discover(found: DataFrame, roots: DataFrame, known: DataFrame, depth: int, links: int, wanted: str = WANTED_LINKS) -> tuple[DataFrame, DataFrame]:
+    """The links that collections discover over already fetched pages, and (collection, inserted, duplicates).
+
+    ``roots`` is (collection, domain, url), ``found`` (url, link) of all pages, ``known`` the URLs (url) there already. A
+    collection follows the links within its domain down to ``depth``, by level at most ``links`` pages, and takes those
+    that look ``wanted``, at most ``links``, by depth and URL. A URL is inserted once, for the first collection by name;
+    others, and known ones, are duplicates.
+    """
+    within = T.same_site(T.host_of(F.col("link")), F.col("domain"))
+    first = lambda df, *order: df.withColumn("_r", F.row_number().over(W.partitionBy("collection").orderBy(*order))).where(F.col("_r") <= links).drop("_r")
+    frontier = roots.select("collection", "domain", "url").distinct()
+    seen, taken = frontier, None
+    for d in range(depth + 1):
+        new = frontier.join(found, "url").where(within).select("collection", "domain", F.col("link").alias("url")).distinct()
+        mine = new.where(F.col("url").rlike(wanted)).select("collection", "url", F.lit(d).alias("depth"))
+        taken = mine if taken is None else taken.unionByName(mine)
+        if d < depth:
+            frontier = first(new.join(seen, ["collection", "url"], "left_anti"), "url")
+            seen = seen.unionByName(frontier.select(seen.columns))
+    taken = first(taken.groupBy("collection", "url").agg(F.min("depth").alias("depth")), "depth", "url")
+    owner = taken.groupBy("url").agg(F.min("collection").alias("owner")).join(known.select("url").distinct().withColumn("_known", F.lit(True)), "url", "left")
+    taken = taken.join(owner, "url").select("collection", "url", "depth", ((F.col("collection") == F.col("owner")) & F.col("_known").isNull()).alias("inserted"))
+    counts = taken.groupBy("collection").agg(F.count_if("inserted").alias("inserted"), F.count_if(~F.col("inserted")).alias("duplicates"))
+    every = roots.select("collection").distinct().join(counts, "collection", "left")
+    return taken, every.select("collection", F.coalesce("inserted", F.lit(0)).alias("inserted"), F.coalesce("duplicates", F.lit(0)).alias("duplicates"))
 
 
 def rejected_for(docs: DataFrame, demands: DataFrame, key: str, demand: str) -> DataFrame:

@@ -70,14 +70,21 @@ def d6(t: Tables):
 
 @query("d7_discovery")
 def d7(t: Tables):
+    """A collection a host, its pages as roots; of the two registered names under a host's, the last is its domain."""
     base = t.pages.select("page_id", T.canonical_url(c("url"), c("url")).alias("url"), "html").where("url is not null")
-    found = D.page_links(base).join(base, "page_id").select("url", "link")
-    return D.discover(base, found, base.where("page_id < 20").select("url"), 2, 500)
+    found = D.page_links(base).join(base, "page_id").select("url", "link").distinct()
+    host = T.host_of(c("url"))
+    roots = base.select(host.alias("collection"), F.regexp_extract(host, r"[^.]+\.[^.]+$", 0).alias("domain"), "url")
+    return D.discover(found, roots, base, 2, 500, r"(?i)/(?:[a-z]{2,4}|.*tion.*)$")[1]
 
 
-@query("d8_contents_pages")
+#: Documents as books: a cover, a page of contents for two of three, and the text; the rest has no form feed.
+_BOOK = "CASE WHEN doc_id % 3 = 0 THEN text ELSE 'Cover' || chr(12) || CASE WHEN doc_id % 3 = 1 THEN 'Contents' || chr(10) || 'One ....... 1' || chr(10) || 'Two ....... 2' || chr(10) || 'Three ...... iv' || chr(12) ELSE '' END || text END"
+
+
+@query("d8_contents_pages", f"SELECT doc_id, octet_length(encode(CASE WHEN doc_id % 3 = 0 THEN text WHEN trim(text, ' ' || chr(9) || chr(10)) = '' THEN 'Cover' ELSE 'Cover' || chr(10) || trim(text, ' ' || chr(9) || chr(10)) END))::INT AS bytes FROM documents")
 def d8(t: Tables):
-    return t.documents.select("doc_id", F.octet_length(D.without_contents_pages(c("text"))).alias("bytes"))
+    return t.documents.select("doc_id", F.octet_length(D.without_contents_pages(F.expr(_BOOK))).alias("bytes"))
 
 
 @query("d9_blocks")
@@ -87,12 +94,12 @@ def d9(t: Tables):
 
 def _sectioned(t: Tables):
     """Documents as manuals: a numbered title, paragraphs for lines, and a last section in capitals."""
-    head = F.concat(F.lit("1."), (c("doc_id") % 9).cast("string"), F.lit(" "), "source")
-    notes = F.concat(F.upper("source"), F.lit(" NOTES"))
-    return t.documents.withColumn("text", F.concat_ws("\n\n", head, F.replace("text", F.lit("\n"), F.lit("\n\n")), notes, "lang"))
+    number = (c("doc_id") % 9).cast("string")
+    head, notes = F.concat(F.lit("1."), number, F.lit(" Overview")), F.concat(F.lit("RELEASE NOTES "), number)
+    return t.documents.withColumn("text", F.concat_ws("\n\n", head, F.replace("text", F.lit("\n"), F.lit("\n\n")), notes, F.lit("None.")))
 
 
-_SECTIONED = "SELECT doc_id, '1.' || doc_id % 9 || ' ' || source || chr(10) || chr(10) || replace(text, chr(10), chr(10) || chr(10)) || chr(10) || chr(10) || upper(source) || ' NOTES' || chr(10) || chr(10) || lang AS text FROM documents"
+_SECTIONED = "SELECT doc_id, '1.' || doc_id % 9 || ' Overview' || chr(10) || chr(10) || replace(text, chr(10), chr(10) || chr(10)) || chr(10) || chr(10) || 'RELEASE NOTES ' || doc_id % 9 || chr(10) || chr(10) || 'None.' AS text FROM documents"
 
 
 @query("d10_headings", f"SELECT doc_id, count(*) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS b FROM ({_SECTIONED})) WHERE length(b) <= 180 AND (regexp_matches(b, '^[A-Z0-9][A-Z0-9 /:_.()-]{{5,}}$') OR regexp_matches(b, '^[0-9]+(\\.[0-9]+)*\\s+\\S')) GROUP BY 1")
