@@ -231,7 +231,18 @@ def f5(t: Tables):
     return t.part.select("p_partkey", F.round(T.similarity(c("p_name"), c("p_type")), 6).alias("sim"))
 
 
-@query("n1_redaction")
+def _redaction_sql(steps) -> str:
+    """A common table for each step: the text after it and the matches that it found."""
+    out, counts = ["r0 AS (SELECT doc_id, replace(text, chr(0), '') AS t FROM documents)"], {}
+    for k, (kind, pattern, to) in enumerate(steps, start=1):
+        have = "".join(f", n{i}" for i in range(1, k))
+        to = to.replace("$1", "\\1")
+        out.append(f"r{k} AS (SELECT doc_id, regexp_replace(t, {_q(pattern)}, {_q(to)}, 'g') AS t{have}, len(regexp_extract_all(t, {_q(pattern)})) AS n{k} FROM r{k - 1})")
+        counts.setdefault(kind, []).append(f"n{k}")
+    return f"WITH {', '.join(out)} SELECT doc_id, sha256(t) AS clean_sha256, {', '.join(f'({" + ".join(n)})::INT AS {kind}' for kind, n in counts.items())} FROM r{len(steps)}"
+
+
+@query("n1_redaction", _redaction_sql(T.SECRET_STEPS))
 def n1(t: Tables):
     clean, counts = T.redacted(c("text"), strict=False)
     return t.documents.select("doc_id", F.sha2(clean, 256).alias("clean_sha256"), *(n.alias(k) for k, n in counts.items()))
