@@ -186,10 +186,15 @@ def trigrams(text: Column) -> Column:
     return F.array_distinct(F.flatten(F.transform(words, of)))
 
 
+def shared_trigrams(a: Column, b: Column) -> Column:
+    """common over all of two arrays of distinct trigrams; 0 without any."""
+    both = F.size(F.array_intersect(a, b)).cast("double")
+    return F.coalesce(F.try_divide(both, F.size(a) + F.size(b) - both), F.lit(0.0))
+
+
 def similarity(left: Column, right: Column) -> Column:
     """common over all trigrams; 0 without any."""
-    a, b = trigrams(left), trigrams(right)
-    return F.coalesce(F.try_divide(F.size(F.array_intersect(a, b)).cast("double"), F.size(F.array_union(a, b)).cast("double")), F.lit(0.0))
+    return shared_trigrams(trigrams(left), trigrams(right))
 
 
 # --- commands and risk --------------------------------------------------------------

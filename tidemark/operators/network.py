@@ -268,7 +268,9 @@ def fuzzy_join(left: DataFrame, right: DataFrame, key: str, text: str, other_key
         return each.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= keep).select("g", f"{pre}t", f"{pre}n")
 
     pairs = prefix(a, "a").join(prefix(b, "b"), "g").where(F.col("an") >= F.col("bn") * floor).where(F.col("bn") >= F.col("an") * floor).select("at", "bt").distinct()
-    scored = pairs.withColumn("similarity", T.similarity(F.col("at"), F.col("bt"))).where(F.col("similarity") >= floor)
+    # the trigrams of a text are made once, not once a pair
+    full = pairs.join(a, "at").join(b, "bt")
+    scored = full.select("at", "bt", T.shared_trigrams(F.col("ag"), F.col("bg")).alias("similarity")).where(F.col("similarity") >= floor)
     out = scored.join(left.select(key, F.lower(text).alias("at")), "at").join(right.select(other_key, F.lower(other_text).alias("bt")), "bt")
     return out.select(key, other_key, "similarity")
 

@@ -63,11 +63,14 @@ def expansion(indexed: DataFrame, asked: DataFrame) -> DataFrame:
 
 def token_hits(indexed: DataFrame, asked: DataFrame, key: str) -> DataFrame:
     """(key, hits: array of (position, begun, weight)) of documents with any question token; a document's hits are
-    part of its text."""
+    part of its text. Written, as matches read it more than once."""
     found = expansion(indexed, asked)
     small = F.broadcast(found) if found.count() <= FEW_TERMS else found
     rows = postings(indexed, key).join(small, "term")
-    return rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("position", "begun", "weight"))).alias("hits"))
+    hits = rows.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("position", "begun", "weight"))).alias("hits"))
+    path = shared_path(indexed.sparkSession, "hits")
+    hits.write.parquet(path)
+    return indexed.sparkSession.read.schema(hits.schema).parquet(path)
 
 
 def matches(hits: DataFrame, asked: DataFrame, key: str, also: DataFrame | None = None) -> DataFrame:

@@ -90,9 +90,9 @@ def _scored(t: Tables):
     titles = t.documents.select("doc_id", _title().alias("title"), F.substring("source", 4, 9).cast("int").alias("s"))
     asked = t.benchmark.select(c("item_id").alias("question_id"), c("text").alias("asked"))
     alike = N.fuzzy_join(asked, titles, "question_id", "asked", "doc_id", "title", TITLE_FLOOR).select("question_id", "doc_id")
-    both = S.cover_density(_found(t, alike)).join(titles, "doc_id").join(asked, "question_id")
+    both = S.cover_density(_found(t, alike)).join(titles.select("doc_id", "s", T.trigrams(c("title")).alias("tg")), "doc_id").join(asked.select("question_id", T.trigrams(c("asked")).alias("qg")), "question_id")
     scope = F.when(c("s") % 4 == 0, "model").when(c("s") % 4 == 1, "vendor_os").when(c("s") % 4 == 2, "architecture").otherwise("os_family")
-    rank = S.network_score(c("strict_density"), c("relaxed_density"), T.similarity(c("title"), c("asked")), F.lit(0.9), F.lit(0.8), scope)
+    rank = S.network_score(c("strict_density"), c("relaxed_density"), T.shared_trigrams(c("tg"), c("qg")), F.lit(0.9), F.lit(0.8), scope)
     return both.withColumn("rank", F.round(rank, 6)).withColumn("scope", scope)
 
 
