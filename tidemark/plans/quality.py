@@ -220,9 +220,10 @@ def q32(t: Tables):
     return t.documents.select("doc_id", F.array_join(Q.leaks(c("text")), ",").alias("kinds"))
 
 
-@query("x2_extractor")
+@query("x2_extractor", "SELECT p_partkey, place, command, 'reference.' || regexp_replace(lower(command), '[^a-z0-9]+', '-', 'g') AS stable_key, CASE place WHEN 0 THEN 'diagnostic' ELSE 'command' END AS kind, CASE place WHEN 0 THEN 'safe_read_only' WHEN 1 THEN 'service_disruptive' ELSE 'changes_config' END AS risk_level, place > 0 AS dangerous FROM (SELECT p_partkey, unnest([0, 1, 2])::INT AS place, unnest(['show version ' || p_brand, 'reload in ' || p_size, 'interface eth' || p_partkey % 10]) AS command FROM part)")
 def x2(t: Tables):
-    return Q.extracted(t.documents, "doc_id", "text")
+    lines = [F.concat(F.lit("• show version "), "p_brand"), F.lit("It ends with a reload."), F.concat(F.lit("2) reload in "), c("p_size").cast("string")), F.concat(F.lit("interface eth"), (c("p_partkey") % 10).cast("string"))]
+    return Q.extracted(t.part.select("p_partkey", F.concat_ws("\n", *lines).alias("content")), "p_partkey")
 
 
 @query("x3_installed_packs", "SELECT p_partkey FROM part WHERE p_size >= 20 AND p_partkey % 2 = 0")
