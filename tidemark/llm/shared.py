@@ -85,6 +85,9 @@ BLANK_SEPARATED = _word_table(bytes([0x20, *range(0x09, 0x0E)]))
 #: Words are runs of 0-9, a-z (after lower-casing) and everything outside ASCII.
 ALNUM_RUNS = _word_table(bytes([*range(0x00, 0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)]))
 
+#: Words are runs of a-z (after lower-casing) and everything outside ASCII.
+ALPHA_RUNS = _word_table(bytes([*range(0x00, 0x61), *range(0x7B, 0x80)]))
+
 
 def mix(x: np.ndarray) -> np.ndarray:
     """The splitmix64 finaliser; spreads 64-bit values."""
@@ -157,8 +160,8 @@ class Words:
         self.hash = span_hashes(low, (self.start, self.end))[0] if hashed else None
 
 
-def text_chunks(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, end row, lower-cased bytes, offsets) over a string column; null is empty."""
+def text_chunks(column: pa.Array, table: np.ndarray = LOWER) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, end row, bytes as ``table`` maps them, offsets) over a string column; null is empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     column = column.cast(pa.large_string()).fill_null("")
@@ -173,5 +176,5 @@ def text_chunks(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.nda
         to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + CHUNK, side="right")) - 1)
         to = min(to, n)
         lo, hi = int(offsets[at]), int(offsets[to])
-        yield at, to, LOWER[raw[lo:hi]], offsets[at : to + 1] - lo
+        yield at, to, table[raw[lo:hi]], offsets[at : to + 1] - lo
         at = to
