@@ -197,8 +197,8 @@ def test_density_prefers_close_terms(spark):
     texts = {1: "alpha beta", 2: "alpha x x x x x beta", 3: "alphabet soup betas", 4: "alpha alpha beta x alpha", 5: "alpha only"}
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     asked = S.questions(spark.createDataFrame([(7, "alpha beta"), (8, "beta")], "q long, text string"), "q", "text")
-    found = S.matches(S.token_hits(S.corpus(docs, "doc_id", {"body": (F.col("text"), "B")}), asked, "doc_id"), asked, "doc_id")
-    got = {(r["question_id"], r["doc_id"]): r["strict_density"] for r in S.cover_density(found).collect()}
+    search = S.Search(S.Index(docs, "doc_id", {"body": (F.col("text"), "B")}), asked)
+    got = {(r["question_id"], r["doc_id"]): r["strict_density"] for r in search.cover_density(search.matches()).collect()}
     assert got[7, 1] > got[7, 3] > got[7, 2] > 0 and (7, 5) not in got and got[8, 3] > 0
     share = lambda total: total / (1 + total)
     assert abs(got[7, 1] - share(0.4)) < 1e-9 and abs(got[7, 2] - share(0.4 / 6)) < 1e-9  # five words between
@@ -209,8 +209,8 @@ def test_density_prefers_close_terms(spark):
 def test_relaxed_covers_need_three_of_the_tokens(spark):
     docs = spark.createDataFrame([(1, "one two x three"), (2, "one two")], "doc_id long, text string")
     asked = S.questions(spark.createDataFrame([(7, "one two three four")], "q long, text string"), "q", "text")
-    found = S.matches(S.token_hits(S.corpus(docs, "doc_id", {"title": (F.col("text"), "A")}), asked, "doc_id"), asked, "doc_id")
-    (r,) = S.cover_density(found).collect()
+    search = S.Search(S.Index(docs, "doc_id", {"title": (F.col("text"), "A")}), asked)
+    (r,) = search.cover_density(search.matches()).collect()
     assert (r["doc_id"], r["matched"], r["strict"], r["strict_density"]) == (1, 3, False, 0.0) and abs(r["relaxed_density"] - 0.5 / 1.5) < 1e-9
 
 

@@ -10,6 +10,7 @@ from pyspark.sql.window import Window as W
 
 from ..functions import text as T
 from ..functions import versions as V
+from ..sources.files import shared_path
 
 # --- fingerprints (N5) ------------------------------------------------------------
 
@@ -251,27 +252,34 @@ def missing_families(systems: DataFrame, members: DataFrame) -> DataFrame:
 
 
 def fuzzy_join(left: DataFrame, right: DataFrame, key: str, text: str, other_key: str, other_text: str, floor: float = 0.3) -> DataFrame:
-    """(key, other_key, similarity) of pairs of at least ``floor``. Distinct texts meet by shared trigrams, of
-    which the rarest suffice: a pair of that similarity shares one of the first (1 - floor) * n + 1 in one order."""
+    """(key, other_key, similarity) of pairs of at least ``floor``. Distinct texts, each under its smallest key, meet by shared
+    trigrams, of which the rarest suffice: a pair of that similarity shares one of the first (1 - floor) * n + 1 in one order. What
+    a pair can share besides is in the rest of one of the two, so most pairs end with a count."""
     def side(df, k, t, pre):
-        d = df.select(F.lower(t).alias(f"{pre}t")).where(f"{pre}t is not null").distinct()
-        return d.withColumn(f"{pre}g", T.trigrams(F.col(f"{pre}t"))).where(F.size(f"{pre}g") > 0)
+        d = df.where(t.isNotNull()).groupBy(F.lower(t).alias(f"{pre}t")).agg(F.min(k).alias(f"{pre}k"))
+        path = shared_path(df.sparkSession, "trigrams")  # read three times; trigrams are made once a text
+        d.withColumn(f"{pre}g", T.trigrams(F.col(f"{pre}t"))).write.parquet(path)
+        return df.sparkSession.read.parquet(path).where(F.size(f"{pre}g") > 0)
 
-    a, b = side(left, key, text, "a"), side(right, other_key, other_text, "b")
+    a, b = side(left, F.col(key), F.col(text), "a"), side(right, F.col(other_key), F.col(other_text), "b")
     grams = a.select(F.explode("ag").alias("g")).unionByName(b.select(F.explode("bg").alias("g")))
     rank = grams.groupBy("g").agg(F.count("*").alias("n"))
 
     def prefix(df, pre):
-        each = df.select(f"{pre}t", F.size(f"{pre}g").alias(f"{pre}n"), F.explode(f"{pre}g").alias("g")).join(rank, "g")
-        w = W.partitionBy(f"{pre}t").orderBy("n", "g")
+        each = df.select(f"{pre}k", F.size(f"{pre}g").alias(f"{pre}n"), F.explode(f"{pre}g").alias("g")).join(rank, "g")
+        w = W.partitionBy(f"{pre}k").orderBy("n", "g")
         keep = F.floor(F.col(f"{pre}n") * (1 - floor) + 1e-9) + 1
-        return each.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= keep).select("g", f"{pre}t", f"{pre}n")
-
-    pairs = prefix(a, "a").join(prefix(b, "b"), "g").where(F.col("an") >= F.col("bn") * floor).where(F.col("bn") >= F.col("an") * floor).select("at", "bt").distinct()
-    # the trigrams of a text are made once, not once a pair
-    full = pairs.join(a, "at").join(b, "bt")
-    scored = full.select("at", "bt", T.shared_trigrams(F.col("ag"), F.col("bg")).alias("similarity")).where(F.col("similarity") >= floor)
-    out = scored.join(left.select(key, F.lower(text).alias("at")), "at").join(right.select(other_key, F.lower(other_text).alias("bt")), "bt")
+        return each.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= keep).select("g", f"{pre}k", f"{pre}n", F.greatest(F.col(f"{pre}n") - keep, F.lit(0)).alias(f"{pre}s"))
+
+    shared = prefix(a, "a").join(prefix(b, "b"), "g").where(F.col("an") >= F.col("bn") * floor).where(F.col("bn") >= F.col("an") * floor)
+    pairs = shared.groupBy("ak", "bk", "an", "bn", "as", "bs").agg(F.count("*").alias("c"))
+    pairs = pairs.where(F.col("c") + F.greatest("as", "bs") >= (F.col("an") + F.col("bn")) * (floor / (1 + floor)) - 1e-6).select("ak", "bk")
+    spark = left.sparkSession  # few bytes, much work: dealt anew, as partitions would be merged by size
+    pairs = pairs.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), "ak", "bk")
+    full = pairs.join(a.drop("at"), "ak").join(b.drop("bt"), "bk")
+    scored = full.select("ak", "bk", T.shared_trigrams(F.col("ag"), F.col("bg")).alias("similarity")).where(F.col("similarity") >= floor)
+    each = lambda df, k, t, d, pre: df.select(k, F.lower(t).alias(f"{pre}t")).join(d.select(f"{pre}t", f"{pre}k"), f"{pre}t").select(k, f"{pre}k")
+    out = scored.join(each(left, key, text, a, "a"), "ak").join(each(right, other_key, other_text, b, "b"), "bk")
     return out.select(key, other_key, "similarity")
 
 

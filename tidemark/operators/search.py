@@ -1,15 +1,19 @@
 """Search of question batches over a corpus (inventory F).
 
-A corpus is one row a document with its terms, positions and field weights in one array. The distinct terms are
-matched with the questions' tokens once, and only the positions of terms that some question asks for leave a
-document's row, so what is shuffled is the questions' share of the corpus. Terms are ``[a-z0-9]+`` in lower case; a token
-matches the terms that it begins.
+A corpus is one row a document with its terms, positions and field weights in one array. Its index is written once: the terms, and
+postings (term, document, weight, positions) in folders by hash of the term. A search reads the folders of the terms that some
+question token begins, counts the distinct tokens of each pair of question and document without positions, and drops pairs
+under the floor; positions are joined last, for the tokens of the pairs that are left. Where only the best of a question are asked
+for, pairs whose upper bound is under the rank already reached never meet their positions. Terms are ``[a-z0-9]+`` in lower
+case; a token matches the terms that it begins.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -19,8 +23,10 @@ from ..sources.files import shared_path
 
 # Weights of fields in the cover density.
 WEIGHTS = {"A": 1.0, "B": 0.4, "C": 0.2, "D": 0.1}
-#: Matched terms up to which they are broadcast; more are joined.
+#: Terms that questions begin, and question tokens, up to which they are broadcast; more are joined.
 FEW_TERMS = 500_000
+#: Folders of the postings, parts of a folder (so that a frequent term is in several files), and postings of a pair scored at once.
+BUCKETS, SPREAD, SCORED = 16, 4, 1_000_000
 
 
 def corpus(docs: DataFrame, key: str, fields: Mapping[str, tuple[Column, str]]) -> DataFrame:
@@ -46,98 +52,224 @@ def questions(df: DataFrame, key: str, text: str, aliases: Mapping[str, str] | N
     return df.select(F.col(key).alias("question_id"), T.question_tokens(F.col(text), dict(aliases or {})).alias("tokens"))
 
 
-def expansion(indexed: DataFrame, asked: DataFrame) -> DataFrame:
-    """(term, begun): the terms of the corpus that question tokens begin, and these tokens; written, as it is read twice.
-
-    Tokens meet the distinct terms by their first characters, four at most.
-    """
-    spark = indexed.sparkSession
-    terms = indexed.select(F.explode(F.array_distinct(F.transform("words", lambda w: w["term"]))).alias("term")).distinct()
-    starts = F.array_distinct(F.array(*(F.substring("term", 1, n) for n in (1, 2, 3, 4))))
-    wanted = asked.select(F.explode("tokens").alias("token")).distinct().withColumn("_p", F.substring("token", 1, 4))
-    both = terms.withColumn("_p", F.explode(starts)).join(wanted, "_p").where(F.startswith("term", F.col("token")))
-    path = shared_path(spark, "terms")
-    both.groupBy("term").agg(F.array_sort(F.collect_set("token")).alias("begun")).write.parquet(path)
-    return spark.read.schema("term string, begun array<string>").parquet(path)
-
-
-def token_hits(indexed: DataFrame, asked: DataFrame, key: str) -> DataFrame:
-    """(key, hits: array of (position, begun, weight)) of documents with any question token; a document's hits are
-    part of its text. Written, as matches read it more than once."""
-    found = expansion(indexed, asked)
-    small = F.broadcast(found) if found.count() <= FEW_TERMS else found
-    rows = postings(indexed, key).join(small, "term")
-    hits = rows.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("position", "begun", "weight"))).alias("hits"))
-    path = shared_path(indexed.sparkSession, "hits")
-    hits.write.parquet(path)
-    return indexed.sparkSession.read.schema(hits.schema).parquet(path)
-
-
-def matches(hits: DataFrame, asked: DataFrame, key: str, also: DataFrame | None = None) -> DataFrame:
-    """(question_id, key, tokens, n_tokens, hits, matched, strict): documents in which at least three (or all, if
-    fewer) distinct question tokens begin a term; strict: all of them. ``also`` (question_id, key) are further pairs
-    to return whatever they match. ``hits`` are those of the question's tokens.
-
-    A document that matches ``k`` of ``n`` tokens holds one of the ``n - k + 1`` rarest, so pairs are made by these only.
+_TERM_BYTES = np.isin(np.arange(256), np.frombuffer(b"abcdefghijklmnopqrstuvwxyz0123456789", dtype=np.uint8))
+
+
+def _terms_of(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The terms of lower-case texts one after another, and the row of each."""
+    column = column.cast(pa.large_string()).fill_null("")
+    offsets = np.frombuffer(column.buffers()[1], dtype=np.int64)[column.offset : column.offset + len(column) + 1]
+    raw = np.frombuffer(column.buffers()[2] or b"", dtype=np.uint8)[offsets[0] : offsets[-1]]
+    offsets = offsets - offsets[0]
+    inside = _TERM_BYTES[raw]
+    cut = np.zeros(len(raw) + 1, dtype=bool)
+    cut[offsets] = True
+    starts = np.flatnonzero(inside & (cut[:-1] | ~np.append(False, inside)[:-1]))
+    ends = np.flatnonzero(inside & (cut[1:] | ~np.append(inside, False)[1:])) + 1
+    at = np.append(0, np.cumsum(ends - starts))
+    terms = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(at.astype(np.int64)), pa.py_buffer(raw[inside].tobytes()))
+    return terms, np.searchsorted(offsets, starts, side="right") - 1
+
+
+def _posted(weights: Sequence[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(key, term, weight, n, positions) of rows (key, a text for each weight); positions run on over the texts."""
+    kinds = sorted(set(weights))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            before = np.zeros(batch.num_rows, dtype=np.int64)
+            parts, docs, places, kind = [], [], [], []
+            for column, weight in zip(batch.columns[1:], weights):
+                terms, doc = _terms_of(column)
+                own = np.bincount(doc, minlength=batch.num_rows)
+                parts.append(terms)
+                docs.append(doc)
+                places.append(np.arange(len(doc)) - (np.cumsum(own) - own)[doc] + before[doc])
+                kind.append(np.full(len(doc), kinds.index(weight)))
+                before += own
+            doc, place, kind = map(np.concatenate, (docs, places, kind))
+            coded = pa.concat_arrays(parts).dictionary_encode()
+            key = (doc * max(1, len(coded.dictionary)) + coded.indices.to_numpy()) * len(kinds) + kind
+            order = np.argsort(key, kind="stable")
+            new = np.flatnonzero(np.append(True, np.diff(key[order]) != 0)[: len(order)])
+            first, bounds = order[new], np.append(new, len(order))
+            take = lambda words, i: words.take(pa.array(i))
+            positions = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(place[order].astype(np.int32)))
+            columns = [take(batch.column(0), doc[first]), take(coded.dictionary, coded.indices.to_numpy()[first]).cast(pa.string()), take(pa.array(kinds), kind[first]), pa.array(np.diff(bounds).astype(np.int32)), positions]
+            done = pa.RecordBatch.from_arrays(columns, names=["key", "term", "weight", "n", "positions"])
+            yield from (done.slice(i, 100_000) for i in range(0, done.num_rows, 100_000))
+
+    return run
+
+
+class Index:
+    """a written inverted index of documents with distinct keys: ``terms``, and ``postings`` (bucket, term, key,
+    weight, n, positions), a row a term, document and weight. ``fields`` as for ``corpus``."""
+
+    def __init__(self, docs: DataFrame, key: str, fields: Mapping[str, tuple[Column, str]], path: str | None = None) -> None:
+        spark, self.key = docs.sparkSession, key
+        self.path = path or shared_path(spark, "index")
+        kind = docs.schema[key].dataType.simpleString()
+        texts = docs.select(F.col(key), *(F.lower(text).alias(f"_{i}") for i, (text, _) in enumerate(fields.values())))
+        bucket = F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int")
+        rows = texts.mapInArrow(_posted([w for _, w in fields.values()]), f"key {kind}, term string, weight string, n int, positions array<int>")
+        rows = rows.withColumn("bucket", bucket).repartition("bucket", F.pmod(F.xxhash64("key"), F.lit(SPREAD)))
+        rows.write.partitionBy("bucket").parquet(f"{self.path}/postings")
+        self.postings = spark.read.schema(f"key {kind}, term string, weight string, n int, positions array<int>, bucket int").parquet(f"{self.path}/postings")
+        self.postings.select("bucket", "term").distinct().write.parquet(f"{self.path}/terms")
+        self.terms = spark.read.schema("bucket int, term string").parquet(f"{self.path}/terms")
+
+
+class Search:
+    """The questions ``asked`` (question_id, tokens) against an index."""
+
+    def __init__(self, index: Index, asked: DataFrame) -> None:
+        spark, self.index, self.key = asked.sparkSession, index, index.key
+        self.asked = asked.where(F.size("tokens") > 0).select("question_id", F.array_distinct("tokens").alias("tokens"))
+        starts = F.array_distinct(F.array(*(F.substring("term", 1, n) for n in (1, 2, 3, 4))))
+        wanted = self.asked.select(F.explode("tokens").alias("token")).distinct().withColumn("_p", F.substring("token", 1, 4))
+        # tokens meet the distinct terms by their first characters, four at most
+        begun = index.terms.withColumn("_p", F.explode(starts)).join(wanted, "_p").where(F.startswith("term", F.col("token")))
+        path = shared_path(spark, "terms")
+        begun.select("bucket", "term", "token").write.parquet(path)
+        self.begun = spark.read.schema("bucket int, term string, token string").parquet(path)
+        buckets = [r["bucket"] for r in self.begun.select("bucket").distinct().collect()]  # BUCKETS at most
+        small = F.broadcast(self.begun) if self.begun.count() <= FEW_TERMS else self.begun
+        #: (token, key, weight, n, positions) of the terms that tokens begin, from their folders only
+        self.postings = index.postings.where(F.col("bucket").isin(buckets)).join(small, ["bucket", "term"]).withColumnRenamed("key", self.key)
+
+    def matches(self, also: DataFrame | None = None) -> DataFrame:
+        """(question_id, key, tokens, n_tokens, mask, n_hits, best, matched, strict): documents in which at least three (or all, if
+        fewer) distinct question tokens begin a term; strict: all of them. ``mask`` has the places of these tokens, ``n_hits`` is the
+        number of their positions at most, ``rare`` of those of all but the most frequent two, ``fewest`` of one, ``best`` the largest weight. ``also`` (question_id, key) are further pairs to return whatever they match.
+
+        Pairs are formed without positions, one row for each token of a question that a document has.
+        """
+        weight = F.create_map(*(F.lit(x) for kv in WEIGHTS.items() for x in kv))[F.col("weight")]
+        held = self.postings.groupBy("token", self.key).agg(F.sum("n").alias("_n"), F.max(weight).alias("_w"))
+        each = self.asked.select("question_id", F.posexplode("tokens").alias("_at", "token"))
+        each = each.select("question_id", "token", F.pow(F.lit(2), F.col("_at")).cast("int").alias("_bit"))
+        each = F.broadcast(each) if each.count() <= FEW_TERMS else each
+        rows = held.join(each, "token").select("question_id", self.key, "_bit", "_n", "_w", F.lit(False).alias("_also"))
+        if also is not None:
+            rows = rows.unionByName(also.select("question_id", self.key, F.lit(0).alias("_bit"), F.lit(0).cast("long").alias("_n"), F.lit(0.0).alias("_w"), F.lit(True).alias("_also")))
+        pairs = rows.groupBy("question_id", self.key).agg(F.bit_or("_bit").alias("mask"), F.sum("_n").alias("n_hits"), F.max("_n").alias("_c"), F.sum(F.col("_n") * F.col("_n")).alias("_sq"), F.min(F.when(F.col("_n") > 0, F.col("_n"))).alias("fewest"), F.max("_w").alias("best"), F.max("_also").alias("_also"))
+        # hits of all tokens but the most frequent two, at most: the second has at least the mean of the others, weighted by themselves
+        others = F.col("n_hits") - F.col("_c")
+        pairs = pairs.withColumn("rare", others - F.coalesce(F.ceil(F.try_divide(F.col("_sq") - F.col("_c") * F.col("_c"), others)), F.lit(0))).drop("_c", "_sq")
+        n = F.size("tokens")
+        full = pairs.withColumn("matched", F.bit_count("mask")).join(F.broadcast(self.asked.withColumn("n_tokens", n)), "question_id")
+        full = full.where((F.col("matched") >= F.least(F.lit(3), F.col("n_tokens"))) | F.col("_also"))
+        return full.withColumn("strict", F.col("matched") == F.col("n_tokens")).drop("_also")
+
+    def cover_density(self, found: DataFrame) -> DataFrame:
+        """the matches with ``strict_density`` and ``relaxed_density``: of the smallest covers of all tokens, and of any three
+        (all, if fewer), the sum of (hits / sum of inverse weights) / (1 + words between that are no hits), as r / (r + 1).
+
+        Only here pairs meet the positions of their own tokens.
+        """
+        by = ["question_id", self.key]
+        dense = found.where(F.col("matched") >= F.least(F.lit(3), F.col("n_tokens"))).select(*by, "n_tokens", "mask", F.posexplode("tokens").alias("t", "token"))
+        dense = dense.where(F.expr("mask & shiftleft(1, t) != 0")).drop("mask")
+        inverse = F.create_map(*(F.lit(x) for k, w in WEIGHTS.items() for x in (k, 1 / w)))[F.col("weight")]
+        rows = dense.join(self.postings.select("token", self.key, inverse.alias("inverse"), "positions"), ["token", self.key])
+        rows = rows.groupBy(*by, "n_tokens").agg(F.collect_list(F.struct("t", "inverse", "positions")).alias("hits"))
+        kinds = {f.name: f.dataType.simpleString() for f in found.schema.fields}
+        scored = rows.select(*by, "n_tokens", "hits").mapInArrow(_dense, f"question_id {kinds['question_id']}, {self.key} {kinds[self.key]}, strict_density double, relaxed_density double")
+        out = found.join(scored, by, "left")
+        return out.withColumns({x: F.coalesce(x, F.lit(0.0)) for x in ("strict_density", "relaxed_density")})
+
+    def bound(self) -> tuple[Column, Column]:
+        """Upper bounds of both densities of a match, each cover of the largest weight at most. Covers begin and end at different hits.
+        A cover of three tokens holds a hit of one that isn't among the most frequent two: as its begin, its end, or in between, where
+        only one cover has that hit as the latest of its kind. A cover of all holds a hit of the rarest token, which fewer covers
+        than there are tokens share."""
+        k = F.least(F.lit(3), F.col("n_tokens"))
+
+        def of(covers: Column, k: Column, able: Column) -> Column:
+            r = F.greatest(F.least(covers, F.col("n_hits") - k + 1), F.lit(0)) * F.col("best")
+            return F.when(able, r / (r + 1)).otherwise(0.0)
+
+        relaxed = F.when(k == 3, 3 * F.col("rare")).otherwise(F.col("n_hits"))
+        return of(F.col("n_tokens") * F.col("fewest"), F.col("n_tokens"), F.col("strict")), of(relaxed, k, F.col("matched") >= k)
+
+    def best(self, found: DataFrame, upper: Column, score: Callable[[DataFrame], DataFrame], rank: str, cap: int = 100) -> DataFrame:
+        """matches of each question with their ``rank``, among them its ``cap`` best. ``score`` adds ``rank`` to pairs with densities,
+        ``upper`` is never under it. The ``cap`` pairs of the highest bound are scored first; of the others only those whose bound reaches
+        the least rank of these."""
+        spark, path = found.sparkSession, shared_path(found.sparkSession, "pairs")
+        w = W.partitionBy("question_id").orderBy(F.desc("_upper"), self.key)
+        found.withColumn("_upper", upper).write.parquet(f"{path}/all")
+        pairs = spark.read.parquet(f"{path}/all")
+        first = pairs.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= cap).drop("_r")
+        score(self.cover_density(first)).write.parquet(f"{path}/first")
+        first = spark.read.parquet(f"{path}/first")
+        least = first.groupBy("question_id").agg(F.min(rank).alias("_least"), F.count("*").alias("_n")).where(F.col("_n") == cap)
+        rest = pairs.join(F.broadcast(least), "question_id").where(F.col("_upper") >= F.col("_least") - 1e-5).join(first.select("question_id", self.key), ["question_id", self.key], "left_anti")
+        return first.unionByName(score(self.cover_density(rest.drop("_least", "_n")))).drop("_upper")
+
+
+def _dense(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        size = np.zeros(batch.num_rows, dtype=np.int64)
+        hits = batch.column("hits")
+        entry = np.diff(hits.offsets.to_numpy())
+        np.add.at(size, np.repeat(np.arange(len(entry)), entry), np.diff(hits.flatten().field("positions").offsets.to_numpy()))
+        at = 0
+        while at < batch.num_rows:
+            to = at + max(1, int(np.searchsorted(np.cumsum(size[at:]), SCORED, side="right")))
+            part = batch.slice(at, to - at)
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *map(pa.array, densities(part.column("hits"), part.column("n_tokens").to_numpy()))], names=["question_id", batch.schema.names[1], "strict_density", "relaxed_density"])
+            at = to
+
+
+def densities(hits: pa.ListArray, n_tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Strict and relaxed cover density of pairs with the positions of their tokens, lists of (t, inverse, positions).
+
+    For each hit the latest hits of all tokens, sorted: the ``k``-th latest begins the smallest cover that ends here. It is new if it
+    begins behind the cover before.
     """
-    asked = asked.where(F.size("tokens") > 0).withColumn("tokens", F.array_distinct("tokens"))
-    held = hits.select(key, F.explode(F.array_distinct(F.flatten(F.transform("hits", lambda h: h["begun"])))).alias("token"))
-    rows = held.groupBy("token").agg(F.count("*").alias("_df"))
-    n = F.size("tokens")
-    each = asked.select("question_id", n.alias("_n"), F.explode("tokens").alias("token")).join(rows, "token", "left")
-    by_rarity = F.array_sort(F.collect_list(F.struct(F.coalesce("_df", F.lit(0)).alias("_df"), "token")))
-    rare = each.groupBy("question_id", "_n").agg(by_rarity.alias("r"))  # as many tokens as a question has
-    keep = F.col("_n") - F.least(F.lit(3), F.col("_n")) + 1
-    rare = rare.select("question_id", F.explode(F.transform(F.slice("r", F.lit(1), keep), lambda x: x["token"])).alias("token"))
-    pairs = rare.join(held, "token").select("question_id", key).distinct().withColumn("_also", F.lit(False))
-    if also is not None:
-        pairs = pairs.unionByName(also.select("question_id", key, F.lit(True).alias("_also"))).groupBy("question_id", key).agg(F.max("_also").alias("_also"))
-    full = pairs.join(asked, "question_id").join(hits, key, "left")
-    own = F.filter(F.transform(F.coalesce("hits", F.expr("cast(array() as array<struct<position:int,begun:array<string>,weight:string>>)")), lambda h: F.struct(h["position"].alias("position"), F.array_intersect(h["begun"], "tokens").alias("begun"), h["weight"].alias("weight"))), lambda h: F.size(h["begun"]) > 0)
-    full = full.select("question_id", key, "tokens", n.alias("n_tokens"), own.alias("hits"), "_also")
-    full = full.withColumn("matched", F.size(F.array_distinct(F.flatten(F.transform("hits", lambda h: h["begun"])))))
-    return full.where((F.col("matched") >= F.least(F.lit(3), F.col("n_tokens"))) | F.col("_also")).withColumn("strict", F.col("matched") == F.col("n_tokens")).drop("_also")
+    pair = np.repeat(np.arange(len(hits)), np.diff(hits.offsets.to_numpy()))
+    entry = hits.flatten()
+    positions = entry.field("positions")
+    of = np.repeat(np.arange(len(entry)), np.diff(positions.offsets.to_numpy()))
+    pair, place = pair[of], positions.flatten().to_numpy().astype(np.int64)
+    token, inverse = entry.field("t").to_numpy()[of], entry.field("inverse").to_numpy()[of]
+    order = np.lexsort((place, pair))
+    pair, place, token, inverse = pair[order], place[order], token[order], inverse[order]
+    new = np.append(True, (pair[1:] != pair[:-1]) | (place[1:] != place[:-1])) if len(pair) else np.zeros(0, dtype=bool)
+    hit = np.cumsum(new) - 1  # tokens that begin one term share its hit
+    pair, place, inverse = pair[new], place[new], inverse[new]
+    here = np.arange(len(pair))
+    start = np.searchsorted(pair, pair)
+    last = np.full((len(pair), int(n_tokens.max(initial=1))), -1, dtype=np.int64)
+    last[hit, token] = hit
+    np.maximum.accumulate(last, axis=0, out=last)
+    last[last < start[:, None]] = -1  # of the pair before
+    last = -np.sort(-last, axis=1)
+    total = np.cumsum(inverse)
+    out = []
+    for k in (n_tokens, np.minimum(n_tokens, 3)):
+        first = last[here, k[pair] - 1] if len(pair) else here
+        before = np.append(-1, first[:-1])[: len(first)]
+        before[here == start] = -1
+        end = np.flatnonzero((first >= 0) & (first > before))
+        f = first[end]
+        gain = (end - f + 1) / (total[end] - total[f] + inverse[f]) / (1 + (place[end] - place[f]) - (end - f))
+        r = np.bincount(pair[end], gain, minlength=len(hits))
+        out.append(r / (r + 1))
+    return out[0], out[1]
 
 
 def semantic_floor(found: DataFrame, context: DataFrame, need: int = 2) -> DataFrame:
     """matches in which at least min(``need``, n) of the question's n tokens that are neither generic nor words
     of its context (question_id, words) begin a term; questions without such tokens have no matches."""
     rows = found.join(context.select("question_id", F.col("words").alias("_c")), "question_id", "left")
-    own = F.filter("tokens", lambda t: ~t.isin(T.GENERIC_TERMS) & ~F.coalesce(F.array_contains("_c", t), F.lit(False)))
-    begun = F.flatten(F.transform("hits", lambda h: h["begun"]))
-    rows = rows.withColumn("_own", own).withColumn("_m", F.size(F.array_intersect("_own", begun)))
-    return rows.where((F.size("_own") > 0) & (F.col("_m") >= F.least(F.lit(need), F.size("_own")))).drop("_c", "_own", "_m")
-
-
-def cover_density(found: DataFrame) -> DataFrame:
-    """the matches with ``strict_density`` and ``relaxed_density``: of the smallest covers of all tokens, and of any three
-    (all, if fewer), the sum of (hits / sum of inverse weights) / (1 + words between that are no hits), as r / (r + 1).
-
-    One fold over a pair's hits in order: the ``k`` tokens last seen at latest positions span the smallest cover that
-    ends here; it is new if it begins behind the cover before.
-    """
-    table = F.create_map(*(F.lit(x) for k, w in WEIGHTS.items() for x in (k, 1 / w)))
-    seen = "struct<i:int,position:int,sum:double>"
-    start = F.expr(f"""named_struct('i', 0, 'sum', 0.0D, 'last', cast(transform(tokens, t -> named_struct('i', -1, 'position', 0, 'sum', 0.0D)) as array<{seen}>),
-        'strict', named_struct('from', -1, 'total', 0.0D), 'relaxed', named_struct('from', -1, 'total', 0.0D))""")
-
-    def cover(acc: Column, h: Column, last: Column, total: Column, k: Column) -> Column:
-        first = F.get(F.sort_array(last, asc=False), k - 1)
-        between = (h["position"] - first["position"]) - (h["i"] - first["i"])
-        more = (h["i"] - first["i"] + 1) / (total - first["sum"]) / (1 + between)
-        return F.when(first["i"] > acc["from"], F.struct(first["i"].alias("from"), (acc["total"] + more).alias("total"))).otherwise(acc)
-
-    def step(acc: Column, h: Column) -> Column:
-        here = F.struct(acc["i"].alias("i"), h["position"].alias("position"), acc["sum"].alias("sum"))
-        last = F.zip_with("tokens", acc["last"], lambda t, x: F.when(F.array_contains(h["begun"], t), here).otherwise(x))
-        total = acc["sum"] + table[h["weight"]]
-        at = F.struct(acc["i"].alias("i"), h["position"].alias("position"))
-        n = F.col("n_tokens")
-        return F.struct((acc["i"] + 1).alias("i"), total.alias("sum"), last.alias("last"), cover(acc["strict"], at, last, total, n).alias("strict"), cover(acc["relaxed"], at, last, total, F.least(F.lit(3), n)).alias("relaxed"))
-
-    folded = found.withColumn("_d", F.aggregate("hits", start, step, lambda a: F.struct(a["strict"]["total"].alias("strict"), a["relaxed"]["total"].alias("relaxed"))))
-    part = lambda name: (F.col(f"_d.{name}") / (F.col(f"_d.{name}") + 1)).alias(f"{name}_density")
-    return folded.select(*found.columns, part("strict"), part("relaxed"))
+    own = lambda t: ~t.isin(T.GENERIC_TERMS) & ~F.coalesce(F.array_contains("_c", t), F.lit(False))
+    bits = F.transform("tokens", lambda t, i: F.when(own(t), F.pow(F.lit(2), i).cast("int")).otherwise(0))
+    rows = rows.withColumn("_own", F.aggregate(bits, F.lit(0), lambda a, b: a + b))
+    met = F.bit_count(F.col("_own").bitwiseAND(F.col("mask")))
+    return rows.where((F.col("_own") > 0) & (met >= F.least(F.lit(need), F.bit_count("_own")))).drop("_c", "_own")
 
 
 def network_score(strict: Column, relaxed: Column, similar: Column, confidence: Column, quality: Column, scope: Column) -> Column:

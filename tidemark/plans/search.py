@@ -10,6 +10,7 @@ from ..operators import demand as M
 from ..operators import network as N
 from ..operators import releases as R
 from ..operators import search as S
+from ..sources.files import shared_path
 from .documents import _DISTINCT, _TRI
 from .registry import Tables, query
 
@@ -17,9 +18,10 @@ c = F.col
 
 _WORDS = "regexp_extract_all(lower(text), '[a-z0-9]+')"
 _TOKENS = f"SELECT item_id AS question_id, (CASE WHEN len(k) > 0 THEN k ELSE w END)[:8] AS tokens FROM (SELECT item_id, w, list_filter({_DISTINCT.format('w')}, lambda x: length(x) >= 2 AND (NOT regexp_matches(x, '^[0-9]+$') OR length(x) >= 3) AND NOT list_contains({T.STOP_WORDS}, x)) AS k FROM (SELECT item_id, {_WORDS} AS w FROM benchmark))"
-# a document's words: of its first line with weight A, of the rest with B, of its source with C
-_PLACED = """w AS MATERIALIZED (SELECT doc_id, position, words[position + 1] AS term, CASE WHEN position < a THEN 'A' WHEN position < n THEN 'B' ELSE 'C' END AS weight
-  FROM (SELECT *, unnest(range(0, len(words)))::INT AS position FROM (SELECT doc_id, len(regexp_extract_all(lower(split_part(text, chr(10), 1)), '[a-z0-9]+')) AS a, len(regexp_extract_all(lower(text), '[a-z0-9]+')) AS n,
+# a document's title is its first line, if that has at most 180 characters; words of the title have weight A, the rest B, the source C
+_TITLE = "CASE WHEN length(split_part(text, chr(10), 1)) <= 180 THEN split_part(text, chr(10), 1) END"
+_PLACED = f"""w AS MATERIALIZED (SELECT doc_id, position, words[position + 1] AS term, CASE WHEN position < a THEN 'A' WHEN position < n THEN 'B' ELSE 'C' END AS weight
+  FROM (SELECT *, unnest(range(0, len(words)))::INT AS position FROM (SELECT doc_id, coalesce(len(regexp_extract_all(lower({_TITLE}), '[a-z0-9]+')), 0) AS a, len(regexp_extract_all(lower(text), '[a-z0-9]+')) AS n,
     list_concat(regexp_extract_all(lower(text), '[a-z0-9]+'), regexp_extract_all(lower(source), '[a-z0-9]+')) AS words FROM documents)))"""
 _FOUND = f"""WITH q AS MATERIALIZED (SELECT question_id, len(tokens) AS n, unnest(tokens) AS token FROM ({_TOKENS})),
 {_PLACED},
@@ -42,21 +44,25 @@ y AS MATERIALIZED (SELECT m.question_id, m.doc_id, coalesce(max(CASE WHEN kind =
 
 
 def _title():
-    return F.get(F.split("text", "\n", 2), F.lit(0))
+    first = F.get(F.split("text", "\n", 2), F.lit(0))
+    return F.when(F.length(first) <= 180, first)
+
+
+def _fields():
+    rest = F.when(_title().isNull(), c("text")).otherwise(F.get(F.split("text", "\n", 2), F.lit(1)))
+    return {"title": (_title(), "A"), "body": (rest, "B"), "source": (c("source"), "C")}
 
 
 def _indexed(t: Tables):
-    rest = F.get(F.split("text", "\n", 2), F.lit(1))
-    return S.corpus(t.documents, "doc_id", {"title": (_title(), "A"), "body": (rest, "B"), "source": (c("source"), "C")})
+    return S.corpus(t.documents, "doc_id", _fields())
 
 
 def _asked(t: Tables):
     return S.questions(t.benchmark, "item_id", "text")
 
 
-def _found(t: Tables, also=None):
-    asked = _asked(t)
-    return S.matches(S.token_hits(_indexed(t), asked, "doc_id"), asked, "doc_id", also)
+def _search(t: Tables):
+    return S.Search(S.Index(t.documents, "doc_id", _fields()), _asked(t))
 
 
 @query("f2_postings", f"WITH {_PLACED} SELECT doc_id, count(*) AS n, count(DISTINCT term) AS terms, max(position) AS last, count(*) FILTER (WHERE weight = 'A') AS n_a, count(*) FILTER (WHERE weight = 'C') AS n_c FROM w GROUP BY 1")
@@ -68,35 +74,58 @@ def f2(t: Tables):
 
 @query("f3_strict_match", _FOUND + "SELECT question_id, doc_id FROM m WHERE matched = n_tokens")
 def f3(t: Tables):
-    return _found(t).where("strict").select("question_id", "doc_id")
+    return _search(t).matches().where("strict").select("question_id", "doc_id")
 
 
 @query("f4_relaxed_match", _FOUND + "SELECT question_id, doc_id, matched FROM m")
 def f4(t: Tables):
-    return _found(t).select("question_id", "doc_id", c("matched").cast("long").alias("matched"))
+    return _search(t).matches().select("question_id", "doc_id", c("matched").cast("long").alias("matched"))
 
 
 @query("f6_cover_density", _DENSE + "SELECT question_id, doc_id, round(strict / (strict + 1), 6) AS strict_density, round(relaxed / (relaxed + 1), 6) AS relaxed_density FROM y")
 def f6(t: Tables):
-    return S.cover_density(_found(t)).select("question_id", "doc_id", *(F.round(x, 6).alias(x) for x in ("strict_density", "relaxed_density")))
+    s = _search(t)
+    return s.cover_density(s.matches()).select("question_id", "doc_id", *(F.round(x, 6).alias(x) for x in ("strict_density", "relaxed_density")))
 
 
 # Fixed value: similarity of titles from which a document is a candidate without a match of words.
 TITLE_FLOOR = 0.32
 
 
-def _scored(t: Tables):
-    """Questions by documents: matches or alike titles (a document's title is its first line), and their rank."""
+def _candidates(t: Tables):
+    """The search, its candidates (matches or alike titles) with what their rank needs, and the function that ranks them."""
     titles = t.documents.select("doc_id", _title().alias("title"), F.substring("source", 4, 9).cast("int").alias("s"))
     asked = t.benchmark.select(c("item_id").alias("question_id"), c("text").alias("asked"))
-    alike = N.fuzzy_join(asked, titles, "question_id", "asked", "doc_id", "title", TITLE_FLOOR).select("question_id", "doc_id")
-    both = S.cover_density(_found(t, alike)).join(titles.select("doc_id", "s", T.trigrams(c("title")).alias("tg")), "doc_id").join(asked.select("question_id", T.trigrams(c("asked")).alias("qg")), "question_id")
+    alike = N.fuzzy_join(asked, titles, "question_id", "asked", "doc_id", "title", TITLE_FLOOR).select("question_id", "doc_id", "similarity")
+    path = shared_path(t.spark, "alike")
+    alike.write.parquet(path)
+    alike = t.spark.read.parquet(path)
+    search = _search(t)
     scope = F.when(c("s") % 4 == 0, "model").when(c("s") % 4 == 1, "vendor_os").when(c("s") % 4 == 2, "architecture").otherwise("os_family")
-    rank = S.network_score(c("strict_density"), c("relaxed_density"), T.shared_trigrams(c("tg"), c("qg")), F.lit(0.9), F.lit(0.8), scope)
-    return both.withColumn("rank", F.round(rank, 6)).withColumn("scope", scope)
+    pairs = search.matches(alike).join(titles.select("doc_id", "s", scope.alias("scope")), "doc_id").join(alike, ["question_id", "doc_id"], "left")
+
+    def ranked(pairs):
+        both = pairs.join(titles.select("doc_id", T.trigrams(c("title")).alias("tg")), "doc_id").join(asked.select("question_id", T.trigrams(c("asked")).alias("qg")), "question_id")
+        rank = S.network_score(c("strict_density"), c("relaxed_density"), T.shared_trigrams(c("tg"), c("qg")), F.lit(0.9), F.lit(0.8), c("scope"))
+        return both.withColumn("rank", F.round(rank, 6)).drop("tg", "qg")
+
+    return search, pairs, ranked
+
+
+def _scored(t: Tables):
+    """All candidates with their rank."""
+    search, pairs, ranked = _candidates(t)
+    return ranked(search.cover_density(pairs))
+
+
+def _best(t: Tables):
+    """Candidates with their rank, among them the 100 best of each question. Titles that aren't alike are under the floor."""
+    search, pairs, ranked = _candidates(t)
+    upper = S.network_score(*search.bound(), F.coalesce("similarity", F.lit(TITLE_FLOOR)), F.lit(0.9), F.lit(0.8), c("scope"))
+    return search.best(pairs, upper, ranked, "rank")
 
 
-_SCORED = _DENSE + f""", t AS MATERIALIZED (SELECT doc_id, source, {_TRI.format("split_part(text, chr(10), 1)")} AS a FROM documents), b AS MATERIALIZED (SELECT item_id, {_TRI.format('text')} AS b FROM benchmark),
+_SCORED = _DENSE + f""", t AS MATERIALIZED (SELECT doc_id, source, {_TRI.format(f"coalesce({_TITLE}, {chr(39) * 2})")} AS a FROM documents), b AS MATERIALIZED (SELECT item_id, {_TRI.format('text')} AS b FROM benchmark),
 u AS MATERIALIZED (SELECT item_id AS question_id, doc_id, source, coalesce(len(list_intersect(a, b))::DOUBLE / nullif(len(list_distinct(list_concat(a, b))), 0)::DOUBLE, 0) AS alike FROM t, b),
 r AS MATERIALIZED (SELECT u.question_id, u.doc_id, source, CASE substr(source, 4)::INT % 4 WHEN 0 THEN 4 WHEN 1 THEN 3 WHEN 2 THEN 2 ELSE 1 END AS scope, round(coalesce(strict / (strict + 1), 0) * 0.70 + coalesce(relaxed / (relaxed + 1), 0) * 0.30 + alike * 0.15 + 0.9::DOUBLE * 0.10 + 0.8::DOUBLE * 0.10
     + CASE substr(source, 4)::INT % 4 WHEN 0 THEN 0.30 WHEN 1 THEN 0.20 WHEN 2 THEN 0.15 ELSE 0.05 END::DOUBLE, 6) AS rank
@@ -127,7 +156,7 @@ g AS MATERIALIZED (SELECT o.question_id, d.doc_id, count(DISTINCT o.token) AS m
 
 @query("f9_semantic_floor", _FOUND + _FLOOR + "SELECT m.question_id, m.doc_id FROM m JOIN n USING (question_id) JOIN g ON g.question_id = m.question_id AND g.doc_id = m.doc_id WHERE g.m >= least(2, k)")
 def f9(t: Tables):
-    return S.semantic_floor(_found(t), _context(t)).select("question_id", "doc_id")
+    return S.semantic_floor(_search(t).matches(), _context(t)).select("question_id", "doc_id")
 
 
 _CAPPED = _SCORED + ", top AS (SELECT *, max(rank) OVER (PARTITION BY question_id) AS best FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY rank DESC, doc_id) AS p FROM r) WHERE p <= 100) "
@@ -135,7 +164,7 @@ _CAPPED = _SCORED + ", top AS (SELECT *, max(rank) OVER (PARTITION BY question_i
 
 @query("f10_cap_and_cut", _CAPPED + "SELECT question_id, doc_id FROM top WHERE rank >= greatest(best * 0.5, 0.01)")
 def f10(t: Tables):
-    return S.capped(_scored(t), "rank", "doc_id").select("question_id", "doc_id")
+    return S.capped(_best(t), "rank", "doc_id").select("question_id", "doc_id")
 
 
 # a question asks for version 17.<r>.<x>; records apply to all, a range, a branch or one version by their id
@@ -151,7 +180,7 @@ vp AS (SELECT *, CASE WHEN sc = 0 THEN 2 WHEN sc = 1 THEN CASE WHEN rq >= lo AND
 SELECT question_id, doc_id, place FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY scope DESC, version DESC, rank DESC, doc_id)::INT AS place FROM f WHERE f = 1) WHERE place <= 5""",
 )
 def f11(t: Tables):
-    kept = S.semantic_floor(S.capped(_scored(t), "rank", "doc_id"), _context(t))
+    kept = S.semantic_floor(S.capped(_best(t), "rank", "doc_id"), _context(t))
     text = lambda *parts: F.concat_ws(".", F.lit("17"), *(p.cast("string") for p in parts))
     asked = text(c("question_id") % 30, F.floor(c("question_id") / 30) % 2)
     low, kind = c("doc_id") % 20, F.floor(c("doc_id") / 20) % 4
