@@ -76,11 +76,14 @@ GUIDANCE = {
     "device_reload": "Forwarding stops during the restart; the saved state is loaded.",
     "software_install": "The software changes; activation may restart the device.",
 }
+#: Guidance for lines that no rule knows, and where there is nothing else to say.
+UNKNOWN_GUIDANCE = "A command isn't known to the rules, so nothing is said about its effect; check its syntax and platform."
+PLAIN_GUIDANCE = "The review grades the risk and names checks; it withholds nothing that was asked for."
 # Checks after a change (pattern over the text after it), by rule.
 STATE_CHECKS = {
     "interface_state_change": ("interface_state", r"(?i)\b(?:up\s+up|administratively down|down\s+down)\b"),
-    "routing_process_change": ("routing_state", r"(?i)\b(?:Routing entry for|Known via|via\s+[0-9]{1,3}(?:\.[0-9]{1,3}){3}|Codes:)"),
-    "static_route_change": ("routing_state", r"(?i)\b(?:Routing entry for|Known via|via\s+[0-9]{1,3}(?:\.[0-9]{1,3}){3}|Codes:)"),
+    "routing_process_change": ("routing_state", r"(?i)\b(?:Routing entry for|Known via|via\s+\d{1,3}(?:\.\d{1,3}){3}|Codes:)\b"),
+    "static_route_change": ("routing_state", r"(?i)\b(?:Routing entry for|Known via|via\s+\d{1,3}(?:\.\d{1,3}){3}|Codes:)\b"),
     "acl_change": ("acl_state", r"(?i)\b(?:Extended|Standard) IP access list\b"),
 }
 CRITICAL = r"(?i)%[A-Z0-9_-]+-[012]-|Traceback|CRASHED|FAILED|fatal error"
@@ -108,7 +111,9 @@ def change_review(changes: DataFrame, key: str, commands: str = "commands") -> D
         F.max(F.when(F.col("severity").isin("destructive", "high"), 2).when(F.col("severity").isin("medium", "write"), 1).otherwise(0)).alias("_risk"),
     )
     table = F.create_map(*(F.lit(x) for kv in GUIDANCE.items() for x in kv))
-    guidance = F.filter(F.transform("rules", lambda r: table[r]), lambda g: g.isNotNull())
+    known = F.filter(F.transform("rules", lambda r: table[r]), lambda g: g.isNotNull())
+    guidance = F.concat(known, F.when(F.col("unknown_lines") > 0, F.array(F.lit(UNKNOWN_GUIDANCE))).otherwise(F.array().cast("array<string>")))
+    guidance = F.when(F.size(guidance) > 0, guidance).otherwise(F.array(F.lit(PLAIN_GUIDANCE)))
     return out.select(key, "rules", "blast_radius", "unknown_lines", F.when(F.col("_risk") == 2, "high").when(F.col("_risk") == 1, "medium").otherwise("low").alias("risk"), guidance.alias("guidance"))
 
 
@@ -149,82 +154,144 @@ def _pick(text: Column, pattern: str) -> Column:
     return F.nullif(T.trimmed(F.regexp_extract(text, pattern, 1)), F.lit(""))
 
 
-_TABLE_HEAD = r"(?i)Device ID\s+Local Intrfce"
+# Patterns of discovery, route and trace outputs.
+CDP_BLOCKS, CDP_TARGET = r"(?i)(?=Device ID\s*:)", r"(?i)Device ID\s*:\s*([^\s;,]+)"
+CDP_LOCAL, CDP_REMOTE = r"(?i)(?:Interface|Local Interface)\s*:\s*([^,;\r\n]+)", r"(?i)Port ID \(outgoing port\)\s*:\s*([^;\r\n]+)"
+CDP_PLATFORM, CDP_ADDRESS = r"(?i)Platform:\s*([^,\r\n]+)", r"(?i)IP address:\s*(\S+)"
+CDP_TABLE_SKIPPED = r"(?i)Device ID\s+Local Intrfce|^-{3,}"
+LLDP_BLOCKS, LLDP_TARGETS = r"(?i)-{4,}|(?=Local (?:Intf|Interface)\s*:)", (r"(?i)System Name\s*:\s*([^;\r\n]+)", r"(?i)Chassis id\s*:\s*([^;\r\n]+)")
+LLDP_LOCAL, LLDP_REMOTE = r"(?i)Local (?:Intf|Interface)\s*:\s*([^;\r\n]+)", r"(?i)Port id\s*:\s*([^;\r\n]+)"
+LLDP_ADDRESS = r"(?i)Management Address(?:es)?:?\s*([^\s\r\n]+)"
+ROUTE_NETWORKS = (r"(?i)Routing entry for\s+(\S+)", r"(?m)^\s*[A-Z*]+\s+(\d{1,3}(?:\.\d{1,3}){3}/\d+)")
+ROUTE_HOPS = (r"(?i)\bvia\s+(\d{1,3}(?:\.\d{1,3}){3})", r"(?m)^\s*\*?\s*(\d{1,3}(?:\.\d{1,3}){3})(?:,|\s)")
+ROUTE_DIRECT, ROUTE_INTERFACE = r"(?i)directly connected", r"(?i)directly connected,\s*(\S+)"
+TRACE_ADDRESSES = (r"\((\d{1,3}(?:\.\d{1,3}){3})\)", r"\b(\d{1,3}(?:\.\d{1,3}){3})\b")
+# Types of outputs, the first that fits.
+OUTPUT_TYPES = (
+    (r"(?i)Device ID\s*:|Port ID \(outgoing port\)|Device ID\s+Local Intrfce", "cdp"),
+    (r"(?i)Local (?:Intf|Interface)\s*:|System Name\s*:|Chassis id\s*:", "lldp"),
+    (r"(?im)traceroute to|^\s*\d+\s+(?:\S+\s+)?\(?\d{1,3}(?:\.\d{1,3}){3}", "traceroute"),
+    (r"(?i)Routing entry for|is directly connected|\bvia\s+\d{1,3}(?:\.\d{1,3}){3}", "route"),
+)
 
 
 def _same_host(a: Column, b: Column) -> Column:
-    """Equal names but for the domain and case."""
-    return F.regexp_extract(F.lower(a), r"^[^.]+", 0) == F.regexp_extract(F.lower(b), r"^[^.]+", 0)
+    """Equal names but for case, closing commas and semicolons, and a local domain."""
+    bare = lambda x: F.regexp_replace(F.lower(F.regexp_replace(T.trimmed(x), "[;,]+$", "")), r"\.(?:local|lan)$", "")
+    return bare(a) == bare(b)
+
+
+def _typed(snapshots: DataFrame, content: str, kind: str | None) -> DataFrame:
+    """``snapshots`` with ``_type``: what the column ``kind`` asks for, else (or where it says ``auto``) what the text looks like."""
+    found = T.first_match(F.col(content), OUTPUT_TYPES, "unknown")
+    return snapshots.withColumn("_type", found if kind is None else F.when(F.coalesce(F.col(kind), F.lit("auto")) == "auto", found).otherwise(F.col(kind)))
 
 
-def _neighbours(snapshots: DataFrame, device: str, content: str) -> DataFrame:
-    """Neighbours of CDP and LLDP blocks; where a snapshot has no CDP block, of the lines of its table; loops included."""
-    cdp = snapshots.select(F.col(device).alias("source"), F.explode(F.split(content, r"(?i)(?=Device ID\s*:)")).alias("b"), F.lit("cdp").alias("protocol"))
-    cdp = cdp.withColumn("target", _pick(F.col("b"), r"(?i)Device ID\s*:\s*([^\s;,]+)"))
-    cdp = cdp.withColumn("local_interface", _pick(F.col("b"), r"(?i)(?:Interface|Local Interface)\s*:\s*([^,;\r\n]+)")).withColumn("remote_interface", _pick(F.col("b"), r"(?i)Port ID \(outgoing port\)\s*:\s*([^;\r\n]+)")).withColumn("address", _pick(F.col("b"), r"(?i)IP address:\s*(\S+)"))
-    lldp = snapshots.select(F.col(device).alias("source"), F.explode(F.split(content, r"(?i)-{4,}|(?=Local (?:Intf|Interface)\s*:)")).alias("b"), F.lit("lldp").alias("protocol"))
-    lldp = lldp.withColumn("target", F.coalesce(_pick(F.col("b"), r"(?i)System Name\s*:\s*([^;\r\n]+)"), _pick(F.col("b"), r"(?i)Chassis id\s*:\s*([^;\r\n]+)")))
-    lldp = lldp.withColumn("local_interface", _pick(F.col("b"), r"(?i)Local (?:Intf|Interface)\s*:\s*([^;\r\n]+)")).withColumn("remote_interface", _pick(F.col("b"), r"(?i)Port id\s*:\s*([^;\r\n]+)")).withColumn("address", _pick(F.col("b"), r"(?i)Management Address(?:es)?:?\s*([^\s\r\n]+)"))
-    tables = snapshots.where(F.col(content).rlike(_TABLE_HEAD) & ~F.col(content).rlike(r"(?i)Device ID\s*:"))
-    lines = tables.select(F.col(device).alias("source"), F.explode(F.split(content, r"\r?\n")).alias("b")).where(~F.col("b").rlike(_TABLE_HEAD) & ~F.col("b").rlike("^-{3,}"))
-    lines = lines.withColumn("c", F.split(F.trim("b"), r"\s{2,}|\t+")).where((F.size("c") >= 3) & (F.get("c", F.lit(0)) != "") & (F.get("c", F.lit(1)) != ""))
-    table = lines.select("source", "b", F.lit("cdp").alias("protocol"), F.get("c", F.lit(0)).alias("target"), F.get("c", F.lit(1)).alias("local_interface"), F.element_at("c", -1).alias("remote_interface"), F.lit(None).cast("string").alias("address"))
-    return cdp.unionByName(lldp).unionByName(table).drop("b").where("target is not null")
+_NEIGHBOUR = ("target", "local_interface", "remote_interface", "platform", "address")
 
 
-def neighbour_edges(snapshots: DataFrame, device: str = "device_hint", content: str = "content") -> DataFrame:
-    """(source, target, local_interface, remote_interface, protocol, address) of CDP and LLDP blocks and CDP tables without loops."""
-    return _neighbours(snapshots, device, content).where(~_same_host(F.col("source"), F.col("target")))
+def _neighbours(snapshots: DataFrame, key: str, device: str, content: str, kind: str | None) -> DataFrame:
+    """(key, source, protocol, target, local_interface, remote_interface, platform, address, loop): neighbours of CDP and LLDP
+    blocks; where a CDP output has no block of another device, of the lines of its table, whatever their header."""
+    rows = _typed(snapshots, content, kind).select(F.col(key).alias("key"), F.col(device).alias("source"), F.col(content).alias("text"), "_type")
+    none = F.lit(None).cast("string")
 
+    def blocks(cut: str, *columns: Column) -> Column:
+        one = lambda b: F.struct(*(c(b).alias(n) for n, c in zip(_NEIGHBOUR, columns)))
+        return F.filter(F.transform(F.split("text", cut), one), lambda x: x["target"].isNotNull())
 
-def parse_diagnostics(snapshots: DataFrame, device: str = "device_hint", content: str = "content") -> DataFrame:
-    """(device, records_parsed, status) of neighbour snapshots: ``unparsed`` without a record, ``partial`` where a device names itself."""
-    found = _neighbours(snapshots, device, content).withColumn("loop", _same_host(F.col("source"), F.col("target")))
-    n = found.groupBy(F.col("source").alias(device)).agg(F.count_if(~F.col("loop")).alias("n"), F.bool_or("loop").alias("loop"))
-    status = F.when(F.coalesce("n", F.lit(0)) == 0, "unparsed").when(F.col("loop"), "partial").otherwise("parsed")
-    return snapshots.select(device).distinct().join(n, device, "left").select(device, F.coalesce("n", F.lit(0)).alias("records_parsed"), status.alias("status"))
+    pick = lambda p: lambda b: _pick(b, p)
+    cdp = blocks(CDP_BLOCKS, *map(pick, (CDP_TARGET, CDP_LOCAL, CDP_REMOTE, CDP_PLATFORM, CDP_ADDRESS)))
+    lldp = blocks(LLDP_BLOCKS, lambda b: F.coalesce(*(_pick(b, p) for p in LLDP_TARGETS)), pick(LLDP_LOCAL), pick(LLDP_REMOTE), lambda b: none, pick(LLDP_ADDRESS))
+    lines = F.transform(F.filter(F.split("text", r"\r?\n"), lambda x: ~x.rlike(CDP_TABLE_SKIPPED)), lambda x: F.split(T.trimmed(x), r"\s{2,}|\t+"))
+    lines = F.filter(lines, lambda c: (F.size(c) >= 3) & (F.get(c, F.lit(0)) != "") & (F.get(c, F.lit(1)) != ""))
+    table = F.transform(lines, lambda c: F.struct(F.get(c, F.lit(0)).alias("target"), F.get(c, F.lit(1)).alias("local_interface"), F.element_at(c, -1).alias("remote_interface"), none.alias("platform"), none.alias("address")))
+    other = lambda found: F.exists(found, lambda x: ~_same_host(F.col("source"), x["target"]))
+    # without a block of another device the lines count too, and loops of both
+    found = F.when(F.col("_type") == "lldp", lldp).when(other(cdp), cdp).otherwise(F.concat(cdp, table))
+    rows = rows.where(F.col("_type").isin("cdp", "lldp")).select("key", "source", F.col("_type").alias("protocol"), F.inline(found))
+    return rows.withColumn("loop", _same_host(F.col("source"), F.col("target")))
+
+
+def neighbour_edges(snapshots: DataFrame, device: str = "device_hint", content: str = "content", kind: str | None = None) -> DataFrame:
+    """(source, target, local_interface, remote_interface, protocol, platform, address) of CDP and LLDP outputs without loops.
+    ``kind`` names a column with the type that is asked for (``auto`` or null: by the text)."""
+    found = _neighbours(snapshots, device, device, content, kind).where(~F.col("loop"))
+    return found.select("source", "target", "local_interface", "remote_interface", "protocol", "platform", "address")
+
+
+def _first(text: Column, patterns: Sequence[str]) -> Column:
+    return F.coalesce(*(_pick(text, p) for p in patterns))
 
 
 def route_edges(snapshots: DataFrame, device: str = "device_hint", content: str = "content") -> DataFrame:
-    """Device to next hop to network; device to network where directly connected."""
+    """(source, target, local_interface, protocol): device to next hop to network; device to network only where the text says
+    that it is directly connected, with its interface. Other texts give no edge."""
+    t = F.col(content)
+    rows = snapshots.select(F.col(device).alias("device"), _first(t, ROUTE_NETWORKS).alias("network"), _first(t, ROUTE_HOPS).alias("via"), t.rlike(ROUTE_DIRECT).alias("direct"), _pick(t, ROUTE_INTERFACE).alias("interface")).where("network is not null")
+    edge = lambda a, b, i: F.struct(F.col(a).alias("source"), F.col(b).alias("target"), i.cast("string").alias("local_interface"))
+    none = F.lit(None)
+    pairs = F.when(F.col("via").isNotNull(), F.array(edge("device", "via", none), edge("via", "network", none))).when(F.col("direct"), F.array(edge("device", "network", F.col("interface"))))
+    return rows.select(F.inline(pairs)).withColumn("protocol", F.lit("route")).distinct()
+
+
+def parse_diagnostics(snapshots: DataFrame, key: str, device: str = "device_hint", content: str = "content", kind: str | None = None) -> DataFrame:
+    """(key, detected_type, records_parsed, status, warnings) of outputs of all four types, keys distinct: ``unparsed`` without a record,
+    ``partial`` where a device names itself. A route has a record an edge, a trace one a hop."""
+    typed = _typed(snapshots, content, kind)
+    found = _neighbours(snapshots, key, device, content, kind).groupBy(F.col("key").alias(key)).agg(F.count_if(~F.col("loop")).alias("_n"), F.bool_or("loop").alias("_loop"))
     t = F.col(content)
-    rows = snapshots.select(
-        F.col(device).alias("device"),
-        F.coalesce(_pick(t, r"(?i)Routing entry for\s+(\S+)"), _pick(t, r"(?m)^\s*[A-Z*]+\s+([0-9]{1,3}(?:\.[0-9]{1,3}){3}/[0-9]+)")).alias("network"),
-        F.coalesce(_pick(t, r"(?i)\bvia\s+([0-9]{1,3}(?:\.[0-9]{1,3}){3})"), _pick(t, r"(?m)^\s*\*?\s*([0-9]{1,3}(?:\.[0-9]{1,3}){3})(?:,|\s)")).alias("via"),
-    ).where("network is not null")
-    edge = lambda a, b: F.struct(F.col(a).alias("source"), F.col(b).alias("target"))
-    pairs = F.when(F.col("via").isNull(), F.array(edge("device", "network"))).otherwise(F.array(edge("device", "via"), edge("via", "network")))
-    return rows.select(F.explode(pairs).alias("e")).select("e.source", "e.target", F.lit("route").alias("protocol")).distinct()
+    network = _first(t, ROUTE_NETWORKS).isNotNull()
+    routes = F.when(network & _first(t, ROUTE_HOPS).isNotNull(), 2).when(network & t.rlike(ROUTE_DIRECT), 1).otherwise(0)
+    hops = F.size(F.filter(_trace_lines(t), lambda x: x.rlike(r"^\s*\d+\s+\S")))
+    own = F.when(F.col("_type") == "route", routes).when(F.col("_type") == "traceroute", hops).otherwise(F.coalesce("_n", F.lit(0)))
+    out = typed.join(found, key, "left").withColumn("records_parsed", own.cast("int"))
+    loop = F.coalesce("_loop", F.lit(False))
+    status = F.when(F.col("records_parsed") == 0, "unparsed").when(loop, "partial").otherwise("parsed")
+    warnings = F.when(loop, F.array(F.lit("self_reference_ignored"))).otherwise(F.array().cast("array<string>"))
+    return out.select(key, F.nullif(F.col("_type"), F.lit("unknown")).alias("detected_type"), "records_parsed", status.alias("status"), warnings.alias("warnings"))
+
+
+def _trace_lines(text: Column) -> Column:
+    return F.split(F.regexp_replace(text, r";\s*(?=\d+\s+)", "\n"), r"\r?\n")
 
 
 def trace_hops(snapshots: DataFrame, key: str, device: str = "device_hint", content: str = "content") -> DataFrame:
-    """(key, place, source, target, answered): hops in order, each from the hop before it."""
-    rows = snapshots.select(key, F.col(device).alias("device"), F.posexplode(F.split(F.regexp_replace(content, r";\s*(?=[0-9]+\s+)", "\n"), r"\r?\n")).alias("place", "line"))
-    rows = rows.withColumn("hop", _pick(F.col("line"), r"^\s*([0-9]+)\s+")).where("hop is not null")
+    """(key, place, source, target, answered, address): hops in order, each from the hop before it."""
+    rows = snapshots.select(key, F.col(device).alias("device"), F.posexplode(_trace_lines(F.col(content))).alias("place", "line"))
+    rows = rows.withColumn("hop", _pick(F.col("line"), r"^\s*(\d+)\s+")).where("hop is not null")
     silent = F.col("line").rlike(r"\*\s+\*\s+\*")
-    label = F.split(F.regexp_replace("line", r"^\s*[0-9]+\s+", ""), r"\s+")[0]
+    label = F.split(F.regexp_replace("line", r"^\s*\d+\s+", ""), r"\s+")[0]
     rows = rows.withColumn("target", F.when(silent, F.concat(F.lit("Unanswered hop "), F.col("hop"))).otherwise(label)).where("target <> ''")
+    rows = rows.withColumn("address", F.when(~silent, _first(F.col("line"), TRACE_ADDRESSES)))
     before = F.lag("target").over(W.partitionBy(key).orderBy("place"))
-    return rows.select(key, "place", F.coalesce(before, F.col("device")).alias("source"), "target", (~silent).alias("answered"))
+    return rows.select(key, "place", F.coalesce(before, F.col("device")).alias("source"), "target", (~silent).alias("answered"), "address")
 
 
 def merged_graph(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(nodes with stable ids and merged addresses, distinct edges by ids and protocol)."""
-    address = F.col("address") if "address" in edges.columns else F.lit(None).cast("string")
-    ends = edges.select(F.col("source").alias("label"), F.lit(None).cast("string").alias("address")).unionByName(edges.select(F.col("target").alias("label"), address.alias("address")))
-    nodes = ends.groupBy(_id(F.lit("node"), F.col("label")).alias("id")).agg(F.min("label").alias("label"), F.max("address").alias("address"))
-    links = edges.select(_id(F.lit("node"), F.col("source")).alias("source"), _id(F.lit("node"), F.col("target")).alias("target"), "protocol").distinct()
+    """(nodes with stable ids and the attributes ``platform`` and ``address`` that any edge gives its target, the largest of
+    several; distinct edges by ids, local interface and protocol). Columns that ``edges`` lacks count as null."""
+    none = F.lit(None).cast("string")
+    of = lambda name: F.col(name) if name in edges.columns else none
+    ends = edges.select(F.col("source").alias("label"), none.alias("platform"), none.alias("address")).unionByName(edges.select(F.col("target").alias("label"), of("platform").alias("platform"), of("address").alias("address")))
+    nodes = ends.groupBy(_id(F.lit("node"), F.col("label")).alias("id")).agg(F.min("label").alias("label"), F.max("platform").alias("platform"), F.max("address").alias("address"))
+    source, target = (_id(F.lit("node"), F.col(x)) for x in ("source", "target"))
+    links = edges.select(source.alias("source"), target.alias("target"), of("local_interface").alias("local_interface"), "protocol").distinct()
     return nodes, links
 
 
 def path_status(hops: DataFrame, key: str, wanted: DataFrame | None = None) -> DataFrame:
-    """Whether each path is complete (all hops answer, and the last is the destination that ``wanted`` (key, destination)
-    asks for), and the last answering hop where one doesn't answer."""
-    out = hops.groupBy(key).agg(F.bool_and("answered").alias("complete"), F.min(F.when(~F.col("answered"), F.struct("place", "source"))).alias("_f"), F.count("*").alias("hops"), F.max_by("target", "place").alias("last"))
+    """Whether each path is complete (all hops answer, and the name or the address of the last is the destination that ``wanted``
+    (key, destination) asks for), and the node before the last hop if a hop is silent and that node isn't."""
+    silent = F.bool_or(~F.col("answered"))
+    last = F.max(F.struct("place", "source", "target", "address"))
+    # nodes of silent hops bear their name
+    fault = F.when(F.col("_silent") & ~F.startswith("_l.source", F.lit("Unanswered hop ")), F.col("_l.source"))
+    out = hops.groupBy(key).agg((~silent).alias("complete"), silent.alias("_silent"), last.alias("_l"), F.count("*").alias("hops"))
     if wanted is not None:
-        out = out.join(wanted.select(key, "destination"), key, "left").withColumn("complete", F.col("complete") & (F.col("destination").isNull() | _same_host(F.col("last"), F.col("destination"))))
-    return out.select(key, "hops", "complete", F.col("_f.source").alias("fault_domain"))
+        reached = _same_host(F.col("_l.target"), F.col("destination")) | F.coalesce(F.col("_l.address") == F.col("destination"), F.lit(False))
+        out = out.join(wanted.select(key, "destination"), key, "left").withColumn("complete", F.col("complete") & (F.col("destination").isNull() | reached))
+    return out.select(key, "hops", "complete", fault.alias("fault_domain"))
 
 
 # --- applicability and context (V10 to V15, J13) --------------------------------------------

@@ -27,15 +27,24 @@ def n9(t: Tables):
     return N.change_review(_changes(t), "change_id").select("change_id", "risk", F.size("rules").alias("n_rules"), "unknown_lines")
 
 
-@query("n10_guidance", f"SELECT change_id, max((e = 'purchase')::INT)::INT AS n FROM {_EV} GROUP BY 1")
+@query("n10_guidance", f"SELECT change_id, greatest(max((e = 'purchase')::INT) + max((e = 'view')::INT), 1)::INT AS n, max((e = 'view')::INT) = 1 AS unknown FROM {_EV} GROUP BY 1")
 def n10(t: Tables):
-    return N.change_review(_changes(t), "change_id").select("change_id", F.size("guidance").alias("n"))
+    return N.change_review(_changes(t), "change_id").select("change_id", F.size("guidance").alias("n"), F.array_contains("guidance", N.UNKNOWN_GUIDANCE).alias("unknown"))
 
 
-@query("n11_change_verification", f"SELECT change_id, CASE WHEN bool_or(e NOT IN ('click', 'view')) AND length(change_id) % 2 = 0 THEN 'failed' WHEN bool_or(e = 'error') THEN 'partial' ELSE 'passed' END AS result FROM {_EV} GROUP BY 1 HAVING bool_or(e <> 'view')")
+# the text after a change by the user: unchanged, changed, with an interface state, with a critical error, empty
+_AFTER = ["state one", "state two", "state two\nGi1/0/1 up  up", "state two\n%SYS-2-MALLOCFAIL", ""]
+
+
+@query(
+    "n11_change_verification",
+    f"""SELECT change_id, CASE WHEN u = 3 THEN 'failed' WHEN NOT writes THEN 'passed' WHEN u = 0 THEN 'failed' WHEN u = 4 OR (u = 1 AND error) THEN 'partial' ELSE 'passed' END AS result
+    FROM (SELECT change_id, split_part(change_id, '/', 1)::INT % 5 AS u, bool_or(e NOT IN ('click', 'view')) AS writes, bool_or(e = 'error') AS error FROM {_EV} GROUP BY 1 HAVING bool_or(e <> 'view'))""",
+)
 def n11(t: Tables):
     reviewed = N.change_review(_changes(t), "change_id").where("size(rules) > 0")
-    texts = reviewed.withColumn("before", F.lit("state one")).withColumn("after", F.when(F.length("change_id") % 2 == 0, "state one").otherwise("state two"))
+    user = F.get(F.split("change_id", "/"), F.lit(0)).cast("int")
+    texts = reviewed.withColumn("before", F.lit("state one")).withColumn("after", F.get(F.array(*map(F.lit, _AFTER)), user % 5))
     return N.change_verification(texts, "rules", "before", "after").select("change_id", "result")
 
 
@@ -48,26 +57,40 @@ def n5(t: Tables):
 
 
 def _neighbours(t: Tables):
-    """A device a supplier, with a block or a line of a table for the supplier of half its number and for itself; some without."""
+    """A device a supplier, with a block or a line of a table for the supplier of half its number and for itself; some without. Every
+    second table has a header that only the type asked for makes a table; it counts as a line."""
     k = c("s_suppkey").cast("long")
-    block = lambda n: F.concat(F.lit("Device ID: sw"), n.cast("string"), F.lit("\nInterface: Gi1/"), n.cast("string"), F.lit(",  Port ID (outgoing port): Gi0/1\n"))
+    block = lambda n: F.concat(F.lit("Device ID: sw"), n.cast("string"), F.lit("\nPlatform: WS-"), (n % 4).cast("string"), F.lit(",  Capabilities: Switch\nInterface: Gi1/"), n.cast("string"), F.lit(",  Port ID (outgoing port): Gi0/1\n"))
     line = lambda n: F.concat(F.lit("sw"), n.cast("string"), F.lit("    Gi1/"), n.cast("string"), F.lit("   150   R S   WS-C3750  Gi0/1\n"))
-    table = F.concat(F.lit("Device ID    Local Intrfce   Holdtme   Capability  Platform  Port ID\n"), line(F.floor(k / 2)), line(k))
-    return t.supplier.select(F.concat(F.lit("sw"), k.cast("string")).alias("device_hint"), F.when(k % 3 == 0, table).when(k % 17 == 4, "nothing").otherwise(F.concat(block(F.floor(k / 2)), block(k))).alias("content"))
+    head = F.when(k % 2 == 0, "Device ID    Local Intrfce   Holdtme   Capability  Platform  Port ID\n").otherwise("Neighbor ID   Local   Port\n")
+    table = F.concat(head, line(F.floor(k / 2)), line(k))
+    text = F.when(k % 3 == 0, table).when(k % 17 == 4, "nothing").otherwise(F.concat(block(F.floor(k / 2)), block(k)))
+    return t.supplier.select(F.concat(F.lit("sw"), k.cast("string")).alias("device_hint"), text.alias("content"), F.when((k % 3 == 0) & (k % 2 == 1), "cdp").otherwise("auto").alias("kind"))
+
+
+_EDGES = """(SELECT 'sw' || s_suppkey AS source, 'sw' || s_suppkey // 2 AS target, 'Gi1/' || s_suppkey // 2 AS local_interface, CASE WHEN s_suppkey % 3 <> 0 THEN 'WS-' || (s_suppkey // 2) % 4 END AS platform FROM supplier WHERE s_suppkey // 2 <> s_suppkey AND (s_suppkey % 3 = 0 OR s_suppkey % 17 <> 4)
+  UNION ALL SELECT 'sw' || s_suppkey, 'Neighbor ID', 'Local', NULL FROM supplier WHERE s_suppkey % 3 = 0 AND s_suppkey % 2 = 1)"""
 
 
-@query("n12_neighbour_edges", "SELECT 'sw' || s_suppkey AS source, 'sw' || s_suppkey // 2 AS target, 'Gi1/' || s_suppkey // 2 AS local_interface FROM supplier WHERE s_suppkey // 2 <> s_suppkey AND (s_suppkey % 3 = 0 OR s_suppkey % 17 <> 4)")
+@query("n12_neighbour_edges", f"SELECT * FROM {_EDGES}")
 def n12(t: Tables):
-    return N.neighbour_edges(_neighbours(t)).select("source", "target", "local_interface")
+    return N.neighbour_edges(_neighbours(t), kind="kind").select("source", "target", "local_interface", "platform")
 
 
-@query("n13_route_edges", "SELECT DISTINCT * FROM (SELECT 'r' || p_partkey AS source, CASE WHEN p_partkey % 2 = 0 THEN '10.0.0.' || p_size ELSE '10.' || p_size || '.0.0/16' END AS target FROM part UNION ALL SELECT '10.0.0.' || p_size, '10.' || p_size || '.0.0/16' FROM part WHERE p_partkey % 2 = 0)")
+def _routes(t: Tables):
+    """A route a part: by a next hop, directly connected, or neither."""
+    s, k = c("p_size").cast("string"), c("p_partkey") % 3
+    via = F.when(k == 0, F.concat(F.lit("\n  * 10.0.0."), s, F.lit(", from 10.9.9.9, via 10.0.0."), s)).when(k == 1, F.concat(F.lit("\n  directly connected, Gi0/"), s)).otherwise("\n  Known via bgp 1")
+    return t.part.select(F.concat(F.lit("r"), c("p_partkey").cast("string")).alias("device_hint"), F.concat(F.lit("Routing entry for 10."), s, F.lit(".0.0/16"), via).alias("content"))
+
+
+@query(
+    "n13_route_edges",
+    """SELECT DISTINCT * FROM (SELECT 'r' || p_partkey AS source, CASE WHEN p_partkey % 3 = 0 THEN '10.0.0.' || p_size ELSE '10.' || p_size || '.0.0/16' END AS target, CASE WHEN p_partkey % 3 = 1 THEN 'Gi0/' || p_size END AS local_interface FROM part WHERE p_partkey % 3 <> 2
+    UNION ALL SELECT '10.0.0.' || p_size, '10.' || p_size || '.0.0/16', NULL FROM part WHERE p_partkey % 3 = 0)""",
+)
 def n13(t: Tables):
-    s = c("p_size").cast("string")
-    via = F.when(c("p_partkey") % 2 == 0, F.concat(F.lit("\n  * 10.0.0."), s, F.lit(", from 10.9.9.9, via 10.0.0."), s)).otherwise("\n  directly connected")
-    text = F.concat(F.lit("Routing entry for 10."), s, F.lit(".0.0/16"), via)
-    rows = t.part.select(F.concat(F.lit("r"), c("p_partkey").cast("string")).alias("device_hint"), text.alias("content"))
-    return N.route_edges(rows).select("source", "target")
+    return N.route_edges(_routes(t)).select("source", "target", "local_interface")
 
 
 def _traces(t: Tables):
@@ -86,22 +109,31 @@ def n14(t: Tables):
     return N.trace_hops(_traces(t), "l_orderkey").select("l_orderkey", "place", "source", "target")
 
 
-@query("n15_graph_merge", "SELECT 'node-' || left(sha256(l), 16) AS id, l AS label FROM (SELECT 'sw' || unnest([s_suppkey, s_suppkey // 2]) AS l FROM supplier WHERE s_suppkey // 2 <> s_suppkey AND (s_suppkey % 3 = 0 OR s_suppkey % 17 <> 4) GROUP BY 1)")
+@query("n15_graph_merge", f"SELECT 'node-' || left(sha256(lower(label)), 16) AS id, label, max(platform) AS platform FROM (SELECT source AS label, NULL AS platform FROM {_EDGES} UNION ALL SELECT target, platform FROM {_EDGES}) GROUP BY label")
 def n15(t: Tables):
-    return N.merged_graph(N.neighbour_edges(_neighbours(t)))[0].select("id", "label")
+    return N.merged_graph(N.neighbour_edges(_neighbours(t), kind="kind"))[0].select("id", "label", "platform")
 
 
 @query("n16_path_status", f"SELECT l_orderkey, count(*) AS hops, bool_and(f <> 'R') AND (l_orderkey % 3 <> 0 OR CASE WHEN l_orderkey % 2 = 0 THEN 'hop' || max(s) ELSE 'hop0' END = arg_max(CASE WHEN f = 'R' THEN 'Unanswered hop ' || l_linenumber ELSE 'hop' || s END, l_linenumber)) AS complete FROM {_HOPS} GROUP BY l_orderkey")
 def n16(t: Tables):
     """Every third trace asks for a destination: the largest supplier of the order, or one that no trace reaches."""
     largest = t.lineitem.groupBy("l_orderkey", "l_linenumber").agg(F.min(F.struct("l_suppkey", "l_returnflag")).alias("m")).groupBy("l_orderkey").agg(F.max("m.l_suppkey").alias("s"))
-    wanted = largest.where("l_orderkey % 3 = 0").select("l_orderkey", F.when(c("l_orderkey") % 2 == 0, F.concat(F.lit("HOP"), c("s").cast("string"), F.lit(".example.com"))).otherwise("hop0").alias("destination"))
+    wanted = largest.where("l_orderkey % 3 = 0").select("l_orderkey", F.when(c("l_orderkey") % 2 == 0, F.concat(F.lit("HOP"), c("s").cast("string"), F.lit(".local"))).otherwise("hop0").alias("destination"))
     return N.path_status(N.trace_hops(_traces(t), "l_orderkey"), "l_orderkey", wanted).select("l_orderkey", "hops", "complete")
 
 
-@query("n16_parse_diagnostics", "SELECT 'sw' || s_suppkey AS device_hint, CASE WHEN (s_suppkey % 3 <> 0 AND s_suppkey % 17 = 4) OR s_suppkey = 0 THEN 0 ELSE 1 END AS records_parsed, CASE WHEN (s_suppkey % 3 <> 0 AND s_suppkey % 17 = 4) OR s_suppkey = 0 THEN 'unparsed' ELSE 'partial' END AS status FROM supplier")
+@query(
+    "n16_parse_diagnostics",
+    """SELECT 'sw' || s_suppkey AS device_hint, detected_type, n AS records_parsed, CASE WHEN n = 0 THEN 'unparsed' ELSE 'partial' END AS status, (detected_type IS NOT NULL)::INT AS warnings
+    FROM (SELECT s_suppkey, CASE WHEN s_suppkey % 3 <> 0 AND s_suppkey % 17 = 4 THEN NULL ELSE 'cdp' END AS detected_type, CASE WHEN s_suppkey = 0 THEN 0 WHEN s_suppkey % 3 = 0 THEN 1 + s_suppkey % 2 WHEN s_suppkey % 17 = 4 THEN 0 ELSE 1 END::INT AS n FROM supplier)
+    UNION ALL SELECT 'r' || p_partkey, 'route', CASE p_partkey % 3 WHEN 0 THEN 2 WHEN 1 THEN 1 ELSE 0 END, CASE WHEN p_partkey % 3 = 2 THEN 'unparsed' ELSE 'parsed' END, 0 FROM part
+    UNION ALL SELECT 'o' || l_orderkey, 'traceroute', count(DISTINCT l_linenumber)::INT, 'parsed', 0 FROM lineitem GROUP BY l_orderkey""",
+)
 def n16_diagnostics(t: Tables):
-    return N.parse_diagnostics(_neighbours(t)).select("device_hint", c("records_parsed").cast("int").alias("records_parsed"), "status")
+    """Discovery of suppliers, routes of parts, traces of orders."""
+    traces = _traces(t).select(F.concat(F.lit("o"), c("l_orderkey").cast("string")).alias("device_hint"), "content", F.lit("traceroute").alias("kind"))
+    rows = _neighbours(t).unionByName(_routes(t).withColumn("kind", F.lit(None).cast("string"))).unionByName(traces)
+    return N.parse_diagnostics(rows, "device_hint", kind="kind").withColumn("warnings", F.size("warnings"))
 
 
 @query("n17_upgrade_advice", "SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 AND p_size IN (9, 12) THEN 'supported_with_checks' ELSE 'unknown' END AS status FROM part")
