@@ -5,6 +5,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.operators.releases import ReleaseLog
 from tidemark.sources.files import shared_path
 from tidemark.streaming import jobs as J
 
@@ -90,19 +91,87 @@ def test_transitions_once_across_files(spark, folder):
 
 
 def test_demand_state_goes_on_after_a_restart(spark, folder):
+    """M4 in the state: errors fail a demand, views ask for it; the last file comes late but is older."""
     out = shared_path(spark, "demand-test")
 
     def go():
-        q = J.demand_state(stream(spark, folder), "key", "ts", "p").writeStream.outputMode("update").foreachBatch(lambda b, n: b.withColumn("batch", F.lit(n)).write.mode("overwrite").parquet(f"{out}/{n}"))
-        q.option("checkpointLocation", f"{out}-check").trigger(availableNow=True).start().awaitTermination()
+        rows = stream(spark, folder).withColumn("s", F.when(F.col("kind") == "error", "failed").when(F.col("kind") == "work", "researching"))
+        return J.drain(J.demand_state(rows, "key", "ts", "p", "s"), "demand-test", "update", out)
 
     go()
-    put(spark, folder, [(11, 300, "view", "a", 1), (12, 301, "view", "c", 7)])
-    go()
-    last = {}
-    for r in spark.read.parquet(f"{out}/*").orderBy("batch").collect():
-        last[r["key"]] = (r["demand_count"], r["priority"])
-    assert last == {"a": (5, 9), "b": (2, 1), "c": (1, 7)}
+    put(spark, folder, [(11, 300, "error", "a", 1), (12, 301, "view", "c", 7)])
+    put(spark, folder, [(13, 302, "work", "c", 1), (14, 303, "view", "c", 2)])
+    put(spark, folder, [(15, 4, "view", "b", 9)])
+    last = {r["key"]: (r["status"], r["priority"], r["demand_count"], r["last_seen_at"]) for r in go().orderBy("batch").collect()}
+    at = lambda m: START + timedelta(minutes=m)
+    # a asked at 180 and failed after it; b failed at 6, after both requests; c goes on being researched
+    assert last == {"a": ("failed", 4, 1, at(180)), "b": ("failed", 9, 2, at(4)), "c": ("researching", 7, 2, at(303))}
+
+
+def test_groups_close_full_or_by_timer(spark, folder):
+    put(spark, folder, [(9, 400, "view", "z", 1)])
+    out = J.drain(J.ready_groups(stream(spark, folder), "key", "ts", 2, 60 * 60), "ready-test")
+    at = lambda m: START + timedelta(minutes=m)
+    got = sorted((r["key"], r["opened_at"], r["closed_at"], r["n"], r["reason"]) for r in out.collect())
+    # a: two at once, the third waits its hour, as does the fourth; b: full
+    assert got == [("a", at(0), at(2), 2, "full"), ("a", at(5), at(65), 1, "waited"), ("a", at(180), at(240), 1, "waited"), ("b", at(1), at(6), 2, "full")]
+
+
+def test_idle_keys_are_dropped_and_begin_anew(spark, folder):
+    put(spark, folder, [(9, 400, "view", "z", 1)])
+    out = J.drain(J.idle_keys(stream(spark, folder), "key", "ts", 60 * 60), "idle-test")
+    at = lambda m: START + timedelta(minutes=m)
+    got = sorted((r["key"], r["opened_at"], r["closed_at"], r["n"]) for r in out.collect())
+    assert got == [("a", at(0), at(65), 3), ("a", at(180), at(240), 1), ("b", at(1), at(66), 2)]
+
+
+def test_ingest_that_dies_publishes_each_release_once(spark, folder):
+    """It dies after the gate, then after the delta but before the ledger; the releases are those of an undisturbed run."""
+    steps = lambda b: b.groupBy(F.col("key").alias("item_id")).agg(F.max("id").cast("string").alias("revision_id"))
+
+    class Dying(ReleaseLog):
+        left = ["gate", "delta", "ledger"]
+
+        def publish(self, release, batch):
+            if release == 1 and self.left:
+                where = self.left.pop(0)
+                if where == "gate":
+                    raise RuntimeError("lost at the gate")
+                if where == "delta":  # a delta of another attempt is there, without its ledger row
+                    self.spark.createDataFrame([("x", None, "wrong")], "item_id string, previous_revision_id string, new_revision_id string").write.parquet(f"{self.path}/delta/release=1")
+                    raise RuntimeError("lost after the delta")
+                super().publish(release, batch)
+                raise RuntimeError("lost after the ledger")
+            super().publish(release, batch)
+
+    path = shared_path(spark, "dying")
+    log = Dying(spark, f"{path}/log", 2)
+    for where in ("gate", "delta", "ledger"):
+        with pytest.raises(Exception, match="lost"):
+            J.ingest_releases(stream(spark, folder), steps, log, f"{path}/check").awaitTermination()
+        assert log.ledger().count() == (2 if where == "ledger" else 1)
+    J.ingest_releases(stream(spark, folder), steps, log, f"{path}/check").awaitTermination()
+    got = sorted((r["release"], r["item_id"], r["previous_revision_id"], r["new_revision_id"]) for r in log.changes().collect())
+    assert got == [(0, "a", None, "3"), (0, "b", None, "2"), (1, "a", "3", "4"), (1, "b", "2", "5"), (2, "a", "4", "6")]
+    assert {r["release"]: r["mode"] for r in log.ledger().collect()} == {0: "full", 1: "full", 2: "delta"}
+
+
+def test_a_stored_log_reads_only_what_it_needs(spark):
+    log = ReleaseLog(spark, shared_path(spark, "log-test"), 3)
+    batch = lambda *rows: spark.createDataFrame(rows, "item_id string, revision_id string")
+    want, state = {}, {}
+    for release in range(8):
+        rows = [("a", f"a{release}"), ("b", "b0"), ("c", None if release % 4 == 2 else f"c{release // 2}")]
+        log.publish(release, batch(*rows))
+        state = {k: v for k, v in (state | dict(rows)).items() if v}
+        want[release] = state
+    for release in range(8):
+        df = log.state(release)
+        assert {r["item_id"]: r["revision_id"] for r in df.collect()} == want[release]
+    assert log.line(7) == ([5], [6, 7])
+    folders = {f.rsplit("/", 3)[1] + "/" + f.rsplit("/", 2)[1] for f in log.state(7).inputFiles()}
+    assert folders == {"full/release=5", "delta/release=6", "delta/release=7"}
+    assert log.state(-1).count() == 0
 
 
 def test_leases_expire_by_event_time(spark, folder):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .relational import best_per_key, closure
@@ -46,6 +46,70 @@ def state_at(releases: DataFrame, full: DataFrame, changes: DataFrame, target: s
     return last.select("item_id", "r.revision_id").where("revision_id is not null")
 
 
+class ReleaseLog:
+    """R1 to R4 stored: numbered releases in folders of a shared path. ``delta/release=n`` has the changed items, ``full/release=n`` the
+    whole state of the releases that ``is_checkpoint`` picks, ``ledger/release=n`` one row that is written last: a release counts
+    from then on. A release that is written again replaces its own folders, so a job that dies anywhere can be run again.
+
+    The ledger has a row a release and is read to the driver; states and deltas are not.
+    """
+
+    STATE = "item_id string, revision_id string"
+
+    def __init__(self, spark: SparkSession, path: str, every: int = 120) -> None:
+        self.spark, self.path, self.every = spark, path.rstrip("/"), every
+
+    def _exists(self, part: str) -> bool:
+        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{part}")
+        return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+    def _read(self, part: str, schema: str, releases: list[int]) -> DataFrame:
+        """The folders of these releases only."""
+        folders = [f"{self.path}/{part}/release={n}" for n in releases]
+        if not folders:
+            return self.spark.createDataFrame([], f"{schema}, release int")
+        return self.spark.read.schema(f"{schema}, release int").option("basePath", f"{self.path}/{part}").parquet(*folders)
+
+    def ledger(self) -> DataFrame:
+        """(release, mode, changed): the releases that count."""
+        schema = "mode string, changed long, release int"
+        return self.spark.read.schema(schema).parquet(f"{self.path}/ledger") if self._exists("ledger") else self.spark.createDataFrame([], schema)
+
+    def line(self, release: int) -> tuple[list[int], list[int]]:
+        """The nearest full release at or before this one, if any, and the releases after it up to this one."""
+        rows = sorted((r["release"], r["mode"]) for r in self.ledger().where(F.col("release") <= release).collect())
+        base = max((n for n, mode in rows if mode == "full"), default=None)
+        return ([] if base is None else [base]), [n for n, _ in rows if base is None or n > base]
+
+    def changes(self, releases: list[int] | None = None) -> DataFrame:
+        """(item_id, previous_revision_id, new_revision_id, release) of these releases, else of all that count."""
+        numbers = [r["release"] for r in self.ledger().select("release").collect()] if releases is None else releases
+        return self._read("delta", "item_id string, previous_revision_id string, new_revision_id string", numbers)
+
+    def state(self, release: int) -> DataFrame:
+        """(item_id, revision_id) at a release: the nearest full one and the deltas after it, the latest winning."""
+        base, later = self.line(release)
+        rows = self._read("full", self.STATE, base).unionByName(self.changes(later).select("item_id", F.col("new_revision_id").alias("revision_id"), "release"))
+        last = rows.groupBy("item_id").agg(F.max_by(F.struct("revision_id"), "release").alias("r"))
+        return last.select("item_id", "r.revision_id").where("revision_id is not null")
+
+    def publish(self, release: int, batch: DataFrame) -> None:
+        """Writes the items of ``batch`` (item_id, revision_id, one row an item; a null revision removes the item) that differ from the
+        state of the release before as release ``release``. Releases are published in order of their numbers."""
+        before = self.state(release - 1)
+        changed = delta(before, batch)
+        # an item that isn't there can't be removed
+        changed = changed.where("previous_revision_id is not null or new_revision_id is not null")
+        folder = lambda part: f"{self.path}/{part}/release={release}"
+        changed.write.mode("overwrite").parquet(folder("delta"))
+        written = self._read("delta", "item_id string, previous_revision_id string, new_revision_id string", [release])
+        full = not any(self.line(release - 1)) or self.spark.range(1).select(is_checkpoint(F.lit(release + 1), self.every)).first()[0]
+        if full:
+            merged(before, written).write.mode("overwrite").parquet(folder("full"))
+        mode = F.lit("full" if full else "delta").alias("mode")
+        written.agg(F.count("*").alias("changed")).select(mode, "changed").coalesce(1).write.mode("overwrite").parquet(folder("ledger"))
+
+
 def relabelled(releases: DataFrame, active: str) -> DataFrame:
     """One published release; published ones before become superseded."""
     status = F.when(F.col("release_id") == active, "published").when(F.col("status") == "published", "superseded").otherwise(F.col("status"))

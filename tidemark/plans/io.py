@@ -7,6 +7,8 @@ from pyspark.sql.window import Window as W
 
 from ..functions import text as T
 from ..operators import documents as D
+from ..operators import quality as Q
+from ..operators.releases import ReleaseLog
 from ..sources import files as S
 from ..streaming import jobs as J
 from .registry import Tables, query
@@ -99,6 +101,44 @@ def t1(t: Tables):
     return t.spark.read.schema("event_id long, event_type string").parquet(f"{path}/out/*")
 
 
+# Fixed plan of the ingest: four files, a page in that of its number modulo four, each a batch.
+_FILES = 4
+
+
+def _page_files(t: Tables):
+    """Pages with two command lines of their own, written as four files one after another."""
+    path, k = S.shared_path(t.spark, "pages"), c("page_id")
+    lines = F.concat(F.lit("</p><p>• show interface Gi"), (k % 50).cast("string"), F.lit("</p><p>2) reload in "), (k % 20).cast("string"), F.lit("</p>"))
+    for n in range(_FILES):
+        t.pages.where(k % _FILES == n).select("page_id", F.concat(F.coalesce("html", F.lit("")), lines).alias("html")).coalesce(1).write.mode("append").parquet(path)
+    return path
+
+
+def ingest_steps(pages):
+    """Pages to the best candidate of each item: D1, D9 to D13, X2, Q9."""
+    text = D.page_text(pages)
+    parts = D.fragments(text.select("page_id", "text"), "page_id")
+    found = Q.extracted(parts.select(F.struct("page_id", "ordinal").alias("fragment"), "content"), "fragment")
+    page = c("fragment.page_id")
+    rated = found.withColumn("confidence", (900 + page % 100) / 1000.0).withColumn("rollback_steps", (page % 5).cast("int"))
+    passed = rated.where(F.size(Q.gate()) == 0)
+    best = F.min_by(page, F.struct(-c("confidence"), page))
+    return passed.groupBy(c("stable_key").alias("item_id")).agg(best.cast("string").alias("revision_id"))
+
+
+@query(
+    "t1_published_releases",
+    f"""WITH c AS (SELECT page_id, page_id % {_FILES} AS release, (900 + page_id % 100)::DOUBLE / 1000 AS confidence, unnest(['reference.show-interface-gi' || page_id % 50, 'reference.reload-in-' || page_id % 20]) AS item_id, unnest([false, true]) AS dangerous FROM pages),
+    b AS (SELECT release, item_id, arg_min(page_id, (-confidence, page_id)) AS page FROM c WHERE confidence >= CASE WHEN dangerous THEN 0.95 ELSE 0.9 END AND NOT (dangerous AND page_id % 5 = 0) GROUP BY 1, 2)
+    SELECT release::INT AS release, item_id, (lag(page) OVER (PARTITION BY item_id ORDER BY release))::VARCHAR AS previous_revision_id, page::VARCHAR AS new_revision_id FROM b""",
+)
+def t1_releases(t: Tables):
+    path = S.shared_path(t.spark, "ingest")
+    log = ReleaseLog(t.spark, f"{path}/log", 3)
+    J.ingest_releases(J.file_stream(t.spark, _page_files(t), 1), ingest_steps, log, f"{path}/check").awaitTermination()
+    return log.changes().select("release", "item_id", "previous_revision_id", "new_revision_id")
+
+
 @query("t2_flush_rule", "SELECT count(*) AS pending, count(*) >= 50 AS flush FROM events WHERE event_type = 'error'")
 def t2(t: Tables):
     return J.flush_ready(t.events.where("event_type = 'error'"), "ts", F.lit("2024-01-01").cast("timestamp_ntz")).select("pending", "flush")
@@ -112,6 +152,34 @@ def t3(t: Tables):
 _DAYS = "SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n, count(*) > 70 AS limited, greatest(70 - count(*), 0) AS remaining FROM events GROUP BY 1, 2"
 
 
+def _event_files(t: Tables):
+    """Events in four files, one after another in order of time, as a stream of a file a batch."""
+    path = S.shared_path(t.spark, "events")
+    first, last = t.events.agg(F.min("ts"), F.max("ts")).first()
+    for n in range(_FILES):
+        low, high = first + (last - first) * n / _FILES, first + (last - first) * (n + 1) / _FILES
+        part = (c("ts") >= F.lit(low)) & ((c("ts") < F.lit(high)) if n < _FILES - 1 else F.lit(True))
+        t.events.where(part).withColumn("ts", c("ts").cast("timestamp")).coalesce(1).write.mode("append").parquet(path)
+    return J.file_stream(t.spark, path, 1)
+
+
+def _groups_sql(key: str, most: int, seconds: int) -> str:
+    """Groups one after another: each row points to the first of the group after its own. The watermark is a second behind the last row."""
+    return f"""WITH RECURSIVE e AS MATERIALIZED (SELECT {key} AS k, epoch_us(ts) // 1000 AS tm, row_number() OVER (PARTITION BY {key} ORDER BY ts) AS i FROM events WHERE {key} IS NOT NULL),
+    n AS MATERIALIZED (SELECT *, count(*) OVER (PARTITION BY k ORDER BY tm RANGE BETWEEN UNBOUNDED PRECEDING AND {seconds * 1000 - 1} FOLLOWING) AS upto FROM e),
+    g AS (SELECT k, i, tm, least({most}, upto - i + 1) AS size FROM n WHERE i = 1 UNION ALL SELECT n.k, n.i, n.tm, least({most}, n.upto - n.i + 1) FROM g JOIN n ON n.k = g.k AND n.i = g.i + g.size),
+    r AS (SELECT g.k, g.tm, g.size, z.tm AS last FROM g JOIN e z ON z.k = g.k AND z.i = g.i + g.size - 1)
+    SELECT k AS {key}, make_timestamp(tm * 1000) AS opened_at, make_timestamp((CASE WHEN size = {most} THEN last ELSE tm + {seconds * 1000} END) * 1000) AS closed_at, size AS n, CASE WHEN size = {most} THEN 'full' ELSE 'waited' END AS reason
+    FROM r WHERE size = {most} OR tm + {seconds * 1000} <= (SELECT max(tm) - 1000 FROM e)"""
+
+
+@query("t3_ready_groups", _groups_sql("event_type", 32, 21600))
+def t3_groups(t: Tables):
+    """Pending rows of a type go on 32 together, or after six hours."""
+    out = J.drain(J.ready_groups(_event_files(t), "event_type", "ts", 32, 21600), "ready")
+    return out.withColumns({x: c(x).cast("timestamp_ntz") for x in ("opened_at", "closed_at")})
+
+
 @query("t4_rate_counts", _DAYS)
 def t4(t: Tables):
     out = J.drain(J.rate_counts(_stream(t), "ts", ["event_type"], "1 day", 70, "40 days"), "rates", "update")
@@ -131,11 +199,20 @@ def t6(t: Tables):
     return J.drain(J.distinct_transitions(rows, "ts", "key", ["click", "purchase"], "event_type", "40 days").select("key"), "transitions")
 
 
-@query("t7_demand_state", "SELECT user_id, count(*) AS demand_count, max(floor(value)::BIGINT) AS priority FROM events GROUP BY 1")
+@query(
+    "t7_demand_state",
+    """SELECT user_id, CASE WHEN status IS NULL OR (status IN ('failed', 'published', 'unresolved') AND asked > tm) THEN 'queued' ELSE status END AS status, priority, demand_count, asked AS last_seen_at
+    FROM (SELECT user_id, arg_max(s, (ts, s)) FILTER (WHERE s IS NOT NULL) AS status, max(ts) FILTER (WHERE s IS NOT NULL) AS tm, max(ts) FILTER (WHERE s IS NULL) AS asked, max(floor(value)::BIGINT) FILTER (WHERE s IS NULL) AS priority, count(*) FILTER (WHERE s IS NULL) AS demand_count
+      FROM (SELECT *, CASE event_type WHEN 'error' THEN 'failed' WHEN 'purchase' THEN 'published' WHEN 'signup' THEN 'researching' END AS s FROM events) GROUP BY 1) WHERE demand_count > 0""",
+)
 def t7(t: Tables):
-    rows = _stream(t).withColumn("p", F.floor("value"))
-    out = J.drain(J.demand_state(rows, "user_id", "ts", "p"), "demand", "update")
-    return out.groupBy("user_id").agg(F.max("demand_count").alias("demand_count"), F.max("priority").alias("priority"))
+    """Events as requests and transitions of a user's demand, in four batches."""
+    e = c("event_type")
+    status = F.when(e == "error", "failed").when(e == "purchase", "published").when(e == "signup", "researching")
+    rows = _event_files(t).withColumn("p", F.floor("value")).withColumn("s", status)
+    out = J.drain(J.demand_state(rows, "user_id", "ts", "p", "s"), "demand", "update")
+    last = out.groupBy("user_id").agg(F.max_by(F.struct("status", "priority", "demand_count", "last_seen_at"), "batch").alias("d"))
+    return last.select("user_id", "d.status", "d.priority", "d.demand_count", c("d.last_seen_at").cast("timestamp_ntz").alias("last_seen_at"))
 
 
 @query("t8_lease_timeouts")
@@ -149,6 +226,17 @@ def t9(t: Tables):
     return S.retained(rows, "ts", F.lit("2024-01-31").cast("timestamp_ntz"), 30, "expires_at").select("event_id")
 
 
+@query(
+    "t9_idle_keys",
+    """WITH e AS (SELECT user_id, epoch_us(ts) // 1000 AS tm FROM events), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY tm) AS g FROM (SELECT *, (tm >= coalesce(lag(tm) OVER (PARTITION BY user_id ORDER BY tm), 0) + 86400000)::INT AS new FROM e))
+    SELECT user_id, make_timestamp(min(tm) * 1000) AS opened_at, make_timestamp((max(tm) + 86400000) * 1000) AS closed_at, count(*) AS n, 'waited' AS reason FROM s GROUP BY user_id, g HAVING max(tm) + 86400000 <= (SELECT max(tm) - 1000 FROM e) OR g < (SELECT max(z.g) FROM s z WHERE z.user_id = s.user_id)""",
+)
+def t9_idle(t: Tables):
+    """Users whose state is dropped a day after their last event."""
+    out = J.drain(J.idle_keys(_event_files(t), "user_id", "ts", 86_400), "idle")
+    return out.withColumns({x: c(x).cast("timestamp_ntz") for x in ("opened_at", "closed_at")})
+
+
 @query("t10_hourly_outcomes", "SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def t10(t: Tables):
     out = J.drain(J.hourly_outcomes(_stream(t), "ts", "event_type", "40 days"), "hours", "update")

@@ -279,6 +279,20 @@ def r4(t: Tables):
     return R.state_at(_releases(t), full, _changes(t), str(_TARGET))
 
 
+_YEARS = "(SELECT year(o_orderdate) - 1992 AS release, o_custkey::VARCHAR AS item_id, CASE WHEN max(o_orderkey) % 11 = 0 THEN NULL ELSE max(o_orderkey)::VARCHAR END AS revision_id FROM orders GROUP BY 1, 2)"
+
+
+@query("r4_stored_replay", f"SELECT item_id, revision_id FROM (SELECT item_id, arg_max({{'r': revision_id}}, release).r AS revision_id FROM {_YEARS} WHERE release <= 4 GROUP BY 1) WHERE revision_id IS NOT NULL")
+def r4_stored(t: Tables):
+    """Releases of the years in a stored log with every third in full, and the state at the fifth; some revisions remove their item."""
+    log = R.ReleaseLog(t.spark, shared_path(t.spark, "log"), 3)
+    key = F.max("o_orderkey")
+    rows = t.orders.groupBy((F.year("o_orderdate") - 1992).alias("release"), c("o_custkey").cast("string").alias("item_id")).agg(F.when(key % 11 != 0, key.cast("string")).alias("revision_id"))
+    for release in range(7):
+        log.publish(release, rows.where(c("release") == release).select("item_id", "revision_id"))
+    return log.state(4)
+
+
 @query("r5_release_status", f"SELECT rel::VARCHAR AS release_id, CASE WHEN rel = {_BASE} THEN 'published' WHEN rel = {_TARGET} THEN 'superseded' ELSE 'staged' END AS status FROM (SELECT DISTINCT {_REL} AS rel FROM orders)")
 def r5(t: Tables):
     return R.relabelled(_releases(t), str(_BASE)).select("release_id", "status")

@@ -2,28 +2,39 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import IntegerType, StructField, StructType
 from pyspark.sql.window import Window as W
 
+from ..operators.releases import ReleaseLog
 from ..sources.files import shared_path
 
+# Stateful processors also start in a process of the driver that doesn't see shipped files, so this module's go by value.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+#: The state store that timers and typed state need.
+STORE, ROCKS = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
 
 def file_stream(spark: SparkSession, path: str, per_trigger: int = 8) -> DataFrame:
     """Parquet files of a folder as a stream with the schema that they have."""
     return spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", per_trigger).parquet(path)
 
 
-def drain(stream: DataFrame, label: str, mode: str = "append") -> DataFrame:
-    """Runs the stream over what is there and returns the sink's rows; sink and checkpoint are in the shared folder.
-    In update mode every batch's rows are kept with their ``batch``, so the last of a key is its state."""
-    spark, path = stream.sparkSession, shared_path(stream.sparkSession, label)
+def drain(stream: DataFrame, label: str, mode: str = "append", path: str | None = None) -> DataFrame:
+    """Runs the stream over what is there and returns the sink's rows; sink and checkpoint are in the shared folder, or in ``path``, from
+    where a later call goes on. In update mode every batch's rows are kept with their ``batch``, so the last of a key is its state."""
+    spark, path = stream.sparkSession, path or shared_path(stream.sparkSession, label)
+    spark.conf.set(STORE, ROCKS)
     if mode == "append":
         q = stream.writeStream.outputMode("append").format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/check").trigger(availableNow=True).start()
     else:
@@ -46,6 +57,19 @@ def ingest(stream: DataFrame, steps: Callable[[DataFrame], DataFrame], path: str
     return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def ingest_releases(stream: DataFrame, steps: Callable[[DataFrame], DataFrame], log: ReleaseLog, checkpoint: str):
+    """Each micro-batch through ``steps`` (convert, chunk, extract, gate: rows (item_id, revision_id)) to the release of its number.
+
+    The batch number is the release: a batch that died anywhere before its ledger row runs again with the same rows and the same
+    state before it, and replaces what it had written; one whose row is there but whose commit the stream missed gives the same again.
+    """
+
+    def put(batch: DataFrame, number: int) -> None:
+        log.publish(number, steps(batch))
+
+    return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def flush_ready(pending: DataFrame, at: str, as_of: Column, rows: int = 50, seconds: int = 30) -> DataFrame:
     """One row: whether the pending batch is to be published: enough rows, or the oldest has waited."""
     return pending.agg(F.count("*").alias("pending"), F.min(at).alias("oldest")).withColumn("flush", (F.col("pending") >= rows) | F.coalesce(F.col("oldest") <= as_of - F.expr(f"interval {seconds} seconds"), F.lit(False)))
@@ -89,11 +113,110 @@ def distinct_transitions(stream: DataFrame, at: str, key: str, allowed: list[str
     return rows.withWatermark(at, delay).dropDuplicatesWithinWatermark([key]) if stream.isStreaming else rows.dropDuplicates([key])
 
 
-def demand_state(stream: DataFrame, key: str, at: str, priority: str) -> DataFrame:
-    """(key, demand_count, priority, last_seen) after every batch that touches the key, in update mode; state is three
-    numbers a key."""
-    rows = stream.select(key, F.unix_micros(F.col(at).cast("timestamp")).alias("_at"), F.col(priority).cast("long").alias("_p"))
-    return rows.groupBy(key).agg(F.count("*").alias("demand_count"), F.max("_p").alias("priority"), F.max("_at").alias("last_seen"))
+# States from which a new request queues a demand again.
+AGAIN = ("failed", "published", "unresolved")
+DEMAND = "status string, priority long, demand_count long, last_seen_at timestamp"
+
+
+class _Demand(StatefulProcessor):
+    """M4's state machine of one demand. What is kept, the last transition and the last request, doesn't depend on the order of rows, so
+    files that come in another order end in the same state."""
+
+    def __init__(self, key: str) -> None:
+        self.key = key
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.demand = handle.getValueState("demand", "status string, status_at long, asked_at long, priority long, n long")
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        status, status_at, asked_at, priority, n = self.demand.get() if self.demand.exists() else ("", -1, -1, 0, 0)
+        for f in rows:
+            asks = f[f["row_status"].isna()]
+            if len(asks):
+                asked_at = max(asked_at, int(asks["row_at"].max()))
+                priority, n = max(priority, int(asks["row_p"].max())) if n else int(asks["row_p"].max()), n + len(asks)
+            for at, to in zip(f["row_at"], f["row_status"]):
+                if isinstance(to, str) and (int(at), to) > (status_at, status):
+                    status_at, status = int(at), to
+        self.demand.update((status, status_at, asked_at, priority, n))
+        if n:  # a demand begins with a request
+            queued = not status or (status in AGAIN and asked_at > status_at)
+            yield pd.DataFrame({self.key: [key[0]], "status": ["queued" if queued else status], "priority": [priority], "demand_count": [n], "last_seen_at": pd.to_datetime([asked_at], unit="us")})
+
+    def close(self) -> None:
+        pass
+
+
+def demand_state(stream: DataFrame, key: str, at: str, priority: str, status: str | None = None) -> DataFrame:
+    """M4 on a stream: (key, status, priority, demand_count, last_seen_at) after every batch that touches the demand, in update mode.
+    Rows with a ``status`` are transitions, the others requests; a request after a failed, published or unresolved state queues the
+    demand again, and the latest transition (of equal times the last name) is the state otherwise."""
+    to = F.lit(None).cast("string") if status is None else F.col(status)
+    rows = stream.select(key, F.unix_micros(F.col(at).cast("timestamp")).alias("row_at"), F.coalesce(F.col(priority), F.lit(0)).cast("long").alias("row_p"), to.alias("row_status"))
+    return rows.groupBy(key).transformWithStateInPandas(_Demand(key), f"{key} {dict(stream.dtypes)[key]}, {DEMAND}", "Update", "None")
+
+
+class _Groups(StatefulProcessor):
+    """Rows of a key in groups: closed when ``most`` rows are there, or by a timer ``wait`` milliseconds after the first row, or after
+    the last one where ``idle``. Rows of a batch are taken in order of time, so where batches end changes nothing."""
+
+    def __init__(self, key: str, most: int, wait: int, idle: bool) -> None:
+        self.key, self.most, self.wait, self.idle = key, most, wait, idle
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.group = handle.getValueState("group", "opened long, last long, n long")
+
+    def _due(self, opened: int, last: int) -> int:
+        return (last if self.idle else opened) + self.wait
+
+    def _closed(self, key: Any, opened: int, at: int, n: int, reason: str) -> pd.DataFrame:
+        return pd.DataFrame({self.key: [key[0]], "opened_at": pd.to_datetime([opened], unit="ms"), "closed_at": pd.to_datetime([at], unit="ms"), "n": [n], "reason": [reason]})
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        held = self.group.get() if self.group.exists() else None
+        if held is not None:
+            self.handle.deleteTimer(self._due(held[0], held[1]))
+        for at in sorted(int(x) for f in rows for x in f["row_ms"]):
+            if held is not None and at >= self._due(held[0], held[1]):
+                yield self._closed(key, held[0], self._due(held[0], held[1]), held[2], "waited")
+                held = None
+            held = (at, at, 1) if held is None else (held[0], at, held[2] + 1)
+            if held[2] == self.most:
+                yield self._closed(key, held[0], at, held[2], "full")
+                held = None
+        if held is None:
+            self.group.clear()
+        else:
+            self.group.update(held)
+            self.handle.registerTimer(self._due(held[0], held[1]))
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        if self.group.exists():
+            opened, last, n = self.group.get()
+            if self._due(opened, last) <= expiredTimerInfo.getExpiryTimeInMs():
+                self.group.clear()
+                yield self._closed(key, opened, self._due(opened, last), n, "waited")
+
+    def close(self) -> None:
+        pass
+
+
+def _grouped(stream: DataFrame, key: str, at: str, most: int, seconds: int, idle: bool, delay: str) -> DataFrame:
+    rows = stream.withWatermark(at, delay).select(key, at, F.unix_millis(F.col(at)).alias("row_ms"))
+    schema = f"{key} {dict(stream.dtypes)[key]}, opened_at timestamp, closed_at timestamp, n long, reason string"
+    return rows.groupBy(key).transformWithStateInPandas(_Groups(key, most, seconds * 1000, idle), schema, "Append", "EventTime")
+
+
+def ready_groups(stream: DataFrame, key: str, at: str, rows: int = 32, seconds: int = 15, delay: str = "1 second") -> DataFrame:
+    """T2, T3 in the stream: (key, opened_at, closed_at, n, reason): pending rows of a key go on as soon as ``rows`` are there (``full``), or by an
+    event-time timer when the oldest has waited ``seconds`` (``waited``)."""
+    return _grouped(stream, key, at, rows, seconds, False, delay)
+
+
+def idle_keys(stream: DataFrame, key: str, at: str, seconds: int, delay: str = "1 second") -> DataFrame:
+    """T9 in the stream: (key, opened_at, closed_at, n, reason): a key's state is dropped ``seconds`` after its last row, and it begins anew."""
+    return _grouped(stream, key, at, 0, seconds, True, delay)
 
 
 def lease_timeouts(stream: DataFrame, key: str, at: str, minutes: int, delay: str = "1 minute") -> DataFrame:
