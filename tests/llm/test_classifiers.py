@@ -102,3 +102,20 @@ def test_toxicity_edges(spark):
     nulls = spark.createDataFrame([(1, None), (None, 1), (3, 0)], "doc_id long, toxic int")
     assert toxicity.grade(docs, toxicity.fit(docs, nulls)).count() == 4
     assert toxicity.grade(docs.limit(0), toxicity.fit(docs, none)).count() == 0
+
+
+def test_language_sample_is_bounded_whatever_the_ids(spark, monkeypatch):
+    """Null and repeated ids: the sample holds texts of both languages and never more than twice ``per_lang`` of one."""
+    seen = []
+    counts = language._counts
+    rows = [(None if i % 3 else 5, f"das ist ein satz nummer {i} und noch einer", "de") for i in range(300)] + [(i % 2, f"this is a sentence number {i} and one more", "en") for i in range(300)]
+    rows += [(9, "the same text all over again", "en")] * 300
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    real = language.np.argsort
+    monkeypatch.setattr(language.np, "argsort", lambda x, *a, **k: (seen.append(len(x)), real(x, *a, **k))[1])
+    model = language.train(docs, per_lang=40)
+    assert counts is language._counts and 40 <= seen[0] <= 160
+    got = {r["lang_pred"] for r in language.identify(docs.select("text"), model).where("text like 'das%'").collect()}
+    assert got == {"de"}
+    same = spark.createDataFrame([(None, "one text", "en")] * 50, "doc_id long, text string, lang string")
+    assert language.train(same, per_lang=40).langs == ["en"]

@@ -157,3 +157,11 @@ def test_components_of_a_path_and_a_star(spark):
     got = {r["id"]: r["label"] for r in near_dedup.components(spark, df, Scratch(spark, "t"), "c").collect()}
     assert got == {i: 0 for i in range(41)} | {100 + i: 100 for i in range(30)} | {200: 200, 201: 200}
     assert near_dedup.components(spark, df.where(F.lit(False)), Scratch(spark, "t"), "c").count() == 0
+
+
+def test_tables_of_few_words(spark):
+    """Texts that are read together and have fewer words than one shingle."""
+    for texts in (["a"], ["a b", None], ["a b c", "d"], ["", "a b c d"], ["a b c", "a b c"]):
+        docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+        got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dedup.near_duplicates(docs).collect()}
+        assert got == {i: (int(bool(t)), texts.index(t) if t else i) for i, t in enumerate(texts)}

@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from .shared import fresh, text_chunks
 
@@ -70,14 +71,21 @@ def _softmax(z: np.ndarray) -> np.ndarray:
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = PER_LANG, epochs: int = 6, rate: float = 0.5, seed: int = 7) -> Model:
-    """Fits on rows with text and language; those without are left out. No rows: an empty model."""
+    """Fits on rows with text and language; those without are left out. No rows: an empty model.
+
+    The sample is drawn by a hash of id and text: about ``per_lang`` distinct ones of each language, and never over twice as many. So
+    rows without an id are drawn by their texts, and rows repeated under one id count once.
+    """
     spark = docs.sparkSession
-    rows = docs.select(F.xxhash64(F.col(id_col), F.lit(seed)).alias("_id_hash"), F.col(text_col).alias("_text"), F.col(lang_col).cast("string").alias("_lang")).where("_lang is not null and _text is not null")
-    sizes = {r["_lang"]: r["n"] for r in rows.groupBy("_lang").agg(F.count("*").alias("n")).collect()}  # as many as languages
+    rows = docs.select(F.xxhash64(F.col(id_col), F.col(text_col), F.lit(seed)).alias("_id_hash"), F.col(text_col).alias("_text"), F.col(lang_col).cast("string").alias("_lang")).where("_lang is not null and _text is not null")
+    sizes = {r["_lang"]: r["n"] for r in rows.groupBy("_lang").agg(F.approx_count_distinct("_id_hash").alias("n")).collect()}  # as many as languages
     if not sizes:
         return Model([], np.zeros((BUCKETS, 0)), np.zeros(0), 1.0, 0.0)
     shares = spark.createDataFrame([(lang, int(min(1.0, per_lang / n) * (1 << 30))) for lang, n in sizes.items()], "_lang string, _share long")
     picked = rows.join(F.broadcast(shares), "_lang").where(F.pmod("_id_hash", F.lit(1 << 30)) < F.col("_share"))
+    picked = picked.groupBy("_lang", "_id_hash").agg(F.min("_text").alias("_text"))
+    place = F.row_number().over(W.partitionBy("_lang").orderBy("_id_hash"))
+    picked = picked.withColumn("_place", place).where(F.col("_place") <= 2 * per_lang).select("_id_hash", "_text", "_lang")
     got = picked.mapInArrow(_counts, "_id_hash long, _lang string, ids array<int>, times array<float>").toArrow()
     langs = sorted(sizes)
     order = np.argsort(got.column("_id_hash").to_numpy(), kind="stable")

@@ -63,9 +63,10 @@ def shingle_sets(column: pa.Array, width: int) -> Iterator[np.ndarray]:
     for at, to, low, offsets in text_chunks(column):
         w = Words(low, offsets, BLANK_SEPARATED)
         n = len(w.hash)
-        rolled = np.zeros(max(0, n - width + 1), dtype=np.uint64)
+        m = max(0, n - width + 1)  # texts read together may have fewer words than one shingle
+        rolled = np.zeros(m, dtype=np.uint64)
         for k in range(width):
-            rolled += mix(w.hash[k : n - width + 1 + k] * _MULT[k % 8] + np.uint64(k))
+            rolled += mix(w.hash[k : k + m] * _MULT[k % 8] + np.uint64(k))
         rolled = mix(rolled)
         for i in range(to - at):
             lo, hi = int(w.first[i]), int(w.first[i + 1])
