@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -312,6 +312,44 @@ def applicability_index(revisions: DataFrame) -> DataFrame:
     )
 
 
+class Reindex:
+    """A rebuild of the applicability index that can stop anywhere and go on.
+
+    Revisions are dealt to ``parts`` by the hash of their id. A round classifies some parts, replaces their folders, and only then enters
+    them in the ledger of the classifier's version; parts in the ledger are never read again. Another version has folders and a ledger
+    of its own, so it classifies everything anew while the index of the old one can still be read.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, classifier: str, parts: int = 64) -> None:
+        self.spark, self.parts, self.classifier = spark, parts, classifier
+        self.path = f"{path.rstrip('/')}/classifier={classifier}"
+
+    def _there(self, name: str) -> bool:
+        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+    def finished(self) -> list[int]:
+        """Numbers of the finished parts, ``parts`` at most."""
+        return sorted({r["part"] for r in self.spark.read.schema("part int").parquet(f"{self.path}/ledger").collect()}) if self._there("ledger") else []
+
+    def run(self, revisions: DataFrame, at_once: int = 16, rounds: int | None = None) -> int:
+        """Classifies parts that aren't finished, ``at_once`` a round, all or ``rounds`` rounds; returns how many are left."""
+        done = set(self.finished())
+        left = [p for p in range(self.parts) if p not in done]
+        rows = revisions.withColumn("part", F.pmod(F.xxhash64("revision_id"), F.lit(self.parts)).cast("int"))
+        for start in range(0, len(left), at_once)[:rounds]:
+            now = left[start : start + at_once]
+            found = applicability_index(rows.where(F.col("part").isin(now))).withColumn("part", F.pmod(F.xxhash64("revision_id"), F.lit(self.parts)).cast("int"))
+            found.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(f"{self.path}/rows")
+            self.spark.createDataFrame([(p,) for p in now], "part int").coalesce(1).write.mode("append").parquet(f"{self.path}/ledger")
+        return self.parts - len(self.finished())
+
+    def index(self) -> DataFrame:
+        """The rows of the finished parts, with ``classifier``."""
+        rows = self.spark.read.parquet(f"{self.path}/rows").where(F.col("part").isin(self.finished()))
+        return rows.drop("part").withColumn("classifier", F.lit(self.classifier))
+
+
 def missing_families(systems: DataFrame, members: DataFrame) -> DataFrame:
     """(vendor_slug, os_slug, family) of systems that belong to no family yet."""
     out = systems.join(members.select("vendor_slug", "os_slug"), ["vendor_slug", "os_slug"], "left_anti")
@@ -372,3 +410,67 @@ def system_intent(text: Column) -> Column:
     shell = F.get(F.filter(F.transform(words, F.lower), lambda w: w.isin(SHELLS)), F.lit(0))
     family = F.array_join(F.filter(words, lambda w: ~F.lower(w).isin([*MODES, *SHELLS])), " ")
     return F.struct(F.nullif(family, F.lit("")).alias("family"), mode.alias("mode"), shell.alias("shell"))
+
+
+# Least scores of vendors and families, scores of what isn't resolved, given or asked for.
+VENDOR_FLOOR, FAMILY_FLOOR, NO_VENDOR, NO_MODEL, MODEL_NOT_ASKED, ONLY_SYSTEM = 0.5, 0.55, 0.6, 0.6, 0.7, 0.7
+
+
+def _candidates(texts: DataFrame, text: str, targets: DataFrame, target: str) -> DataFrame:
+    """(text, target, score): targets (target, alias) alike to a text: 1 where an alias equals it but for case, else the largest similarity."""
+    asked = texts.where(F.col(text).isNotNull()).select(F.col(text).alias("_x")).distinct()
+    alike = fuzzy_join(asked.withColumn("_y", F.col("_x")), targets.withColumnRenamed(target, "_t"), "_x", "_y", "_t", "alias").select("_x", "_t", "similarity")
+    equal = asked.join(targets.select(F.col(target).alias("_t"), F.lower("alias").alias("_a")), F.lower("_x") == F.col("_a")).select("_x", "_t", F.lit(1.0).alias("similarity"))
+    return alike.unionByName(equal).groupBy("_x", "_t").agg(F.max("similarity").alias("score")).select(F.col("_x").alias(text), F.col("_t").alias(target), "score")
+
+
+def _top(candidates: DataFrame, key: str, target: str, name: str) -> DataFrame:
+    """(key, target, name): the candidate with the best score, ties to the smallest."""
+    best = candidates.groupBy(key).agg(F.min(F.struct((-F.col("score")).alias("s"), F.col(target).alias("t"))).alias("_b"))
+    return best.select(key, F.col("_b.t").alias(target), (-F.col("_b.s")).alias(name))
+
+
+def joint_context(requests: DataFrame, vendors: DataFrame, platforms: DataFrame, systems: DataFrame, families: DataFrame) -> DataFrame:
+    """V14 over all dimensions: requests (request_id, vendor, model, system, version) to (request_id, status, vendor_id, platform_id, system_id,
+    family_id, mode, confidence, ambiguities).
+
+    Catalogues are vendors (vendor_id, alias), platforms (platform_id, vendor_id, alias), systems (system_id, vendor_id, family_id, alias) and
+    families (family_id, alias, portable). The platform and the system are among those of the resolved vendor only; the family is
+    the one that the system's text names, else the system's. A run-time mode in the text is taken off first. A request without a family,
+    or whose vendor isn't resolved and whose family isn't portable, gets a status that says so; the confidence is the least score.
+    Texts are compared once each, and every request joins the few candidates of its texts.
+    """
+    intent = system_intent(F.col("system"))
+    rows = requests.select("request_id", "vendor", "model", "version", intent["family"].alias("system"), intent["mode"].alias("mode"))
+    vendor = _top(_candidates(rows, "vendor", vendors, "vendor_id"), "vendor", "vendor_id", "vendor_score").where(F.col("vendor_score") >= VENDOR_FLOOR)
+    rows = rows.join(vendor, "vendor", "left")
+    models = _candidates(rows, "model", platforms.select("platform_id", "alias"), "platform_id").join(platforms.select("platform_id", "vendor_id").distinct(), "platform_id")
+    platform = _top(rows.where("vendor_id is not null").join(models, ["model", "vendor_id"]), "request_id", "platform_id", "platform_score")
+    own = systems.select("system_id", "vendor_id", "family_id").distinct()
+    named = _candidates(rows, "system", systems.select("system_id", "alias"), "system_id").join(own, "system_id")
+    by_name = rows.where("vendor_id is not null").join(named, ["system", "vendor_id"]).select("request_id", "system_id", "score")
+    any_of = own.groupBy("vendor_id").agg(F.min("system_id").alias("system_id"))
+    unnamed = rows.where("vendor_id is not null and system is null").join(any_of, "vendor_id").select("request_id", "system_id", F.lit(ONLY_SYSTEM).alias("score"))
+    system = _top(by_name.unionByName(unnamed), "request_id", "system_id", "_s").drop("_s").join(own.select("system_id", F.col("family_id").alias("own_family")), "system_id")
+    family = _top(_candidates(rows, "system", families.select("family_id", "alias"), "family_id"), "system", "family_id", "family_score")
+    out = rows.join(platform, "request_id", "left").join(system, "request_id", "left").join(family.withColumnRenamed("family_id", "named_family"), "system", "left")
+    out = out.withColumn("family_id", F.coalesce("named_family", "own_family")).withColumn("family_score", F.when(F.col("named_family").isNotNull(), F.col("family_score")).when(F.col("own_family").isNotNull(), 1.0))
+    out = out.join(families.select("family_id", "portable").distinct(), "family_id", "left")
+    portable = F.coalesce("portable", F.lit(False))
+    lost = F.col("family_id").isNull() | (F.col("family_score") < FAMILY_FLOOR)
+    status = (
+        F.when(F.col("named_family").isNotNull() & lost, "os_not_resolved")
+        .when(F.col("vendor_id").isNull() & ~(F.col("named_family").isNotNull() & portable), "vendor_not_resolved")
+        .when(lost | (~portable & F.col("system_id").isNull()), "os_not_resolved")
+        .otherwise("resolved")
+    )
+    open_ = {
+        "vendor_unmatched": F.col("vendor").isNotNull() & F.col("vendor_id").isNull(),
+        "model_unmatched": F.col("model").isNotNull() & F.col("platform_id").isNull(),
+        "version_missing": F.col("version").isNull(),
+        "mode_separated": F.col("mode").isNotNull(),
+    }
+    ambiguities = F.filter(F.array(*(F.when(cond, F.lit(name)) for name, cond in open_.items())), lambda x: x.isNotNull())
+    model = F.coalesce("platform_score", F.when(F.col("model").isNotNull(), NO_MODEL).otherwise(MODEL_NOT_ASKED))
+    confidence = F.least(F.coalesce("vendor_score", F.lit(NO_VENDOR)), model, "family_score")
+    return out.select("request_id", status.alias("status"), "vendor_id", "platform_id", "system_id", "family_id", "mode", confidence.alias("confidence"), ambiguities.alias("ambiguities"))

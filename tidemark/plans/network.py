@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import network as N
+from ..sources.files import shared_path
 from .documents import _TRI
 from .registry import Tables, query
 
@@ -165,6 +166,19 @@ def v11(t: Tables):
     return N.applicability_index(_revisions(t)).groupBy("scope_level", "version_scope").agg(F.count("*").alias("n"))
 
 
+@query(
+    "v11_resumed_rebuild",
+    "SELECT p_partkey AS revision_id, CASE WHEN p_partkey % 5 = 0 THEN 'os_family' WHEN p_partkey % 4 = 0 THEN 'model' ELSE 'vendor_os' END AS scope_level, CASE p_partkey % 3 WHEN 0 THEN 'unbounded' WHEN 1 THEN 'exact' ELSE 'range' END AS version_scope, 'portable-v2' AS classifier FROM part",
+)
+def v11_resumed(t: Tables):
+    """A rebuild in 16 parts that stops after one round of five and is resumed."""
+    path = shared_path(t.spark, "reindex")
+    N.Reindex(t.spark, path, "portable-v2", 16).run(_revisions(t), 5, 1)
+    again = N.Reindex(t.spark, path, "portable-v2", 16)
+    again.run(_revisions(t))
+    return again.index().select("revision_id", "scope_level", "version_scope", "classifier")
+
+
 @query("v12_missing_families", "SELECT DISTINCT lower(p_brand) AS vendor_slug, p_type AS os_slug FROM part WHERE (p_brand, p_type) NOT IN (SELECT (p_brand, p_type) FROM part WHERE p_size > 45 AND p_partkey % 2 = 0)")
 def v12(t: Tables):
     s = t.part.select(F.lower("p_brand").alias("vendor_slug"), c("p_type").alias("os_slug"), "p_size", "p_partkey")
@@ -199,3 +213,46 @@ def j13(t: Tables):
 @query("v14_context_resolution", f"SELECT k, n_name FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY similarity DESC, n_name) AS r FROM {_PAIRS}) WHERE r = 1 AND similarity >= 0.5")
 def v14(t: Tables):
     return N.resolved_context(_requests(t), t.nation.withColumn("alias", c("n_name")), "k", "x", "n_name", "alias").select("k", "n_name")
+
+
+# a customer asks: for the nation of a supplier or its own, for that supplier, for a region or a nation's system
+_ASKS = """WITH q AS MATERIALIZED (SELECT c_custkey AS request_id, CASE c_custkey % 7 WHEN 0 THEN NULL WHEN 1 THEN 'the ' || n.n_name WHEN 2 THEN 'unknown maker' ELSE n.n_name END AS vendor, CASE WHEN c_custkey % 5 > 0 THEN s_name || CASE WHEN c_custkey % 3 = 1 THEN 'X' ELSE '' END END AS model,
+    CASE c_custkey % 4 WHEN 1 THEN r_name WHEN 2 THEN n.n_name || ' os' WHEN 3 THEN left(r_name, 4) END AS system, CASE WHEN c_custkey % 8 = 1 THEN 'rescue' END AS mode, c_custkey % 2 = 0 AS versioned
+  FROM customer LEFT JOIN supplier ON s_suppkey = c_custkey % 10 JOIN nation n ON n.n_nationkey = CASE WHEN c_custkey % 2 = 0 THEN coalesce(s_nationkey, c_nationkey) ELSE c_nationkey END JOIN region ON r_regionkey = n_regionkey)"""
+_ALIKE = "coalesce(len(list_intersect(a, b))::DOUBLE / nullif(len(list_distinct(list_concat(a, b))), 0)::DOUBLE, 0)"
+
+
+def _alike_sql(name: str, text: str, catalogue: str, target: str, alias: str) -> str:
+    return f"""{name} AS MATERIALIZED (SELECT x, t, s FROM (SELECT x, {target} AS t, CASE WHEN lower(x) = lower({alias}) THEN 1.0::DOUBLE ELSE {_ALIKE} END AS s
+    FROM (SELECT DISTINCT {text} AS x FROM q WHERE {text} IS NOT NULL) z, {catalogue}, LATERAL (SELECT {_TRI.format('z.x')} AS a, {_TRI.format(alias)} AS b)) WHERE s >= 0.3)"""
+
+
+@query(
+    "v14_joint_context",
+    f"""{_ASKS}, {_alike_sql('va', 'vendor', 'nation', 'n_nationkey', 'n_name')}, {_alike_sql('pa', 'model', 'supplier', 's_suppkey', 's_name')}, {_alike_sql('fa', 'system', 'region', 'r_regionkey', 'r_name')},
+    {_alike_sql('sa', 'system', "(SELECT n_nationkey, n_name || ' os' AS o FROM nation) y", 'n_nationkey', 'o')},
+    v AS (SELECT x, arg_min(t, (-s, t)) AS vendor_id, max(s) AS vs FROM va GROUP BY 1 HAVING max(s) >= 0.5), f AS (SELECT x, arg_min(t, (-s, t)) AS named, max(s) AS fs FROM fa GROUP BY 1),
+    r AS MATERIALIZED (SELECT q.*, vendor_id, vs, named, fs FROM q LEFT JOIN v ON v.x = vendor LEFT JOIN f ON f.x = system),
+    p AS (SELECT request_id, arg_min(t, (-s, t)) AS platform_id, max(s) AS ps FROM r JOIN pa ON pa.x = model JOIN supplier ON s_suppkey = t AND s_nationkey = vendor_id GROUP BY 1),
+    o AS (SELECT request_id, vendor_id AS system_id FROM r WHERE vendor_id IS NOT NULL AND (system IS NULL OR EXISTS (SELECT 1 FROM sa WHERE sa.x = system AND sa.t = vendor_id))),
+    w AS (SELECT r.*, platform_id, ps, system_id, coalesce(named, n_regionkey) AS family_id, CASE WHEN named IS NOT NULL THEN fs WHEN system_id IS NOT NULL THEN 1.0::DOUBLE END AS score FROM r LEFT JOIN p ON p.request_id = r.request_id LEFT JOIN o ON o.request_id = r.request_id LEFT JOIN nation ON n_nationkey = system_id)
+    SELECT request_id, CASE WHEN named IS NOT NULL AND fs < 0.55 THEN 'os_not_resolved' WHEN vendor_id IS NULL AND coalesce(named, -1) <> 2 THEN 'vendor_not_resolved' WHEN family_id IS NULL OR score < 0.55 OR (family_id <> 2 AND system_id IS NULL) THEN 'os_not_resolved' ELSE 'resolved' END AS status,
+      vendor_id, platform_id, system_id, family_id, mode, round(least(coalesce(vs, 0.6::DOUBLE), coalesce(ps, CASE WHEN model IS NULL THEN 0.7 ELSE 0.6 END::DOUBLE), score), 6) AS confidence,
+      array_to_string(list_filter([CASE WHEN vendor IS NOT NULL AND vendor_id IS NULL THEN 'vendor_unmatched' END, CASE WHEN model IS NOT NULL AND platform_id IS NULL THEN 'model_unmatched' END, CASE WHEN NOT versioned THEN 'version_missing' END, CASE WHEN mode IS NOT NULL THEN 'mode_separated' END], lambda x: x IS NOT NULL), ',') AS ambiguities FROM w""",
+)
+def v14_joint(t: Tables):
+    """Nations are vendors with one system each, suppliers their platforms, regions the families, of which the third is portable."""
+    k = c("c_custkey")
+    base = t.customer.join(t.supplier.select("s_suppkey", "s_name", "s_nationkey"), c("s_suppkey") == k % 10, "left")
+    base = base.withColumn("_n", F.when(k % 2 == 0, F.coalesce("s_nationkey", "c_nationkey")).otherwise(c("c_nationkey"))).join(t.nation, c("n_nationkey") == c("_n")).join(t.region, c("r_regionkey") == c("n_regionkey"))
+    system = F.when(k % 4 == 1, F.concat(F.when(k % 8 == 1, "rescue ").otherwise(""), "r_name")).when(k % 4 == 2, F.concat("n_name", F.lit(" os"))).when(k % 4 == 3, F.substring("r_name", 1, 4))
+    asked = base.select(
+        k.alias("request_id"), F.when(k % 7 == 0, None).when(k % 7 == 1, F.concat(F.lit("the "), "n_name")).when(k % 7 == 2, "unknown maker").otherwise(c("n_name")).alias("vendor"),
+        F.when(k % 5 > 0, F.concat("s_name", F.when(k % 3 == 1, "X").otherwise(""))).alias("model"), system.alias("system"), F.when(k % 2 == 0, "1.0").alias("version"),
+    )
+    vendors = t.nation.select(c("n_nationkey").alias("vendor_id"), c("n_name").alias("alias"))
+    platforms = t.supplier.select(c("s_suppkey").alias("platform_id"), c("s_nationkey").alias("vendor_id"), c("s_name").alias("alias"))
+    systems = t.nation.select(c("n_nationkey").alias("system_id"), c("n_nationkey").alias("vendor_id"), c("n_regionkey").alias("family_id"), F.concat("n_name", F.lit(" os")).alias("alias"))
+    families = t.region.select(c("r_regionkey").alias("family_id"), c("r_name").alias("alias"), (c("r_regionkey") == 2).alias("portable"))
+    out = N.joint_context(asked, vendors, platforms, systems, families)
+    return out.withColumns({"confidence": F.round("confidence", 6), "ambiguities": F.array_join("ambiguities", ",")})
