@@ -401,3 +401,26 @@ def current_validation(validations: DataFrame, as_of: Column, levels: Sequence[s
     level = F.array_position(F.array(*(F.lit(x) for x in levels)), F.col("validation_type"))
     w = W.partitionBy("revision_id").orderBy(F.when(level > 0, level).otherwise(len(levels) + 1), F.desc("executed_at"))
     return valid.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+
+
+# Order of validation levels; others come after.
+VALIDATION_LEVELS = ("runtime_lab_validated", "batfish_modeled")
+
+
+def register_current_validation(validations: DataFrame, levels: Sequence[str] = VALIDATION_LEVELS, name: str = "current_knowledge_validation") -> None:
+    """X5 as a SQL table function of the session: ``name(revision_id, as_of)`` returns (validation_level, lab_validated_at) of the passed
+    validation that expires after ``as_of``, of the strongest level, then the latest; a row at most.
+
+    Called by LATERAL for each revision, it is one aggregate over ``validations`` (revision_id, status, validation_type, executed_at,
+    expires_at) and one join. The best row is an aggregate, as a LIMIT inside a table function is taken over all calls at once. An
+    expiry of null is none that lies after ``as_of``.
+    """
+    spark, view = validations.sparkSession, f"{name}_rows"
+    validations.createOrReplaceTempView(view)
+    kinds = dict(validations.dtypes)
+    order = " ".join(f"WHEN '{x}' THEN {i}" for i, x in enumerate(levels))
+    spark.sql(f"""CREATE OR REPLACE TEMPORARY FUNCTION {name}(requested {kinds['revision_id']}, as_of {kinds['expires_at']})
+        RETURNS TABLE (validation_level STRING, lab_validated_at {kinds['executed_at']})
+        RETURN SELECT best.level, best.at FROM (
+            SELECT min_by(named_struct('level', validation_type, 'at', executed_at), named_struct('a', CASE validation_type {order} ELSE {len(levels)} END, 'b', -unix_micros(CAST(executed_at AS TIMESTAMP)), 'c', validation_type)) AS best
+            FROM {view} WHERE revision_id = requested AND status = 'passed' AND expires_at > as_of) WHERE best IS NOT NULL""")

@@ -209,6 +209,34 @@ class Search:
         return first.unionByName(score(self.cover_density(rest.drop("_least", "_n")))).drop("_upper")
 
 
+class OpenQuestions:
+    """Questions without an answer, stored by their rarest token, so that changed documents find those that they may answer without
+    a new search of the rest.
+
+    An answer holds all tokens of its question, so it holds the rarest one, whichever that was when the question was stored:
+    ``rarity`` (token, n) only decides how many questions a change touches. Written as (probe, question_id, tokens).
+    """
+
+    def __init__(self, asked: DataFrame, rarity: DataFrame) -> None:
+        spark, path = asked.sparkSession, shared_path(asked.sparkSession, "open")
+        each = asked.where(F.size("tokens") > 0).select("question_id", F.array_distinct("tokens").alias("tokens")).withColumn("token", F.explode("tokens"))
+        rare = F.min_by("token", F.struct(F.coalesce("n", F.lit(0)), "token"))
+        each.join(rarity.select("token", "n"), "token", "left").groupBy("question_id", "tokens").agg(rare.alias("probe")).write.parquet(path)
+        self.stored = spark.read.parquet(path)
+
+    def touched(self, index: Index) -> DataFrame:
+        """(question_id, tokens) of the questions whose probe begins a term of the index of changed documents."""
+        starts = F.array_distinct(F.array(*(F.substring("term", 1, n) for n in (1, 2, 3, 4))))
+        probes = self.stored.select("probe").distinct().withColumn("_p", F.substring("probe", 1, 4))
+        met = index.terms.withColumn("_p", F.explode(starts)).join(probes, "_p").where(F.startswith("term", F.col("probe"))).select("probe").distinct()
+        return self.stored.join(met, "probe").select("question_id", "tokens")
+
+    def answers(self, index: Index, context: DataFrame) -> DataFrame:
+        """(question_id, key): changed documents that match all tokens of an open question and pass the semantic floor."""
+        found = Search(index, self.touched(index)).matches().where("strict")
+        return semantic_floor(found, context).select("question_id", index.key)
+
+
 def _dense(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         size = np.zeros(batch.num_rows, dtype=np.int64)

@@ -299,3 +299,17 @@ def x5(t: Tables):
     passed = F.when(c("l_linestatus") == "F", "passed").otherwise("failed")
     vals = t.lineitem.select(c("l_orderkey").alias("revision_id"), passed.alias("status"), c("l_shipdate").alias("executed_at"), c("l_shipdate").alias("expires_at"), c("l_returnflag").alias("validation_type"))
     return Q.current_validation(vals, F.lit("1994-01-01").cast("timestamp_ntz"), ["R", "A", "N"]).select("revision_id", "validation_type", "executed_at")
+
+
+@query(
+    "x5_table_function",
+    """SELECT o_orderkey AS revision_id, v.l_returnflag AS validation_level, v.l_shipdate AS lab_validated_at FROM orders JOIN
+    (SELECT DISTINCT ON (l_orderkey) l_orderkey, l_returnflag, l_shipdate FROM lineitem WHERE l_linestatus = 'F' AND l_shipdate > TIMESTAMP '1994-01-01' ORDER BY l_orderkey, list_position(['R', 'A', 'N'], l_returnflag), l_shipdate DESC) v ON v.l_orderkey = o_orderkey""",
+)
+def x5_function(t: Tables):
+    """The table function called by LATERAL for each order."""
+    passed = F.when(c("l_linestatus") == "F", "passed").otherwise("failed")
+    Q.register_current_validation(t.lineitem.select(c("l_orderkey").alias("revision_id"), passed.alias("status"), c("l_returnflag").alias("validation_type"), c("l_shipdate").alias("executed_at"), c("l_shipdate").alias("expires_at")), ("R", "A", "N"))
+    t.orders.createOrReplaceTempView("revisions_of_orders")
+    as_of = f"CAST('1994-01-01' AS {dict(t.lineitem.dtypes)['l_shipdate']})"
+    return t.spark.sql(f"SELECT o_orderkey AS revision_id, validation_level, lab_validated_at FROM revisions_of_orders, LATERAL current_knowledge_validation(o_orderkey, {as_of})")
