@@ -33,12 +33,13 @@ from .shared import ALPHA_RUNS, Scratch, Words, text_chunks
 SCALE = 1_000_000_000
 #: Documents of its language that a kept term stands in, and terms reported for a group.
 MIN_DOCS, TOP_TERMS = 3, 200
-#: Postings of a block of terms, and pairs of postings that are scattered at once.
-BLOCK, SCATTER = 500_000, 1_000_000
+#: Postings of a block of terms, at least and at most: in between, the square of the number of a language's groups, so that a block
+#: emits no more than it reads; and pairs of postings that are scattered at once.
+BLOCK, LARGEST_BLOCK, SCATTER = 50_000, 1_000_000, 1_000_000
 #: Groups up to which their totals are broadcast (about 100 bytes each); more are joined.
 FEW_GROUPS = 100_000
 #: Rows gathered in a task before they are added up, and kept on after that.
-GATHER, HOLD = 1_000_000, 500_000
+GATHER, HOLD = 300_000, 150_000
 
 
 # --- counts ------------------------------------------------------------------------
@@ -187,7 +188,8 @@ def _block_pairs(key: tuple, block: pa.Table) -> pa.Table:
 def pair_values(shares: Shares) -> DataFrame:
     """(lang, source, item, value): the divergence of each group from each other source of its language."""
     rows = shares.postings.select("lang", "source", "term", "p", "p0")
-    blocks = rows.count() // BLOCK + 1
+    most = shares.groups.groupBy("lang").count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0]
+    blocks = rows.count() // min(max(BLOCK, most**2), max(BLOCK, LARGEST_BLOCK)) + 1
     pairs = "lang string, source string, item string, value long"
     shared = rows.withColumn("_b", F.pmod(F.xxhash64("term"), F.lit(blocks))).groupBy("lang", "_b").applyInArrow(lambda key, block: _block_pairs(key, block), pairs)
     # what a group's row gives with each peer's zero share, in the role of p and in the role of q
