@@ -1,5 +1,7 @@
 """Queries over documents and questions on small tables of their own."""
 
+import random
+import re
 from types import SimpleNamespace
 
 from tidemark.operators import documents as D
@@ -28,3 +30,52 @@ def test_every_question_gets_documents(spark):
     assert {(r["demand_id"], r["source_id"]) for r in documents.d20(t).where("score > 0").collect()} == every
     assert {(r["demand_id"], r["source_id"]) for r in documents.d21(t).collect()} == every
     assert sorted(r["doc_id"] for r in documents.d19(t).collect()) == list(range(180, 270))
+
+
+def texts_of_blocks():
+    """Texts with headings, short and long blocks, blocks over the limit, repeated blocks, in several scripts."""
+    rng = random.Random(8)
+    word = lambda: rng.choice(["alpha", "béta", "数据", "gamma-delta", "x"])
+    block = lambda: " ".join(word() for _ in range(rng.choice([1, 5, 40, 150])))
+    made = []
+    for _ in range(30):
+        parts = [rng.choice(["SECTION ONE", "2.1 Setup", "", block(), block(), block(), block() + "\nsecond line", "word " * 300, "é" * 700]) for _ in range(rng.randrange(0, 14))]
+        made.append("\n\n".join(parts) + rng.choice(["", "\n\n\n", "  "]))
+    return [*made, "", None, "same\n\nsame\n\nSECTION TWO\n\nsame"]
+
+
+def is_heading(block):
+    return len(block) <= 180 and "\n" not in block and bool(re.search(r"^[A-Z0-9][A-Z0-9 /:_.()-]{5,}$", block) or re.search(r"^[0-9]+(?:\.[0-9]+)*\s+\S", block))
+
+
+def test_blocks_and_fragments_equal_plain_python(spark):
+    """Pieces of long blocks fit and lose nothing; sections are packed greedily; ordinals count what is kept."""
+    limit, texts = 400, texts_of_blocks()
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    pieces = {}
+    for r in sorted(D.blocks(docs, "doc_id", limit=limit).collect(), key=lambda r: (r["doc_id"], r["block_no"], r["part_no"])):
+        pieces.setdefault(r["doc_id"], {}).setdefault(r["block_no"], []).append(r["block"])
+        assert 0 < len(r["block"].encode()) <= limit
+    bare = lambda x: re.sub(r"\s+", "", x)
+    for i, text in enumerate(texts):
+        want = [b.strip() for b in re.split(r"\n{2,}", text or "")]
+        got = pieces.get(i, {})
+        assert [bare("".join(got[k])) for k in sorted(got)] == [bare(b) for b in want if b]
+    want = []
+    for i in range(len(texts)):
+        title, cur, size, out = None, "", 0, []
+        for b in [p for k in sorted(pieces.get(i, {})) for p in pieces[i][k]]:
+            if is_heading(b):
+                out, title, cur, size = [*out, (title, cur)], b, "", 0
+                continue
+            n = len(b.encode())
+            if size and size + n + 2 > limit:
+                out, cur, size = [*out, (title, cur)], "", 0
+            cur, size = f"{cur}\n\n{b}" if cur else b, size + n + 2
+        kept = []
+        for title, content in [*out, (title, cur)]:
+            if content and content not in [c for _, c in kept]:
+                kept.append((title, content))
+        want += [(i, k, title, content) for k, (title, content) in enumerate(kept)]
+    got = sorted((r["doc_id"], r["ordinal"], r["section_title"] or "", r["content"]) for r in D.fragments(docs, "doc_id", limit=limit).collect())
+    assert got == sorted((i, k, t or "", x) for i, k, t, x in want) and len(got) > 40

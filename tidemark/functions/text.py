@@ -130,19 +130,26 @@ def is_contents_page(page: Column) -> Column:
 # --- terms -----------------------------------------------------------------------
 
 # Words that don't tell a request apart.
-IGNORED_TERMS = """about after before catalyst check cisco command commands configure configuration current device diagnose
-diagnosis error errors existing failure failures for from guide help how interface into ios iosxe issue network operating
-procedure running show switch system that the then this through troubleshoot using vendor verify verification version what
-when with xe your""".split()
+IGNORED_TERMS = [
+    "about", "after", "before", "catalyst", "check", "cisco", "command", "commands", "configure", "configuration", "current", "device", "diagnose",
+    "diagnosis", "error", "errors", "existing", "failure", "failures", "for", "from", "guide", "help", "how", "interface", "into", "ios", "iosxe",
+    "issue", "network", "operating", "procedure", "running", "show", "switch", "system", "that", "the", "then", "this", "through", "troubleshoot",
+    "using", "vendor", "verify", "verification", "version", "what", "when", "with", "xe", "your",
+]
 # Words of a question that aren't searched.
-STOP_WORDS = """a an and are as at be by can catalyst check cisco cli command commands could did do does exact for from give how
-i if in inspect increasing ios is it may mode must my need next of on or our please provide require required requires run
-safe should state tell that the their then this to use using want what when where which who why will with workflow would xe
-you your""".split()
+STOP_WORDS = [
+    "a", "an", "and", "are", "as", "at", "be", "by", "can", "catalyst", "check", "cisco", "cli", "command", "commands", "could", "did", "do", "does",
+    "exact", "for", "from", "give", "how", "i", "if", "in", "inspect", "increasing", "ios", "is", "it", "may", "mode", "must", "my", "need", "next",
+    "of", "on", "or", "our", "please", "provide", "require", "required", "requires", "run", "safe", "should", "state", "tell", "that", "the",
+    "their", "then", "this", "to", "use", "using", "want", "what", "when", "where", "which", "who", "why", "will", "with", "workflow", "would", "xe",
+    "you", "your",
+]
 # Aliases of question words; an empty one removes the word.
 ALIASES = {"9300": "", "c9300": "", "errors": "error", "interfaces": "interface", "port": "interface", "ports": "interface"}
 # Words without meaning of their own for the relevance floor.
-GENERIC_TERMS = "add change configure configuration create delete disable enable manage remove running set setup show".split()
+GENERIC_TERMS = [
+    "add", "change", "configure", "configuration", "create", "delete", "disable", "enable", "manage", "remove", "running", "set", "setup", "show",
+]
 
 
 def demand_terms(question: Column) -> Column:

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from ..sources.files import shared_path
+
 # --- filters and projections (P) ----------------------------------------------
 
 
@@ -343,22 +345,25 @@ def aligned_union(*frames: DataFrame) -> DataFrame:
 
 def closure(spark, edges: DataFrame, roots: DataFrame, child: str, parent: str, stop: DataFrame | None = None) -> DataFrame:
     """(root, node, depth) of everything reachable from the roots over child-to-parent edges, with the
-    least depth. Each round joins the new frontier only, until none is left; written to the checkpoint folder, so lineage
-    stays short. Nodes in ``stop`` (node) are reached but not passed."""
+    least depth. Each round joins the new frontier only, until none is left, and is written to the shared folder, so lineage stays
+    short. Nodes in ``stop`` (node) are reached but not passed."""
     frontier = roots.select(F.col(roots.columns[0]).alias("root"), F.col(roots.columns[0]).alias("node"), F.lit(0).alias("depth")).distinct()
+    schema, path = frontier.schema, shared_path(spark, "closure")
     e = edges.select(F.col(child).alias("node"), F.col(parent).alias("_to")).where("_to is not null").distinct()
     if stop is not None:
         e = e.join(stop.select("node"), "node", "left_anti")
-    seen = frontier
-    while True:  # it ends by itself, as pairs seen before are left out
+
+    def level(df: DataFrame, k: int) -> DataFrame:
+        df.write.parquet(f"{path}/{k}")
+        return spark.read.schema(schema).parquet(f"{path}/{k}")
+
+    frontier, k = level(frontier, 0), 0
+    while not frontier.isEmpty():  # it ends by itself, as pairs seen before are left out
+        k += 1
+        seen = spark.read.schema(schema).parquet(*(f"{path}/{i}" for i in range(k)))
         new = frontier.join(e, "node").select("root", F.col("_to").alias("node"), (F.col("depth") + 1).alias("depth")).distinct()
-        frontier = new.join(seen, ["root", "node"], "left_anti")
-        if spark.sparkContext.getCheckpointDir():
-            frontier = frontier.checkpoint()
-        if frontier.isEmpty():
-            break
-        seen = seen.unionByName(frontier)
-    return seen
+        frontier = level(new.join(seen, ["root", "node"], "left_anti"), k)
+    return spark.read.schema(schema).parquet(*(f"{path}/{i}" for i in range(k + 1)))
 
 
 def ordered_union(first: DataFrame, second: DataFrame, key: str) -> DataFrame:
