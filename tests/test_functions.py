@@ -142,7 +142,7 @@ def test_json_redaction(spark):
 
 
 def test_topology(spark):
-    cdp = "Device ID: core.example.com\nIP address: 10.0.0.1\nPlatform: x,\nInterface: Gi1/0/1,  Port ID (outgoing port): Gi0/2\nDevice ID: sw1.example.com\n"
+    cdp = "Device ID: core.example.com\nIP address: 10.0.0.1\nPlatform: x,\nInterface: Gi1/0/1,  Port ID (outgoing port): Gi0/2\nDevice ID: SW1.local\n"
     snaps = spark.createDataFrame([("1", "sw1", cdp)], "snapshot_id string, device_hint string, content string")
     assert [(r["target"], r["local_interface"], r["remote_interface"]) for r in N.neighbour_edges(snaps).where("protocol = 'cdp'").collect()] == [("core.example.com", "Gi1/0/1", "Gi0/2")]
     trace = spark.createDataFrame([("1", "src", "traceroute to x\n 1  a (10.0.0.1) 1 ms\n 2  * * *\n 3  b 2 ms")], "snapshot_id string, device_hint string, content string")
