@@ -282,16 +282,13 @@ def merged_graph(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def path_status(hops: DataFrame, key: str, wanted: DataFrame | None = None) -> DataFrame:
     """Whether each path is complete (all hops answer, and the name or the address of the last is the destination that ``wanted``
-    (key, destination) asks for), and the node before the last hop if a hop is silent and that node isn't."""
-    silent = F.bool_or(~F.col("answered"))
-    last = F.max(F.struct("place", "source", "target", "address"))
-    # nodes of silent hops bear their name
-    fault = F.when(F.col("_silent") & ~F.startswith("_l.source", F.lit("Unanswered hop ")), F.col("_l.source"))
-    out = hops.groupBy(key).agg((~silent).alias("complete"), silent.alias("_silent"), last.alias("_l"), F.count("*").alias("hops"))
+    (key, destination) asks for), and ``fault_domain``, the node before the first silent hop."""
+    last, fault = F.max(F.struct("place", "target", "address")), F.min(F.when(~F.col("answered"), F.struct("place", "source")))
+    out = hops.groupBy(key).agg(F.bool_and("answered").alias("complete"), fault.alias("_f"), last.alias("_l"), F.count("*").alias("hops"))
     if wanted is not None:
         reached = _same_host(F.col("_l.target"), F.col("destination")) | F.coalesce(F.col("_l.address") == F.col("destination"), F.lit(False))
         out = out.join(wanted.select(key, "destination"), key, "left").withColumn("complete", F.col("complete") & (F.col("destination").isNull() | reached))
-    return out.select(key, "hops", "complete", fault.alias("fault_domain"))
+    return out.select(key, "hops", "complete", F.col("_f.source").alias("fault_domain"))
 
 
 # --- applicability and context (V10 to V15, J13) --------------------------------------------
