@@ -108,7 +108,8 @@ _FILES = 4
 def _page_files(t: Tables):
     """Pages with two command lines of their own, written as four files one after another."""
     path, k = S.shared_path(t.spark, "pages"), c("page_id")
-    lines = F.concat(F.lit("</p><p>• show interface Gi"), (k % 50).cast("string"), F.lit("</p><p>2) reload in "), (k % 20).cast("string"), F.lit("</p>"))
+    # a blank line before them: a block of their own, which no cut of a long text goes through
+    lines = F.concat(F.lit("</p></p><p>• show interface Gi"), (k % 50).cast("string"), F.lit("</p><p>2) reload in "), (k % 20).cast("string"), F.lit("</p>"))
     for n in range(_FILES):
         t.pages.where(k % _FILES == n).select("page_id", F.concat(F.coalesce("html", F.lit("")), lines).alias("html")).coalesce(1).write.mode("append").parquet(path)
     return path
