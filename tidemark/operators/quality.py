@@ -305,7 +305,8 @@ class MeasurementPack(Pack):
 
 def extracted(fragments: DataFrame, key: str, content: str = "content") -> DataFrame:
     """Candidates from fragments: command, key, kind, risk and danger. A table function as a frame to frame map."""
-    rows = fragments.select(key, F.posexplode(T.command_lines(F.col(content))).alias("place", "command"))
+    # outer, as the other form tests the lines for emptiness, which computes them again
+    rows = fragments.select(key, F.posexplode_outer(T.command_lines(F.col(content))).alias("place", "command")).where("command is not null")
     level = T.risk(F.array("command"))
     name = F.concat(F.lit("reference."), F.substring(F.regexp_replace(F.regexp_replace(F.lower("command"), "[^a-z0-9]+", "-"), "^-+|-+$", ""), 1, 80))
     kind = F.when(level == "safe_read_only", "diagnostic").otherwise("command")
