@@ -153,15 +153,23 @@ def t3(t: Tables):
 _DAYS = "SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n, count(*) > 70 AS limited, greatest(70 - count(*), 0) AS remaining FROM events GROUP BY 1, 2"
 
 
-def _event_files(t: Tables):
-    """Events in four files, one after another in order of time, as a stream of a file a batch."""
-    path = S.shared_path(t.spark, "events")
-    first, last = t.events.agg(F.min("ts"), F.max("ts")).first()
+# Fixed plan of the event stream: files of a batch, so that as many tasks write it.
+_PARTS = 12
+
+
+def _event_files(t: Tables, *columns: str):
+    """Events written in four stretches, one after another in order of time, as a stream of a stretch a batch."""
+    path, rows = S.shared_path(t.spark, "events"), t.events.select("ts", *columns)
+    first, last = rows.agg(F.min("ts"), F.max("ts")).first()
+    rows = rows.withColumn("at", c("ts").cast("timestamp"))
     for n in range(_FILES):
         low, high = first + (last - first) * n / _FILES, first + (last - first) * (n + 1) / _FILES
         part = (c("ts") >= F.lit(low)) & ((c("ts") < F.lit(high)) if n < _FILES - 1 else F.lit(True))
-        t.events.where(part).withColumn("ts", c("ts").cast("timestamp")).coalesce(1).write.mode("append").parquet(path)
-    return J.file_stream(t.spark, path, 1)
+        batch = rows.where(part).select(c("at").alias("ts"), *columns)
+        batch.repartition(_PARTS).write.mode("append").parquet(path)
+        for _ in range((n + 1) * _PARTS - len(t.spark.read.parquet(path).inputFiles())):  # few rows leave parts out
+            batch.where("false").coalesce(1).write.mode("append").parquet(path)
+    return J.file_stream(t.spark, path, _PARTS)
 
 
 def _groups_sql(key: str, most: int, seconds: int) -> str:
@@ -177,7 +185,7 @@ def _groups_sql(key: str, most: int, seconds: int) -> str:
 @query("t3_ready_groups", _groups_sql("event_type", 32, 21600))
 def t3_groups(t: Tables):
     """Pending rows of a type go on 32 together, or after six hours."""
-    out = J.drain(J.ready_groups(_event_files(t), "event_type", "ts", 32, 21600), "ready")
+    out = J.drain(J.ready_groups(_event_files(t, "event_type"), "event_type", "ts", 32, 21600), "ready")
     return out.withColumns({x: c(x).cast("timestamp_ntz") for x in ("opened_at", "closed_at")})
 
 
@@ -210,7 +218,7 @@ def t7(t: Tables):
     """Events as requests and transitions of a user's demand, in four batches."""
     e = c("event_type")
     status = F.when(e == "error", "failed").when(e == "purchase", "published").when(e == "signup", "researching")
-    rows = _event_files(t).withColumn("p", F.floor("value")).withColumn("s", status)
+    rows = _event_files(t, "user_id", "event_type", "value").withColumn("p", F.floor("value")).withColumn("s", status)
     out = J.drain(J.demand_state(rows, "user_id", "ts", "p", "s"), "demand", "update")
     last = out.groupBy("user_id").agg(F.max_by(F.struct("status", "priority", "demand_count", "last_seen_at"), "batch").alias("d"))
     return last.select("user_id", "d.status", "d.priority", "d.demand_count", c("d.last_seen_at").cast("timestamp_ntz").alias("last_seen_at"))
@@ -234,7 +242,7 @@ def t9(t: Tables):
 )
 def t9_idle(t: Tables):
     """Users whose state is dropped a day after their last event."""
-    out = J.drain(J.idle_keys(_event_files(t), "user_id", "ts", 86_400), "idle")
+    out = J.drain(J.idle_keys(_event_files(t, "user_id"), "user_id", "ts", 86_400), "idle")
     return out.withColumns({x: c(x).cast("timestamp_ntz") for x in ("opened_at", "closed_at")})
 
 
