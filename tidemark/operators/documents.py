@@ -55,10 +55,12 @@ def _cut(text: str, limit: int) -> Iterator[str]:
 def blocks(docs: DataFrame, key: str, text: str = "text", limit: int = MAX_BYTES) -> DataFrame:
     """(key, block_no, part_no, block): text between blank lines, long blocks cut. Only blocks over the
     limit go through Python, each on its own, so a long document doesn't have to fit a batch."""
-    split = docs.select(key, F.posexplode(F.split(without_contents_pages(F.col(text)), r"\n{2,}")).alias("block_no", "block"))
-    split = split.withColumn("block", T.trimmed(F.col("block"))).where("block <> ''")
+    def split(docs: DataFrame) -> DataFrame:
+        rows = docs.select(key, F.posexplode_outer(F.split(without_contents_pages(F.col(text)), r"\n{2,}")).alias("block_no", "block"))
+        return rows.withColumn("block", T.trimmed(F.col("block"))).where("block <> ''")
+
     fits = F.octet_length("block") <= limit
-    small = split.where(fits).select(key, "block_no", F.lit(0).alias("part_no"), "block")
+    small = split(docs).where(fits).select(key, "block_no", F.lit(0).alias("part_no"), "block")
     kind = dict(docs.dtypes)[key]
 
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -66,7 +68,8 @@ def blocks(docs: DataFrame, key: str, text: str = "text", limit: int = MAX_BYTES
             rows = [(k, b, i, piece) for k, b, t in zip(f[key], f["block_no"], f["block"], strict=True) for i, piece in enumerate(_cut(t, limit))]
             yield pd.DataFrame(rows, columns=[key, "block_no", "part_no", "block"])
 
-    large = split.where(~fits).mapInPandas(cut, f"{key} {kind}, block_no int, part_no int, block string")
+    # no block is longer than its text, so only long texts are split again
+    large = split(docs.where(F.octet_length(text) > limit)).where(~fits).mapInPandas(cut, f"{key} {kind}, block_no int, part_no int, block string")
     return small.unionByName(large)
 
 
@@ -91,7 +94,7 @@ def fragments(docs: DataFrame, key: str, text: str = "text", limit: int = MAX_BY
         joined = F.when(acc["cur"] == "", x["block"]).otherwise(F.concat(acc["cur"], F.lit("\n\n"), x["block"]))
         return F.struct(F.when(full, F.concat(acc["out"], F.array(acc["cur"]))).otherwise(acc["out"]).alias("out"), F.when(full, x["block"]).otherwise(joined).alias("cur"), (F.when(full, 0).otherwise(acc["bytes"]) + size + 2).alias("bytes"))
 
-    packed = parts.select(key, "section", "title", F.posexplode(F.aggregate("b", start, pack, lambda a: F.concat(a["out"], F.array(a["cur"])))).alias("i", "content"))
+    packed = parts.select(key, "section", "title", F.posexplode_outer(F.aggregate("b", start, pack, lambda a: F.concat(a["out"], F.array(a["cur"])))).alias("i", "content"))
     packed = packed.where("content <> ''").withColumn("content_hash", T.content_hash(F.col("content")))
     first = packed.withColumn("_r", F.row_number().over(W.partitionBy(key, "content_hash").orderBy("section", "i"))).where("_r = 1")
     ordinal = F.row_number().over(W.partitionBy(key).orderBy("section", "i")) - 1
