@@ -33,16 +33,25 @@ def s3(t: Tables):
     return D.page_text(t.pages).where("text <> html").agg(F.count("*").alias("pages"))
 
 
+# Pages of a landed file.
+_LANDED = 1000
+
+
 @query("s3_landing_files", "SELECT CASE WHEN page_id % 3 = 0 THEN 'text/html' WHEN page_id % 3 = 1 THEN 'text/plain' ELSE 'application/octet-stream' END AS media_type, count(*) AS pages, sum(CASE WHEN page_id % 3 < 2 THEN octet_length(encode(replace(html, chr(10), ' '))) ELSE 0 END)::BIGINT AS bytes FROM pages GROUP BY 1")
 def s3_files(t: Tables):
-    """Pages written as files of three types, a page a line, and landed."""
-    path = S.shared_path(t.spark, "landing")
-    for k, ending in enumerate((".html", ".txt", ".bin")):
-        t.pages.where(c("page_id") % 3 == k).select(F.replace("html", F.lit("\n"), F.lit(" "))).write.option("lineSep", "\n").text(f"{path}/{k}")
-        S.renamed(t.spark, f"{path}/{k}", ending)
-    lines = F.filter(F.split(F.coalesce("text", c("content").cast("string")), "\n"), lambda x: x != "")
-    landed = S.landing(t.spark, path, keep_content=True).select("media_type", "text", F.explode(lines).alias("line"))
-    return landed.groupBy("media_type").agg(F.count("*").alias("pages"), F.coalesce(F.sum(F.when(c("text").isNotNull(), F.octet_length("line"))), F.lit(0)).alias("bytes"))
+    """Pages written as files of three types, a page a line, and landed. A file is read as one value, so files are small, and its text is
+    left behind where it is taken apart."""
+    path, k = S.shared_path(t.spark, "landing"), c("page_id") % 3
+    kind = F.when(k == 0, 0).when(k == 1, 1).otherwise(2)
+    for n, ending in enumerate((".html", ".txt", ".bin")):
+        rows = t.pages.where(kind == n).select(F.replace("html", F.lit("\n"), F.lit(" ")))
+        rows.write.options(lineSep="\n", maxRecordsPerFile=_LANDED).text(f"{path}/{n}")
+        S.renamed(t.spark, f"{path}/{n}", ending)
+    lines = F.split(F.coalesce("text", c("content").cast("string")), "\n")  # a line ends with its separator, so the last piece is none
+    whole = F.slice(lines, F.lit(1), F.size(lines) - 1)
+    files = S.landing(t.spark, path, keep_content=True).select("media_type", c("text").isNotNull().alias("is_text"), whole.alias("lines"))
+    landed = files.select("media_type", "is_text", F.explode("lines").alias("line"))
+    return landed.groupBy("media_type").agg(F.count("*").alias("pages"), F.coalesce(F.sum(F.when(c("is_text"), F.octet_length("line"))), F.lit(0)).alias("bytes"))
 
 
 @query("s4_fragment_sink", "SELECT doc_id, length(text) AS n FROM documents WHERE lang <> 'en'")
