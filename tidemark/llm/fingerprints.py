@@ -7,8 +7,10 @@ it stands. A piece's digest is a 40-bit hash with a 10-bit check of it behind.
 Digests are dealt to blocks by their low hash bits, about ``PER_BLOCK`` of them or fewer to a block. A block is a
 sketch of cells; each of its digests goes to three, one in each third, and a cell is one number: how many digests
 (upper bits), and their XOR (50 bits). Sketches subtract cell by cell, so shared digests vanish, and peeling
-recovers the rest: a cell with one digest left (count 1 or -1, check right) gives it away, and it is taken out of its
-other cells. A digest that was none leaves cells over, so it can't pass for a result.
+recovers the rest: a cell with one digest left (count 1 or -1, check right, and one of the digest's own) gives it away, and
+it is taken out of its other cells. A cell of several digests may look like one of a digest that was none; that leaves cells
+over, empty ones among them, or gives a digest twice, and then doesn't pass for a result. A count that would leave its bits
+stays where it is.
 
 A ``fingerprint`` is a string that holds all cells of all blocks, and ``with_likeness`` needs two such strings only. A
 block is built so large (twice the cells at each attempt, other hash bits) that it peels to its own digests. Where the
@@ -79,8 +81,9 @@ def _third(a: str) -> str:
 
 
 def _mixed(v: str, a: str) -> str:
-    """The hash that deals a digest to cells: at each attempt another."""
-    return f"if({a} = 0, {v}, xxhash64({v}, {a}))"
+    """The hash that deals a digest to cells: at each attempt another, and never linear, or the XOR of digests that share all cells would
+    have these cells too."""
+    return f"xxhash64({v}, {a})"
 
 
 def _cell(q: str, third: int, t: str) -> str:
@@ -97,31 +100,39 @@ def _built(d: str, a: str) -> str:
 
 
 def _placed(cells: str) -> str:
-    """The cells that aren't empty, with their places."""
-    return f"filter(transform({cells}, (n, i) -> if(n = 0, 0L, n | shiftleft(cast(i as bigint), {_BITS}))), n -> n <> 0)"
+    """All cells with their places, in order."""
+    return f"transform({cells}, (n, i) -> n | shiftleft(cast(i as bigint), {_BITS}))"
 
 
 def _minus(x: str, y: str) -> str:
-    """The placed cells that two sketches differ in."""
+    """The placed cells of the difference of two sketches."""
     return _placed(f"zip_with({x}, {y}, (u, v) -> (u - (v & {_COUNT}L)) ^ (v & {_VALUE}L))")
 
 
 def _peeled(cells: str, a: str, rounds: int = 40) -> str:
     """(cells left, digests recovered) of placed cells; it ends when no cell gives a digest away."""
     pure = f"abs(shiftright(n, {_BITS + _PLACE})) = 1 and (xxhash64(shiftright(n & {_VALUE}L, {_CHECK})) & {(1 << _CHECK) - 1}) = (n & {(1 << _CHECK) - 1})"
+    places = lambda q: [f"{_cell(q, k, 'r')} + {k} * r" for k in range(3)]
+    at = [f"shiftleft({p}, {_BITS})" for p in places("m.q")]
     found = f"array_distinct(transform(filter(s.cells, n -> {pure}), n -> n & {~_PLACES}L))"
     mixed = f"transform({found}, n -> named_struct('n', n & {_COUNT}L, 'v', n & {_VALUE}L, 'q', {_mixed(f'(n & {_VALUE}L)', a)}))"
-    at = [f"shiftleft({_cell('m.q', k, 'r')} + {k} * r, {_BITS})" for k in range(3)]
     placed = f"transform({mixed}, m -> named_struct('n', m.n, 'v', m.v, 'at', array({', '.join(at)})))"
+    # a digest counts if one of the cells that look like it is its own
+    own = f"filter({placed}, m -> exists(m.at, p -> array_contains(s.cells, m.n | m.v | p)))"
     here = f"array_contains(m.at, n & {_PLACES}L)"
-    left = f"filter(transform(s.cells, n -> aggregate(filter(g, m -> {here}), n, (u, m) -> (u - m.n) ^ m.v)), n -> (n & {~_PLACES}L) <> 0)"
+    out = f"if(abs(shiftright(u, {_BITS + _PLACE})) > {_MOST}, u, (u - m.n) ^ m.v)"
+    left = f"transform(s.cells, n -> aggregate(filter(g, m -> {here}), n, (u, m) -> {out}))"
+    full = f"n -> (n & {~_PLACES}L) <> 0"
     state = "struct<cells:array<bigint>,ks:array<bigint>,on:boolean>"
-    step = _let("g", placed, f"cast(named_struct('cells', {left}, 'ks', concat(s.ks, transform(g, m -> m.v)), 'on', size(g) > 0) as {state})")
-    start = f"cast(named_struct('cells', c0, 'ks', array(), 'on', true) as {state})"
-    loop = f"aggregate(sequence(1, {rounds}), {start}, (s, i) -> if(size(s.cells) = 0 or not s.on, s, {step}))"
-    # mostly one round gives all: the XOR of what it gives is then the XOR of a whole third
+    step = _let("g", own, _let("c", left, f"cast(named_struct('cells', c, 'ks', concat(s.ks, transform(g, m -> m.v)), 'on', size(g) > 0 and exists(c, {full})) as {state})"))
+    start = f"cast(named_struct('cells', c0, 'ks', array(), 'on', exists(c0, {full})) as {state})"
+    rest = f"s -> cast(named_struct('cells', filter(s.cells, {full}), 'ks', s.ks, 'on', s.on) as {state})"
+    loop = f"aggregate(sequence(1, {rounds}), {start}, (s, i) -> if(s.on, {step}, s), {rest})"
+    # mostly one round gives all: placed anew, each value shifted by its place, they then XOR to what the cells do
     first = f"array_distinct(transform(filter(c0, n -> {pure}), n -> n & {_VALUE}L))"
-    whole = f"aggregate(f0, 0L, (u, v) -> u ^ v) = aggregate(c0, 0L, (u, n) -> if((n & {_PLACES}L) < shiftleft(r, {_BITS}), u ^ (n & {_VALUE}L), u))"
+    again = " ^ ".join(f"shiftleft(m.v, cast({p} as int))" for p in places("m.q"))
+    once = f"aggregate(transform(f0, v -> named_struct('v', v, 'q', {_mixed('v', a)})), 0L, (u, m) -> u ^ {again})"
+    whole = f"{a} = 0 and {once} = aggregate(c0, 0L, (u, n) -> u ^ shiftleft(n & {_VALUE}L, cast(shiftright(n & {_PLACES}L, {_BITS}) as int)))"
     quick = _let("f0", first, f"if({whole}, cast(named_struct('cells', array(), 'ks', f0, 'on', true) as {state}), {loop})")
     return _let("r", _third(a), _let("c0", cells, quick))
 
@@ -187,7 +198,7 @@ _FAILED = f"cast(named_struct('n', 0, 'ok', false) as {_FOUND})"
 
 
 def _done(peel: str) -> str:
-    return _let("z", peel, f"cast(named_struct('n', size(z.ks), 'ok', size(z.cells) = 0) as {_FOUND})")
+    return _let("z", peel, f"cast(named_struct('n', size(z.ks), 'ok', size(z.cells) = 0 and size(array_distinct(z.ks)) = size(z.ks)) as {_FOUND})")
 
 
 def _differing(x: str, y: str) -> str:
