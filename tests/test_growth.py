@@ -369,7 +369,7 @@ def test_few_titles_are_alike_whatever_they_match(spark, tmp_path, monkeypatch):
 
     texts = [(1, "routing of areas\nrest", "src4"), (2, "unlike\nrouting of areas", "src5"), (3, None, "src6"), (4, "", "src7"), (5, "routings ofs area", "src8")]
     spark.createDataFrame(texts, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
-    spark.createDataFrame([(1, "Routing of areas!"), (2, "--"), (3, "the rest of area")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(1, "Routing of areas!"), (2, "--"), (3, "the rest of area"), (4, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     con = duckdb.connect()
     for t in ("documents", "benchmark"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
